@@ -1,6 +1,8 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
-from . import passage_dedup
+from . import mixing, passage_dedup, slots, toxicity
 
-QUERIES = {f.__name__: f for f in (passage_dedup.op1_passage_dedup,)}
+QUERIES = {f.__name__: f for f in (
+    passage_dedup.op1_passage_dedup, toxicity.op2_toxicity, slots.op5_virtual_slots, mixing.op6_entropy_mix,
+)}
 ORACLE: dict[str, str] = {}
