@@ -19,8 +19,8 @@ from .shared import WORD, stored, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Rows of one source and size that one task may order by hash.
-ROWS_A_TASK = 1 << 17
+#: Parts of a source and size, so that one that many documents share is ordered by many tasks; rows in a part of the largest size at most.
+PARTS, ROWS_A_TASK = 64, 1 << 17
 
 
 def targets(sizes: dict, weights: dict, most: int = MOST) -> dict:
@@ -93,7 +93,7 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFr
     lam = newton(cells, target)
     rates = spark.createDataFrame([(i, min(float(most), math.exp(x)) if total[i] else 1.0) for i, x in lam.items()], "sid int, rate double")
     extras = cells.join(F.broadcast(rates), "sid").groupBy("sid").applyInPandas(_extras, "sid int, size long, extra long")
-    parts = max(1, math.ceil(sum(r.n for r in per) / ROWS_A_TASK))
+    parts = max(PARTS, math.ceil(sum(r.n for r in per) / ROWS_A_TASK))
     # A size that a third of all rows share is dealt into parts by hash; each part gets its portion of the size's extra copies.
     rows = rows.withColumn("part", F.pmod(F.shiftright("h", 20), F.lit(parts)))
     portion = rows.groupBy("sid", "size", "part").agg(F.count("*").alias("n"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,9 @@ from .textops import LOWER, Prefix, U, buffers, byte_values, pieces, runs
 
 BITS = 20
 #: Labelled documents to learn from at most: those with the smallest hashes of doc_id.
-SAMPLE = 12_000
+SAMPLE = 8_000
 #: Features kept: present in so many documents at least, the most telling so many of them.
-LEAST_DOCS, FEATURES = 5, 6_000
+LEAST_DOCS, FEATURES = 5, 3_000
 STEMS = (4, 5, 6)
 LETTER = np.zeros(256, bool)
 LETTER[0x61:0x7B] = LETTER[0x80:] = True
@@ -46,27 +47,26 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(where), (np.concatenate(got) >> U(64 - BITS)).astype(np.int64), doc, sa, sb
 
 
-def train(texts: list[str], y: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
+def train(texts, y: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights for each feature, and the bias, from labelled documents; without both labels, weights of 0 and the base rate."""
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         return np.zeros(1 << BITS, np.float32), -4.0 if not len(y) or y.max() == 0 else 4.0
     n_doc = len(y)
     pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    held, sents = [], 0
-    col = pa.array(texts, pa.large_string())
-    sizes = np.diff(buffers(col)[1])
-    doc_of = []
-    for lo, hi in pieces(sizes):
-        s, f, doc, _, _ = features(*buffers(col.slice(lo, hi - lo)))
+    col = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string())
+    sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy()
+
+    def parts():
+        for lo, hi in pieces(sizes):
+            s, f, doc, _, _ = features(*buffers(col.slice(lo, hi - lo)))
+            yield lo, s, f, doc
+
+    for lo, s, f, doc in parts():
         d = np.unique(doc[s] * np.int64(1 << BITS) + f) if len(s) else np.zeros(0, np.int64)
         df, dd = d & ((1 << BITS) - 1), (d >> BITS) + lo
         pos += np.bincount(df, y[dd], 1 << BITS)
         neg += np.bincount(df, 1 - y[dd], 1 << BITS)
-        held.append((s + sents, f))
-        doc_of.append(doc + lo)
-        sents += len(doc)
-    doc_of = np.concatenate(doc_of)
     rate = y.mean()
     expect = (pos + neg) * rate
     z = (pos - expect) / np.sqrt(np.maximum(expect * (1 - rate), 0.25))
@@ -74,10 +74,13 @@ def train(texts: list[str], y: np.ndarray, steps: int = 300) -> tuple[np.ndarray
     kept = ok[np.argsort(-np.abs(z[ok]), kind="stable")[:FEATURES]]
     new = np.full(1 << BITS, -1, np.int64)
     new[kept] = np.arange(len(kept))
-    s = np.concatenate([x[0] for x in held])
-    f = new[np.concatenate([x[1] for x in held])]
-    s, f = s[f >= 0], f[f >= 0]
-    pair = np.unique(s * np.int64(len(kept)) + f)  # a feature counts once in a sentence
+    held, doc_of, sents = [], [], 0
+    for lo, s, f, doc in parts():  # again, for the kept features only: all of them need more memory than the texts
+        f = new[f]
+        held.append(np.unique((s[f >= 0] + sents) * np.int64(len(kept)) + f[f >= 0]))  # a feature counts once in a sentence
+        doc_of.append(doc + lo)
+        sents += len(doc)
+    doc_of, pair = np.concatenate(doc_of), np.concatenate(held)
     s, f = pair // len(kept), pair % len(kept)
     used, s = np.unique(s, return_inverse=True)  # sentences with a feature; others only have the bias
     plain = np.bincount(doc_of, minlength=n_doc) - np.bincount(doc_of[used], minlength=n_doc)
@@ -119,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # ``sample`` rows of two numbers: bounded, so that the texts need no shuffle.
     got = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(y), "doc_id").toArrow()
-    return train(got["text"].to_pylist(), got["y"].to_numpy())
+    return train(got["text"], got["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
