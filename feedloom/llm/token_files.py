@@ -8,6 +8,8 @@ in the tables at the end and decompresses its frame alone.
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import struct
 import zlib
@@ -27,8 +29,12 @@ END_ID = 0
 SEEK_MAGIC, SKIP_SEEK, SKIP_OURS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 NAME = "byte_bpe_50k.json"
 #: Encodings of words that a worker remembers.
-MEMORY = 400_000
+MEMORY = 800_000
 APART = re.compile(r"\s\s|\x1f")
+#: Blank and line feed; and bytes that begin any other white space in UTF-8, or the mark of parts.
+PLAIN_WHITE, ODD = np.zeros(256, bool), np.zeros(256, bool)
+PLAIN_WHITE[[0x20, 0x0A]] = True
+ODD[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Encoder:
@@ -36,24 +42,47 @@ class Encoder:
 
     The vocabulary's pre-tokenizer never joins what a single blank or line feed
     parts, so such texts are encoded by parts, each distinct part once; a text
-    with blanks in a row is encoded as it is.
+    with blanks in a row is encoded as it is.  New parts of one word go to the
+    library as one text: a token that begins with a blank begins a part.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        if hasattr(self.tok.model, "_resize_cache"):
+            self.tok.model._resize_cache(0)  # parts come once: its own cache only costs
+        size = self.tok.get_vocab_size()
+        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        blank = next(iter(self.tok.encode(" ", add_special_tokens=False).tokens))
+        self.begins = np.array([(self.tok.id_to_token(i) or "").startswith(blank) for i in range(size)])
         self.end = np.array([END_ID], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        words, others = [], []
+        for p in new:
+            (words if p[:1] == " " and p[1:].split() == [p[1:]] else others).append(p)
+        self.known.update(zip(others, self._ids(others), strict=True))
+        if words:
+            ids = np.array(self.tok.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, self.kind)
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) != len(words):
+                self.known.update(zip(words, self._ids(words), strict=True))
+                return
+            raw, w = ids.tobytes(), self.kind.itemsize
+            at = (at * w).tolist()
+            self.known.update(zip(words, (raw[x:y] for x, y in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids and the end's, as bytes."""
-        parts = [None if APART.search(t) else t.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f") for t in texts]
+        whole = apart(texts)
+        parts = [None if x else t.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f") for x, t in zip(whole, texts, strict=True)]
         if len(self.known) > MEMORY:
             self.known.clear()
         new: set[str] = set()
@@ -61,13 +90,31 @@ class Encoder:
             if p is not None:
                 new.update(p)
         new -= self.known.keys()
-        fresh = list(new)
-        for i in range(0, len(fresh), 20_000):
-            self.known.update(zip(fresh[i : i + 20_000], self._ids(fresh[i : i + 20_000]), strict=True))
+        self._learn(list(new))
         get = self.known.__getitem__
         return [(b"".join(map(get, p)) if p is not None else self._ids([t])[0]) + self.end for p, t in zip(parts, texts, strict=True)]
 
 
+def apart(texts: list[str]) -> list[bool]:
+    """Which texts hold blanks in a row, or a character that marks parts; bytes that can't begin either are passed over quickly."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\0".join(raw), np.uint8)
+    white = PLAIN_WHITE[data]
+    odd = np.zeros(len(data) + 1, bool)
+    odd[:-1] = ODD[data]
+    odd[: max(0, len(data) - 1)] |= white[1:] & white[:-1]
+    off = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
+    hit = np.concatenate([[0], np.cumsum(odd)])
+    most = len(hit) - 1
+    return [bool(x) and bool(APART.search(t)) for x, t in zip(hit[np.minimum(off[1:] - 1, most)] - hit[np.minimum(off[:-1], most)], texts, strict=True)]
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """A worker's encoder: it keeps what it knows from task to task."""
+    return Encoder(path)
+
+
 class Writer:
     """Appends documents to one open file."""
 
@@ -164,7 +211,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> list[tuple[str,
         fs, root = opened(path)
         fs.create_dir(root, recursive=True)
         name, own = f"{root}/part-{task.partitionId():06d}.tok", f"{root}/.{task.partitionId():06d}-{task.taskAttemptId()}"
-        encode, many = Encoder(tokenizer), 0
+        encode, many = encoder(tokenizer), 0
         with fs.open_output_stream(own) as out:
             w = Writer(out, encode.kind)
             for batch in batches:
