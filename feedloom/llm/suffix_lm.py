@@ -101,11 +101,33 @@ def _unpack(x: bytes, wide: bool) -> np.ndarray:
     return out.view(U).ravel()
 
 
-def _send(block: int, keys: np.ndarray, values: np.ndarray, wide: bool, n: int) -> pa.Table:
+def _code(counts: np.ndarray) -> bytes:
+    """Counts as a byte each; those of 255 and more follow in full."""
+    counts = counts.astype(np.int64)
+    return np.uint32(len(counts)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].tobytes()
+
+
+def _decode(x) -> np.ndarray:
+    n = int(np.frombuffer(x, np.uint32, 1)[0])
+    out = np.frombuffer(x, np.uint8, n, 4).astype(np.int64)
+    out[out == 255] = np.frombuffer(x, np.int64, offset=4 + n)
+    return out
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return np.uint32(len(flags)).tobytes() + np.packbits(flags).tobytes()
+
+
+def _flags(x) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(x, np.uint8, offset=4), count=int(np.frombuffer(x, np.uint32, 1)[0])).astype(bool)
+
+
+def _send(block: int, keys: np.ndarray, values: np.ndarray, wide: bool, n: int, level: int = 0) -> pa.Table:
     at = _cuts(keys, wide, n)
     return pa.table({
         "bucket": pa.array([i for i, _, _ in at], pa.int32()), "block": pa.array([block] * len(at), pa.int32()),
-        "keys": pa.array([_pack(keys[a:b], wide) for _, a, b in at], pa.binary()), "many": pa.array([values[a:b].tobytes() for _, a, b in at], pa.binary()),
+        "keys": pa.array([_pack(keys[a:b], wide) for _, a, b in at], pa.binary()), "many": pa.array([_code(values[a:b]) if values.dtype == np.int64 else values[a:b].tobytes() for _, a, b in at], pa.binary()),
+        "level": pa.array([level] * len(at), pa.int32()),
     })
 
 
@@ -113,16 +135,18 @@ def _totals(wide: bool, kind: int, n: int):
     """A bucket's answers: the totals of each block's keys, and which of them the block is the first to hold; for words, N and V to every block."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("block")
+        t = t.filter(pc.equal(t["level"], 0)).sort_by("block")
+        if not t.num_rows:
+            return KINDS.empty_table()
         parts = [_unpack(x.as_buffer(), wide) for x in t["keys"]]
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t["many"]])
+        counts = np.concatenate([_decode(x.as_buffer()) for x in t["many"]])
         keys, first, back = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
         total = np.bincount(back, counts, len(keys)).astype(np.int64)
         own = np.zeros(len(back), bool)
         own[first] = True
         bucket, out, at = t["bucket"][0].as_py(), [], 0
         for block, p in zip(t["block"].to_pylist(), parts, strict=True):
-            out.append((block, bucket, kind, total[back[at : at + len(p)]].tobytes(), np.packbits(own[at : at + len(p)]).tobytes(), None, None))
+            out.append((block, bucket, kind, _code(total[back[at : at + len(p)]]), _bits(own[at : at + len(p)]), None, None))
             at += len(p)
         if wide:
             out += [(b, bucket, 0, None, None, int(total.sum()), int((total > 0).sum())) for b in range(n)]
@@ -131,25 +155,27 @@ def _totals(wide: bool, kind: int, n: int):
     return run
 
 
-def _gains(wide: bool, kind: int):
-    """Sums of what blocks have found for each context, to every block that holds it."""
+def _kept(wide: bool, kind: int):
+    """The test of each context, by the sums of what blocks have found for it, to every block that holds it."""
 
     def run(t: pa.Table, g: pa.Table) -> pa.Table:
         if not t.num_rows:
             return KINDS.empty_table()
-        keys = np.concatenate([_unpack(x.as_buffer(), wide) for x in g["keys"]] or [np.zeros(0, U)])
-        keys, back = np.unique(keys, return_inverse=True)
-        total = np.bincount(back, np.concatenate([np.frombuffer(x.as_buffer(), np.float64) for x in g["many"]] or [np.zeros(0)]), len(keys))
-        out = []
-        for block, bucket, x in zip(t["block"].to_pylist(), t["bucket"].to_pylist(), t["keys"], strict=True):
-            own = _unpack(x.as_buffer(), wide)
-            s = np.zeros(len(own), np.float32)
-            if len(keys):
-                i = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                hit = keys[i] == own
-                s[hit] = total[i[hit]]
-            out.append((block, bucket, kind, s.tobytes(), None, None, None))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), KINDS, strict=True)], schema=KINDS)
+        parts = [_unpack(x.as_buffer(), wide) for x in t["keys"]]
+        keys, back = np.unique(np.concatenate(parts), return_inverse=True)
+        c = np.bincount(back, np.concatenate([_decode(x.as_buffer()) for x in t["many"]]), len(keys))
+        g = g.filter(pc.equal(g["level"], kind - 3))
+        low = keys & U(LOW)
+        order = np.argsort(low)
+        told = np.concatenate([_unpack(x.as_buffer(), False) for x in g["keys"]] or [np.zeros(0, U)])
+        at = order[np.searchsorted(low[order], told)]
+        gain = np.bincount(at, np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in g["many"]] or [np.zeros(0)]), len(keys))
+        kept = (c >= LEAST_CONTEXT) & (gain + c * np.log((1 + c / 2) / np.maximum(c * 1.5, 0.5)) > GAIN)
+        out, at = [], 0
+        for block, bucket, p in zip(t["block"].to_pylist(), t["bucket"].to_pylist(), parts, strict=True):
+            out.append((block, bucket, kind, _bits(kept[back[at : at + len(p)]]), None, None, None))
+            at += len(p)
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), KINDS, strict=True)], schema=KINDS)
 
     return run
 
@@ -168,12 +194,14 @@ class Mail:
         zero = t.filter(pc.equal(t["kind"], 0))
         self.n, self.v = (sum(zero[c].to_pylist()) for c in ("n", "v"))
 
-    def values(self, kind: int, dtype) -> np.ndarray:
-        return np.frombuffer(b"".join(d for _, d, _ in self.got.get(kind, ())), dtype)
+    def totals(self, kind: int) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(_decode(d) for _, d, _ in self.got.get(kind, ()))])
 
     def owned(self, kind: int) -> np.ndarray:
-        parts = [np.unpackbits(np.frombuffer(o, np.uint8), count=len(d) // 8) for _, d, o in self.got.get(kind, ())]
-        return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
+        return np.concatenate([np.zeros(0, bool), *(_flags(o) for _, _, o in self.got.get(kind, ()))])
+
+    def kept(self, kind: int) -> np.ndarray:
+        return np.concatenate([np.zeros(0, bool), *(_flags(d) for _, d, _ in self.got.get(kind, ()))])
 
 
 def _first(i: np.ndarray, size: int) -> np.ndarray:
@@ -202,26 +230,20 @@ def scored(docs: DataFrame, held: tuple[int, int] = HELD_OUT) -> DataFrame:
 
     def ready(t: pa.Table, m: pa.Table, level: int):
         x, mail = Tokens(t), Mail(m)
-        x.c1 = mail.values(1, np.int64)
+        x.c1 = mail.totals(1)
         x.pairs(x.c1, n)
         if level > 1:
-            x.c2 = mail.values(2, np.int64)
+            x.c2 = mail.totals(2)
             x.triples(x.c2, n)
         x.p0 = (x.c1 + 1) / (mail.n + mail.v + 1)
         return x, mail
 
     def pairs(t: pa.Table, m: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return _send(0, np.zeros(0, U), np.zeros(0), False, n)
+            return _send(0, np.zeros(0, U), np.zeros(0, np.int64), False, n)
         x, _ = ready(t, m, 1)
         return _send(B.block_of(t), x.k2, x.two, False, n)
 
-    def triples(t: pa.Table, m: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return _send(0, np.zeros(0, U), np.zeros(0), False, n)
-        x, _ = ready(t, m, 2)
-        return _send(B.block_of(t), x.k3, x.three, False, n)
-
     def states(x: Tokens):
         """At each place: the root's probability, that of a one-word context, and counts of the contexts."""
         p0 = x.p0[x.i1]
@@ -229,28 +251,32 @@ def scored(docs: DataFrame, held: tuple[int, int] = HELD_OUT) -> DataFrame:
         b = 1 + u / 2
         return p0, u, b, (x.pair + b * p0) / (u + b)
 
+    def gains(level: int, places, back, total, own, base, occurs, key) -> pa.Table:
+        """Each context's leave-one-out gain from the pairs, or triples, that this block is the first to hold; one that occurs once gains nothing."""
+        at = places[_first(back, len(total))] if len(total) else np.zeros(0, np.int64)
+        use = own & (total > 1)
+        at, c = at[use], total[use].astype(float)
+        beta = 1 + occurs[at] / 2
+        keys, i = np.unique(key[at], return_inverse=True)
+        gain = np.bincount(i, c * np.log(((c - 1) / base[at] + beta) / beta), len(keys)).astype(np.float32)
+        return _send(-1, keys, gain, False, n, level)
+
+    def triples(t: pa.Table, m: pa.Table) -> pa.Table:
+        """The block's triples, and the gains of contexts of one word."""
+        if not t.num_rows:
+            return _send(0, np.zeros(0, U), np.zeros(0, np.int64), False, n)
+        x, mail = ready(t, m, 2)
+        p0, u, _, _ = states(x)
+        one = gains(1, x.p2, x.i2, x.c2, mail.owned(2), p0, u, short(np.roll(x.w, 1), n))
+        return pa.concat_tables([_send(B.block_of(t), x.k3, x.three, False, n), one])
+
     def found(t: pa.Table, m: pa.Table) -> pa.Table:
-        """Each context's leave-one-out gain from the pairs and triples that this block is the first to hold."""
-        empty = _send(0, np.zeros(0, U), np.zeros(0), False, n).append_column("level", pa.array([], pa.int32()))
+        """The gains of contexts of two words."""
         if not t.num_rows:
-            return empty
+            return _send(0, np.zeros(0, U), np.zeros(0, np.int64), False, n)
         x, mail = ready(t, m, 2)
-        p0, u, b, p1 = states(x)
-        c3, out = mail.values(3, np.int64), []
-        for level, places, back, total, own, context in ((1, x.p2, x.i2, x.c2, mail.owned(2), None), (2, x.p3, x.i3, c3, mail.owned(3), None)):
-            at = places[_first(back, len(total))] if len(total) else np.zeros(0, np.int64)
-            use = own & (total > 0)
-            at, c = at[use], total[use].astype(float)
-            if level == 1:
-                base, occurs, key, wide = p0[at], u[at], x.w[at - 1], True
-            else:
-                base, occurs, key, wide = p1[at], x.pair[at - 1], short(x.h2[at - 1], n), False
-            beta = 1 + occurs / 2
-            gain = c * np.log(((c - 1) / base + beta) / beta)
-            keys, i = np.unique(key, return_inverse=True)
-            rows = _send(-1, keys, np.bincount(i, gain, len(keys)), wide, n)
-            out.append(rows.append_column("level", pa.array([level] * rows.num_rows, pa.int32())))
-        return pa.concat_tables(out)
+        _, _, _, p1 = states(x)
+        return gains(2, x.p3, x.i3, mail.totals(3), mail.owned(3), p1, np.roll(x.pair, 1), short(np.roll(x.h2, 1), n))
 
     def finish(t: pa.Table, m: pa.Table) -> pa.Table:
         names = ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_context")
@@ -259,14 +285,12 @@ def scored(docs: DataFrame, held: tuple[int, int] = HELD_OUT) -> DataFrame:
             return pa.table({k: pa.array([], kind) for k, kind in zip(names, kinds, strict=True)})
         x, mail = ready(t, m, 2)
         p0, u, b, p1 = states(x)
-        c3, s1, s2 = mail.values(3, np.int64), mail.values(4, np.float32), mail.values(5, np.float32)
-        kept = (s1 + x.c1 * np.log((1 + x.c1 / 2) / np.maximum(x.c1 * 1.5, 0.5)) > GAIN) & (x.c1 >= LEAST_CONTEXT) if len(s1) else np.zeros(len(x.k1), bool)
-        one = np.roll(kept[x.i1], 1) & (x.pos >= 1)
+        c3, kept1, kept2 = mail.totals(3), mail.kept(4), mail.kept(5)
+        one = np.roll(kept1[x.i1], 1) & (x.pos >= 1)
         q = np.where(one, p1, p0)
-        if len(x.k2) and len(s2):
-            kept = (s2 + x.c2 * np.log((1 + x.c2 / 2) / np.maximum(x.c2 * 1.5, 0.5)) > GAIN) & (x.c2 >= LEAST_CONTEXT)
+        if len(x.k2):
             at = np.zeros(len(x.w), bool)
-            at[x.p2] = kept[x.i2]
+            at[x.p2] = kept2[x.i2]
             two = np.roll(at, 1) & (x.pos >= 2)
             triple = np.zeros(len(x.w))
             triple[x.p3] = c3[x.i3]
@@ -278,16 +302,20 @@ def scored(docs: DataFrame, held: tuple[int, int] = HELD_OUT) -> DataFrame:
         return pa.table({k: c if isinstance(c, pa.ChunkedArray) else pa.array(c, kind) for k, c, kind in zip(names, cols, kinds, strict=True)})
 
     by = lambda d: d.groupBy("block")
-    p1 = by(dealt).applyInArrow(words, B.PACK)
-    mail = p1.groupBy("bucket").applyInArrow(_totals(True, 1, n), MAIL)
-    p2 = by(dealt).cogroup(by(mail)).applyInArrow(pairs, B.PACK)
-    mail = mail.unionByName(p2.groupBy("bucket").applyInArrow(_totals(False, 2, n), MAIL))
-    p3 = by(dealt).cogroup(by(mail)).applyInArrow(triples, B.PACK)
-    mail = mail.unionByName(p3.groupBy("bucket").applyInArrow(_totals(False, 3, n), MAIL))
-    gain = by(dealt).cogroup(by(mail)).applyInArrow(found, B.PACK + ", level int")
-    for level, packed in ((1, p1), (2, p2)):
-        told = packed.groupBy("bucket").cogroup(gain.filter(F.col("level") == level).groupBy("bucket")).applyInArrow(_gains(level == 1, 3 + level), MAIL)
-        mail = mail.unionByName(told)
+    pack = B.PACK + ", level int"
+    # Answers go to their blocks once: later steps read the same exchanges, and a union of them needs none of its own.
+    post = lambda d: d.repartition(n, "block")
+    deal = lambda d: d.repartition(n, "bucket")
+    at = lambda d: d.groupBy("bucket")
+    p1 = deal(by(dealt).applyInArrow(words, pack))
+    mail = post(at(p1).applyInArrow(_totals(True, 1, n), MAIL))
+    p2 = deal(by(dealt).cogroup(by(mail)).applyInArrow(pairs, pack))
+    mail = mail.unionByName(post(at(p2).applyInArrow(_totals(False, 2, n), MAIL)))
+    p3 = deal(by(dealt).cogroup(by(mail)).applyInArrow(triples, pack))
+    mail = mail.unionByName(post(at(p3).applyInArrow(_totals(False, 3, n), MAIL)))
+    g2 = deal(by(dealt).cogroup(by(mail)).applyInArrow(found, pack))
+    for level, packed, gain in ((1, p1, p3), (2, p2, g2)):
+        mail = mail.unionByName(post(at(packed).cogroup(at(gain)).applyInArrow(_kept(level == 1, 3 + level), MAIL)))
     return by(dealt).cogroup(by(mail)).applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_context long")
 
 
