@@ -155,9 +155,21 @@ def merge(t: pa.Table) -> pa.Table:
     ], schema=KINDS)
 
 
+def shorter(packs: pa.Table) -> pa.Table:
+    """Packs with 7 of each hash's 8 bytes: the bucket tells the rest but for a bit or two."""
+    keys = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 8)[:, :7].tobytes() for x in packs["keys"]]
+    return packs.set_column(packs.column_names.index("keys"), "keys", pa.array(keys, pa.binary()))
+
+
+def longer(x) -> np.ndarray:
+    out = np.zeros((len(x) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(x, np.uint8).reshape(-1, 7)
+    return out.view(U).ravel()
+
+
 def repeated(t: pa.Table) -> pa.Table:
     """A bucket's answers about windows: a bit for each that a block sent."""
-    parts = [np.frombuffer(x.as_buffer(), U) for x in t["keys"]]
+    parts = [longer(x.as_buffer()) for x in t["keys"]]
     many = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(p)) for x, p in zip(t["many"], parts, strict=True)]).astype(bool)
     keys, back, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     hit = count > 1
@@ -199,7 +211,7 @@ def remove_repeated_bytes(docs: DataFrame, text: bool = True) -> DataFrame:
 
     def windows(t: pa.Table, m: pa.Table) -> pa.Table:
         h = [x[4] for x in _candidates(t, m, n)] if t.num_rows else []
-        return B.packs(B.block_of(t) or 0, np.concatenate([np.zeros(0, U), *h]), n)
+        return shorter(B.packs(B.block_of(t) or 0, np.concatenate([np.zeros(0, U), *h]), n))
 
     def finish(t: pa.Table, m: pa.Table) -> pa.Table:
         out = []
