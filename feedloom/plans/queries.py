@@ -1,4 +1,376 @@
-"""Registered feed queries and their DuckDB counterparts (filled per operator)."""
+"""Registered feed queries over the driver's tables, each with DuckDB SQL of the same rows.
 
-QUERIES = {}
-ORACLE = {}
+The tables stand in for feeds: ``events`` for raw records (user_id as group,
+event_type as source), ``customer`` for groups (verified if c_acctbal > 0),
+``orders`` for recurring schedules, ``documents`` and ``pages`` for descriptions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import addresses, dates, names, text, urls
+from ..operators import normalize, recurrence, registry, serve, store
+from ..sources import html as html_source
+from ..sources import ics, json_calendar
+
+CUTOFF = "2024-01-15 12:30:00"
+SPLIT = "2024-01-16 00:00:00"
+RUN2 = "2024-02-01 00:00:00"
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def ntz(value: str):
+    return F.lit(value).cast("timestamp_ntz")
+
+
+def _gated(spark, d) -> DataFrame:
+    groups = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name", (F.col("c_acctbal") > 0).alias("verified"))
+    return table(spark, d, "events").join(groups, "user_id", "left").withColumn("status", store.gate(F.col("verified")))
+
+
+_GATED = "SELECT e.*, c_name, CASE WHEN coalesce(c_acctbal > 0, false) THEN 'published' ELSE 'pending' END AS status FROM events e LEFT JOIN customer ON user_id = c_custkey"
+
+
+@query(f"""WITH g AS ({_GATED}) SELECT 'ics:' || event_id AS fingerprint, event_type AS title, ts AS start, coalesce(c_name, CAST(user_id AS VARCHAR)) AS group_name
+FROM g WHERE status = 'published' AND ts >= TIMESTAMP '{CUTOFF}'""")
+def upcoming_feed(spark, d):
+    e = serve.upcoming(_gated(spark, d), ntz(CUTOFF), start="ts")
+    fp = names.fingerprint(F.lit("ics"), F.col("event_id").cast("string"))
+    return e.select(fp.alias("fingerprint"), F.col("event_type").alias("title"), F.col("ts").alias("start"), F.coalesce("c_name", F.col("user_id").cast("string")).alias("group_name")).orderBy("start", "fingerprint")
+
+
+@query(f"""WITH g AS ({_GATED}) SELECT event_id, status FROM g WHERE status IN ('published', 'pending') AND ts >= TIMESTAMP '{CUTOFF}'""")
+def upcoming_preview(spark, d):
+    return serve.upcoming(_gated(spark, d), ntz(CUTOFF), ("published", "pending"), "ts").select("event_id", "status")
+
+
+@query(f"WITH g AS ({_GATED}) SELECT status, count(*) AS events FROM g GROUP BY status")
+def status_counts(spark, d):
+    return serve.status_counts(_gated(spark, d))
+
+
+@query("SELECT max(ts) AS generated_at FROM events")
+def last_synced(spark, d):
+    return table(spark, d, "events").agg(F.max("ts").alias("generated_at"))
+
+
+@query(f"SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '{CUTOFF}' - INTERVAL 2 DAY AND TIMESTAMP '{CUTOFF}' + INTERVAL 3 DAY")
+def source_window(spark, d):
+    return table(spark, d, "events").filter(F.col("ts").between(ntz(CUTOFF) - F.expr("interval 2 days"), ntz(CUTOFF) + F.expr("interval 3 days"))).select("event_id", "ts")
+
+
+@query("""SELECT doc_id, trim(regexp_replace(lower(translate(x, '\u2018\u2019\u02bc\u201c\u201d\u2013\u2014\u2212\u00a0\u200b', '''''''""---  ')), '[ \\t\\n\\r\\f\\x0B\\x{85}\\x{a0}]+', ' ', 'g')) AS folded
+FROM (SELECT doc_id, '\u201c' || left(text, 80) || '\u2019s \u2013\u00a0 X' AS x FROM documents)""")
+def fold_names(spark, d):
+    x = F.concat(F.lit("\u201c"), F.left("text", F.lit(80)), F.lit("\u2019s \u2013\u00a0 X"))
+    return table(spark, d, "documents").select("doc_id", names.fold_name(x).alias("folded"))
+
+
+@query("""WITH v AS (SELECT page_id, k, CASE k WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^[a-z]+://', '') WHEN 2 THEN '  ' || url || '?q=a b ' WHEN 3 THEN 'mailto:x@example.org'
+ WHEN 4 THEN 'no dots' ELSE 'HTTPS:' || regexp_replace(url, '^[a-z]+:', '') END AS raw FROM pages, range(6) t(k)),
+t AS (SELECT page_id, k, trim(raw) AS t FROM v),
+w AS (SELECT page_id, k, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t WHEN NOT regexp_matches(t, '\\s') AND contains(t, '.') THEN 'https://' || t END AS w FROM t),
+p AS (SELECT page_id, k, lower(regexp_extract(w, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s, regexp_extract(w, '^[A-Za-z][A-Za-z0-9+.-]*:(.*)$', 1) AS r FROM w)
+SELECT page_id, CAST(k AS INTEGER) AS k, CASE WHEN s IN ('http', 'https') AND regexp_matches(r, '^//[^/?#\\s]+') THEN s || ':' || replace(r, ' ', '%20') END AS url FROM p""")
+def clean_urls(spark, d):
+    u = F.col("url")
+    raw = F.array(u, F.regexp_replace(u, "^[a-z]+://", ""), F.concat(F.lit("  "), u, F.lit("?q=a b ")), F.lit("mailto:x@example.org"), F.lit("no dots"), F.concat(F.lit("HTTPS:"), F.regexp_replace(u, "^[a-z]+:", "")))
+    return table(spark, d, "pages").select("page_id", F.posexplode(raw).alias("k", "raw")).select("page_id", "k", urls.clean_url(F.col("raw")).alias("url"))
+
+
+@query("""SELECT p_partkey, trim(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '-') AS venue_slug,
+trim(regexp_replace(regexp_replace(lower(x), '[^a-z0-9 \\-_/]', '', 'g'), '[ \\-_/]+', '-', 'g'), '-') AS slot
+FROM (SELECT p_partkey, '(' || p_name || ') / ' || p_type || '!' AS x FROM part)""")
+def venue_slugs(spark, d):
+    x = F.concat(F.lit("("), F.col("p_name"), F.lit(") / "), F.col("p_type"), F.lit("!"))
+    return table(spark, d, "part").select("p_partkey", names.venue_slug(x).alias("venue_slug"), names.slugify(x).alias("slot"))
+
+
+@query("""WITH a AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('# ' || replace(left(text, 600), '<', ' '), '\\[([^\\]\\n]*)\\]\\([^)\\n]*\\)', '\\1', 'g'),
+ '(?m)^[ \\t]*(?:#{1,6}|>|[-*+])[ \\t]+', '', 'g'), '\\*\\*|__|[*_`]', '', 'g'), '\\\\([!-/:-@\\[-`{-~])', '\\1', 'g')) AS x FROM documents),
+b AS (SELECT doc_id, trim(regexp_replace(x, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')) AS x FROM a)
+SELECT doc_id, x AS plain, regexp_extract(x, 'http[^ ]*') <> '' AND strlen(x) - strlen(regexp_extract(x, 'http[^ ]*')) < strlen(regexp_extract(x, 'http[^ ]*')) AS mostly_link FROM b""")
+def excerpts_plain(spark, d):
+    x = text.strip_markdown(F.concat(F.lit("# "), F.replace(F.left("text", F.lit(600)), F.lit("<"), F.lit(" "))))
+    return table(spark, d, "documents").select("doc_id", x.alias("plain"), text.is_mostly_link(x).alias("mostly_link"))
+
+
+@query("""WITH a AS (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS x FROM documents),
+b AS (SELECT doc_id, x, regexp_replace(substr(x, 1, 220), '^(.+) [^ ]*$', '\\1', 's') AS h FROM a)
+SELECT doc_id, CASE WHEN strlen(x) <= 220 THEN x ELSE rtrim(h, ' ,;:.-') || '\u2026' END AS excerpt FROM b""")
+def truncated_words(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.truncate_words(F.regexp_replace("text", "[^ -~]", "")).alias("excerpt"))
+
+
+@query()
+def excerpts_html(spark, d):
+    return table(spark, d, "pages").select("page_id", text.excerpt(F.col("html")).alias("excerpt"))
+
+
+@query("""WITH l AS (SELECT page_id, unnest(range(1, len(m) + 1)) AS pos, unnest(m) AS href FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref="([^"]*)"', 1) AS m FROM pages))
+SELECT page_id, href, CAST(min(pos) AS BIGINT) AS pos FROM l GROUP BY page_id, href""")
+def page_links(spark, d):
+    return html_source.links(table(spark, d, "pages"), "page_id", "html")
+
+
+@query("""WITH alias AS (SELECT lower(trim(n_name)) AS key, n_nationkey AS slug, n_nationkey AS occ FROM nation UNION ALL SELECT lower(trim(r_name)), 100 + r_regionkey, 100 + r_regionkey FROM region),
+claimed AS (SELECT key, arg_min(slug, occ) AS slug FROM alias GROUP BY key),
+org AS (SELECT s_suppkey, 1 AS occ, lower(' nobody ') AS name FROM supplier UNION ALL SELECT s_suppkey, 2, lower(n_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 > 0
+ UNION ALL SELECT s_suppkey, 3, lower(r_name) FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+hit AS (SELECT s_suppkey, arg_min(slug, org.occ) AS slug FROM org JOIN claimed ON trim(name) = key GROUP BY s_suppkey)
+SELECT s.s_suppkey, CAST(coalesce(h.slug, -1) AS BIGINT) AS group_slug FROM supplier s LEFT JOIN hit h USING (s_suppkey)""")
+def resolve_group(spark, d):
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    ents = nation.select(F.col("n_nationkey").cast("long").alias("slug"), F.array("n_name").alias("names"), F.col("n_nationkey").alias("pos"))
+    ents = ents.unionByName(region.select((F.col("r_regionkey") + 100).cast("long").alias("slug"), F.array("r_name").alias("names"), (F.col("r_regionkey") + 100).alias("pos")))
+    s = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    orgs = F.array(F.lit(" Nobody "), F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.col("n_name"), F.lit("  "))), F.col("r_name"))
+    rec = s.select("s_suppkey", orgs.alias("organizers"), F.lit(-1).cast("long").alias("owner"))
+    return normalize.resolve_groups(rec, normalize.claimed_names(ents, "slug", F.col("names"), "pos"), ["s_suppkey"]).select("s_suppkey", "group_slug")
+
+
+@query("""SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id IN (e.event_id, e.event_id + 1))""")
+def reject_any(spark, d):
+    e = table(spark, d, "events").select("event_id", F.array("event_id", F.col("event_id") + 1).alias("sources"))
+    kept, _ = normalize.without_rejects(e, table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("fingerprint")), "event_id")
+    return kept.select("event_id")
+
+
+def _clustered(spark, d) -> DataFrame:
+    e = table(spark, d, "events").withColumn("hour", F.date_trunc("HOUR", "ts").cast("timestamp_ntz"))
+    e = e.withColumns({"priority": F.when(F.col("event_type").isin("click", "view"), 10).otherwise(50), "k": F.get_json_object("props", "$.k").cast("int")})
+    return normalize.with_entities(e, ["user_id", "hour"], "event_type", ["event_type", "event_id"])
+
+
+_CLUSTERS = """c AS (SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS records, count(*) = count(DISTINCT event_type) AS mergeable FROM events GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_CLUSTERS} SELECT user_id, hour, records, mergeable FROM c")
+def cluster_merge(spark, d):
+    return _clustered(spark, d).groupBy("user_id", "hour").agg(F.count("*").alias("records"), F.bool_and("mergeable").alias("mergeable"))
+
+
+@query(f"""WITH {_CLUSTERS}, r AS (SELECT e.*, hour, CASE WHEN event_type IN ('click', 'view') THEN 10 ELSE 50 END AS pri, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+CASE WHEN mergeable THEN -1 ELSE event_id END AS entity FROM events e JOIN c ON c.user_id = e.user_id AND c.hour = date_trunc('hour', e.ts))
+SELECT user_id, hour, arg_min(event_id, (pri, event_id)) AS fingerprint, arg_min(event_type, (pri, event_id)) AS title,
+arg_min(CASE WHEN k > 50 THEN k END, (pri, event_id)) FILTER (k > 50) AS filled, bool_or(value > 50) AS flag, CAST(count(*) AS INTEGER) AS sources FROM r GROUP BY user_id, hour, entity""")
+def priority_merge(spark, d):
+    r = _clustered(spark, d).withColumns({"filled": F.when(F.col("k") > 50, F.col("k")), "flag": F.col("value") > 50, "fingerprint": F.col("event_id"), "title": F.col("event_type")})
+    m = normalize.merge_records(r, ["user_id", "hour"], ["priority", "event_id"], ["fingerprint", "title"], ["filled"], ["flag"])
+    return m.withColumn("sources", F.size("sources"))
+
+
+@query("""SELECT user_id, count(*) AS total, count(*) FILTER (value > 60) AS skipped, count(*) >= 4 AND count(*) FILTER (value > 60) * 3 > count(*) AS failed FROM events GROUP BY user_id""")
+def skip_breaker(spark, d):
+    return normalize.skip_breaker(table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("value") > 60).alias("skipped")))
+
+
+def _runs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The state after a run over early events, by user and day, and what a run over the later ones of the same fingerprints brings."""
+    e = _gated(spark, d).withColumn("fingerprint", F.concat_ws(":", "event_type", F.pmod("event_id", F.lit(997))))
+    pick = lambda e: e.groupBy("fingerprint").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("title"), F.max("ts").alias("start"), F.max_by("status", F.struct("ts", "event_id")).alias("status")).withColumn("sources", F.array("fingerprint"))
+    first = pick(e.filter(F.col("ts") < ntz(SPLIT))).withColumns({"first_seen": ntz(SPLIT), "last_seen": ntz(SPLIT)})
+    return first, pick(e.filter((F.col("ts") >= ntz(SPLIT)) & (F.col("event_id") % 2 == 0)))
+
+
+_RUNS = f"""g AS (SELECT *, event_type || ':' || (event_id % 997) AS fingerprint FROM ({_GATED})),
+one AS (SELECT fingerprint, arg_max(event_id, (ts, event_id)) AS title, max(ts) AS start, arg_max(status, (ts, event_id)) AS status FROM g WHERE ts < TIMESTAMP '{SPLIT}' GROUP BY 1),
+two AS (SELECT fingerprint, arg_max(event_id, (ts, event_id)) AS title, max(ts) AS start, arg_max(status, (ts, event_id)) AS status FROM g WHERE ts >= TIMESTAMP '{SPLIT}' AND event_id % 2 = 0 GROUP BY 1)"""
+
+
+@query(f"""WITH {_RUNS} SELECT fingerprint, CASE WHEN two.title IS NULL THEN one.title ELSE two.title END AS title, coalesce(two.start, one.start) AS start, coalesce(two.status, one.status) AS status,
+CASE WHEN one.title IS NULL THEN TIMESTAMP '{RUN2}' ELSE TIMESTAMP '{SPLIT}' END AS first_seen, CASE WHEN two.title IS NULL THEN TIMESTAMP '{SPLIT}' ELSE TIMESTAMP '{RUN2}' END AS last_seen
+FROM one FULL JOIN two USING (fingerprint)""")
+def upsert_two_runs(spark, d):
+    return store.upsert(*_runs(spark, d), ntz(RUN2)).drop("sources")
+
+
+@query(f"""WITH {_RUNS} SELECT count(*) FILTER (one.title IS NULL) AS inserted, count(*) FILTER (one.title IS NOT NULL) AS updated, CAST(0 AS BIGINT) AS merged FROM two LEFT JOIN one USING (fingerprint)""")
+def save_counts(spark, d):
+    return store.save_counts(*_runs(spark, d))
+
+
+@query("""WITH old AS (SELECT event_id AS fp, ts AS first_seen, event_id // 3 AS k FROM events WHERE event_id < 6000)
+SELECT k, arg_min(fp, (first_seen, fp)) AS survivor, count(*) AS matched FROM old GROUP BY k""")
+def row_merge(spark, d):
+    e = table(spark, d, "events").filter("event_id < 6000")
+    old = e.select(F.col("event_id").alias("fingerprint"), F.col("ts").alias("first_seen"), F.array("event_id").alias("sources"))
+    new = e.groupBy(F.expr("event_id div 3").alias("fingerprint")).agg(F.collect_list("event_id").alias("sources"))
+    new = new.withColumns({"k": F.col("fingerprint"), "fingerprint": -F.col("fingerprint") - 1})
+    return store.claims(old, new).select((-F.col("new_fp") - 1).alias("k"), "survivor", "matched")
+
+
+@query("""SELECT coalesce(s.name, n.name) AS name, coalesce(nullif(s.city, ''), nullif(n.city, '')) AS city, coalesce(nullif(s.zip, ''), nullif(n.zip, '')) AS zip
+FROM (SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'C' || s_nationkey END AS city, '' AS zip FROM supplier WHERE s_suppkey <= 80) s
+FULL JOIN (SELECT s_name AS name, 'N' || s_nationkey AS city, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE CAST(s_suppkey AS VARCHAR) END AS zip FROM supplier WHERE s_suppkey > 10) n ON s.name = n.name""")
+def venue_enrich(spark, d):
+    s, key = table(spark, d, "supplier"), F.col("s_suppkey")
+    old = s.filter(key <= 80).select(F.col("s_name").alias("name"), F.when(key % 2 == 0, "").otherwise(F.concat(F.lit("C"), "s_nationkey")).alias("city"), F.lit("").alias("zip"))
+    new = s.filter(key > 10).select(F.col("s_name").alias("name"), F.concat(F.lit("N"), "s_nationkey").alias("city"), F.when(key % 5 == 0, "").otherwise(key.cast("string")).alias("zip"))
+    return store.fill_blanks(old, new, "name", ["city", "zip"])
+
+
+def _schedules(spark, d) -> DataFrame:
+    """Orders as schedules: each starts on its date, at an hour (4 to 23, which no change of clocks repeats) and minute of its key."""
+    clock = F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 20 + 4).cast("int"), (F.col("o_orderkey") % 60).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", (F.col("o_orderdate").cast("timestamp_ntz") + clock).cast("timestamp_ntz").alias("start"))
+
+
+_SCHED = "s AS (SELECT o_orderkey, o_orderdate + to_hours(CAST(o_orderkey % 20 + 4 AS INTEGER)) + to_minutes(CAST(o_orderkey % 60 AS INTEGER)) AS start FROM orders)"
+
+
+@query(f"""WITH {_SCHED}, c AS (SELECT o_orderkey, start, date_trunc('day', start) - to_days(CAST(dayofweek(start) AS INTEGER)) + to_days(CAST(7 * i + d AS INTEGER)) + (start - date_trunc('day', start)) AS occ
+FROM s, range(8) a(i), (VALUES (1), (4)) b(d)) SELECT o_orderkey, occ AS occurs FROM c WHERE occ >= start""")
+def rrule_weekly(spark, d):
+    s = _schedules(spark, d)
+    return s.select("o_orderkey", F.explode(recurrence.weekly(F.col("start"), 1, ["TH", "MO"], 8)).alias("occurs"))
+
+
+_MONTHS = "m AS (SELECT o_orderkey, start, date_trunc('month', start) + to_months(CAST(i AS INTEGER)) AS m FROM s, range(12) a(i))"
+
+
+@query(f"""WITH {_SCHED}, {_MONTHS}, c AS (SELECT o_orderkey, start, m + to_days(CAST((4 - dayofweek(m) + 7) % 7 + 14 AS INTEGER)) + (start - date_trunc('day', start)) AS occ FROM m)
+SELECT o_orderkey, occ AS occurs FROM c WHERE occ >= start""")
+def rrule_monthly_nth(spark, d):
+    s = _schedules(spark, d)
+    return s.select("o_orderkey", F.explode(recurrence.monthly_nth(F.col("start"), 1, "TH", 3, 12)).alias("occurs"))
+
+
+@query(f"""WITH {_SCHED}, {_MONTHS}, c AS (SELECT o_orderkey, start, m + to_days(30) + (start - date_trunc('day', start)) AS occ FROM m WHERE day(last_day(m)) = 31)
+SELECT o_orderkey, occ AS occurs FROM c WHERE occ >= start""")
+def rrule_monthday(spark, d):
+    s = _schedules(spark, d)
+    return s.select("o_orderkey", F.explode(recurrence.monthly_day(F.col("start"), 1, 31, 12)).alias("occurs"))
+
+
+@query(f"""WITH {_SCHED}, c AS (SELECT o_orderkey, start + to_days(CAST(2 * i AS INTEGER)) AS occ, i FROM s, range(10) a(i) WHERE i < 6 AND i <> 2)
+SELECT o_orderkey, 'u' || o_orderkey || '_' || strftime(occ AT TIME ZONE 'America/Chicago' AT TIME ZONE 'UTC', '%Y%m%dT%H%M%SZ') AS upstream_id, occ AT TIME ZONE 'America/Chicago' AT TIME ZONE 'UTC' AS start FROM c""")
+def rrule_count_exdate(spark, d):
+    s = _schedules(spark, d)
+    at = recurrence.bounded(recurrence.daily(F.col("start"), 2, 10), count=6, exdates=F.array((F.col("start") + F.expr("interval 4 days")).cast("timestamp_ntz")))
+    got = recurrence.occurrences(at, F.concat(F.lit("u"), F.col("o_orderkey").cast("string")), dates.ZONE)
+    return s.select("o_orderkey", F.inline(got))
+
+
+@query("""SELECT o_orderkey, o_orderdate AT TIME ZONE 'America/Chicago' AT TIME ZONE 'UTC' AS start, CAST(o_orderdate AT TIME ZONE 'UTC' AT TIME ZONE 'America/Chicago' AS DATE) AS local_day FROM orders""")
+def all_day_chicago(spark, d):
+    o = F.col("o_orderdate").cast("timestamp_ntz")
+    return table(spark, d, "orders").select("o_orderkey", dates.utc(o).alias("start"), dates.local(o).cast("date").alias("local_day"))
+
+
+RULES = ("FREQ=DAILY", "FREQ=YEARLY", "FREQ=WEEKLY;BYDAY=MO,WE", "FREQ=WEEKLY;INTERVAL=2;BYDAY=MO", "FREQ=MONTHLY;BYDAY=3TH", "FREQ=MONTHLY;BYDAY=6TH", "FREQ=DAILY;COUNT=3;UNTIL=20240101", "FREQ=DAILY;BYSETPOS=1", "FREQ=WEEKLY;COUNT=x", "FREQ=MONTHLY;BYDAY=MO;BYMONTHDAY=3")
+REFUSED = (None, "frequency", None, "weekly interval", None, "weekday", "count and until", "part", "number", "monthly by day")
+
+
+@query("SELECT o_orderkey, CASE CAST(o_orderkey % 10 AS INTEGER) " + " ".join(f"WHEN {i} THEN {repr(x) if x else 'NULL'}" for i, x in enumerate(REFUSED)) + " END AS skip_reason FROM orders")
+def rrule_refusals(spark, d):
+    rule = F.get(F.array(*map(F.lit, RULES)), (F.col("o_orderkey") % 10).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", recurrence.refusal(rule).alias("skip_reason"))
+
+
+@query("""SELECT s_suppkey, s_suppkey || ' Main St' AS address, n_name AS city, CASE WHEN s_suppkey % 2 = 0 THEN 'TX' END AS state, CASE WHEN s_suppkey % 3 > 0 THEN CAST(77000 + s_suppkey % 100 AS VARCHAR) END AS zip,
+CASE WHEN s_suppkey % 4 = 0 THEN 'Suite 5' END AS room FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def flat_address(spark, d):
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey")
+    tail = F.concat(k.cast("string"), F.lit(" Main St,  "), "n_name", F.lit(", "), F.when(k % 2 == 0, "TX").otherwise("Texas"), F.lit(" "), F.when(k % 3 > 0, (k % 100 + 77000).cast("string")).otherwise(""), F.lit(", USA"))
+    room = F.concat(F.when(k % 4 == 0, "Suite 5").otherwise("Back"), F.lit(", "), tail)
+    return s.select("s_suppkey", addresses.split_flat_address(tail).alias("a"), addresses.room_segment(room).alias("room")).select("s_suppkey", "a.*", "room")
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(event_id % 3 AS INTEGER) AS venues, CASE event_id % 3 WHEN 0 THEN NULL ELSE event_type END AS venue FROM events""")
+def json_props(spark, d):
+    e = table(spark, d, "events")
+    one = F.concat(F.lit('{"venue": "'), F.col("event_type"), F.lit('"}'))
+    many = F.concat(F.lit("["), one, F.lit(", "), one, F.lit("]"))
+    raw = F.when(F.col("event_id") % 3 == 1, one).when(F.col("event_id") % 3 == 2, many)
+    venues = json_calendar.one_or_many(raw, "venue string")
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.size(venues).alias("venues"), F.get(venues, 0)["venue"].alias("venue"))
+
+
+@query()
+def ics_unfold(spark, d):
+    """Documents rendered as folded calendars and decoded again."""
+    docs = table(spark, d, "documents")
+    line = F.regexp_replace(F.regexp_replace(F.left("text", F.lit(400)), r"[\;,]", " "), r"[\r\n]+", " ")
+    folded = F.regexp_replace(F.concat(F.lit("DESCRIPTION:"), line), "(.{60})", "$1\r\n ")
+    body = F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("doc_id").cast("string")), F.lit("DTSTART;TZID=America/Chicago:20240310T023000"), folded, F.lit("END:VEVENT"), F.lit("END:VCALENDAR"))
+    return ics.decode(docs.select(F.col("doc_id").cast("string").alias("source_key"), body.alias("body")))[0].select("source_key", "upstream_id", "start", "description")
+
+
+@query("SELECT event_type AS group_slug, count(*) AS events FROM events GROUP BY 1")
+def group_chips(spark, d):
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("group_slug")).agg(F.count("*").alias("events")).orderBy(F.desc("events"), "group_slug")
+
+
+_DAYS = "days AS (SELECT CAST(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Chicago' AS DATE) AS day, count(*) AS events FROM events GROUP BY 1)"
+
+
+@query(f"WITH {_DAYS} SELECT day, events, strftime(day, '%A, %B %-d') AS heading FROM days")
+def day_sections(spark, d):
+    return serve.day_sections(table(spark, d, "events"), "ts")
+
+
+@query(f"""WITH {_DAYS}, d AS (SELECT day FROM days WHERE day >= DATE '2024-01-16' AND day <> DATE '2024-01-17'),
+w AS (SELECT 'this week' AS label, min(day) AS day FROM d WHERE date_trunc('week', day) = date_trunc('week', DATE '2024-01-16') UNION ALL
+ SELECT 'next week', min(day) FROM d WHERE date_trunc('week', day) = date_trunc('week', DATE '2024-01-16') + INTERVAL 7 DAY),
+v AS (SELECT * FROM w WHERE day IS NOT NULL), m AS (SELECT strftime(date_trunc('month', day), '%B') AS label, min(day) AS day FROM d GROUP BY date_trunc('month', day))
+SELECT label, day FROM v UNION ALL SELECT label, day FROM m WHERE day NOT IN (SELECT day FROM v)""")
+def jump_targets(spark, d):
+    days = serve.day_sections(table(spark, d, "events"), "ts").filter("day <> DATE '2024-01-17'")
+    return serve.jump_targets(days, F.lit("2024-01-16").cast("date"))
+
+
+@query("""WITH g AS (SELECT c_custkey, 'g-' || c_custkey AS slug, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'Name ' || (c_custkey // 2 * 2 + CASE WHEN c_custkey % 14 = 1 THEN 0 ELSE c_custkey % 2 END) END AS name FROM customer)
+SELECT 'group' AS scope, slug, 'name is required' AS message FROM g WHERE name = ''
+UNION ALL SELECT 'group', min(slug), 'name claimed twice: ' || lower(name) FROM g WHERE name <> '' GROUP BY lower(name) HAVING count(DISTINCT slug) > 1
+UNION ALL SELECT 'group', 'g-' || c_custkey, 'venue does not exist' FROM customer WHERE c_custkey % 7 = 0
+UNION ALL SELECT 'group', 'g-' || c_custkey, 'verified_by needs verified_at' FROM customer WHERE c_custkey % 9 = 0
+UNION ALL SELECT 'source', 'g-' || c_custkey, 'unknown kind' FROM customer WHERE c_custkey % 5 = 0
+UNION ALL SELECT 'source', 'g-' || c_custkey, 'url must be absolute https' FROM customer WHERE c_custkey % 6 = 0""")
+def registry_problems(spark, d):
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    name = F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("Name "), (F.expr("c_custkey div 2") * 2 + F.when(k % 14 == 1, 0).otherwise(k % 2)).cast("string")))
+    slug = F.concat(F.lit("g-"), k.cast("string"))
+    groups = c.select(slug.alias("slug"), name.alias("name"), F.lit(None).cast("array<string>").alias("aliases"), F.when(k % 7 == 0, "nowhere").otherwise("here").alias("venue_slug"), F.when(k % 9 == 0, "someone").alias("verified_by"), F.lit(None).cast("date").alias("verified_at"))
+    venues = spark.createDataFrame([("here", "Here", None)], "slug string, name string, aliases array<string>")
+    sources = c.select(slug.alias("group_slug"), F.when(k % 5 == 0, "rss").otherwise("ics").alias("kind"), F.concat(F.when(k % 6 == 0, "http").otherwise("https"), F.lit("://example.org/"), k.cast("string")).alias("url"))
+    return registry.problems(groups, venues, sources)
+
+
+@query("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL AND toxic IS NULL")
+def unreviewed(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").filter("quality is null and toxic is null").select("doc_id")
+
+
+@query("SELECT doc_id, '\"' || substr(sha256(text), 1, 32) || '\"' AS etag FROM documents")
+def etag(spark, d):
+    return table(spark, d, "documents").select("doc_id", urls.etag(F.col("text")).alias("etag"))
+
+
+@query("""WITH u AS (SELECT user_id, count(*) AS n, count(*) FILTER (value > 60) AS skipped FROM events GROUP BY user_id), f AS (SELECT *, n >= 4 AND skipped * 3 > n AS failed FROM u)
+SELECT count(*) AS sources, count(*) FILTER (NOT failed) AS ok, CAST(sum(CASE WHEN failed THEN 0 ELSE n - skipped END) AS BIGINT) AS events, CAST(sum(skipped) AS BIGINT) AS skipped, count(*) FILTER (NOT failed) = 0 AS run_failed FROM f""")
+def run_summary(spark, d):
+    f = skip_breaker(spark, d)
+    ok = ~F.col("failed")
+    return f.agg(F.count("*").alias("sources"), F.count_if(ok).alias("ok"), F.sum(F.when(ok, F.col("total") - F.col("skipped")).otherwise(0)).alias("events"), F.sum("skipped").alias("skipped"), (F.count_if(ok) == 0).alias("run_failed"))
+
+
+__all__ = ["ORACLE", "QUERIES"]
