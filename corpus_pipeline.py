@@ -17,7 +17,7 @@ from feedloom.llm.shared import stored, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go; null and empty texts stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("score < 0.5").select(*docs.columns)
+    return toxicity.score(docs, model, ("_score", "_offending")).filter("_score < 0.5").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

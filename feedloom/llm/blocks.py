@@ -24,10 +24,14 @@ PACK = "bucket int, block int, keys binary, many binary"
 ANSWER = "block int, keys binary"
 
 
+#: Blocks at least, so that small inputs use all cores as well.
+FEWEST = 64
+
+
 def n_blocks(docs: DataFrame) -> int:
-    """Blocks of 4 MB of input at least and 64 MB at most, growing with the root of the input; never fewer than 64."""
+    """Blocks of 4 MB of input at least and 64 MB at most, growing with the root of the input; never fewer than FEWEST."""
     size = input_bytes(docs)
-    return max(64, math.ceil(size / min(64 << 20, max(4 << 20, math.isqrt(size << 14)))))
+    return max(FEWEST, math.ceil(size / min(64 << 20, max(4 << 20, math.isqrt(size << 14)))))
 
 
 def dealt(docs: DataFrame, n: int) -> DataFrame:

@@ -32,6 +32,7 @@ LEAST_CONTEXT, LEAST_NEXT = 3, 2
 HELD_OUT = (7, 2)
 END = U(0xE0DE0DE0DE0DE0DE)
 LOW = (1 << 40) - 1
+SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_context long"
 MAIL = "block int, bucket int, kind int, data binary, own binary, n long, v long"
 KINDS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()), ("own", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
 
@@ -219,6 +220,8 @@ def scored(docs: DataFrame, held: tuple[int, int] = HELD_OUT) -> DataFrame:
     empty texts are one end; repeated rows count and are scored each; other
     columns are not read.
     """
+    if docs.isEmpty():
+        return docs.sparkSession.createDataFrame([], SCORES)
     n = B.n_blocks(docs)
     train = crc_mod("doc_id", held[0]) != held[1]
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
@@ -316,7 +319,7 @@ def scored(docs: DataFrame, held: tuple[int, int] = HELD_OUT) -> DataFrame:
     g2 = deal(by(dealt).cogroup(by(mail)).applyInArrow(found, pack))
     for level, packed, gain in ((1, p1, p3), (2, p2, g2)):
         mail = mail.unionByName(post(at(packed).cogroup(at(gain)).applyInArrow(_kept(level == 1, 3 + level), MAIL)))
-    return by(dealt).cogroup(by(mail)).applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_context long")
+    return by(dealt).cogroup(by(mail)).applyInArrow(finish, SCORES)
 
 
 def op4_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,8 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     return train(got["text"], got["y"].to_numpy())
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """``docs`` with score, and offending: the byte ranges and probabilities of toxic sentences.  Null and empty texts score alike."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], names: tuple[str, str] = ("score", "offending")) -> DataFrame:
+    """``docs`` with score, and offending (or other ``names`` that are not taken): the byte ranges and probabilities of toxic sentences.  Null and empty texts score alike."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     keep = docs.columns
 
@@ -144,11 +144,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 found += per
             p = np.concatenate(p) if p else np.zeros(0)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(found, kind)], [*keep, "score", "offending"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(found, kind)], [*keep, *names])
 
     from pyspark.sql.types import StructType
 
-    made = StructType.fromDDL("score double, offending array<struct<start: long, end: long, p: double>>")
+    made = StructType.fromDDL(f"{names[0]} double, {names[1]} array<struct<start: long, end: long, p: double>>")
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *made.fields]))
 
 
