@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import input_bytes
+from .shared import input_bytes, stored
 
 U = np.uint64
 PACK = "bucket int, block int, keys binary, many binary"
@@ -34,6 +34,19 @@ def n_blocks(docs: DataFrame) -> int:
     return max(FEWEST, math.ceil(size / min(64 << 20, max(4 << 20, math.isqrt(size << 14)))))
 
 
+def replayable(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is a plain scan of files, whose exchanges Spark recognizes and reuses; else doc_id and text, written once.
+
+    Several steps read the documents; without reuse each would compute all that comes before it again.
+    """
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.getClass().getSimpleName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() in ("LogicalRelation", "DataSourceV2ScanRelation"):
+        return docs
+    return stored(docs.select("doc_id", "text"), "documents")
+
+
 def dealt(docs: DataFrame, n: int) -> DataFrame:
     """doc_id and text with their block; rows with a null or repeated id spread by their text."""
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")

@@ -203,6 +203,7 @@ def remove_repeated_bytes(docs: DataFrame, text: bool = True) -> DataFrame:
     empty texts have no bytes; rows with equal or null ids each keep a row; other
     columns are not read.
     """
+    docs = B.replayable(docs)
     n = B.n_blocks(docs)
     dealt = B.dealt(docs, n)
 

@@ -220,6 +220,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     ``words`` words have one; equal texts are linked; rows with equal ids are
     judged by their texts; other columns are not read.
     """
+    docs = B.replayable(docs)
     n = B.n_blocks(docs)
     rows = stored(classes(docs, words, n), "shingle-classes")
     full = rows.filter("n > 0")

@@ -65,6 +65,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: bool = True) ->
     """
     if window < PERIOD:
         raise ValueError(f"window must be {PERIOD} words at least")
+    docs = B.replayable(docs)
     n = B.n_blocks(docs)
     dealt = B.dealt(docs, n)
 

@@ -222,6 +222,7 @@ def scored(docs: DataFrame, held: tuple[int, int] = HELD_OUT) -> DataFrame:
     """
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], SCORES)
+    docs = B.replayable(docs)
     n = B.n_blocks(docs)
     train = crc_mod("doc_id", held[0]) != held[1]
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
