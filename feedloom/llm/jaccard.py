@@ -5,7 +5,10 @@ are ordered by rarity.  A partner of a set of n shares ceil(0.85 n) of its
 shingles at least, so it is in one of the n - ceil(0.85 n) + 1 rarest lists: those
 are merged by a heap, and the longer ones only probed by binary search.  Sets that
 share no rare shingle with others drop out; the rest fall into groups within which
-the search runs, and a group too large for a task is searched by pairs of parts.
+the search runs.  A large group is dealt into parts.  Each part is searched with a
+few members of the whole group, so that a crowd of near copies becomes one
+component at once; then only what lies outside its largest component meets the
+other parts.  Every pair of different components is still compared.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from .shared import stored, table
 from .textops import LOWER, Prefix, U, Words, buffers, mix, pieces
 
 WORDS, PERCENT = 4, 85
-#: Shingles of one search: groups with more are searched by pairs of parts.
-MOST = 2_000_000
+#: Shingles of a part: the root of LEAST times the group's, within these bounds.
+LEAST, MOST = 1 << 17, 1 << 21
+#: Members of a large group that all its parts see.
+PIVOTS = 16
 
 
 class Sets:
@@ -68,14 +73,17 @@ def need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def links(ids: list, sets: list[np.ndarray], prefix: list[np.ndarray], percent: int = PERCENT) -> list[int]:
+def links(label: list, host: list[bool], sets: list[np.ndarray], prefix: list[np.ndarray], percent: int = PERCENT) -> list[int]:
     """Components among some sets: the least place that each reaches.
 
-    ``sets`` are sorted; ``prefix`` has the rarest shingles of each.  Places that
-    are in one component already are not compared again: no link between
-    components is missed, and a large group of near copies costs little.
+    ``sets`` are sorted; ``prefix`` has the rarest shingles of each.  Equal labels
+    are in one component from the start.  Places that are in one component already
+    are not compared again: no link between components is missed, and a large
+    group of near copies costs little.  Two places that are not hosts are left to
+    another search.
     """
-    root = list(range(len(ids)))
+    first: dict = {}
+    root = [first.setdefault(x, i) for i, x in enumerate(label)]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -85,11 +93,13 @@ def links(ids: list, sets: list[np.ndarray], prefix: list[np.ndarray], percent:
 
     lists: dict[int, list[int]] = {}
     only: dict[int, int] = {}  # a list's component, if it has one only
-    for q in sorted(range(len(ids)), key=lambda i: (len(sets[i]), i)):
+    for q in sorted(range(len(sets)), key=lambda i: (len(sets[i]), i)):
         n, mine, tokens = len(sets[q]), sets[q], prefix[q].tolist()
         low = need(n, percent)
 
-        def joins(d: int, n=n, mine=mine) -> bool:
+        def joins(d: int, n=n, mine=mine, q=q) -> bool:
+            if not (host[d] or host[q]):
+                return False
             other = sets[d]
             t = -(-percent * (n + len(other)) // (100 + percent))
             if min(n, len(other)) < t:
@@ -130,7 +140,7 @@ def links(ids: list, sets: list[np.ndarray], prefix: list[np.ndarray], percent:
             for t in tokens:
                 if only[t] < 0 and len({find(d) for d in lists[t]}) == 1:
                     only[t] = q
-    return [find(i) for i in range(len(ids))]
+    return [find(i) for i in range(len(sets))]
 
 
 def _u64(x) -> np.ndarray:
@@ -212,6 +222,46 @@ def candidates(docs: DataFrame, reps: DataFrame, words: int, percent: int, n: in
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(pick, "sig binary, n long, prefix binary, shingles binary")
 
 
+def searched(cand: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """(u, v): a representative and one of its component, the same for all; ``near`` has the group (root) of each node."""
+
+    def search(t: pa.Table) -> pa.Table:
+        t = t.sort_by("sig")
+        sig = t["sig"].to_pylist()
+        got = links(t["label"].to_pylist(), t["host"].to_pylist(), [_u64(x.as_buffer()) for x in t["shingles"]], [_u64(x.as_buffer()) for x in t["prefix"]], percent)
+        return pa.table({"u": pa.array(sig, pa.binary()), "v": pa.array([sig[i] for i in got], pa.binary())})
+
+    def run(rows: DataFrame) -> DataFrame:
+        # A column of its own for the task: the parts of a group must not stay where the group's other rows are.
+        rows = rows.withColumn("task", F.xxhash64("root", "a", "b")).select("task", "root", "a", "b", "sig", "label", "host")
+        rows = rows.join(cand.select("sig", "prefix", "shingles"), "sig")
+        return rows.groupBy("task", "root", "a", "b").applyInArrow(search, "u binary, v binary")
+
+    size = f"least({MOST}, greatest(sqrt(s * {LEAST}D), {LEAST}))"
+    sized = near.join(cand.select(F.col("sig").alias("node"), "n"), "node").select(F.col("node").alias("sig"), "root", "n")
+    large = sized.groupBy("root").agg(F.sum("n").alias("s")).withColumn("k", F.expr(f"cast(ceil(s / {size}) AS int)")).filter("k > 1")
+    member = sized.join(large, "root", "left").withColumn("a", F.coalesce(F.pmod(F.xxhash64("sig"), F.col("k")), F.lit(0)).cast("int"))
+    member = stored(member.withColumn("b", F.lit(0)), "members")
+    own = (F.col("sig").alias("label"), F.lit(True).alias("host"))
+    # Signatures are hashes: the least of some are a fair choice, and the same one in a repeated run.
+    pivot = member.filter("k > 1").groupBy("root", F.pmod(F.xxhash64("sig", F.lit(1)), F.lit(PIVOTS))).agg(F.min(F.struct("sig", "a", "k")).alias("p"))
+    pivot = pivot.select("root", "p.sig", F.explode(F.expr("filter(sequence(0, p.k - 1), x -> x <> p.a)")).alias("a"), F.lit(0).alias("b"))
+    out = run(member.select("root", "a", "b", "sig").unionByName(pivot).select("*", *own))
+    if not member.filter("k > 1").limit(1).count():
+        return out
+    out = stored(out, "part-links")
+    found = components(out).select(F.col("node").alias("sig"), F.col("root").alias("label"))
+    rows = member.filter("k > 1").join(found, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    rows = stored(rows, "part-members")
+    crowd = rows.groupBy("root", "label").agg(F.sum("n").alias("m")).groupBy("root").agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("s"))
+    crowd = crowd.select("root", F.col("most.label").alias("crowd"), F.expr(f"cast(ceil((s - most.m) / {size}) AS int)").alias("g")).filter("g > 0")
+    rows = rows.join(crowd, "root").withColumn("guest", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("g")).cast("int"))
+    hosts = "transform(sequence(0, g - 1), x -> struct(a AS a, x AS b, true AS host))"
+    guests = "filter(transform(sequence(0, k - 1), x -> struct(x AS a, guest AS b, false AS host)), x -> x.a <> a AND label <> crowd)"
+    rows = rows.select("root", "sig", "label", F.explode(F.expr(f"concat({hosts}, {guests})")).alias("x")).select("root", "sig", "label", "x.a", "x.b", "x.host")
+    return components(out.unionByName(run(rows))).select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Components of the documents whose shingle sets have 100 * intersection >= percent * union.
 
@@ -236,23 +286,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     post = cand.select("sig", "prefix").mapInArrow(tokens, "sig binary, token long")
     head = post.groupBy("token").agg(F.min("sig").alias("v"), F.count("*").alias("c")).filter("c > 1").drop("c")
     near = components(post.join(head, "token").select(F.col("sig").alias("u"), "v"))
-    grouped = cand.join(near, cand.sig == near.node).drop("node")
-    parts = near.join(cand.select("sig", "n"), F.col("node") == F.col("sig")).groupBy("root").agg(F.ceil(F.sum("n") / F.lit(MOST)).cast("int").alias("k"))
-    split = parts.filter("k > 1").limit(1).count() > 0
-    grouped = grouped.join(parts, "root")
-    part = F.pmod(F.xxhash64("sig"), F.col("k")).cast("int")
-    pairs = F.expr("transform(sequence(0, k - 1), j -> struct(least(c, j) AS a, greatest(c, j) AS b))")
-    grouped = grouped.withColumn("c", part).withColumn("p", F.explode(pairs)).select("root", "p.a", "p.b", "sig", "prefix", "shingles")
-
-    def search(t: pa.Table) -> pa.Table:
-        t = t.sort_by("sig")
-        sig = t["sig"].to_pylist()
-        got = links(sig, [_u64(x.as_buffer()) for x in t["shingles"]], [_u64(x.as_buffer()) for x in t["prefix"]], percent)
-        return pa.table({"u": pa.array(sig, pa.binary()), "v": pa.array([sig[i] for i in got], pa.binary())})
-
-    linked = grouped.groupBy("root", "a", "b").applyInArrow(search, "u binary, v binary")
-    if split:
-        linked = components(linked).select(F.col("node").alias("u"), F.col("root").alias("v"))
+    linked = searched(cand, near, percent)
     whole = own.join(linked, own.sig == linked.u, "left").select("sig", "first_id", F.coalesce("v", "sig").alias("v"))
     least = whole.groupBy("v").agg(F.min("first_id").alias("component_id"))
     whole = whole.join(least, "v").select("sig", "component_id")

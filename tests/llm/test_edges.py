@@ -200,6 +200,10 @@ def test_near_copies_in_large_groups(spark, monkeypatch, limit):
         w = list(base)
         w[k * 3 % 120] = f"new{k}"
         rows.append((k, " ".join(w)))
+    walk = list(base)
+    for k in range(30):
+        walk[(k * 2 + 1) % 120] = f"walk{k}"
+        rows.append((50 + k, " ".join(walk)))
     rows += [(100 + k, prose(200 + k, 90)) for k in range(10)] + [(200, " ".join(base[:60]) + " " + prose(300, 60))]
     got = {r.doc_id: r.component_id for r in jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     sets = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in rows}
