@@ -14,7 +14,8 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
         e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Written, so that both sides of the join are plain exchanges: only then does Spark split a hub's rows.
+    least = stored(e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     near = e.join(least, "u")
     if large:
         near = near.filter("v > u")
