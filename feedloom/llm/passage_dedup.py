@@ -107,3 +107,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: bool = True) ->
 def op1_passage_dedup(spark, sf_dir: str) -> DataFrame:
     """Digest columns of :func:`remove_repeats` with windows of 35 words over all ``documents``."""
     return remove_repeats(table(spark, sf_dir, "documents"), text=False).drop("kept")
+
+
+#: The same rows by grouping all windows.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+g AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM p),
+twice AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+bad AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM g JOIN twice USING (h)),
+word AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+marked AS (SELECT r, k, word, bad.k IS NOT NULL AS gone FROM word LEFT JOIN bad USING (r, k)),
+edge AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY r ORDER BY k) AS opens FROM marked),
+s AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(word, ' ' ORDER BY k) FILTER (NOT gone) AS kept FROM edge GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans
+FROM d LEFT JOIN s USING (r)
+"""
