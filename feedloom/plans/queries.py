@@ -269,6 +269,21 @@ def rrule_count_exdate(spark, d):
     return s.select("o_orderkey", F.inline(got))
 
 
+EXPANDED = ("FREQ=DAILY;INTERVAL=2", "FREQ=MONTHLY;BYDAY=-1FR", "FREQ=WEEKLY;BYDAY=TH,MO;UNTIL=19980215")
+
+
+@query(f"""WITH {_SCHED}, d AS (SELECT CAST(unnest(generate_series(DATE '1997-12-31', DATE '1998-03-02', INTERVAL 1 DAY)) AS DATE) AS d),
+c AS (SELECT o_orderkey, d + (start - date_trunc('day', start)) AS occ, start FROM s, d WHERE CASE o_orderkey % 3 WHEN 0 THEN date_diff('day', CAST(start AS DATE), d) % 2 = 0
+ WHEN 1 THEN dayofweek(d) = 5 AND month(d) <> month(d + 7) ELSE dayofweek(d) IN (1, 4) AND d <= DATE '1998-02-15' END),
+u AS (SELECT o_orderkey, occ AT TIME ZONE 'America/Chicago' AT TIME ZONE 'UTC' AS start FROM c WHERE occ >= start)
+SELECT o_orderkey, 'u_' || strftime(start, '%Y%m%dT%H%M%SZ') AS upstream_id, start FROM u WHERE start BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-03-01'""")
+def rrule_expand(spark, d):
+    """Rules as text, a different one on each row, within a window."""
+    s = _schedules(spark, d).withColumns({"source_key": F.lit("k"), "upstream_id": F.lit("u"), "start": dates.utc(F.col("start")), "end": F.lit(None).cast("timestamp_ntz"), "zone": F.lit(dates.ZONE)})
+    s = s.withColumns({"rrule": F.get(F.array(*map(F.lit, EXPANDED)), (F.col("o_orderkey") % 3).cast("int")), "exdates": F.lit(None).cast("array<timestamp_ntz>")})
+    return recurrence.expand(s, ntz("1998-01-01"), ntz("1998-03-01"))[0].select("o_orderkey", "upstream_id", "start")
+
+
 @query("""SELECT o_orderkey, o_orderdate AT TIME ZONE 'America/Chicago' AT TIME ZONE 'UTC' AS start, CAST(o_orderdate AT TIME ZONE 'UTC' AT TIME ZONE 'America/Chicago' AS DATE) AS local_day FROM orders""")
 def all_day_chicago(spark, d):
     o = F.col("o_orderdate").cast("timestamp_ntz")

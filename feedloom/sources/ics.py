@@ -63,11 +63,14 @@ def decode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     zones = F.broadcast(spark.createDataFrame([(z,) for z in sorted(available_timezones())], "zone string"))  # a fixed list
     p = p.join(zones, F.col("tzid") == F.col("zone"), "left").withColumn("value", F.trim("value"))
     p = p.withColumn("at", instants(F.col("value"), F.col("tzid"), F.col("is_date"), F.col("zone")))
+    wall = F.col("tzid").isNull() | F.col("is_date") | F.length("value").eqNullSafe(8)
+    p = p.withColumn("written_in", F.when(F.col("value").endswith("Z"), "UTC").when(wall, ZONE).otherwise(F.col("zone")))
+    p = p.withColumn("ats", F.when(F.col("name") == "EXDATE", F.transform(F.filter(F.split("value", ","), lambda v: F.trim(v) != ""), lambda v: instants(F.trim(v), F.col("tzid"), F.col("is_date"), F.col("zone")))))
     last = lambda name, what="value": F.max_by(what, F.when(F.col("name") == name, F.col("pos")))
     e = p.groupBy("source_key", "event").agg(
         last("UID").alias("upstream_id"), unescape(last("SUMMARY")).alias("title"), unescape(last("DESCRIPTION")).alias("description"), unescape(last("LOCATION")).alias("location"),
         last("URL").alias("url"), last("STATUS").alias("status"), last("RRULE").alias("rrule"), last("DTSTART").alias("raw_start"), last("DTSTART", "at").alias("start"), last("DTSTART", "is_date").alias("all_day"),
-        last("DTEND").alias("raw_end"), last("DTEND", "at").alias("end"), (last("CONFERENCE").isNotNull()).alias("virtual"), F.collect_list(F.when(F.col("name") == "EXDATE", F.col("at"))).alias("exdates"),
+        last("DTEND").alias("raw_end"), last("DTEND", "at").alias("end"), (last("CONFERENCE").isNotNull()).alias("virtual"), F.flatten(F.collect_list("ats")).alias("exdates"), last("DTSTART", "written_in").alias("zone"),
     )
     reason = (
         F.when(F.coalesce(F.col("upstream_id"), F.lit("")) == "", "no UID").when(F.col("raw_start").isNull(), "no DTSTART")

@@ -125,6 +125,36 @@ def test_recurrence(spark):
     assert [o.upstream_id for o in utc] == ["u_20261030T010000Z", "u_20261106T020000Z"]
 
 
+RULES = [
+    ("2026-03-06 02:30", "FREQ=DAILY;COUNT=3", [306, 307, 308]), ("2026-03-05 19:00", "FREQ=WEEKLY;UNTIL=20260312", [305, 312]), ("2026-03-05 19:00", "FREQ=WEEKLY;UNTIL=20260312T235959Z", [305]),
+    ("2026-03-04 19:00", "FREQ=WEEKLY;BYDAY=WE,MO;COUNT=3", [304, 309, 311]), ("2026-03-01 19:00", "FREQ=MONTHLY;BYDAY=3TH;UNTIL=20260430", [319, 416]), ("2026-01-30 19:00", "FREQ=MONTHLY;BYDAY=-1FR", [327, 424]),
+    ("2026-01-31 19:00", "FREQ=MONTHLY", [331]), ("2026-03-01 19:00", "FREQ=MONTHLY;BYMONTHDAY=-1,1,31", [301, 331, 401, 430]), ("1990-03-01 19:00", "FREQ=DAILY;INTERVAL=4;UNTIL=20260305", [304]),
+    ("2026-02-01 19:00", "FREQ=DAILY;COUNT=29", [301]), ("2026-03-01 19:00", None, [301]), ("2026-05-01 19:00", None, []), ("2026-05-02 19:00", "FREQ=DAILY", []),
+]
+
+
+def test_expand_rules(spark):
+    """Occurrences in March and April in a zone whose clocks change on 8 March."""
+    ntz = lambda c: c.cast("timestamp_ntz")
+    df = spark.createDataFrame([(str(i), a, b) for i, (a, b, _) in enumerate(RULES)], "source_key string, wall string, rrule string")
+    df = df.select("source_key", F.lit("u").alias("upstream_id"), F.convert_timezone(F.lit("America/Chicago"), F.lit("UTC"), ntz(F.col("wall"))).alias("start"), ntz(F.lit(None)).alias("end"), "rrule", F.lit(None).cast("array<timestamp_ntz>").alias("exdates"), F.lit("America/Chicago").alias("zone"))
+    good, skips = recurrence.expand(df, ntz(F.lit("2026-03-01 06:00")), ntz(F.lit("2026-05-01 05:00")))
+    got = good.select("source_key", F.convert_timezone(F.lit("UTC"), F.lit("America/Chicago"), "start").alias("t"), "upstream_id").orderBy("t").collect()
+    assert skips.count() == 0 and all((r.upstream_id == "u") == (RULES[int(r.source_key)][1] is None) for r in got)
+    for i, (start, rule, days) in enumerate(RULES):
+        assert [r.t.month * 100 + r.t.day for r in got if r.source_key == str(i)] == days, (start, rule)
+
+
+def test_decoded_rules_expand(spark):
+    body = "\r\n".join(["BEGIN:VCALENDAR", "BEGIN:VEVENT", "UID:1", "DTSTART;TZID=America/Chicago:20261029T190000", "DTEND;TZID=America/Chicago:20261029T210000", "RRULE:FREQ=WEEKLY;COUNT=4", "EXDATE;TZID=America/Chicago:20261112T190000,20261105T190000", "END:VEVENT",
+                         "BEGIN:VEVENT", "UID:2", "DTSTART:20261029T190000Z", "RRULE:FREQ=YEARLY", "END:VEVENT", "BEGIN:VEVENT", "UID:3", "DTSTART:20261029T190000Z", "END:VEVENT", "BEGIN:VEVENT", "UID:4", "DTSTART:20261029T190000Z", "RRULE:FREQ=DAILY", "EXDATE:,soon", "END:VEVENT", "END:VCALENDAR"])
+    good, _ = ics.decode(spark.createDataFrame([("k", body)], "source_key string, body string"))
+    out, skips = recurrence.expand(good, F.lit("2026-10-01").cast("timestamp_ntz"), F.lit("2026-12-01").cast("timestamp_ntz"))
+    got = {r.upstream_id: (r.start, r.end) for r in out.collect()}
+    assert got == {"1_20261030T000000Z": (T(2026, 10, 30, 0), T(2026, 10, 30, 2)), "1_20261120T010000Z": (T(2026, 11, 20, 1), T(2026, 11, 20, 3)), "3": (T(2026, 10, 29, 19), None)}
+    assert sorted((r.ref, r.reason) for r in skips.collect()) == [("2", "rule refused (frequency): FREQ=YEARLY"), ("4", "rule refused (excluded date): FREQ=DAILY")]
+
+
 def test_calendar_decoder(spark):
     body = "\r\n".join(["BEGIN:VCALENDAR", "BEGIN:VTIMEZONE", "DTSTART:19700101T000000", "END:VTIMEZONE", "BEGIN:VEVENT", "UID:1", "SUMMARY:A\\, b\\n\\\\n", "  c", "DTSTART;TZID=America/Chicago:20260701T190000", "ATTENDEE:mailto:x@example.org",
                          "BEGIN:VALARM", "DESCRIPTION:alarm", "END:VALARM", "END:VEVENT", "BEGIN:VEVENT", "UID:2", "DTSTART;VALUE=DATE:20260702", "END:VEVENT", "BEGIN:VEVENT", "UID:3", "DTSTART;TZID=Mars/Base:20260701T190000", "END:VEVENT",
