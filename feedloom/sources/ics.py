@@ -25,7 +25,7 @@ def unescape(c: Column) -> Column:
 
 
 def properties(docs: DataFrame) -> DataFrame:
-    """(source_key, event, pos, name, tzid, is_date, value) of each event's own properties, nested components left out.
+    """(source_key, event, pos, name, tzid, is_date, value) of each event's own properties and its END, nested components left out.
 
     One row a line; a document's lines are numbered within it, so windows are by document.
     """
@@ -41,7 +41,8 @@ def properties(docs: DataFrame) -> DataFrame:
     other = (F.col("name") == "BEGIN") & (F.upper(F.trim("value")) != "VEVENT") & (F.col("depth") == 2)
     lines = lines.withColumn("event", F.sum(opens.cast("int")).over(by))
     inside = F.last(F.when(opens, True).when(other | (F.col("depth") == 1), False), ignorenulls=True).over(by)
-    lines = lines.withColumn("inside", inside).filter(F.col("inside") & (F.col("depth") == 2) & F.col("name").isin(*KEPT))
+    closes = F.col("event").isNotNull() & (F.col("name") == "END") & (F.upper(F.trim("value")) == "VEVENT") & (F.col("depth") == 1)
+    lines = lines.withColumn("inside", inside).filter((F.col("inside") & (F.col("depth") == 2) & F.col("name").isin(*KEPT)) | closes)
     quoted = lambda k: F.nullif(F.regexp_extract("head", rf'(?i);{k}="?([^";]*)"?', 1), F.lit(""))
     return lines.select("source_key", "event", "pos", "name", quoted("TZID").alias("tzid"), (F.upper(F.coalesce(quoted("VALUE"), F.lit(""))) == "DATE").alias("is_date"), "value")
 
@@ -57,7 +58,7 @@ def instants(value: Column, tzid: Column, is_date: Column, known: Column) -> Col
 
 
 def decode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, skips) of documents with source_key and body.  Cancelled events are dropped before their dates are read."""
+    """(records, skips) of documents with source_key and body.  Cancelled events are dropped before their dates are read; a document that is no calendar is a skip."""
     spark = docs.sparkSession
     p = properties(docs)
     zones = F.broadcast(spark.createDataFrame([(z,) for z in sorted(available_timezones())], "zone string"))  # a fixed list
@@ -70,11 +71,13 @@ def decode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     e = p.groupBy("source_key", "event").agg(
         last("UID").alias("upstream_id"), unescape(last("SUMMARY")).alias("title"), unescape(last("DESCRIPTION")).alias("description"), unescape(last("LOCATION")).alias("location"),
         last("URL").alias("url"), last("STATUS").alias("status"), last("RRULE").alias("rrule"), last("DTSTART").alias("raw_start"), last("DTSTART", "at").alias("start"), last("DTSTART", "is_date").alias("all_day"),
-        last("DTEND").alias("raw_end"), last("DTEND", "at").alias("end"), (last("CONFERENCE").isNotNull()).alias("virtual"), F.flatten(F.collect_list("ats")).alias("exdates"), last("DTSTART", "written_in").alias("zone"),
+        last("DTEND").alias("raw_end"), last("DTEND", "at").alias("end"), (last("CONFERENCE").isNotNull()).alias("virtual"), F.flatten(F.collect_list("ats")).alias("exdates"), last("DTSTART", "written_in").alias("zone"), F.bool_or(F.col("name") == "END").alias("closed"),
     )
     reason = (
-        F.when(F.coalesce(F.col("upstream_id"), F.lit("")) == "", "no UID").when(F.col("raw_start").isNull(), "no DTSTART")
+        F.when(~F.col("closed"), "no END:VEVENT").when(F.coalesce(F.col("upstream_id"), F.lit("")) == "", "no UID").when(F.col("raw_start").isNull(), "no DTSTART")
         .when(F.upper(F.coalesce("status", F.lit(""))) == "CANCELLED", "").when(F.col("start").isNull(), "bad DTSTART").when(F.col("raw_end").isNotNull() & F.col("end").isNull(), "bad DTEND")
     )
     e = e.withColumn("reason", reason)
-    return e.filter("reason is null").drop("reason", "raw_start", "raw_end"), e.filter("reason <> ''").select("source_key", F.coalesce("upstream_id", F.concat(F.lit("event "), F.col("event").cast("string"))).alias("ref"), "reason")
+    skips = e.filter("reason <> ''").select("source_key", F.coalesce("upstream_id", F.concat(F.lit("event "), F.col("event").cast("string"))).alias("ref"), "reason")
+    none = docs.filter(~F.coalesce(F.col("body").rlike(r"(?im)^[ \t]*BEGIN[ \t]*:[ \t]*VCALENDAR[ \t]*\r?$"), F.lit(False))).select("source_key", F.lit("document").alias("ref"), F.lit("no VCALENDAR").alias("reason"))
+    return e.filter("reason is null").drop("reason", "raw_start", "raw_end", "closed"), skips.unionByName(none)

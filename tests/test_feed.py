@@ -166,6 +166,13 @@ def test_calendar_decoder(spark):
     assert sorted(r.reason for r in skips.collect()) == ["bad DTSTART", "no UID"]
 
 
+def test_broken_calendars(spark):
+    cut = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:1\r\nDTSTART:20260701T190000Z\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:2\r\nDTSTART:20260701T190000Z"
+    good, skips = ics.decode(spark.createDataFrame([("cut", cut), ("page", "<html>"), ("none", None)], "source_key string, body string"))
+    assert [r.upstream_id for r in good.collect()] == ["1"]
+    assert sorted((r.source_key, r.ref, r.reason) for r in skips.collect()) == [("cut", "2", "no END:VEVENT"), ("none", "document", "no VCALENDAR"), ("page", "document", "no VCALENDAR")]
+
+
 def test_json_calendar(spark):
     page = {"total": 3, "events": [{"global_id": "1", "utc_start_date": "2026-01-01 10:00:00", "venue": {"venue": "V"}}, {"global_id": "2", "utc_start_date": "2026-01-01 10:00:00", "venue": [{"venue": "A"}, {"venue": "B"}]}, {"utc_start_date": "x"}]}
     good, skips = json_calendar.decode(spark.createDataFrame([("k", json.dumps(page))], "source_key string, body string"))
