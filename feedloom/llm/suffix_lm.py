@@ -10,8 +10,10 @@ suffix of the words before it.
 Counts are summed in buckets (see :mod:`.blocks`): a block sends the distinct
 words, pairs and triples that it holds, with its training counts, and gets the
 totals.  Pairs and triples that cannot pass the test because a part is too rare
-are not sent.  Words are told apart by 64 bits, pairs and triples by 40 besides
-their bucket's.
+are not sent, but scores count them: what ends in a word, or pair, of one training
+occurrence occurs once where that occurrence is, and is sent only if a held-out
+document asks for it.  Words are told apart by 64 bits, pairs and triples by 40
+besides their bucket's.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .shared import crc_mod, table
 from .textops import LOWER, U, Words, buffers, mix, pieces
 
 GAIN = 6.0
-#: Training occurrences that a context, and a token after it, need.
+#: Training occurrences that a context needs, and a token after it to gain anything.
 LEAST_CONTEXT, LEAST_NEXT = 3, 2
 HELD_OUT = (7, 2)
 END = U(0xE0DE0DE0DE0DE0DE)
@@ -55,28 +57,36 @@ class Tokens:
         self.w[self.pos < n[self.doc]] = np.concatenate(parts) if parts else np.zeros(0, U)
         self.train = t["train"].to_numpy().astype(bool)[self.doc] if len(n) else np.zeros(0, bool)
         self.k1, self.i1 = np.unique(self.w, return_inverse=True)
-        self.one = np.bincount(self.i1, self.train, len(self.k1)).astype(np.int64)
+        self.one = self.marked(self.i1, slice(None), len(self.k1))
 
-    def pairs(self, c1: np.ndarray, n: int) -> None:
-        """Places whose pair counts (the word before and this one are frequent enough), and the distinct pairs."""
+    def marked(self, back: np.ndarray, places, size: int) -> np.ndarray:
+        """Training counts of the keys at these places, doubled, and 1 more for those that a held-out document holds."""
+        train = self.train[places]
+        return 2 * np.bincount(back, train, size).astype(np.int64) + (np.bincount(back, ~train, size) > 0)
+
+    def pairs(self, c1: np.ndarray, asked: np.ndarray, n: int) -> None:
+        """Places whose pair counts (the word before and this one are frequent enough, or this one occurs once and is asked for), and the distinct pairs."""
         c = c1[self.i1]
-        self.p2 = np.flatnonzero((self.pos >= 1) & (c >= LEAST_NEXT) & (np.roll(c, 1) >= LEAST_CONTEXT))
+        near = (self.pos >= 1) & (np.roll(c, 1) >= LEAST_CONTEXT)
+        self.p2 = np.flatnonzero(near & ((c >= LEAST_NEXT) | (c == 1) & asked[self.i1]))
+        self.pair = (near & self.train & (c == 1)).astype(np.int64)
         with np.errstate(over="ignore"):
             h = mix(self.w[self.p2 - 1] * U(0xC2B2AE3D27D4EB4F) + self.w[self.p2])
         self.k2, self.i2 = np.unique(short(h, n), return_inverse=True)
-        self.two = np.bincount(self.i2, self.train[self.p2], len(self.k2)).astype(np.int64)
+        self.two = self.marked(self.i2, self.p2, len(self.k2))
         self.h2 = np.zeros(len(self.w), U)
         self.h2[self.p2] = h
 
-    def triples(self, c2: np.ndarray, n: int) -> None:
-        c = np.zeros(len(self.w), np.int64)
-        c[self.p2] = c2[self.i2]
-        self.pair = c
-        self.p3 = np.flatnonzero((self.pos >= 2) & (c >= LEAST_NEXT) & (np.roll(c, 1) >= LEAST_CONTEXT))
+    def triples(self, c2: np.ndarray, asked: np.ndarray, n: int) -> None:
+        c, a = self.pair, np.zeros(len(self.w), bool)
+        c[self.p2], a[self.p2] = c2[self.i2], asked[self.i2]
+        near = (self.pos >= 2) & (np.roll(c, 1) >= LEAST_CONTEXT)
+        self.p3 = np.flatnonzero(near & ((c >= LEAST_NEXT) | (c == 1) & a))
+        self.triple = (near & self.train & (c == 1)).astype(float)
         with np.errstate(over="ignore"):
             h = mix(self.h2[self.p3 - 1] * U(0x165667B19E3779F9) + self.w[self.p3])
         self.k3, self.i3 = np.unique(short(h, n), return_inverse=True)
-        self.three = np.bincount(self.i3, self.train[self.p3], len(self.k3)).astype(np.int64)
+        self.three = self.marked(self.i3, self.p3, len(self.k3))
 
 
 def short(h: np.ndarray, n: int) -> np.ndarray:
@@ -133,7 +143,7 @@ def _send(block: int, keys: np.ndarray, values: np.ndarray, wide: bool, n: int,
 
 
 def _totals(wide: bool, kind: int, n: int):
-    """A bucket's answers: the totals of each block's keys, and which of them the block is the first to hold; for words, N and V to every block."""
+    """A bucket's answers: the totals of each block's keys, marked as they came, and which of them the block is the first to hold; for words, N and V to every block."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.filter(pc.equal(t["level"], 0)).sort_by("block")
@@ -142,12 +152,13 @@ def _totals(wide: bool, kind: int, n: int):
         parts = [_unpack(x.as_buffer(), wide) for x in t["keys"]]
         counts = np.concatenate([_decode(x.as_buffer()) for x in t["many"]])
         keys, first, back = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
-        total = np.bincount(back, counts, len(keys)).astype(np.int64)
+        total = np.bincount(back, counts >> 1, len(keys)).astype(np.int64)
+        marked = 2 * total + (np.bincount(back, counts & 1, len(keys)) > 0)
         own = np.zeros(len(back), bool)
         own[first] = True
         bucket, out, at = t["bucket"][0].as_py(), [], 0
         for block, p in zip(t["block"].to_pylist(), parts, strict=True):
-            out.append((block, bucket, kind, _code(total[back[at : at + len(p)]]), _bits(own[at : at + len(p)]), None, None))
+            out.append((block, bucket, kind, _code(marked[back[at : at + len(p)]]), _bits(own[at : at + len(p)]), None, None))
             at += len(p)
         if wide:
             out += [(b, bucket, 0, None, None, int(total.sum()), int((total > 0).sum())) for b in range(n)]
@@ -164,7 +175,7 @@ def _kept(wide: bool, kind: int):
             return KINDS.empty_table()
         parts = [_unpack(x.as_buffer(), wide) for x in t["keys"]]
         keys, back = np.unique(np.concatenate(parts), return_inverse=True)
-        c = np.bincount(back, np.concatenate([_decode(x.as_buffer()) for x in t["many"]]), len(keys))
+        c = np.bincount(back, np.concatenate([_decode(x.as_buffer()) for x in t["many"]]) >> 1, len(keys))
         g = g.filter(pc.equal(g["level"], kind - 3))
         low = keys & U(LOW)
         order = np.argsort(low)
@@ -195,8 +206,10 @@ class Mail:
         zero = t.filter(pc.equal(t["kind"], 0))
         self.n, self.v = (sum(zero[c].to_pylist()) for c in ("n", "v"))
 
-    def totals(self, kind: int) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.int64), *(_decode(d) for _, d, _ in self.got.get(kind, ()))])
+    def totals(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts, and which keys held-out documents hold."""
+        marked = np.concatenate([np.zeros(0, np.int64), *(_decode(d) for _, d, _ in self.got.get(kind, ()))])
+        return marked >> 1, (marked & 1).astype(bool)
 
     def owned(self, kind: int) -> np.ndarray:
         return np.concatenate([np.zeros(0, bool), *(_flags(o) for _, _, o in self.got.get(kind, ()))])
@@ -234,11 +247,11 @@ def scored(docs: DataFrame, held: tuple[int, int] = HELD_OUT) -> DataFrame:
 
     def ready(t: pa.Table, m: pa.Table, level: int):
         x, mail = Tokens(t), Mail(m)
-        x.c1 = mail.totals(1)
-        x.pairs(x.c1, n)
+        x.c1, asked = mail.totals(1)
+        x.pairs(x.c1, asked, n)
         if level > 1:
-            x.c2 = mail.totals(2)
-            x.triples(x.c2, n)
+            x.c2, asked = mail.totals(2)
+            x.triples(x.c2, asked, n)
         x.p0 = (x.c1 + 1) / (mail.n + mail.v + 1)
         return x, mail
 
@@ -280,7 +293,7 @@ def scored(docs: DataFrame, held: tuple[int, int] = HELD_OUT) -> DataFrame:
             return _send(0, np.zeros(0, U), np.zeros(0, np.int64), False, n)
         x, mail = ready(t, m, 2)
         _, _, _, p1 = states(x)
-        return gains(2, x.p3, x.i3, mail.totals(3), mail.owned(3), p1, np.roll(x.pair, 1), short(np.roll(x.h2, 1), n))
+        return gains(2, x.p3, x.i3, mail.totals(3)[0], mail.owned(3), p1, np.roll(x.pair, 1), short(np.roll(x.h2, 1), n))
 
     def finish(t: pa.Table, m: pa.Table) -> pa.Table:
         names = ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_context")
@@ -289,14 +302,14 @@ def scored(docs: DataFrame, held: tuple[int, int] = HELD_OUT) -> DataFrame:
             return pa.table({k: pa.array([], kind) for k, kind in zip(names, kinds, strict=True)})
         x, mail = ready(t, m, 2)
         p0, u, b, p1 = states(x)
-        c3, kept1, kept2 = mail.totals(3), mail.kept(4), mail.kept(5)
+        c3, kept1, kept2 = mail.totals(3)[0], mail.kept(4), mail.kept(5)
         one = np.roll(kept1[x.i1], 1) & (x.pos >= 1)
         q = np.where(one, p1, p0)
         if len(x.k2):
             at = np.zeros(len(x.w), bool)
             at[x.p2] = kept2[x.i2]
             two = np.roll(at, 1) & (x.pos >= 2)
-            triple = np.zeros(len(x.w))
+            triple = x.triple
             triple[x.p3] = c3[x.i3]
             tu = np.roll(x.pair, 1)
             q = np.where(two, (triple + (1 + tu / 2) * p1) / (tu + 1 + tu / 2), q)
