@@ -50,24 +50,35 @@ def body_of(url: str, transport: Transport) -> str:
     return body.decode("utf-8", "replace")
 
 
-def pages(url: str, now: datetime, transport: Transport) -> Iterator[tuple[str, str]]:
-    """A JSON calendar's pages: the server names the next one, which must be on its own site; 20 at most."""
+def _site(url: str) -> tuple[str, str]:
+    at = urlsplit(url)
+    return at.scheme, at.netloc.lower()
+
+
+def pages(url: str, now: datetime, transport: Transport) -> Iterator[tuple[str, str | None, str | None]]:
+    """A JSON calendar's pages: the server names the next one, which must be on its own site; 20 at most.  What is left out is a row with an error."""
     first, last = window(now)
     at = f"{url}?{urlencode({'start_date': first.date(), 'end_date': last.date(), 'per_page': PER_PAGE, 'status': 'publish', 'page': 1})}"
     for _ in range(PAGES):
         text = body_of(at, transport)
-        yield at, text
+        yield at, text, None
         following = json.loads(text).get("next_rest_url")
         if not following:
             return
-        if urlsplit(following)[:2] != urlsplit(url)[:2]:
-            raise ValueError("next page is on another site")
+        try:
+            own = _site(following) == _site(url)
+        except ValueError as e:
+            yield following, None, str(e)
+            return
+        if not own:
+            yield following, None, "next page is on another site"
+            return
         at = following
-    raise ValueError(f"more than {PAGES} pages")
+    yield at, None, f"more than {PAGES} pages"
 
 
-def crawl(url: str, transport: Transport, pause: Callable[[float], None] = time.sleep) -> Iterator[tuple[str, str, str | None]]:
-    """A chapter's event pages, one after another; a page that fails is a row with its error."""
+def crawl(url: str, transport: Transport, pause: Callable[[float], None] = time.sleep) -> Iterator[tuple[str, str | None, str | None]]:
+    """A chapter's event pages, one after another, 20 at most; a page that fails, and what is left out, is a row with its error."""
     home = body_of(url, transport)
     found = event_links(url, re.findall(r'(?i)<a\b[^>]*?\bhref="([^"]*)"', home))
     if not found:
@@ -79,14 +90,16 @@ def crawl(url: str, transport: Transport, pause: Callable[[float], None] = time.
             yield link, body_of(link, transport), None
         except Exception as e:  # noqa: BLE001  a failed page is data
             yield link, "", str(e)
+    if len(found) > PAGES:
+        yield url, None, f"{len(found)} event links, more than {PAGES}"
 
 
 def fetch_one(source: dict, now: datetime, transport: Transport, pause: Callable[[float], None] = time.sleep) -> list[tuple]:
-    """All rows of one source.  If the source fails as a whole, one row with its error and nothing else."""
+    """All rows of one source.  If the source fails as a whole, one row with its error and nothing else; rows for what was left out come first."""
     url, kind, end = source["url"], source["kind"], window(now)[1]
     try:
         if kind == "tribe":
-            got = [(u, b, None) for u, b in pages(url, now, transport)]
+            got = list(pages(url, now, transport))
         elif kind == "bevy":
             got = list(crawl(url, transport, pause))
         elif kind in ("ics", "html"):
@@ -95,6 +108,7 @@ def fetch_one(source: dict, now: datetime, transport: Transport, pause: Callable
             raise ValueError(f"unknown kind {kind}")
     except Exception as e:  # noqa: BLE001  a failed source is data
         return [(url, url, kind, None, str(e), now, end)]
+    got.sort(key=lambda r: r[1] is not None)
     return [(url, u, kind, b, err, now, end) for u, b, err in got]
 
 
