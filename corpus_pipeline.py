@@ -21,10 +21,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group by 5-word shingles and a similarity of 0.8, the least doc_id stays; rows without an id stay."""
-    groups = stored(jaccard.near_groups(docs, words=5, percent=80), "near-groups")
-    out = docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    again = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    """Of each group by 5-word shingles and a similarity of 0.8, the row of least doc_id stays, one without an id if none has one; equal rows are one."""
+    groups = stored(jaccard.near_groups(docs, words=5, percent=80, keyed=True), "near-groups")
+    gone = groups.filter("key <> head").select(F.col("key").alias("_key")).distinct()
+    out = docs.join(gone, jaccard.row_key() == F.col("_key"), "left_anti").select(*docs.columns)
+    again = groups.filter("key = head").groupBy("key").count().filter("count > 1").limit(1).count()
     return out.dropDuplicates(["doc_id", "text"]) if again else out
 
 

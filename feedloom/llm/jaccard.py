@@ -18,7 +18,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -147,17 +147,23 @@ def _u64(x) -> np.ndarray:
     return np.frombuffer(x, U)
 
 
-def classes(docs: DataFrame, words: int, n: int) -> DataFrame:
-    """(doc_id, n, sig, block) of every row; no text is shuffled for it."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(n)).cast("int").alias("block"))
+def row_key() -> Column:
+    """Tells rows apart whose ids repeat or are null."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def classes(docs: DataFrame, words: int, n: int, keyed: bool = False) -> DataFrame:
+    """(doc_id, n, sig, block) of every row, and its key; no text is shuffled for it."""
+    keys = ["key"] if keyed else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(row_key(), F.lit(n)).cast("int").alias("block"), *(row_key().alias(k) for k in keys))
 
     def run(batches):
         for b in batches:
             for lo, hi in _parts(b.column(1)):
                 s = Sets(b.column(1).slice(lo, hi - lo), words)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(s.n, pa.int64()), pa.array(s.sig, pa.binary()), b.column(2).slice(lo, hi - lo)], ["doc_id", "n", "sig", "block"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(s.n, pa.int64()), pa.array(s.sig, pa.binary()), *(c.slice(lo, hi - lo) for c in b.columns[2:])], ["doc_id", "n", "sig", "block", *keys])
 
-    return rows.mapInArrow(run, "doc_id long, n long, sig binary, block int")
+    return rows.mapInArrow(run, "doc_id long, n long, sig binary, block int" + (", key long" if keyed else ""))
 
 
 def candidates(docs: DataFrame, reps: DataFrame, words: int, percent: int, n: int) -> DataFrame:
@@ -262,19 +268,20 @@ def searched(cand: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     return components(out.unionByName(run(rows))).select(F.col("node").alias("u"), F.col("root").alias("v"))
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, keyed: bool = False) -> DataFrame:
     """Components of the documents whose shingle sets have 100 * intersection >= percent * union.
 
     Returns doc_id, n_shingles and component_id, the least doc_id reachable.
     Null and empty texts have no shingles and are alone; texts of fewer than
     ``words`` words have one; equal texts are linked; rows with equal ids are
-    judged by their texts; other columns are not read.
+    judged by their texts; other columns are not read.  ``keyed`` adds each row's
+    key and head, the key of its component's first row: by doc_id, null ones last.
     """
     docs = B.replayable(docs)
     n = B.n_blocks(docs)
-    rows = stored(classes(docs, words, n), "shingle-classes")
+    rows = stored(classes(docs, words, n, keyed), "shingle-classes")
     full = rows.filter("n > 0")
-    own = full.groupBy("sig").agg(F.min("block").alias("block"), F.min("doc_id").alias("first_id"))
+    own = full.groupBy("sig").agg(F.min("block").alias("block"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key") if keyed else "doc_id").alias("first_id"))
     cand = stored(candidates(docs, stored(own.select("block", "sig"), "class-heads"), words, percent, n), "candidates")
 
     def tokens(batches):
@@ -290,6 +297,9 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     whole = own.join(linked, own.sig == linked.u, "left").select("sig", "first_id", F.coalesce("v", "sig").alias("v"))
     least = whole.groupBy("v").agg(F.min("first_id").alias("component_id"))
     whole = whole.join(least, "v").select("sig", "component_id")
+    if keyed:
+        out = full.join(whole, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id.doc_id", "key", F.col("component_id.key").alias("head")).toDF("doc_id", "n_shingles", "component_id", "key", "head")
+        return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "key", F.col("key").alias("head")))
     out = full.join(whole, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
