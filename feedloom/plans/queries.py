@@ -324,7 +324,7 @@ def json_props(spark, d):
 def ics_unfold(spark, d):
     """Documents rendered as folded calendars and decoded again."""
     docs = table(spark, d, "documents")
-    line = F.regexp_replace(F.regexp_replace(F.left("text", F.lit(400)), r"[\;,]", " "), r"[\r\n]+", " ")
+    line = F.regexp_replace(F.regexp_replace("text", r"[\;,]", " "), r"[\r\n]+", " ")
     folded = F.regexp_replace(F.concat(F.lit("DESCRIPTION:"), line), "(.{60})", "$1\r\n ")
     body = F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("doc_id").cast("string")), F.lit("DTSTART;TZID=America/Chicago:20240310T023000"), folded, F.lit("END:VEVENT"), F.lit("END:VCALENDAR"))
     return ics.decode(docs.select(F.col("doc_id").cast("string").alias("source_key"), body.alias("body")))[0].select("source_key", "upstream_id", "start", "description")
