@@ -1,15 +1,15 @@
-"""Suffix-array dedup over bytes: shard transforms merged by interleave refinement (operator 9).
+"""Dedup over bytes: a filter by phrases, refined to three symbols, and hash counts of windows (operator 9).
 
 Texts are parsed into phrases that end where the content says so: at the least
 hash of 16 bytes within any 64 (winnowing), so equal strings of 400 bytes share
-three phrases at least.  A block sorts the suffixes of its phrase sequences, as
-its own Burrows-Wheeler transform does, and sends the rows' first symbols in that
-order.  A bucket merges the blocks' sorted rows: it starts with all of them in one
-interval and refines the interleaving symbol by symbol, keeping only intervals of
-several rows, so the depth at which a row ends up alone is its longest common
-prefix, and no suffixes are sorted again.  Windows of 400 bytes all of whose inner
-phrases lie in repeated intervals are then checked by their hashes, counted over
-the corpus.
+three phrases at least.  A block orders the places of its phrase sequences by
+their first three symbols, not by whole suffixes, and sends those symbols in that
+order.  A bucket starts with all rows in one interval and refines it symbol by
+symbol, sorting what is left in each of three rounds and keeping only intervals of
+several rows; the depth at which a row ends up alone is its longest common prefix,
+up to three.  There is no transform column and no last-to-first step.  Windows of
+400 bytes all of whose inner phrases lie in repeated intervals are then checked by
+their hashes, counted over the corpus.
 """
 
 from __future__ import annotations
