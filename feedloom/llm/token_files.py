@@ -42,8 +42,9 @@ class Encoder:
 
     The vocabulary's pre-tokenizer never joins what a single blank or line feed
     parts, so such texts are encoded by parts, each distinct part once; a text
-    with blanks in a row is encoded as it is.  New parts of one word go to the
-    library as one text: a token that begins with a blank begins a part.
+    with blanks in a row, or with an added token's own text, is encoded as it is.
+    New parts of one word go to the library as one text: a token that begins with
+    a blank begins a part.
     """
 
     def __init__(self, path: str):
@@ -51,7 +52,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         if hasattr(self.tok.model, "_resize_cache"):
             self.tok.model._resize_cache(0)  # parts come once: its own cache only costs
         size = self.tok.get_vocab_size()
@@ -81,7 +82,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids and the end's, as bytes."""
-        whole = apart(texts)
+        whole = [x or any(a in t for a in self.added) for x, t in zip(apart(texts), texts, strict=True)]
         parts = [None if x else t.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f") for x, t in zip(whole, texts, strict=True)]
         if len(self.known) > MEMORY:
             self.known.clear()
