@@ -46,10 +46,10 @@ class Parsed:
     def __init__(self, col):
         self.data, self.off = buffers(col)
         n, self.cut = len(self.data), np.zeros(0, np.int64)
-        self.hash = Prefix(byte_values(6)[self.data], 6)
+        self.hash = Prefix(self.data, 6, byte_values(6))
         if n >= GRAM + WITHIN:
             i = np.arange(n - GRAM + 1)
-            h = self.hash.of(i, i + GRAM)
+            h = self.hash.slide(GRAM)
             end = np.repeat(self.off[1:], np.diff(self.off))
             inside = i[: n - GRAM - WITHIN + 2] + (GRAM + WITHIN - 1) <= end[: n - GRAM - WITHIN + 2]
             least = np.where(inside, _slide(h, WITHIN, np.minimum), U(0))

@@ -1,7 +1,10 @@
 """Vectorised work on UTF-8 text: words, n-gram hashes and ranges, over whole Arrow columns.
 
-Hashes are polynomial modulo 2**64 over random per-byte values, taken from prefix
-sums, so that the hash of any range costs two lookups, then mixed.
+A hash has two lanes, each a polynomial modulo the prime 2**31 - 1 with a random
+base over random values, taken from prefix sums, so that the hash of any range
+costs two lookups a lane.  Unlike polynomials modulo a power of two, a prime
+modulus has no strings that meet whatever the base: two different ranges of n
+values meet with a chance of (n / 2**31) ** 2 at most.
 """
 
 from __future__ import annotations
@@ -20,24 +23,45 @@ LOWER = SAME.copy()
 LOWER[0x41:0x5B] += 32
 
 
+#: The modulus, and the bits of a lane.
+P, LANE = U((1 << 31) - 1), U(31)
+
+
 @functools.cache
 def byte_values(seed: int) -> np.ndarray:
-    return np.random.default_rng(1000 + seed).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
+    """62 random bits for each byte, 31 a lane."""
+    return np.random.default_rng(1000 + seed).integers(1, 1 << 62, 256, dtype=np.int64).astype(U)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    return (x & P) + (x >> LANE)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """The least remainder modulo P, of values below 2**63."""
+    x = _fold(_fold(x))
+    return np.where(x >= P, x - P, x)
+
 
+_POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+def _series(base: int, size: int) -> np.ndarray:
+    out, have = np.ones(size, U), 1
+    while have < size:
+        more = min(have, size - have)
+        out[have : have + more] = _reduced(out[:more] * U(pow(base, have, int(P))))
+        have += more
+    return out
 
-def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a seed's odd base and of its inverse, at least n of each."""
-    have = _POWERS.get(seed)
+
+def powers(seed: int, lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a lane's base and of its inverse, at least n of each."""
+    have = _POWERS.get((seed, lane))
     if have is None or len(have[0]) < n:
-        base = (0x9E3779B97F4A7C15 * (2 * seed + 1) | 1) % 2**64
+        base = int(np.random.default_rng([seed, lane]).integers(1 << 20, int(P) - 1))
         size = 1 << max(16, int(n - 1).bit_length())
-        up, down = np.full(size, base, U), np.full(size, pow(base, -1, 2**64), U)
-        up[0] = down[0] = 1
-        with np.errstate(over="ignore"):
-            _POWERS[seed] = have = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        _POWERS[seed, lane] = have = _series(base, size), _series(pow(base, -1, int(P)), size)
     return have
 
 
@@ -48,18 +72,70 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-class Prefix:
-    """Prefix sums over a sequence of values; ``of(a, b)`` hashes the ranges [a, b)."""
+#: Values that are worked on at a time, so that they stay in a core's cache.
+CHUNK = 1 << 14
+
+
+def _fold_in(x: np.ndarray, spare: np.ndarray) -> None:
+    np.right_shift(x, LANE, out=spare)
+    np.bitwise_and(x, P, out=x)
+    np.add(x, spare, out=x)
 
-    def __init__(self, values: np.ndarray, seed: int):
-        self.up, self.down = powers(seed, len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, U)
-        with np.errstate(over="ignore"):
-            np.cumsum(values * self.up[: len(values)], out=self.sums[1:])
+
+class Prefix:
+    """Prefix sums over a sequence of values of 62 bits or more; ``of(a, b)`` hashes the ranges [a, b), ``slide(size)`` all of one size.
+
+    With ``table``, the values are those that it has for the sequence.
+    """
+
+    def __init__(self, values: np.ndarray, seed: int, table: np.ndarray | None = None):
+        n = len(values)
+        factors = [powers(seed, lane, n + 1) for lane in (0, 1)]
+        self.lanes = [(np.zeros(n + 1, U), down) for _, down in factors]
+        x, spare, last = np.empty(CHUNK, U), np.empty(CHUNK, U), [U(0), U(0)]
+        for i in range(0, n, CHUNK):
+            part = values[i : i + CHUNK] if table is None else table[values[i : i + CHUNK]]
+            m = len(part)
+            v, w = x[:m], spare[:m]
+            for lane, (up, _) in enumerate(factors):
+                np.right_shift(part, LANE * U(lane), out=v)
+                np.bitwise_and(v, P, out=v)
+                np.multiply(v, up[i : i + m], out=v)
+                _fold_in(v, w)
+                v[0] += last[lane]
+                sums = self.lanes[lane][0][i + 1 : i + m + 1]
+                np.cumsum(v, out=sums)
+                last[lane] = sums[-1]
+
+    def _ranges(self, n: int, low, high, by) -> np.ndarray:
+        """Hashes from what ``low`` and ``high`` give of the sums, and ``by`` of the inverse powers, for a slice of n places."""
+        out, x, spare = np.empty(n, U), np.empty(CHUNK, U), np.empty(CHUNK, U)
+        for i in range(0, n, CHUNK):
+            got = out[i : i + CHUNK]
+            m = len(got)
+            w = spare[:m]
+            for lane, (sums, down) in enumerate(self.lanes):
+                v = x[:m] if lane else got
+                np.subtract(high(sums, i, m), low(sums, i, m), out=v)
+                _fold_in(v, w)
+                _fold_in(v, w)
+                np.multiply(v, by(down, i, m), out=v)
+                _fold_in(v, w)
+                _fold_in(v, w)
+                np.subtract(v, P, out=w)
+                np.minimum(v, w, out=v)
+            np.left_shift(got, LANE, out=got)
+            np.bitwise_or(got, x[:m], out=got)
+            got[:] = mix(got)
+        return out
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.sums[b] - self.sums[a]) * self.down[a])
+        low = lambda s, i, m: s.take(a[i : i + m])
+        return self._ranges(len(a), low, lambda s, i, m: s.take(b[i : i + m]), low)
+
+    def slide(self, size: int) -> np.ndarray:
+        low = lambda s, i, m: s[i : i + m]
+        return self._ranges(max(0, len(self.lanes[0][0]) - size), low, lambda s, i, m: s[i + size : i + size + m], low)
 
 
 def buffers(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +175,7 @@ class Words:
         a, b, self.at = runs(~blank[data], off)
         self.start, self.end = a, b
         self.n = np.diff(self.at)
-        self.hash = Prefix(byte_values(seed)[fold][data], seed).of(a, b)
+        self.hash = Prefix(data, seed, byte_values(seed)[fold]).of(a, b)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
         self.pos = np.arange(len(a)) - self.at[:-1][self.doc] if len(a) else np.zeros(0, np.int64)
 

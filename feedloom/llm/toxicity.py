@@ -38,7 +38,7 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     sa, sb, at = runs(~STOP[low], off)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(at))
     sent = np.searchsorted(sa, a, side="right") - 1
-    h = Prefix(byte_values(5)[low], 5)
+    h = Prefix(low, 5, byte_values(5))
     got, where = [h.of(a, b)], [sent]
     for k in STEMS:
         long = b - a > k
