@@ -1,20 +1,21 @@
 """N-gram Jaccard join by T-occurrence search (operator 8).
 
-Documents with equal shingle sets form a class, and one of each goes on.  Shingles
-are ordered by rarity.  A partner of a set of n shares ceil(0.85 n) of its
-shingles at least, so it is in one of the n - ceil(0.85 n) + 1 rarest lists: those
-are merged by a heap, and the longer ones only probed by binary search.  Sets that
-share no rare shingle with others drop out; the rest fall into groups within which
-the search runs.  A large group is dealt into parts.  Each part is searched with a
-few members of the whole group, so that a crowd of near copies becomes one
-component at once; then only what lies outside its largest component meets the
-other parts.  Every pair of different components is still compared.
+Documents with equal shingle sets form a class, and one of each goes on.  Sets of
+which no rare shingle is elsewhere have no partner; the rest fall into groups that
+share rare shingles, and the search runs within these.  A partner of a set of n
+shares T = ceil(0.85 n) of its shingles at least, so the inverted lists of the
+set's shingles hold it T times (DivideSkip): the L longest lists are set apart,
+the short ones are merged, what they hold T - L times or more is a candidate, and
+the long lists are probed for it by binary search until it has enough or cannot
+get there.  A large group is dealt into parts.  Each part is searched with a few
+members of the whole group, so that a crowd of near copies becomes one component
+at once; then only what lies outside its largest component meets the other parts.
+Every pair of different components is still compared.
 """
 
 from __future__ import annotations
 
-import heapq
-from itertools import groupby
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,10 @@ WORDS, PERCENT = 4, 85
 LEAST, MOST = 1 << 17, 1 << 21
 #: Members of a large group that all its parts see.
 PIVOTS = 16
+#: What a merged entry costs to a probe: more lists are long the less it is.
+MERGE_COST = 0.0085
+#: Long lists that are probed before candidates are dropped again, and parts of a shingle's list that are linked one by one.
+PROBES, SALT = 16, 64
 
 
 class Sets:
@@ -73,74 +78,93 @@ def need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def links(label: list, host: list[bool], sets: list[np.ndarray], prefix: list[np.ndarray], percent: int = PERCENT) -> list[int]:
+class Lists:
+    """Inverted lists of some sets, in order of size; ``place`` of each set in that order."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        n = np.array([len(x) for x in sets], np.int64)
+        self.order, self.k, self.percent = np.argsort(n, kind="stable"), len(sets), percent
+        self.size = n[self.order]
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        of = np.repeat(np.arange(self.k), self.size)
+        _, token, count = np.unique(np.concatenate([sets[i] for i in self.order]), return_inverse=True, return_counts=True)
+        self.token = token[np.lexsort((token, count[token], of))]  # each set's, rarest first
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        by = np.argsort(self.token, kind="stable")
+        self.post = of[by]
+        self.key = self.token[by] * self.k + self.post  # ascending: what is probed
+        self.before = np.empty(len(by), np.int64)  # of each set's shingles: how many smaller sets their lists hold
+        self.before[by] = np.arange(len(by)) - self.first[self.token[by]]
+
+    def candidates(self, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Smaller sets that the short lists of q hold often enough, how often, and the long lists' shingles."""
+        mine, length = self.token[self.at[q] : self.at[q + 1]], self.before[self.at[q] : self.at[q + 1]]
+        need_ = need(int(self.size[q]), self.percent)
+        longest = int(length.max())
+        if not longest:
+            return mine[:0], mine[:0], mine[:0]
+        apart = min(need_ - 1, int(need_ / (MERGE_COST * math.log2(longest + 1) + 1)))
+        cut = len(mine) - apart
+        length = length[:cut]
+        total = int(length.sum())
+        held = self.post[np.repeat(self.first[mine[:cut]] - (np.cumsum(length) - length), length) + np.arange(total)]
+        held = held[held >= np.searchsorted(self.size, need_)]
+        if 4 * len(held) > self.k:
+            often = np.bincount(held, minlength=1)
+            cand = np.flatnonzero(often >= need_ - apart)
+            return cand, often[cand], mine[cut:]
+        cand, often = np.unique(held, return_counts=True)
+        ok = often >= need_ - apart
+        return cand[ok], often[ok], mine[cut:]
+
+    def joins(self, q: int, cand: np.ndarray, often: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Which candidates reach the share of q's and their shingles that a link needs."""
+        both = self.size[q] + self.size[cand]
+        enough = -(-self.percent * both // (100 + self.percent))
+        often, open_ = often.copy(), np.arange(len(cand))
+        for i in range(0, len(far), PROBES):
+            open_ = open_[(often[open_] < enough[open_]) & (often[open_] + len(far) - i >= enough[open_])]
+            if not len(open_):
+                break
+            want = far[i : i + PROBES, None] * self.k + cand[open_]
+            at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+            often[open_] += (self.key[at] == want).sum(0)
+        return often >= enough
+
+
+def links(label: list, host: list[bool], sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
     """Components among some sets: the least place that each reaches.
 
-    ``sets`` are sorted; ``prefix`` has the rarest shingles of each.  Equal labels
-    are in one component from the start.  Places that are in one component already
-    are not compared again: no link between components is missed, and a large
-    group of near copies costs little.  Two places that are not hosts are left to
-    another search.
+    Equal labels are in one component from the start.  Places that are in one
+    component already are not compared again: no link between components is
+    missed, and a large group of near copies costs little.  Two places that are
+    not hosts are left to another search.
     """
-    first: dict = {}
-    root = [first.setdefault(x, i) for i, x in enumerate(label)]
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    lists: dict[int, list[int]] = {}
-    only: dict[int, int] = {}  # a list's component, if it has one only
-    for q in sorted(range(len(sets)), key=lambda i: (len(sets[i]), i)):
-        n, mine, tokens = len(sets[q]), sets[q], prefix[q].tolist()
-        low = need(n, percent)
-
-        def joins(d: int, n=n, mine=mine, q=q) -> bool:
-            if not (host[d] or host[q]):
-                return False
-            other = sets[d]
-            t = -(-percent * (n + len(other)) // (100 + percent))
-            if min(n, len(other)) < t:
-                return False
-            place = np.searchsorted(mine, other)
-            place[place == n] = 0
-            return int((mine[place] == other).sum()) >= t
-
-        # The last set of each list is tried first: near copies then meet at once, and their lists need no merging.
-        tried = set()
-        for t in tokens:
-            have = lists.get(t)
-            if have and (d := have[-1]) not in tried and len(sets[d]) >= low and find(d) != find(q):
-                tried.add(d)
-                if joins(d):
-                    a, b = sorted((find(d), find(q)))
-                    root[b] = a
-        open_ = []
-        for t in tokens:
-            if have := lists.get(t):
-                one = only.get(t, -1)
-                if one >= 0 and find(one) == find(q):
-                    continue
-                open_.append([d for d in have if d not in tried and len(sets[d]) >= low])
-        for d, _ in groupby(heapq.merge(*open_)):
-            if find(d) != find(q) and joins(d):
-                a, b = sorted((find(d), find(q)))
-                root[b] = a
-        me = find(q)
-        for t in tokens:
-            have = lists.setdefault(t, [])
-            if not have:
-                only[t] = q
-            elif (one := only.get(t, -1)) >= 0 and find(one) != me:
-                only[t] = -1
-            have.append(q)
-        if q % 64 == 0:  # components that have met since make lists single again
-            for t in tokens:
-                if only[t] < 0 and len({find(d) for d in lists[t]}) == 1:
-                    only[t] = q
-    return [find(i) for i in range(len(sets))]
+    lists = Lists(sets, percent)
+    names: dict = {}
+    comp = np.array([names.setdefault(label[i], len(names)) for i in lists.order], np.int64)
+    own = np.array(host, bool)[lists.order]
+    for q in range(lists.k):
+        cand, often, far = lists.candidates(q)
+        keep = (comp[cand] != comp[q]) & (own[cand] | own[q])
+        cand, often = cand[keep], often[keep]
+        best = True
+        while len(cand):
+            pick = np.ones(len(cand), bool)
+            if best:  # the likeliest of each component first: near copies meet at once, and the rest of them need no look
+                o = np.lexsort((-often, comp[cand]))
+                pick[:] = False
+                pick[o[np.concatenate([[True], np.diff(comp[cand[o]]) != 0])]] = True
+            hit = cand[pick][lists.joins(q, cand[pick], often[pick], far)]
+            if len(hit):
+                comp[np.isin(comp, comp[hit])] = comp[q]
+            keep = ~pick & (comp[cand] != comp[q])
+            cand, often, best = cand[keep], often[keep], False
+    least = np.full(len(names), lists.k, np.int64)
+    np.minimum.at(least, comp, lists.order)
+    out = np.empty(lists.k, np.int64)
+    out[lists.order] = least[comp]
+    return out.tolist()
 
 
 def _u64(x) -> np.ndarray:
@@ -234,13 +258,13 @@ def searched(cand: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     def search(t: pa.Table) -> pa.Table:
         t = t.sort_by("sig")
         sig = t["sig"].to_pylist()
-        got = links(t["label"].to_pylist(), t["host"].to_pylist(), [_u64(x.as_buffer()) for x in t["shingles"]], [_u64(x.as_buffer()) for x in t["prefix"]], percent)
+        got = links(t["label"].to_pylist(), t["host"].to_pylist(), [_u64(x.as_buffer()) for x in t["shingles"]], percent)
         return pa.table({"u": pa.array(sig, pa.binary()), "v": pa.array([sig[i] for i in got], pa.binary())})
 
     def run(rows: DataFrame) -> DataFrame:
         # A column of its own for the task: the parts of a group must not stay where the group's other rows are.
         rows = rows.withColumn("task", F.xxhash64("root", "a", "b")).select("task", "root", "a", "b", "sig", "label", "host")
-        rows = rows.join(cand.select("sig", "prefix", "shingles"), "sig")
+        rows = rows.join(cand.select("sig", "shingles"), "sig")
         return rows.groupBy("task", "root", "a", "b").applyInArrow(search, "u binary, v binary")
 
     size = f"least({MOST}, greatest(sqrt(s * {LEAST}D), {LEAST}))"
@@ -291,8 +315,12 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key
             yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array(np.concatenate(p).view(np.int64) if p else [], pa.int64())], ["sig", "token"])
 
     post = cand.select("sig", "prefix").mapInArrow(tokens, "sig binary, token long")
-    head = post.groupBy("token").agg(F.min("sig").alias("v"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    near = components(post.join(head, "token").select(F.col("sig").alias("u"), "v"))
+    # A shingle's list is linked in parts, and the parts' heads with each other: no list is one task's.
+    post = post.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALT)).cast("int"))
+    head = post.groupBy("token", "salt").agg(F.min("sig").alias("v"), F.count("*").alias("c"))
+    top = head.groupBy("token").agg(F.min("v").alias("w"), F.sum("c").alias("c")).filter("c > 1").drop("c")
+    within = post.join(head.filter("c > 1"), ["token", "salt"]).select(F.col("sig").alias("u"), "v")
+    near = components(within.unionByName(head.join(top, "token").select(F.col("v").alias("u"), F.col("w").alias("v"))))
     linked = searched(cand, near, percent)
     whole = own.join(linked, own.sig == linked.u, "left").select("sig", "first_id", F.coalesce("v", "sig").alias("v"))
     least = whole.groupBy("v").agg(F.min("first_id").alias("component_id"))
