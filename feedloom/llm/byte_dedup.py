@@ -1,20 +1,30 @@
-"""Dedup over bytes: a filter by phrases, refined to three symbols, and hash counts of windows (operator 9).
+"""Dedup over bytes by merged transforms of phrase strings (operator 9).
 
 Texts are parsed into phrases that end where the content says so: at the least
-hash of 16 bytes within any 64 (winnowing), so equal strings of 400 bytes share
-three phrases at least.  A block orders the places of its phrase sequences by
-their first three symbols, not by whole suffixes, and sends those symbols in that
-order.  A bucket starts with all rows in one interval and refines it symbol by
-symbol, sorting what is left in each of three rounds and keeping only intervals of
-several rows; the depth at which a row ends up alone is its longest common prefix,
-up to three.  There is no transform column and no last-to-first step.  Windows of
-400 bytes all of whose inner phrases lie in repeated intervals are then checked by
-their hashes, counted over the corpus.
+hash of 16 bytes within any 96 (winnowing), so equal strings of 400 bytes share
+the cuts, and the phrases between them, away from their edges.  A block (shard) orders its phrases and
+keeps for each the place of the phrase before it: the last column of its
+transform, as the step from a row to the row of the suffix one phrase longer.
+
+The shards' transforms are merged in buckets of first symbols, by refining the
+interleave.  To begin with, rows are interleaved by their first phrase, and rows
+with the same one are an interval.  Each round reads the rows of the intervals
+with several rows, in the order of the interleave, steps by the last column, and
+deals the rows reached stably by their own symbols: that is the interleave by one
+phrase more, in which rows that came from one interval to one symbol are again an
+interval.  Suffixes are never compared or sorted again.  The last round in which a
+row shares its interval is its longest common prefix, in phrases, with any other.
+
+A 400-byte window within a common prefix is repeated.  What the phrases leave
+open, windows that begin before a prefix or end after it, is settled by counting
+the windows themselves, by 124 bits of two independent hashes: those, and those
+that start from the same first symbol, wherever they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,66 +32,95 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import blocks as B
 from .shared import table
-from .textops import Prefix, U, buffers, byte_values, mix, pieces, spread
+from .textops import Prefix, U, buffers, byte_values, pieces, spread
 
 WINDOW = 400
-GRAM, WITHIN, DEPTH = 16, 64, 3
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-MAIL = "block int, bucket int, kind int, data binary"
-KINDS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
+GRAM, WITHIN = 16, 96
+#: Phrases to which the interleave is refined; windows that need more are settled by their hashes.
+ROUNDS = 10
+#: Repeats of fewer bytes are not reported as a document's longest.
+LEAST = 160
+NONE = np.uint32(0xFFFFFFFF)
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, longest_repeat long, kept binary"
+NAMES = [x.split()[0] for x in RESULT.split(", ")]
+KINDS = [*[pa.int64()] * 4, pa.string(), pa.int64(), pa.binary()]
+#: What blocks and buckets send each other: ``to`` whom, what kind, from whom, and up to four arrays.
+MAIL = "to int, kind int, source int, a binary, b binary, c binary, d binary"
+SENT = pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("source", pa.int32()), *((x, pa.binary()) for x in "abcd")])
+ROWS, STATIC, STEP, STATE, DEPTH, OPEN, WANT, KEYS, BITS = range(9)
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    """Rows (to, kind, source, arrays ...) as a table."""
+    cols = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
+    cols += [[None if len(r) <= 3 + k else r[3 + k].tobytes() for r in rows] for k in range(4)]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SENT, strict=True)], schema=SENT)
+
+
+def _got(t: pa.Table, kind: int) -> list[tuple]:
+    """(source, buffers ...) of the rows of one kind, by source."""
+    at = np.flatnonzero(t["kind"].to_numpy() == kind) if t.num_rows else ()
+    rows = [(t["source"][i].as_py(), *(t[x][i].as_buffer() for x in "abcd")) for i in map(int, at)]
+    return sorted(rows, key=lambda r: r[0])
+
+
+def _joined(parts: list, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in parts)])
 
 
 def _slide(x: np.ndarray, size: int, op) -> np.ndarray:
-    """op over every ``size`` (a power of two) values in a row; the result is shorter by size - 1."""
+    """op over every ``size`` values in a row; the result is shorter by size - 1."""
     step = 1
-    while step < size:
+    while 2 * step <= size:
         x = op(x[:-step], x[step:])
         step *= 2
-    return x
+    return op(x[: len(x) - (size - step)], x[size - step :]) if size > step else x
 
 
 class Parsed:
-    """Phrases of some documents: ``cut``, where they begin, and ``sym``; ``row`` are places with DEPTH phrases to go in one document."""
+    """Phrases of some documents: ``cut``, where they begin; ``row``, the cuts with a phrase to go in their document; ``sym`` of each row."""
 
     def __init__(self, col):
         self.data, self.off = buffers(col)
         n, self.cut = len(self.data), np.zeros(0, np.int64)
-        self.hash = Prefix(self.data, 6, byte_values(6))
+        hashes = Prefix(self.data, 6, byte_values(6))
         if n >= GRAM + WITHIN:
-            i = np.arange(n - GRAM + 1)
-            h = self.hash.slide(GRAM)
-            end = np.repeat(self.off[1:], np.diff(self.off))
-            inside = i[: n - GRAM - WITHIN + 2] + (GRAM + WITHIN - 1) <= end[: n - GRAM - WITHIN + 2]
+            h = hashes.slide(GRAM)
+            i = np.arange(n - GRAM - WITHIN + 2)
+            inside = i + (GRAM + WITHIN - 1) <= np.repeat(self.off[1:], np.diff(self.off))[: len(i)]
             least = np.where(inside, _slide(h, WITHIN, np.minimum), U(0))
             pad = np.zeros(WITHIN - 1, U)
             self.cut = np.flatnonzero((_slide(np.concatenate([pad, least, pad]), WITHIN, np.maximum) == h) & (h > 0))
-        c = self.cut
-        self.sym = (self.hash.of(c[:-1], c[1:]) >> U(32)).astype(np.uint32) if len(c) > 1 else np.zeros(0, np.uint32)
-        doc = np.searchsorted(self.off, c, side="right")
-        self.row = np.flatnonzero(doc[:-DEPTH] == doc[DEPTH:]) if len(c) > DEPTH else np.zeros(0, np.int64)
-
-    def heads(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each row, the first two symbols and the third."""
-        s = self.sym
-        return (s[self.row].astype(U) << U(32)) | s[self.row + 1], s[self.row + 2]
-
-    def windows(self, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows without a row that stands ``alone`` among the phrases that any equal window shares."""
-        n = len(self.data)
-        i = np.arange(max(0, n - WINDOW + 1))
-        if not len(self.row) or not len(i):
-            return i[:0], np.zeros(0, U)
-        i = i[i + WINDOW <= np.repeat(self.off[1:], np.diff(self.off))[: len(i)]]
-        bad = np.ones(len(self.cut), bool)
-        bad[self.row] = alone
-        upto = np.concatenate([[0], np.cumsum(bad)])
-        place = np.zeros(n + 1, np.int64)  # cuts before each byte
-        place[self.cut + 1] = 1
-        place = np.cumsum(place)
-        first = place[i + WITHIN - 1]
-        last = place[i + WINDOW - GRAM - WITHIN + 2] - 1
-        i = i[upto[last - DEPTH + 1] == upto[first]]
-        return i, self.hash.of(i, i + WINDOW)
+        self.doc = np.searchsorted(self.off, self.cut, side="right") - 1
+        self.row = np.flatnonzero(self.doc[:-1] == self.doc[1:])
+        self.sym = hashes.of(self.cut[self.row], self.cut[self.row + 1])
+
+    def before(self) -> np.ndarray:
+        """Of each row, the number of the row one phrase earlier in its document, or -1."""
+        follows = np.zeros(len(self.row), bool)
+        follows[1:] = np.diff(self.row) == 1
+        return np.where(follows, np.arange(len(self.row)) - 1, -1)
+
+    def windows(self, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the windows whose inner phrases are repeated; the row of the first of these; which lie within a common prefix; each cut's common prefix in bytes."""
+        have = np.zeros(len(self.cut), np.int64)
+        have[self.row] = depth
+        end = self.cut[np.arange(len(have)) + have] if len(have) else have
+        f = np.flatnonzero(have)  # windows of which f is the first inner cut
+        if not len(f):
+            return f, f, f.astype(bool), end - self.cut
+        opens, closes = self.off[self.doc[f]], self.off[self.doc[f] + 1]
+        low = np.where((f > 0) & (self.doc[f - 1] == self.doc[f]), self.cut[f - 1] - WITHIN + 2, opens)
+        low, high = np.maximum(low, opens), np.minimum(self.cut[f] - WITHIN + 1, closes - WINDOW)
+        n = np.maximum(high - low + 1, 0)
+        f = np.repeat(f, n)
+        i = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        last = np.searchsorted(self.cut, i + (WINDOW - GRAM - WITHIN + 1), side="right") - 1
+        ok = have[f] >= np.minimum(last - f, ROUNDS)
+        i, f = i[ok], f[ok]
+        k = np.searchsorted(self.cut, i, side="right") - 1
+        sure = (k >= 0) & (self.doc[k] == np.searchsorted(self.off, i, side="right") - 1) & (end[k] >= i + WINDOW)
+        return i, np.searchsorted(self.row, f), sure, end - self.cut
 
 
 def _parsed(t: pa.Table):
@@ -89,119 +128,218 @@ def _parsed(t: pa.Table):
         yield lo, hi, Parsed(t["text"].slice(lo, hi - lo))
 
 
-def _sorted_rows(t: pa.Table, n: int):
-    """A block's distinct rows in order of bucket and suffix; how often each occurs; and each document piece's rows among them."""
-    got = [p.heads() for _, _, p in _parsed(t)]
-    two = np.concatenate([np.zeros(0, U), *(a for a, _ in got)])
-    third = np.concatenate([np.zeros(0, np.uint32), *(b for _, b in got)])
-    bucket = B.bucket_of(mix(two), n)
-    o = np.lexsort((third, two, bucket))
-    two, third, bucket = two[o], third[o], bucket[o]
-    new = np.ones(len(o), bool)
-    new[1:] = (two[1:] != two[:-1]) | (third[1:] != third[:-1])
-    back = np.empty(len(o), np.int64)
-    back[o] = np.cumsum(new) - 1
-    return two[new], third[new], bucket[new], np.bincount(back, minlength=int(new.sum())) > 1, back
+def _transform(parsed: list[Parsed]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's rows by symbol: the symbols, each row's row before, and the place of each piece's rows among them."""
+    sym, before, at = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
+    for p in parsed:
+        b = p.before()
+        sym.append(p.sym)
+        before.append(np.where(b < 0, -1, b + at))
+        at += len(b)
+    sym, before = np.concatenate(sym), np.concatenate(before)
+    o = np.argsort(sym, kind="stable")
+    place = np.empty(len(o), np.int64)
+    place[o] = np.arange(len(o))
+    earlier = before[o]
+    return sym[o], np.where(earlier < 0, NONE, place[earlier] if len(o) else earlier).astype(np.uint32), place
 
 
 def send_rows(t: pa.Table, n: int) -> pa.Table:
-    two, third, bucket, many, _ = _sorted_rows(t, n)
-    at = np.searchsorted(bucket, np.arange(n + 1))
-    full = [(i, int(at[i]), int(at[i + 1])) for i in np.flatnonzero(np.diff(at)).tolist()]
-    return pa.table({
-        "bucket": pa.array([i for i, _, _ in full], pa.int32()), "block": pa.array([B.block_of(t)] * len(full), pa.int32()),
-        "keys": pa.array([two[a:b].tobytes() + third[a:b].tobytes() for _, a, b in full], pa.binary()),
-        "many": pa.array([np.packbits(many[a:b]).tobytes() for _, a, b in full], pa.binary()),
-    })
+    """A block's transform in buckets: symbols, rows before, and these rows' buckets."""
+    sym, before, _ = _transform([p for _, _, p in _parsed(t)])
+    bucket = B.bucket_of(sym, n)
+    to = bucket[np.where(before == NONE, 0, before)].astype(np.uint32) if len(sym) else before
+    cuts = np.searchsorted(bucket, np.arange(n + 1)).tolist()
+    block = t["block"][0].as_py()
+    return _sent([(i, ROWS, block, sym[a:b], before[a:b], to[a:b], np.array([a], np.int64)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a])
 
 
-def merged_prefixes(columns: list[np.ndarray]) -> np.ndarray:
-    """The longest common prefix of each row with any other, by refining intervals one symbol at a time.
+def _steps(bucket: int, order: np.ndarray, interval: np.ndarray, block: np.ndarray, before: np.ndarray, to: np.ndarray) -> list[tuple]:
+    """The step by the last column from rows in the interleave's order: to each bucket the blocks and rows reached, and where intervals begin.
 
-    ``columns`` are the rows' first, second, ... symbols, the shards' sorted rows
-    one after another.
+    Of an interval's rows those that reach a bucket alone end there.
     """
-    n = len(columns[0])
-    depth, live, group = np.zeros(n, np.uint8), np.arange(n), np.zeros(n, np.int64)
-    for h, column in enumerate(columns):
-        s = column[live].astype(np.int64)
-        o = np.argsort((group << 32) | s, kind="stable")  # the interleaving to h + 1 symbols; shards keep their order
-        key = ((group << 32) | s)[o]
-        new = np.ones(len(o), bool)
-        new[1:] = key[1:] != key[:-1]
-        g = np.cumsum(new) - 1
-        several = np.bincount(g)[g] > 1
-        live, group = live[o][several], g[several]
-        depth[live] = h + 1
-        if not len(live):
-            break
-    return depth
-
-
-def merge(t: pa.Table) -> pa.Table:
-    """A bucket's answers: to each block, the common prefixes of its rows."""
-    t = t.sort_by("block")
-    raw = [x.as_buffer() for x in t["keys"]]
-    sizes = [len(x) // 12 for x in raw]
-    two = np.concatenate([np.frombuffer(x, U, n) for x, n in zip(raw, sizes, strict=True)])
-    third = np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n) for x, n in zip(raw, sizes, strict=True)])
-    depth = merged_prefixes([(two >> U(32)).astype(np.uint32), (two & U(0xFFFFFFFF)).astype(np.uint32), third])
-    many = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n) for x, n in zip(t["many"], sizes, strict=True)]).astype(bool)
-    depth[many] = DEPTH
-    ends = np.cumsum(sizes).tolist()
-    return pa.Table.from_arrays([
-        t["block"].cast(pa.int32()).combine_chunks(), t["bucket"].cast(pa.int32()).combine_chunks(), pa.array([1] * t.num_rows, pa.int32()),
-        pa.array([depth[b - n : b].tobytes() for b, n in zip(ends, sizes, strict=True)], pa.binary()),
-    ], schema=KINDS)
-
-
-def shorter(packs: pa.Table) -> pa.Table:
-    """Packs with 7 of each hash's 8 bytes: the bucket tells the rest but for a bit or two."""
-    keys = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 8)[:, :7].tobytes() for x in packs["keys"]]
-    return packs.set_column(packs.column_names.index("keys"), "keys", pa.array(keys, pa.binary()))
-
-
-def longer(x) -> np.ndarray:
-    out = np.zeros((len(x) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(x, np.uint8).reshape(-1, 7)
-    return out.view(U).ravel()
+    has = before[order] != NONE
+    order, interval = order[has], interval[has]
+    there = to[order]
+    o = np.argsort(there, kind="stable")
+    order, interval, there = order[o], interval[o], there[o]
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = (there[1:] != there[:-1]) | (interval[1:] != interval[:-1])
+    keep = ~(new[:-1] & new[1:])
+    order, there, new = order[keep], there[keep], new[:-1][keep]
+    cuts = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1], [True]])) if len(there) else [0]
+    return [(int(there[a]), STEP, bucket, block[order[a:b]], before[order[a:b]], np.packbits(new[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def first_interleave(t: pa.Table) -> pa.Table:
+    """A bucket's rows interleaved by their first symbol; it keeps those that share it."""
+    got, bucket = _got(t, ROWS), t["to"][0].as_py()
+    sym, before, to = _joined([r[1] for r in got], U), _joined([r[2] for r in got], np.uint32), _joined([r[3] for r in got], np.uint32)
+    sizes = [len(r[1]) // 8 for r in got]
+    block = np.repeat(np.array([r[0] for r in got], np.uint32), sizes)
+    row = np.concatenate([np.arange(m, dtype=np.uint32) + np.uint32(np.frombuffer(r[4], np.int64)[0]) for r, m in zip(got, sizes, strict=True)])
+    _, rank, count = np.unique(sym, return_inverse=True, return_counts=True)
+    live = np.flatnonzero(count[rank] > 1)
+    rank, block, row, before, to = rank[live].astype(np.uint32), block[live], row[live], before[live], to[live]
+    order = np.argsort(rank, kind="stable")
+    names = block.astype(U) << U(32) | row
+    return _sent([(bucket, STATIC, bucket, names, rank, before, to), *_steps(bucket, order, rank[order], block, before, to)])
+
+
+def _static(t: pa.Table) -> list[np.ndarray]:
+    got = _got(t, STATIC)
+    return [_joined([r[1 + k] for r in got], kind) for k, kind in enumerate((U, np.uint32, np.uint32, np.uint32))]
+
+
+def _depth(m: pa.Table, size: int) -> np.ndarray:
+    got = _got(m, STATE)
+    return np.frombuffer(got[0][1], np.uint8).copy() if got else np.ones(size, np.uint8)
+
+
+def refine(t: pa.Table, m: pa.Table, depth: int) -> pa.Table:
+    """One round: the rows reached, in the order of the last interleave, dealt stably by symbol."""
+    if not t.num_rows:
+        return SENT.empty_table()
+    names, rank, before, to = _static(t)
+    bucket, have, got = t["to"][0].as_py(), _depth(m, len(names)), _got(m, STEP)
+    block, row = _joined([r[1] for r in got], np.uint32), _joined([r[2] for r in got], np.uint32)
+    new = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(r[1]) // 4) for r in got)])
+    out = []
+    if len(names) and len(row):
+        name = block.astype(U) << U(32) | row
+        at = np.minimum(np.searchsorted(names, name), len(names) - 1)
+        here = names[at] == name
+        at, interval = at[here], np.cumsum(new)[here]
+        o = np.argsort(rank[at], kind="stable")
+        at, interval = at[o], interval[o]
+        s = rank[at]
+        new = np.ones(len(at) + 1, bool)
+        new[1:-1] = (s[1:] != s[:-1]) | (interval[1:] != interval[:-1])
+        live = ~(new[:-1] & new[1:])
+        at, interval = at[live], np.cumsum(new[:-1])[live]
+        have[at] = depth
+        out = _steps(bucket, at, interval, (names >> U(32)).astype(np.uint32), before, to) if depth < ROUNDS else []
+    return _sent([(bucket, STATE, bucket, have), *out])
+
+
+def answer(t: pa.Table, m: pa.Table) -> pa.Table:
+    """To each block, its rows that share an interval and their common prefixes."""
+    if not t.num_rows:
+        return SENT.empty_table()
+    names, bucket = _static(t)[0], t["to"][0].as_py()
+    have, block = _depth(m, len(names)), (names >> U(32)).astype(np.int64)
+    row = (names & U(0xFFFFFFFF)).astype(np.uint32)
+    cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(names) else [0]
+    return _sent([(int(block[a]), DEPTH, bucket, row[a:b], have[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def wanted(t: pa.Table, m: pa.Table) -> pa.Table:
+    """To each block, which of its rows begin with the symbol of one that has open windows."""
+    if not t.num_rows or not m.num_rows:
+        return SENT.empty_table()
+    names, rank = _static(t)[:2]
+    block, bucket = (names >> U(32)).astype(np.int64), t["to"][0].as_py()
+    got = _got(m, OPEN)
+    sizes = [int(x) for x in np.bincount(block)[[r[0] for r in got]]]
+    open_ = np.concatenate([np.unpackbits(np.frombuffer(r[1], np.uint8), count=k) for r, k in zip(got, sizes, strict=True)])
+    want, ends = (np.bincount(rank, open_) > 0)[rank], np.cumsum(sizes).tolist()
+    return _sent([(r[0], WANT, bucket, np.packbits(want[e - k : e])) for r, k, e in zip(got, sizes, ends, strict=True)])
+
+
+class Windows:
+    """A block's windows that are counted: the distinct keys, in order, which the block holds more than once, and each window's among them."""
+
+    def __init__(self, found: list):
+        keys = [[Prefix(p.data, seed, byte_values(seed)).of(i, i + WINDOW) for seed in (6, 7)] for p, i in ((x.p, x.i[x.asked]) for x in found) if len(i)]
+        a, b = (np.concatenate([np.zeros(0, U), *(k[x] for k in keys)]) for x in (0, 1))
+        self.keys, self.back, self.many = distinct(a, b)
+
+    def sent(self, block: int, n: int) -> pa.Table:
+        cuts = np.searchsorted(B.bucket_of(self.keys[:, 0], n), np.arange(n + 1)).tolist()
+        return _sent([(i, KEYS, block, self.keys[a:b], np.packbits(self.many[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a])
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, each pair's place among them, and which are there more than once."""
+    o = np.lexsort((b, a))
+    a, b = a[o], b[o]
+    new = np.ones(len(o), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    back = np.empty(len(o), np.int64)
+    back[o] = np.cumsum(new) - 1
+    keys = np.stack([a[new], b[new]], 1)
+    return keys, back, np.bincount(back, minlength=len(keys)) > 1
 
 
 def repeated(t: pa.Table) -> pa.Table:
     """A bucket's answers about windows: a bit for each that a block sent."""
-    parts = [longer(x.as_buffer()) for x in t["keys"]]
-    many = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(p)) for x, p in zip(t["many"], parts, strict=True)]).astype(bool)
-    keys, back, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    hit = count > 1
+    got, bucket = _got(t, KEYS), t["to"][0].as_py()
+    keys = _joined([r[1] for r in got], U).reshape(-1, 2)
+    sizes = [len(r[1]) // 16 for r in got]
+    many = np.concatenate([np.unpackbits(np.frombuffer(r[2], np.uint8), count=m) for r, m in zip(got, sizes, strict=True)]).astype(bool)
+    _, back, hit = distinct(keys[:, 0], keys[:, 1])
     hit[back[many]] = True
-    hit, ends = hit[back], np.cumsum([len(p) for p in parts]).tolist()
-    data = [np.uint32(len(p)).tobytes() + np.packbits(hit[b - len(p) : b]).tobytes() for p, b in zip(parts, ends, strict=True)]
-    return pa.Table.from_arrays([
-        t["block"].cast(pa.int32()).combine_chunks(), t["bucket"].cast(pa.int32()).combine_chunks(), pa.array([2] * t.num_rows, pa.int32()), pa.array(data, pa.binary()),
-    ], schema=KINDS)
-
-
-def _mail(m: pa.Table, kind: int) -> list[bytes]:
-    return [d for _, k, d in sorted(zip(m["bucket"].to_pylist(), m["kind"].to_pylist(), m["data"].to_pylist(), strict=True), key=lambda r: r[0] or 0) if k == kind]
-
-
-def _candidates(t: pa.Table, m: pa.Table, n: int):
-    """Each piece with its candidate windows."""
-    _, _, _, _, back = _sorted_rows(t, n)
-    alone = np.frombuffer(b"".join(_mail(m, 1)), np.uint8)[back] < DEPTH if len(back) else np.zeros(0, bool)
-    at = 0
-    for lo, hi, p in _parsed(t):
-        yield lo, hi, p, *p.windows(alone[at : at + len(p.row)])
-        at += len(p.row)
+    hit, ends = hit[back], np.cumsum(sizes).tolist()
+    return _sent([(r[0], BITS, bucket, np.packbits(hit[e - m : e])) for r, m, e in zip(got, sizes, ends, strict=True)])
+
+
+class Found(NamedTuple):
+    """A piece's windows (see :meth:`Parsed.windows`) and which of them are counted."""
+
+    lo: int
+    hi: int
+    p: Parsed
+    i: np.ndarray
+    row: np.ndarray
+    sure: np.ndarray
+    prefix: np.ndarray
+    asked: np.ndarray
+
+
+def _found(t: pa.Table, m: pa.Table) -> tuple[list[Found], np.ndarray]:
+    """A block's pieces, and the place of each row in its transform."""
+    parsed = list(_parsed(t))
+    _, _, place = _transform([p for _, _, p in parsed])
+    depth, want = np.zeros(len(place), np.uint8), np.zeros(len(place), bool)
+    got = _got(m, DEPTH)
+    rows = {r[0]: np.frombuffer(r[1], np.uint32) for r in got}
+    for bucket, _, have, *_ in got:
+        depth[rows[bucket]] = np.frombuffer(have, np.uint8)
+    for bucket, bits, *_ in _got(m, WANT):
+        want[rows[bucket]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(rows[bucket]))
+    depth, want, at, out = depth[place], want[place], 0, []
+    for lo, hi, p in parsed:
+        n = len(p.row)
+        i, row, sure, prefix = p.windows(depth[at : at + n])
+        out.append(Found(lo, hi, p, i, row, sure, prefix, ~sure | want[at : at + n][row]))
+        at += n
+    return out, place
+
+
+def opened(t: pa.Table, m: pa.Table) -> pa.Table:
+    """To each bucket, which of a block's rows have open windows."""
+    if not t.num_rows or not m.num_rows:
+        return SENT.empty_table()
+    found, place = _found(t, m)
+    open_, at, block = np.zeros(len(place), bool), 0, t["block"][0].as_py()
+    for x in found:
+        open_[place[at + x.row[~x.sure]]] = True
+        at += len(x.p.row)
+    return _sent([(r[0], OPEN, block, np.packbits(open_[np.frombuffer(r[1], np.uint32)])) for r in _got(m, DEPTH)])
 
 
 def remove_repeated_bytes(docs: DataFrame, text: bool = True) -> DataFrame:
     """Remove each byte covered by a 400-byte string that also starts anywhere else in the corpus.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
-    kept_sha256 and kept (the remaining bytes; null without ``text``).  Null and
-    empty texts have no bytes; rows with equal or null ids each keep a row; other
-    columns are not read.
+    kept_sha256, longest_repeat and kept (the remaining bytes; null without
+    ``text``).  longest_repeat is the longest run of whole phrases, up to
+    ``ROUNDS``, that is also elsewhere, in bytes, or 0 below ``LEAST``; 400 at least
+    where something is removed.  It tells of repeats that are too short for that.  Null and empty texts have no
+    bytes; texts count whole, however long; rows with equal or null ids each keep
+    a row, and repeated rows repeat their windows; there are no ties; an empty
+    table gives no rows; other columns are not read.
     """
     docs = B.replayable(docs)
     n = B.n_blocks(docs)
@@ -211,36 +349,48 @@ def remove_repeated_bytes(docs: DataFrame, text: bool = True) -> DataFrame:
         return send_rows(t, n)
 
     def windows(t: pa.Table, m: pa.Table) -> pa.Table:
-        h = [x[4] for x in _candidates(t, m, n)] if t.num_rows else []
-        return shorter(B.packs(B.block_of(t) or 0, np.concatenate([np.zeros(0, U), *h]), n))
+        return Windows(_found(t, m)[0]).sent(t["block"][0].as_py(), n) if t.num_rows else SENT.empty_table()
 
     def finish(t: pa.Table, m: pa.Table) -> pa.Table:
-        out = []
-        if t.num_rows:
-            found = [(lo, hi, p.data, p.off, i, h) for lo, hi, p, i, h in _candidates(t, m, n)]
-            keys, back = np.unique(np.concatenate([np.zeros(0, U), *(x[5] for x in found)]), return_inverse=True)
-            bits = [np.unpackbits(np.frombuffer(d, np.uint8, offset=4), count=int(np.frombuffer(d, np.uint32, 1)[0])) for d in _mail(m, 2)]
-            hit, at = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)[back] if len(keys) else np.zeros(0, bool), 0
-            for lo, hi, data, off, i, _ in found:
-                gone = spread(i[hit[at : at + len(i)]], WINDOW, len(data))
-                at += len(i)
-                for k in range(hi - lo):
-                    bad = gone[off[k] : off[k + 1]]
-                    whole = data[off[k] : off[k + 1]]
-                    kept = (whole[~bad] if bad.any() else whole).tobytes()
-                    spans = int(bad[:1].sum() + (bad[1:] & ~bad[:-1]).sum())
-                    out.append((t["doc_id"][lo + k].as_py(), len(bad), int(bad.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if text else None))
-        cols = list(zip(*out, strict=True)) or [()] * 6
-        names, kinds = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), [*[pa.int64()] * 4, pa.string(), pa.binary()]
-        return pa.table({k: pa.array(c, kind) for k, c, kind in zip(names, cols, kinds, strict=True)})
+        out: list[tuple] = []
+        found = _found(t, m)[0] if t.num_rows else []
+        if found:
+            w = Windows(found)
+            sizes = np.diff(np.searchsorted(B.bucket_of(w.keys[:, 0], n), np.arange(n + 1)))
+            bits = [np.unpackbits(np.frombuffer(r[1], np.uint8), count=int(sizes[r[0]])) for r in _got(m, BITS)]
+            hit, at = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)[w.back] if len(w.keys) else np.zeros(0, bool), 0
+        for lo, hi, p, i, _, sure, prefix, asked in found:
+            data, off, i_asked = p.data, p.off, i[asked]
+            gone = spread(np.concatenate([i[sure], i_asked[hit[at : at + len(i_asked)]]]), WINDOW, len(data))
+            at += len(i_asked)
+            longest = np.zeros(hi - lo, np.int64)
+            np.maximum.at(longest, p.doc, prefix)
+            longest[longest < LEAST] = 0
+            for k in range(hi - lo):
+                bad = gone[off[k] : off[k + 1]]
+                whole = data[off[k] : off[k + 1]]
+                kept = (whole[~bad] if bad.any() else whole).tobytes()
+                spans = int(bad[:1].sum() + (bad[1:] & ~bad[:-1]).sum())
+                out.append((t["doc_id"][lo + k].as_py(), len(bad), int(bad.sum()), spans, hashlib.sha256(kept).hexdigest(), max(int(longest[k]), WINDOW * (spans > 0)), kept if text else None))
+        cols = list(zip(*out, strict=True)) or [()] * len(NAMES)
+        return pa.table({k: pa.array(c, kind) for k, c, kind in zip(NAMES, cols, KINDS, strict=True)})
+
+    def refined(depth: int):
+        return lambda t, m: refine(t, m, depth)
 
     by = lambda d: d.groupBy("block")
-    post = lambda d: d.repartition(n, "block")
-    at = lambda d: d.repartition(n, "bucket").groupBy("bucket")
-    mail = post(at(by(dealt).applyInArrow(rows, B.PACK)).applyInArrow(merge, MAIL))
-    sent = by(dealt).cogroup(by(mail)).applyInArrow(windows, B.PACK)
-    mail = mail.unionByName(post(at(sent).applyInArrow(repeated, MAIL)))
-    return by(dealt).cogroup(by(mail)).applyInArrow(finish, RESULT)
+    post = lambda d: d.repartition(n, "to")
+    to = lambda d: d.groupBy("to")
+    first = post(to(post(by(dealt).applyInArrow(rows, MAIL))).applyInArrow(first_interleave, MAIL))
+    static, now = first.filter(f"kind = {STATIC}"), first.filter(f"kind = {STEP}")
+    for depth in range(2, ROUNDS + 1):
+        now = post(to(static).cogroup(to(now)).applyInArrow(refined(depth), MAIL))
+    mail = post(to(static).cogroup(to(now)).applyInArrow(answer, MAIL))
+    asks = post(by(dealt).cogroup(to(mail)).applyInArrow(opened, MAIL))
+    mail = mail.unionByName(post(to(static).cogroup(to(asks)).applyInArrow(wanted, MAIL)))
+    keys = by(dealt).cogroup(to(mail)).applyInArrow(windows, MAIL)
+    mail = mail.unionByName(post(to(post(keys)).applyInArrow(repeated, MAIL)))
+    return by(dealt).cogroup(to(mail)).applyInArrow(finish, RESULT)
 
 
 def op9_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
