@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import new_path, stored, table
 
 SLOTS = 8192
 SHARDS = 40
@@ -92,14 +92,24 @@ class SlotMap:
 
 
 def slot_of(n_slots: int = SLOTS) -> Column:
-    """The slot depends on doc_id alone, so that copies of a text spread; a null id takes its text's hash instead."""
-    return F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n_slots)).cast("int")
+    """A slot by hash of the record (``h``), and of its number among equal ones (``copy``)."""
+    h = F.when(F.col("copy") == 1, F.col("h")).otherwise(F.xxhash64("h", "copy"))
+    return F.pmod(F.xxhash64(h), F.lit(n_slots)).cast("int")
 
 
 def records(docs: DataFrame, n_slots: int = SLOTS) -> DataFrame:
+    """Sizes, checksums and slots, written once.
+
+    Rows with one doc_id spread by their texts.  Equal rows are numbered within
+    the partition that reads them, and the number is hashed as well: a row that a
+    third of the table repeats spreads over all slots, and none gathers in a task.
+    """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + F.lit(OVERHEAD)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return docs.select(F.col("doc_id"), size.alias("size"), crc.alias("text_crc32"), slot_of(n_slots).alias("virtual_slot"))
+    rows = docs.select(F.col("doc_id"), size.alias("size"), crc.alias("text_crc32"), F.xxhash64("doc_id", "text").alias("h"), F.spark_partition_id().alias("part"))
+    # Places change no one's result but that of equal rows, and the written table settles them for later steps.
+    copy = F.row_number().over(Window.partitionBy("part", "h").orderBy("text_crc32"))
+    return stored(rows.withColumn("copy", copy).select("doc_id", "size", "text_crc32", slot_of(n_slots).alias("virtual_slot")), "slot-records")
 
 
 def slot_weights(recs: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
@@ -108,19 +118,25 @@ def slot_weights(recs: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
     return {r.virtual_slot: r.b for r in got}, {r.virtual_slot: r.n for r in got}
 
 
-def shard_records(docs: DataFrame, shards: int = SHARDS, n_slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
+def shard_records(docs: DataFrame, shards: int = SHARDS, n_slots: int = SLOTS, path: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Each record's shard by the first version of the map, and that map.
 
     ``slot`` is a record's place in its shard, 0, 1, ... without gaps: virtual
     slots follow each other and doc_id orders the records of one.  Null texts
-    have no bytes; equal rows get places of their own; an empty table gives no
-    rows; other columns are not read.
+    have no bytes; equal rows get places of their own; records that tie in
+    doc_id, checksum and size are interchangeable; a text of any length is one
+    record; an empty table gives no rows; other columns are not read.  Both
+    versions of the map are stored under ``path`` (a new one in the shared
+    folder) and read from there.
     """
+    spark = docs.sparkSession
     recs = records(docs, n_slots)
     weight, counts = slot_weights(recs)
-    first = SlotMap.fit(weight, n_slots, shards)
-    then = first.grow(weight)
-    spark = docs.sparkSession
+    path = path or new_path(spark, "slot-maps")
+    made = SlotMap.fit(weight, n_slots, shards)
+    for version in (made, made.grow(weight)):
+        version.save(spark, path)
+    first, then = SlotMap.load(spark, path, 1), SlotMap.load(spark, path)
     # The maps have n_slots rows, a fixed number, so that broadcasting them is bounded.
     rows = first.rows(spark, counts).join(then.rows(spark, counts).select("virtual_slot", F.col("shard").alias("next_shard")), "virtual_slot")
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - F.lit(1)
