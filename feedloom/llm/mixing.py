@@ -2,9 +2,11 @@
 
 Rates r that stay closest to 1 in entropy, each document counted by its words,
 while every source's words meet its target, are exp(lambda of the source).  The
-convex dual, the sum of words * exp(lambda) - target * lambda, is solved by Newton
-steps whose gradients and curvatures are summed over the corpus in Spark.  Rates
-then become whole copies, so that each source's words follow its target.
+convex dual is the sum over sources of words * exp(lambda) - target * lambda.
+Every document has one source, so its Hessian is diagonal and the dual falls into
+one equation a source: all are solved at once, each by Newton steps in an
+expression over its own row of sums, and no source reaches the driver.  Rates then
+become whole copies, so that each source's words follow its target.
 """
 
 from __future__ import annotations
@@ -12,46 +14,52 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, stored, table
+from .shared import WORD, row_key, stored, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
+#: Newton steps of a source: it moves by 1 at most in each, and ends quadratically.
+STEPS = 60
 #: Parts of a source and size, so that one that many documents share is ordered by many tasks; rows in a part of the largest size at most.
 PARTS, ROWS_A_TASK = 64, 1 << 17
 
 
-def targets(sizes: dict, weights: dict, most: int = MOST) -> dict:
-    """Each source's share of all sizes by weight, at most ``most`` times its own; the excess is shared again by weight."""
-    left, open_, out = float(sum(sizes.values())), set(sizes), {}
-    while open_:
-        total = sum(weights[s] for s in open_)
-        over = {s for s in open_ if left * weights[s] / total > most * sizes[s]}
-        if not over:
-            out |= {s: left * weights[s] / total for s in open_}
-            break
-        out |= {s: float(most * sizes[s]) for s in over}
-        left -= sum(out[s] for s in over)
-        open_ -= over
-    return out
-
-
-def newton(cells: DataFrame, target: dict[int, float], steps: int = 60) -> dict[int, float]:
-    """lambda of each source: Newton steps on the dual, each with one aggregate over (source, size, n); from 0, at most 1 up a step."""
-    spark, lam = cells.sparkSession, dict.fromkeys(target, 0.0)
-    for _ in range(steps):
-        now = spark.createDataFrame([(k, float(v)) for k, v in lam.items()], "sid int, lam double")
-        got = cells.join(F.broadcast(now), "sid").groupBy("sid").agg(F.sum(F.col("n") * F.col("size") * F.exp("lam")).alias("g")).collect()
-        worst = 0.0
-        for r in got:
-            if r.g > 0:  # the gradient is g - target, the curvature g
-                lam[r.sid] += min(1.0, (target[r.sid] - r.g) / r.g)
-                worst = max(worst, abs(target[r.sid] - r.g) / max(target[r.sid], 1e-300))
-        if worst < 1e-10:
-            break
-    return lam
+def ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` with their rank by code point, null last: by ranges, so that any number of sources can be ranked."""
+    order = F.col("source").asc_nulls_last()
+    rows = stored(sources.orderBy(order).withColumn("pid", F.spark_partition_id()), "mix-sources")
+    before = rows.groupBy("pid").agg(F.count("*").alias("c"))  # a row for each partition
+    before = before.select("pid", (F.sum("c").over(Window.orderBy("pid")) - F.col("c")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("pid").orderBy(order))
+    return rows.withColumn("place", place).join(F.broadcast(before), "pid").withColumn("rank", F.col("before") + F.col("place") - F.lit(1)).drop("pid", "before", "place")
+
+
+def water_level(sources: DataFrame, most: int = MOST) -> float:
+    """What a weight of 1 gets when no source gets more than ``most`` times its own size ``s`` and the excess goes to the others by weight ``w``.
+
+    Raising the level caps more sources, so it is raised until it caps no more;
+    each round is a sum over the sources.  Infinite if all are capped.
+    """
+    total, level = None, 0.0
+    while True:
+        capped = F.col("w") * F.lit(level) > most * F.col("s")
+        got = sources.agg(F.sum("s").alias("t"), F.sum(F.when(~capped, F.col("w"))).alias("open"), F.coalesce(F.sum(F.when(capped, most * F.col("s"))), F.lit(0)).alias("gone")).first()
+        total = float(got.t or 0)
+        if got.open is None:
+            return math.inf
+        new = (total - got.gone) / got.open
+        if new <= level:
+            return level
+        level = new
+
+
+def newton(size: Column, target: Column, steps: int = STEPS) -> Column:
+    """lambda with size * exp(lambda) = target: the gradient is size * exp(lambda) - target, the curvature size * exp(lambda)."""
+    now = lambda x: size * F.exp(x)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda x, _: x + F.least(F.lit(1.0), (target - now(x)) / now(x)))
 
 
 def _extras(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -68,44 +76,64 @@ def _extras(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(extra=extra)[["sid", "size", "extra"]]
 
 
-def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Copies of each document so that sources come to their weights' shares.
+def shares(rows: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
+    """(source, sid, source_size, target, rate, n) of each source of ``rows`` (source, size, m)."""
+    per = ranked(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("s"), F.sum("m").alias("n")))
+    per = stored(per.withColumn("w", F.get(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights)).cast("int"))), "mix-ranks")
+    level = water_level(per, most)
+    own = (F.lit(most) * F.col("s")).cast("double")
+    per = per.withColumn("target", own if math.isinf(level) else F.least(F.col("w") * F.lit(level), own))
+    rate = F.when(F.col("s") > 0, F.least(F.lit(float(most)), F.exp(newton(F.col("s").cast("double"), F.col("target"))))).otherwise(F.lit(1.0))
+    return stored(per.select("source", F.col("rank").alias("sid"), F.col("s").alias("source_size"), "target", rate.alias("rate"), "n"), "mix-shares")
 
-    ``docs`` needs doc_id, text and source; a null source is one of its own, last
-    in order.  A size is the number of words, 0 for a null text; documents
-    without words take nothing and keep one copy.  Returns doc_id, source, size,
-    source_size, target, rate, copies and taken = copies * size.  Copies are the
-    rate rounded down or up, so ``most`` at most; ties are broken by hashes of
-    doc_id, so reruns agree.  The number of sources must fit the driver.
+
+def mixed_rows(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, key: list[str] | None = None) -> DataFrame:
+    """Equal rows together: doc_id, a and b (hashes of the ``key`` columns), m of them, and ``total``, the copies that they come to.
+
+    Also source, size, source_size, target and rate.  Rows are counted within
+    the partition that reads them, so a row that a third of the table repeats is
+    one row a partition here.
     """
-    spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", "text").alias("h")), "mix-sizes")
-    per = rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
-    names = sorted((r.source for r in per if r.source is not None), key=lambda s: s.encode()) + [None] * any(r.source is None for r in per)
-    sid = {s: i for i, s in enumerate(names)}
-    total = {sid[r.source]: r.s for r in per}
-    target = targets(total, {i: weights[i % len(weights)] for i in total}, most)
-    ids = spark.createDataFrame([(s, i, total[i], target[i]) for s, i in sid.items()], "source string, sid int, source_size long, target double")
-    # One row a source, which the driver holds already.
-    rows = rows.withColumnRenamed("source", "name").join(F.broadcast(ids), F.col("name").eqNullSafe(F.col("source"))).drop("name")
-    cells = stored(rows.groupBy("sid", "size").agg(F.count("*").alias("n")), "mix-cells")
-    lam = newton(cells, target)
-    rates = spark.createDataFrame([(i, min(float(most), math.exp(x)) if total[i] else 1.0) for i, x in lam.items()], "sid int, rate double")
-    extras = cells.join(F.broadcast(rates), "sid").groupBy("sid").applyInPandas(_extras, "sid int, size long, extra long")
-    parts = max(PARTS, math.ceil(sum(r.n for r in per) / ROWS_A_TASK))
+    a, b = row_key(*(key or ["doc_id", "text", "source"]))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), a.alias("a"), b.alias("b"), F.spark_partition_id().alias("pid"))
+    rows = stored(rows.groupBy(*rows.columns).agg(F.count("*").alias("m")), "mix-sizes")
+    per = shares(rows, weights, most)
+    count = per.agg(F.sum("n")).first()[0]
+    if not count:
+        return rows.select("*", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(1.0).alias("rate"), F.lit(0).cast("long").alias("total"))
+    rows = rows.withColumnRenamed("source", "name").join(per.drop("n"), F.col("name").eqNullSafe(F.col("source"))).drop("name")
+    cells = rows.groupBy("sid", "size", "rate").agg(F.sum("m").alias("n"))
+    extras = stored(cells.groupBy("sid").applyInPandas(_extras, "sid long, size long, extra long"), "mix-extras")
     # A size that a third of all rows share is dealt into parts by hash; each part gets its portion of the size's extra copies.
-    rows = rows.withColumn("part", F.pmod(F.shiftright("h", 20), F.lit(parts)))
-    portion = rows.groupBy("sid", "size", "part").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("a", "pid"), F.lit(max(PARTS, math.ceil(count / ROWS_A_TASK)))))
+    portion = rows.groupBy("sid", "size", "part").agg(F.sum("m").alias("n"))
     up_to = F.sum("n").over(Window.partitionBy("sid", "size").orderBy("part"))
     of_all = F.sum("n").over(Window.partitionBy("sid", "size"))
     portion = portion.withColumns({"upto": up_to, "of": of_all}).join(extras, ["sid", "size"])
     portion = portion.select("sid", "size", "part", (F.expr("(upto * extra) div of") - F.expr("((upto - n) * extra) div of")).alias("extra"))
-    place = F.row_number().over(Window.partitionBy("sid", "size", "part").orderBy("h", "doc_id"))
-    out = rows.withColumn("place", place).join(portion, ["sid", "size", "part"]).join(F.broadcast(rates), "sid")
-    copies = (F.floor(F.col("rate") + F.lit(1e-9)) + (F.col("place") <= F.col("extra")).cast("long")).cast("long")
-    copies = F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(copies)
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "h")
+    before = F.sum("m").over(Window.partitionBy("sid", "size", "part").orderBy("a", "b", "pid")) - F.col("m")
+    out = rows.withColumn("before", before).join(portion, ["sid", "size", "part"])
+    more = F.least(F.col("m"), F.greatest(F.lit(0), F.col("extra") - F.col("before")))
+    total = F.when(F.col("size") == 0, F.col("m")).otherwise(F.floor(F.col("rate") + F.lit(1e-9)) * F.col("m") + more)
+    return out.select("doc_id", "source", "size", "a", "b", "pid", "m", "source_size", "target", "rate", total.cast("long").alias("total"))
+
+
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
+    """Copies of each document so that sources come to their weights' shares.
+
+    ``docs`` needs doc_id, text and source; a null source is one of its own, last
+    in order; other columns are not read.  A size is the number of words of the
+    whole text, 0 for a null or empty one; documents without words take nothing
+    and keep one copy.  Returns doc_id, source, size, source_size, target, rate,
+    copies and taken = copies * size, a row for each row of ``docs``.  Copies are
+    the rate rounded down or up, so ``most`` at most; ties are broken by hashes
+    of the row, so reruns agree, and of equal rows any may have a copy more.  An
+    empty table gives no rows.
+    """
+    rows = mixed_rows(docs, weights, most).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - F.lit(1))))
+    copies = F.expr("total div m") + (F.col("i") < F.expr("total % m")).cast("long")
+    return rows.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
