@@ -2,8 +2,9 @@
 
 The tree is fitted on a bounded sample and every vector is put into a leaf.  A
 query visits leaves best bin first: a priority queue holds the branches not yet
-taken, by the inner product with their centroids.  Leaf visits widen until, for
-queries set apart for it, recall against brute force reaches the goal.
+taken, by their centroids' inner product with it, or by their distance.  Leaf
+visits widen until, for queries set apart for it, recall against brute force
+reaches the goal; of the two orders the one that gets there sooner is used.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from .shared import stored, table
 
 #: Vectors to fit the tree on, and queries to calibrate with, at most: those with the smallest hashes of vec_id.
 FIT, PROBES = 20_000, 400
-BRANCH, LEAF = 8, 128
+#: Vectors that a leaf should get of all, and of the fitted ones at least.
+BRANCH, LEAF, LEAST_LEAF = 8, 128, 8
 GOAL = 0.95
 TOP, EVERY = 20, 20
 #: Vectors, and queries, that meet in one task.
@@ -46,6 +48,8 @@ class Tree:
                 self.kids[node].append(len(self.centre) - 1)
                 todo.append((len(self.centre) - 1, rows[part == k]))
         self.centre = np.array(self.centre)
+        self.half = (self.centre * self.centre).sum(1) / 2
+        self.none = np.zeros(len(self.centre))
 
     @staticmethod
     def _split(x: np.ndarray, k: int, rng) -> np.ndarray | None:
@@ -72,16 +76,16 @@ class Tree:
             todo += [(kid, rows[best == j]) for j, kid in enumerate(self.kids[node]) if (best == j).any()]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """Up to ``most`` leaves, best bin first."""
-        queue, out = [(0.0, 0)], []
+    def visits(self, q: np.ndarray, most: int, near: bool = False) -> list[int]:
+        """Up to ``most`` leaves, best bin first: by inner product, or by distance if ``near``."""
+        queue, out, less = [(0.0, 0)], [], self.half if near else self.none
         while queue and len(out) < most:
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
                 continue
             kids = self.kids[node]
-            for s, kid in zip((self.centre[kids] @ q).tolist(), kids, strict=True):
+            for s, kid in zip((self.centre[kids] @ q - less[kids]).tolist(), kids, strict=True):
                 heapq.heappush(queue, (-s, kid))
         return out
 
@@ -156,42 +160,48 @@ def shared_value(df: DataFrame, value):
 def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, goal: float = GOAL, info: dict | None = None) -> DataFrame:
     """Each query's nearest vectors found: query_id, rank, vec_id, score (inner product).
 
-    Both inputs need vec_id and embedding, arrays of one length.  Vectors that
-    are null, zero or hold null or non-finite components take no part; a vector
-    never finds its own vec_id; ties go to the smaller id, whatever the block.
-    ``info`` receives the leaves, the visits chosen and the recall measured.
+    Both inputs need vec_id and embedding, arrays of floats or doubles; other
+    columns are not read.  Vectors that are null, zero, of another length than
+    most, or hold null or non-finite components take no part; a vector never
+    finds its own vec_id; ties go to the smaller id, whatever the block; of rows
+    that repeat a vec_id each is searched, and a query's list has an id once for
+    each score.  Empty inputs give no rows.  The tree's leaves grow in number with the vectors, as far
+    as the fitted ones allow.  ``info`` receives the leaves, the visits chosen
+    and the recall measured.
     """
     spark, info = vectors.sparkSession, {} if info is None else info
-    pick = lambda df: df.filter(F.col("vec_id").isNotNull() & usable()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = f"array<{element if element in ('float', 'double') else 'double'}>"
+    pick = lambda df: df.filter(F.col("vec_id").isNotNull() & usable()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     vectors, queries = pick(vectors), pick(queries)
+    sizes = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    if sizes is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    vectors, queries = (df.filter(F.size("embedding") == sizes["d"]) for df in (vectors, queries))
     first = lambda df, n: df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n)
     sample = matrix(first(vectors, FIT).select("embedding").toArrow()["embedding"])
-    if not len(sample):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree = Tree(sample)
+    tree = Tree(sample, leaf=max(LEAST_LEAF, min(LEAF, LEAF * len(sample) // sizes["count"])))
     held = shared_value(vectors, tree)
 
     def put(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(held.value.assign(matrix(b.column(1))), pa.int32())], ["vec_id", "embedding", "leaf"])
 
-    placed = stored(vectors.mapInArrow(put, "vec_id long, embedding array<float>, leaf int"), "ann-leaves")
+    placed = stored(vectors.mapInArrow(put, f"vec_id long, embedding {kind}, leaf int"), "ann-leaves")
     probes = first(queries, PROBES)
     truth = brute(probes, placed, top).select("query_id", F.explode("found.id").alias("vec_id")).join(placed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").toPandas()
     got = probes.toArrow()
-    order = {i: {leaf: r for r, leaf in enumerate(tree.visits(x, tree.leaves))} for i, x in zip(got["vec_id"].to_pylist(), matrix(got["embedding"]), strict=True)}
-    ranks = np.array([order[i][leaf] for i, leaf in zip(truth["query_id"], truth["leaf"], strict=True)])
-    visits = min(4, tree.leaves)
-    while visits < tree.leaves and len(ranks) and (ranks < visits).mean() < goal:
-        visits = min(tree.leaves, visits + max(1, visits // 8))
-    info |= {"leaves": tree.leaves, "visits": visits, "recall": float((ranks < visits).mean()) if len(ranks) else 1.0}
-
-    def go(batches):
-        for b in batches:
-            leaves = [held.value.visits(x, visits) for x in matrix(b.column(1))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaves, pa.list_(pa.int32()))], ["vec_id", "embedding", "leaf"])
+    visits, near, recall = tree.leaves + 1, False, 1.0
+    for by_distance in (False, True):
+        order = {i: {leaf: r for r, leaf in enumerate(tree.visits(x, tree.leaves, by_distance))} for i, x in zip(got["vec_id"].to_pylist(), matrix(got["embedding"]), strict=True)}
+        ranks = np.array([order[i][leaf] for i, leaf in zip(truth["query_id"], truth["leaf"], strict=True)])
+        n = min(4, tree.leaves)
+        while n < tree.leaves and len(ranks) and (ranks < n).mean() < goal:
+            n = min(tree.leaves, n + max(1, n // 8))
+        if n < visits:
+            visits, near, recall = n, by_distance, float((ranks < n).mean()) if len(ranks) else 1.0
+    info |= {"leaves": tree.leaves, "visits": visits, "near": near, "recall": recall}
 
-    sent = queries.mapInArrow(go, "vec_id long, embedding array<float>, leaf array<int>")
     # Leaves that follow each other share a bin of CHUNK vectors; one with more has several, by hash.  A row for each leaf reaches the driver.
     plan, now, full = [], 0, 0
     for leaf, n in sorted((r.leaf, r.n) for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()):
@@ -202,9 +212,25 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, goal: float =
         full += n
         if many > 1:
             now, full = now + many, 0
+    bins = {leaf: range(bin_, bin_ + many) for leaf, bin_, many in plan}
+
+    def go(batches):
+        """A row for each bin that a query goes to, with the leaves that it visits there."""
+        for b in batches:
+            rows, at, leaves = [], [], []
+            for i, x in enumerate(matrix(b.column(1))):
+                there: dict[int, list[int]] = {}
+                for leaf in held.value.visits(x, visits, near):
+                    for bin_ in bins.get(leaf, ()):
+                        there.setdefault(bin_, []).append(leaf)
+                rows += [i] * len(there)
+                at += there.keys()
+                leaves += there.values()
+            of = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column(0).take(of), b.column(1).take(of), pa.array(leaves, pa.list_(pa.int32()))], ["bin", "vec_id", "embedding", "leaf"])
+
+    visits_to = stored(queries.mapInArrow(go, f"bin int, vec_id long, embedding {kind}, leaf array<int>"), "ann-visits")
     plan = F.broadcast(spark.createDataFrame(plan, "leaf int, bin int, many int"))
-    visits_to = sent.withColumn("leaf", F.explode("leaf")).join(plan, "leaf").withColumn("bin", F.explode(F.sequence(F.col("bin"), F.col("bin") + F.col("many") - 1)))
-    visits_to = visits_to.groupBy("bin", "vec_id").agg(F.any_value("embedding").alias("embedding"), F.collect_set("leaf").alias("leaf"))
     # A bin's queries come in parts as well, and its vectors to each part.
     parts = F.broadcast(visits_to.groupBy("bin").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("qn")))
     part = F.pmod(F.xxhash64("vec_id"), F.col("qn")).cast("int")
