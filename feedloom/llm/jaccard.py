@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .components import components
-from .shared import stored, table
+from .shared import row_key, stored, table
 from .textops import LOWER, Prefix, U, Words, buffers, mix, pieces
 
 WORDS, PERCENT = 4, 85
@@ -171,15 +171,18 @@ def _u64(x) -> np.ndarray:
     return np.frombuffer(x, U)
 
 
-def row_key() -> Column:
+def key_of() -> Column:
     """Tells rows apart whose ids repeat or are null."""
-    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+    a, b = row_key("doc_id", "text")
+    return F.struct(a.alias("a"), b.alias("b"))
 
 
 def classes(docs: DataFrame, words: int, n: int, keyed: bool = False) -> DataFrame:
     """(doc_id, n, sig, block) of every row, and its key; no text is shuffled for it."""
     keys = ["key"] if keyed else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(row_key(), F.lit(n)).cast("int").alias("block"), *(row_key().alias(k) for k in keys))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    if keyed:
+        rows = rows.withColumn("key", key_of())
 
     def run(batches):
         for b in batches:
@@ -187,7 +190,7 @@ def classes(docs: DataFrame, words: int, n: int, keyed: bool = False) -> DataFra
                 s = Sets(b.column(1).slice(lo, hi - lo), words)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(s.n, pa.int64()), pa.array(s.sig, pa.binary()), *(c.slice(lo, hi - lo) for c in b.columns[2:])], ["doc_id", "n", "sig", "block", *keys])
 
-    return rows.mapInArrow(run, "doc_id long, n long, sig binary, block int" + (", key long" if keyed else ""))
+    return rows.mapInArrow(run, "doc_id long, n long, sig binary, block int" + (", key struct<a: long, b: long>" if keyed else ""))
 
 
 def candidates(docs: DataFrame, reps: DataFrame, words: int, percent: int, n: int) -> DataFrame:
@@ -299,7 +302,9 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key
     Null and empty texts have no shingles and are alone; texts of fewer than
     ``words`` words have one; equal texts are linked; rows with equal ids are
     judged by their texts; other columns are not read.  ``keyed`` adds each row's
-    key and head, the key of its component's first row: by doc_id, null ones last.
+    key (two hashes of doc_id and text) and head, the key of its component's first
+    row: by doc_id, null ones last.  Of texts any length counts whole; an empty
+    table gives no rows; ties have no choice to make, as links are symmetric.
     """
     docs = B.replayable(docs)
     n = B.n_blocks(docs)

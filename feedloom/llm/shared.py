@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share, ``spark.checkpoint.dir``; where it is unset, a temporary one, but only if driver and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="feedloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -36,6 +39,22 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key(*cols: str) -> list[Column]:
+    """Two hashes of some columns that tell rows apart: 128 bits together."""
+    return [F.xxhash64(*cols), F.xxhash64(F.lit("again"), *reversed(cols))]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each made longer until no column of ``df`` has it."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the input's size; it never runs a job for tables in files."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
