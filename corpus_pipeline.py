@@ -7,47 +7,56 @@ as doc_id, text and source are among them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm import decontaminate, jaccard, mixing, token_files, toxicity
-from feedloom.llm.shared import stored, table
+from feedloom.llm.shared import row_key, stored, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more go; null and empty texts stay."""
+    """Documents scored 0.5 or more go; null and empty texts stay, repeated rows share their fate, an empty table stays empty."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, ("_score", "_offending")).filter("_score < 0.5").select(*docs.columns)
+    score, offending = unused(docs, "score", "offending")
+    return toxicity.score(docs, model, (score, offending)).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group by 5-word shingles and a similarity of 0.8, the row of least doc_id stays, one without an id if none has one; equal rows are one."""
+    """Of each group by 5-word shingles and a similarity of 0.8, the row of least doc_id stays, one without an id if none has one.
+
+    Rows that are equal in doc_id and text are one; texts without words are in no group.
+    """
     groups = stored(jaccard.near_groups(docs, words=5, percent=80, keyed=True), "near-groups")
-    gone = groups.filter("key <> head").select(F.col("key").alias("_key")).distinct()
-    out = docs.join(gone, jaccard.row_key() == F.col("_key"), "left_anti").select(*docs.columns)
-    again = groups.filter("key = head").groupBy("key").count().filter("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if again else out
+    a, b = unused(docs, "a", "b")
+    gone = groups.filter("key <> head").select(F.col("key.a").alias(a), F.col("key.b").alias(b)).distinct()
+    rows = docs.withColumns(dict(zip((a, b), row_key("doc_id", "text"), strict=True)))
+    # Equal rows meet in map-side aggregates before the exchange; the join reads the same partitions.
+    return rows.dropDuplicates([a, b]).join(gone, [a, b], "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark item's window go."""
-    key = F.xxhash64("doc_id", "text")
-    bad = decontaminate.contamination(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    bad = bad.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(bad, key == F.col("_key"), "left_anti").select(*docs.columns)
+    """Documents with a benchmark item's window go; null and empty texts have none, repeated rows share their fate."""
+    a, b = unused(docs, "a", "b")
+    keys = row_key("doc_id", "text")
+    bad = decontaminate.contamination(docs.select(F.struct(*keys).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = bad.filter("contaminated").select("doc_id.*").toDF(a, b).distinct()
+    return docs.withColumns(dict(zip((a, b), keys, strict=True))).join(bad, [a, b], "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once, or up to three times."""
-    taken = mixing.mixed(docs).groupBy("h").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies")).withColumnRenamed("h", "_key")
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    rows = rows.join(taken, "_key").withColumn("_n", F.get("_copies", F.col("_place") - 1)).filter("_n > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*docs.columns)
+    """Each document as often as the mix takes it: not at all, once, or up to three times; those without words stay once.
+
+    Rows that are equal in all columns are one row times their copies.
+    """
+    a, b, total = unused(docs, "a", "b", "total")
+    taken = mixing.mixed_rows(docs, key=docs.columns).groupBy("a", "b").agg(F.sum("total").alias(total)).filter(F.col(total) > 0).withColumnsRenamed({"a": a, "b": b})
+    rows = docs.withColumns(dict(zip((a, b), row_key(*docs.columns), strict=True))).dropDuplicates([a, b])
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col(total))).alias(total)
+    return rows.join(taken, [a, b]).select(*docs.columns, times).select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in the shared folder; returns doc_id, start, n_tokens and ids_crc32 as read from them."""
+    """Token files in the shared folder; returns doc_id, start, n_tokens and ids_crc32 as read from them; null and empty texts are the end id alone."""
     return token_files.encoded(docs, ids=False)
 
 
