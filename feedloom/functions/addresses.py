@@ -7,6 +7,7 @@ from .names import fold_name
 
 #: Words that begin a room.
 ROOMS = ("room", "rooms", "conference room", "suite", "floor", "studio", "hall", "lobby", "auditorium")
+#: Dashes between a venue and a room, in the order in which they are tried.
 DASHES = ("\u2013", "\u2014", " - ")
 
 
@@ -28,7 +29,7 @@ def room_segment(c: Column) -> Column:
 
 def split_flat_address(c: Column) -> Column:
     """struct(address, city, state, zip) of a tail such as ``1 Main St, Town, TX 77001, USA``."""
-    parts = F.filter(F.transform(F.split(c, ","), lambda s: F.trim(s)), lambda s: (s != "") & ~s.isin("USA", "US"))
+    parts = F.filter(F.transform(F.split(c, ","), lambda s: F.trim(s)), lambda s: (s != "") & ~F.upper(s).isin("USA", "US"))
     tokens = F.split(F.coalesce(F.get(parts, 2), F.lit("")), " +")
     state = F.get(F.filter(tokens, lambda t: t.rlike("^[A-Z]{2}$")), 0)
     zips = F.filter(tokens, lambda t: t.rlike("^[0-9].{4}$"))

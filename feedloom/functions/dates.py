@@ -15,6 +15,11 @@ def to_rfc3339(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def instant(c: Column) -> Column:
+    """A stored instant; an empty one is absent."""
+    return F.try_to_timestamp(F.nullif(c, F.lit("")), F.lit("yyyy-MM-dd'T'HH:mm:ssX"))
+
+
 def local(c: Column, zone: str = ZONE) -> Column:
     """UTC to the zone's wall clock."""
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), c.cast("timestamp_ntz"))

@@ -1,7 +1,11 @@
-"""Excerpts of descriptions."""
+"""Excerpts of descriptions, and entities."""
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Characters that take no room.
 INVISIBLE = "\u200b\u200c\u200d\ufeff\u00ad"
@@ -59,3 +63,30 @@ def excerpt(c: Column) -> Column:
 
 def display_cut(c: Column, n: int) -> Column:
     return F.when(F.char_length(c) > n, F.concat(F.left(c, F.lit(n - 1)), F.lit("\u2026"))).otherwise(c)
+
+
+@F.pandas_udf(StringType())
+def html_unescape(x: pd.Series) -> pd.Series:
+    """Entities, named and numeric, as characters: the standard library's table, in Arrow batches."""
+    return x.map(html.unescape, na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def unescape_all(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: [t and html.unescape(t) for t in v], na_action="ignore")
+
+
+def map_query(name: Column, address: Column, city: Column, state: Column, zip_: Column) -> Column:
+    """What a map is asked for: the parts of a place that there are; null without an address."""
+    return F.when(F.coalesce(address, F.lit("")) != "", F.concat_ws(", ", *(F.nullif(c, F.lit("")) for c in (name, address, city, state, zip_))))
+
+
+def place_label(venue: Column, room: Column) -> Column:
+    """A venue, and its room if it has one; null without a venue."""
+    return F.when(F.coalesce(venue, F.lit("")) != "", F.concat_ws(" \u2014 ", venue, F.nullif(room, F.lit(""))))
+
+
+def venues_label(names: Column, n: int = 46) -> Column:
+    """What a feed said about a place, in a line: one name, or the building and the room, cut."""
+    last, first = F.try_element_at(names, F.lit(-1)), F.get(names, F.lit(0))
+    return display_cut(F.when(F.coalesce(F.size(names), F.lit(0)) <= 0, F.lit("")).when(F.size(names) == 1, first).otherwise(F.concat(last, F.lit(" / "), first)), n)

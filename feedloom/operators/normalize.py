@@ -1,7 +1,8 @@
 """From raw records to events: resolve, cluster, merge, reject.
 
 Records: source_key, upstream_id, organizers (array of names), title, start,
-end, url, excerpt, virtual, venue.  Absent values are null.
+end, all_day, url, register_url, excerpt, virtual, venue (see ``EVENT``).
+Absent values are null.
 """
 
 from __future__ import annotations
@@ -19,6 +20,21 @@ def claimed_names(entities: DataFrame, slug: str, names: Column, position: str)
     return rows.groupBy("key").agg(F.min_by("slug", F.struct("_at", "_nth")).alias("slug"))
 
 
+def enabled(sources: DataFrame) -> DataFrame:
+    """Sources that a run asks."""
+    return sources.filter("enabled")
+
+
+def of_successful(records: DataFrame, status: DataFrame) -> DataFrame:
+    """Records of sources without an error: a failed source brings nothing, which is not the same as an empty list."""
+    return records.join(status.filter("error is null").select("source_key"), "source_key", "left_semi")
+
+
+def merged_away(records: int, events: int, rejected: int) -> int:
+    """Records that merges have taken up."""
+    return records - events - rejected
+
+
 def with_sources(raw: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records joined with their source (kind, priority, owner), and the records of none as problems."""
     joined = raw.join(sources.select(F.col("url").alias("source_key"), "kind", "priority", F.col("group_slug").alias("owner")), "source_key", "left")
@@ -42,16 +58,18 @@ def with_entities(records: DataFrame, cluster: list[str], source: str, row: list
     return records.join(most, cluster).withColumn("entity", F.when(~F.col("mergeable"), F.struct(*row)))
 
 
-def merge_records(records: DataFrame, cluster: list[str], order: list[str], winner: list[str], filled: list[str], any_of: list[str] = (), source: str = "fingerprint") -> DataFrame:
+def merge_records(records: DataFrame, cluster: list[str], order: list[str], winner: list[str], filled: list[str], any_of: list[str] = (), source: str = "fingerprint", best: dict[str, list[str]] | None = None) -> DataFrame:
     """One row for each cluster and entity, by priority.
 
     ``winner`` columns come from the first record in ``order``; ``filled`` ones
-    from the first that has them; ``any_of`` are true if one is.  ``sources``
-    lists the fingerprints in order: one for each source, so a short list.
+    from the first that has them, ``best`` ones from the first by orders of their
+    own; ``any_of`` are true if one is.  ``sources`` lists the fingerprints in
+    order: one for each source, so a short list.
     """
     by = F.struct(*order)
     aggs = [F.min_by(c, by).alias(c) for c in winner]
     aggs += [F.min_by(c, F.when(F.col(c).isNotNull(), by)).alias(c) for c in filled]
+    aggs += [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*own))).alias(c) for c, own in (best or {}).items()]
     aggs += [F.bool_or(c).alias(c) for c in any_of]
     sources = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(source).alias("_fp")))), lambda s: s["_fp"])
     return records.groupBy(*cluster, "entity").agg(*aggs, sources.alias("sources")).drop("entity")
@@ -63,8 +81,13 @@ def without_rejects(events: DataFrame, rejects: DataFrame, key: str = "fingerpri
     return events.join(bad, key, "left_anti"), events.join(bad, key, "left_semi")
 
 
-def normalize(raw: DataFrame, sources: DataFrame, groups: DataFrame, rejects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(events, rejected, problems) of one run; see the steps above."""
+def normalize(raw: DataFrame, sources: DataFrame, groups: DataFrame, rejects: DataFrame, venues: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, rejected, problems) of one run; see the steps above.
+
+    With ``venues``, the curated ones, records have an array ``venues`` instead
+    of a venue: it is resolved, a curated venue of any record beats one that is
+    not, its room comes with it, and a group's usual venue fills in.
+    """
     records, problems = with_sources(raw, sources)
     names = F.concat(F.array("slug", "name"), F.coalesce("aliases", F.array().cast("array<string>")))
     records = resolve_groups(records, claimed_names(groups, "slug", names, "pos"), ["source_key", "upstream_id"])
@@ -73,7 +96,18 @@ def normalize(raw: DataFrame, sources: DataFrame, groups: DataFrame, rejects: Da
     records = records.join(known, "group_slug").withColumn("fingerprint", fingerprint(F.col("kind"), F.col("upstream_id")))
     records = with_entities(records, ["group_slug", "start"], "source_key", ["source_key", "upstream_id"])
     order = ["priority", "upstream_id", "source_key"]
-    events = merge_records(records, ["group_slug", "start"], order, ["fingerprint", "title", "all_day", "category"], ["end", "url", "register_url", "excerpt", "venue"], ["virtual"])
+    cluster, winner, filled = ["group_slug", "start"], ["fingerprint", "title", "all_day", "category"], ["end", "url", "register_url", "excerpt"]
+    if venues is None:
+        events = merge_records(records, cluster, order, winner, [*filled, "venue"], ["virtual"])
+    else:
+        from .venues import curated_keys, default_venues, resolve_venues
+
+        curated = curated_keys(venues)
+        records = resolve_venues(records, curated, ["source_key", "upstream_id"]).withColumn("uncurated", ~F.col("place.curated"))
+        events = merge_records(records, cluster, order, winner, filled, ["virtual"], best={"place": ["uncurated", *order]})
+        events = default_venues(events, groups, curated)
+        events = events.withColumns({"venue": F.col("place.venue"), "room": F.col("place.room")}).drop("place")
+        events = events.withColumn("categories", F.when(F.col("category").isNotNull(), F.array("category"))).drop("category")
     kept, gone = without_rejects(events, rejects)
     return kept, gone, problems.unionByName(lost)
 

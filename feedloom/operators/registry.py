@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import fold_name
 
+#: The pattern of slugs, and the kinds of sources.
 SLUG = "^[a-z0-9]+(-[a-z0-9]+)*$"
 KINDS = ("tribe", "ics", "html", "bevy")
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
 
+FEED = """generated_at string, preview boolean, events array<struct<id: string, title: string, excerpt: string, start: string, end: string, all_day: boolean, group: struct<slug: string, name: string, url: string>,
+venue: struct<name: string, address: string, city: string, state: string, zip: string, url: string>, room: string, url: string, register_url: string, categories: array<string>, virtual: boolean, sources: int, pending: boolean>>"""
+
 
 def upcoming(events: DataFrame, since: Column, statuses: tuple[str, ...] = ("published",), start: str = "start", status: str = "status") -> DataFrame:
     """Events of the statuses from an instant on, to the second."""
@@ -15,11 +20,98 @@ def upcoming(events: DataFrame, since: Column, statuses: tuple[str, ...] = ("pub
 
 def feed_json(events: DataFrame, generated_at: Column, preview: bool = False) -> DataFrame:
     """One row: the feed as JSON, absent values left out.  The feed is what one page shows, so it fits a row."""
-    ordered = F.array_sort(F.collect_list(F.struct("start", "id", *(c for c in events.columns if c not in ("start", "id")))))
-    body = F.to_json(F.struct(generated_at.alias("generated_at"), F.when(F.lit(preview), F.lit(True)).alias("preview"), F.col("e").alias("events")))
+    ordered = F.array_sort(F.collect_list(F.struct("start", "id", F.struct(*events.columns).alias("e"))), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
+    at = dates.to_rfc3339(generated_at.cast("timestamp_ntz"))
+    body = F.to_json(F.struct(at.alias("generated_at"), F.when(F.lit(preview), F.lit(True)).alias("preview"), F.transform("e", lambda x: x["e"]).alias("events")))
     return events.agg(ordered.alias("e")).select(body.alias("body"))
 
 
+def wire(events: DataFrame, groups: DataFrame) -> DataFrame:
+    """What goes out of an event, named one by one: nothing that is added elsewhere becomes public by itself.
+
+    Absent values are null, as are false flags and empty lists; a group that the
+    registry no longer has goes by its slug.
+    """
+    names = groups.select(F.col("slug").alias("group_slug"), F.col("name").alias("_name"), F.col("url").alias("_url"))
+    true = lambda c: F.when(c, F.lit(True))
+    group = F.struct(F.col("group_slug").alias("slug"), F.coalesce(F.nullif("_name", F.lit("")), "group_slug").alias("name"), F.col("_url").alias("url"))
+    return events.join(names, "group_slug", "left").select(
+        F.col("fingerprint").alias("id"), "title", "excerpt", dates.to_rfc3339(F.col("start")).alias("start"), dates.to_rfc3339(F.col("end")).alias("end"), true(F.col("all_day")).alias("all_day"),
+        group.alias("group"), F.when(F.col("venue.name").isNotNull(), F.col("venue")).alias("venue"), "room", "url", "register_url", F.when(F.size("categories") > 0, F.col("categories")).alias("categories"),
+        true(F.col("virtual")).alias("virtual"), F.nullif(F.size("sources"), F.lit(0)).alias("sources"), true(F.col("status") == "pending").alias("pending"),
+    )
+
+
+def indented(body: str) -> str:
+    """A feed as a file has it: indented, with a line's end."""
+    return json.dumps(json.loads(body), indent=2, ensure_ascii=False) + "\n"
+
+
+def read_feed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The first of some feed files that is there, as one row; a file that is no feed is an error."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            return spark.read.schema(FEED).option("mode", "FAILFAST").json(path, multiLine=True)
+    raise FileNotFoundError(", ".join(paths))
+
+
+def with_venues(events: DataFrame, venues: DataFrame, key: str = "venue_id") -> DataFrame:
+    """Events and their venues' columns, empty texts where there is none."""
+    cols = [c for c in venues.columns if c != key]
+    out = events.join(venues, key, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in cols})
+
+
+def with_provenance(events: DataFrame, fingerprints: DataFrame, sources: DataFrame, key: str = "event_id") -> DataFrame:
+    """Events with ``sources``: their feeds' records, by priority and fingerprint."""
+    rows = fingerprints.join(sources.select("source_id", "url", "priority"), "source_id")
+    item = F.struct("priority", "fingerprint", F.col("url").alias("source_key"))
+    return events.join(rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("sources")), key, "left")
+
+
+def with_categories(events: DataFrame, categories: DataFrame, key: str = "event_id") -> DataFrame:
+    """Events with ``categories``: names in order."""
+    named = F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"])
+    return events.join(categories.groupBy(key).agg(named.alias("categories")), key, "left")
+
+
+def without_groups(events: DataFrame, hidden: DataFrame, group: str = "group_slug") -> DataFrame:
+    """Events of groups that nobody hides."""
+    return events.join(hidden.select(group).distinct(), group, "left_anti")
+
+
+def stale(hidden: DataFrame, events: DataFrame, group: str = "group_slug") -> DataFrame:
+    """Hidden groups that have no events any more: a set difference."""
+    return hidden.select(group).subtract(events.select(group))
+
+
+def day_events(events: DataFrame, start: str = "start", order: tuple[str, ...] = ("fingerprint",)) -> DataFrame:
+    """A row for each local day with its heading and its events, in order of start."""
+    day = dates.local(F.col(start)).cast("date")
+    item = F.struct(F.col(start), *order, *(c for c in events.columns if c != start and c not in order))
+    out = events.groupBy(day.alias("day")).agg(F.array_sort(F.collect_list(item)).alias("events"))
+    return out.withColumn("heading", dates.day_label(F.col("day")))
+
+
+def first_day_from(days: DataFrame, targets: DataFrame, key: str = "day") -> DataFrame:
+    """Of each target the first day on it or after; null if none is left.  Days are sorted ranges: a day serves the targets since the one before."""
+    w = Window.orderBy("day")  # a calendar's days: some hundreds, whatever the events
+    ranges = days.select("day").distinct().withColumn("since", F.lag("day").over(w))
+    met = targets.alias("t").join(ranges.alias("r"), (F.col(f"t.{key}") <= F.col("r.day")) & (F.col("r.since").isNull() | (F.col(f"t.{key}") > F.col("r.since"))), "left")
+    return met.select("t.*", F.col("r.day").alias("lands"))
+
+
+def shown_counts(events: DataFrame, hidden: DataFrame, group: str = "group_slug") -> DataFrame:
+    """A row: events shown, all of them, and those that are pending."""
+    mark = hidden.select(group).distinct().withColumn("_off", F.lit(True))
+    return events.join(mark, group, "left").agg(F.count_if(F.col("_off").isNull()).alias("shown"), F.count("*").alias("total"), F.count_if(F.col("status") == "pending").alias("pending"))
+
+
+def verified_count(groups: DataFrame) -> DataFrame:
+    return groups.agg(F.count_if(F.coalesce(F.btrim("verified_by"), F.lit("")) != "").alias("verified"))
+
+
 def day_sections(events: DataFrame, start: str = "start") -> DataFrame:
     """Local day, its heading, and how many events it has."""
     day = dates.local(F.col(start)).cast("date")

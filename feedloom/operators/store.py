@@ -63,9 +63,59 @@ def mirror(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def save_counts(state: DataFrame, incoming: DataFrame) -> DataFrame:
-    """inserted, updated and merged of a run."""
-    got = incoming.select(F.col("fingerprint").alias("new_fp")).join(claims(state, incoming), "new_fp", "left")
-    return got.agg(F.count_if(F.col("survivor").isNull()).alias("inserted"), F.count_if(F.col("survivor").isNotNull()).alias("updated"), F.coalesce(F.sum(F.col("matched") - 1), F.lit(0)).cast("long").alias("merged"))
+    """inserted, updated, promoted (pending before, published now) and merged of a run."""
+    was = state.select(F.col("fingerprint").alias("survivor"), F.col("status").alias("was"))
+    got = incoming.select(F.col("fingerprint").alias("new_fp"), "status").join(claims(state, incoming), "new_fp", "left").join(was, "survivor", "left")
+    return got.agg(
+        F.count_if(F.col("survivor").isNull()).alias("inserted"), F.count_if(F.col("survivor").isNotNull()).alias("updated"),
+        F.count_if((F.col("was") == "pending") & (F.col("status") == "published")).alias("promoted"), F.coalesce(F.sum(F.col("matched") - 1), F.lit(0)).cast("long").alias("merged"),
+    )
+
+
+def violations(incoming: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(fingerprint, message) of events that must not be stored: without sources, start or group, or of a source that the registry lacks.
+
+    ``known`` has the fingerprints' kinds, the part before the colon.
+    """
+    why = F.when(F.coalesce(F.size("sources"), F.lit(0)) <= 0, "no sources").when(F.col("start").isNull(), "no start").when(F.col("fingerprint").isNull(), "no fingerprint")
+    bad = incoming.select("fingerprint", why.alias("message")).filter("message is not null")
+    if known is None:
+        return bad
+    lost = incoming.select("fingerprint", F.explode("sources").alias("s")).withColumn("kind", F.substring_index("s", ":", 1)).join(known, "kind", "left_anti")
+    return bad.unionByName(lost.select("fingerprint", F.lit("unknown source").alias("message")).distinct())
+
+
+def check(incoming: DataFrame, seen: Column, known: DataFrame | None = None) -> None:
+    """Raise before anything is written if an event, or the run's instant, breaks the store's rules."""
+    if incoming.sparkSession.range(1).select(seen.alias("t")).first()["t"] is None:
+        raise ValueError("the run has no instant")
+    if bad := violations(incoming, known).limit(3).collect():
+        raise ValueError("; ".join(f"{r.fingerprint}: {r.message}" for r in bad))
+
+
+def provenance(state: DataFrame) -> DataFrame:
+    """(fingerprint, event): which row each feed record makes up; if several list it, the one last seen has it."""
+    rows = state.select(F.col("fingerprint").alias("event"), "last_seen", F.explode("sources").alias("fingerprint"))
+    return rows.groupBy("fingerprint").agg(F.max_by("event", F.struct("last_seen", "event")).alias("event"))
+
+
+def with_own_sources(state: DataFrame) -> DataFrame:
+    """Rows without the records that have moved to another row; the order stays."""
+    own = provenance(state).select(F.col("fingerprint").alias("s"), "event")
+    each = state.select(F.col("fingerprint").alias("event"), F.posexplode("sources").alias("at", "s")).join(own, ["s", "event"])
+    kept = each.groupBy("event").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]).alias("_own"))
+    out = state.join(kept.withColumnRenamed("event", "fingerprint"), "fingerprint", "left")
+    return out.withColumn("sources", F.coalesce("_own", F.array().cast("array<string>"))).select(*state.columns)
+
+
+def category_rows(state: DataFrame) -> DataFrame:
+    """(fingerprint, position, name): an event's categories as rows, replaced whole in each run."""
+    return state.select("fingerprint", F.posexplode("categories").alias("position", "name"))
+
+
+def groups_by_slug(groups: DataFrame) -> DataFrame:
+    """The stored groups: a date that cannot be read is absent."""
+    return groups.withColumn("verified_at", F.try_to_date(F.col("verified_at").cast("string"), "yyyy-MM-dd"))
 
 
 def cancel_missing(state: DataFrame, seen: DataFrame, now: Column, window_end: Column, clean: bool, enabled: bool = False) -> DataFrame:
@@ -101,14 +151,33 @@ class Snapshots:
         v = self.version()
         return None if v is None else self.spark.read.parquet(f"{self.root}/v={v:06d}")
 
-    def write(self, df: DataFrame) -> int:
-        """Write the next version, then its mark: a run that fails before leaves the old state in force."""
+    def write(self, df: DataFrame, part: str = "v") -> int:
+        """Write the next version, then its mark: a run that fails before leaves the old state in force.
+
+        One writer at a time: a version is claimed by a file that only one can
+        create, so a second writer fails before it writes.  ``part`` other than
+        ``v`` is kept beside the version to come, without a mark.
+        """
         v = (self.version() or 0) + 1
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/v={v:06d}")
+        if part != "v":
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{part}={v:06d}")
+            return v
         jvm, fs = self._fs()
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.root}/now={v}"), True).close()
+        path = jvm.org.apache.hadoop.fs.Path
+        claim = path(f"{self.root}/claim={v}")
+        fs.mkdirs(path(self.root))
+        if not fs.createNewFile(claim):
+            raise RuntimeError(f"another run writes version {v}; remove {claim.toString()} if it has died")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/v={v:06d}")
+            fs.create(path(f"{self.root}/now={v}"), False).close()
+        finally:
+            fs.delete(claim, False)
         return v
 
+    def read_at(self, version: int, part: str = "v") -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{part}={version:06d}")
+
 
 def write_atomically(path: str, body: str) -> None:
     """A local file, whole or not at all, readable by all."""

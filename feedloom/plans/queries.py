@@ -77,9 +77,9 @@ def source_window(spark, d):
 
 
 @query("""SELECT doc_id, trim(regexp_replace(lower(translate(x, '\u2018\u2019\u02bc\u201c\u201d\u2013\u2014\u2212\u00a0\u200b', '''''''""---  ')), '[ \\t\\n\\r\\f\\x0B\\x{85}\\x{a0}]+', ' ', 'g')) AS folded
-FROM (SELECT doc_id, '\u201c' || left(text, 80) || '\u2019s \u2013\u00a0 X' AS x FROM documents)""")
+FROM (SELECT doc_id, '\u201c' || text || '\u2019s \u2013\u00a0 X' AS x FROM documents)""")
 def fold_names(spark, d):
-    x = F.concat(F.lit("\u201c"), F.left("text", F.lit(80)), F.lit("\u2019s \u2013\u00a0 X"))
+    x = F.concat(F.lit("\u201c"), "text", F.lit("\u2019s \u2013\u00a0 X"))
     return table(spark, d, "documents").select("doc_id", names.fold_name(x).alias("folded"))
 
 
@@ -103,12 +103,12 @@ def venue_slugs(spark, d):
     return table(spark, d, "part").select("p_partkey", names.venue_slug(x).alias("venue_slug"), names.slugify(x).alias("slot"))
 
 
-@query("""WITH a AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('# ' || replace(left(text, 600), '<', ' '), '\\[([^\\]\\n]*)\\]\\([^)\\n]*\\)', '\\1', 'g'),
+@query("""WITH a AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('# ' || replace(text, '<', ' '), '\\[([^\\]\\n]*)\\]\\([^)\\n]*\\)', '\\1', 'g'),
  '(?m)^[ \\t]*(?:#{1,6}|>|[-*+])[ \\t]+', '', 'g'), '\\*\\*|__|[*_`]', '', 'g'), '\\\\([!-/:-@\\[-`{-~])', '\\1', 'g')) AS x FROM documents),
 b AS (SELECT doc_id, trim(regexp_replace(x, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')) AS x FROM a)
 SELECT doc_id, x AS plain, regexp_extract(x, 'http[^ ]*') <> '' AND strlen(x) - strlen(regexp_extract(x, 'http[^ ]*')) < strlen(regexp_extract(x, 'http[^ ]*')) AS mostly_link FROM b""")
 def excerpts_plain(spark, d):
-    x = text.strip_markdown(F.concat(F.lit("# "), F.replace(F.left("text", F.lit(600)), F.lit("<"), F.lit(" "))))
+    x = text.strip_markdown(F.concat(F.lit("# "), F.replace("text", F.lit("<"), F.lit(" "))))
     return table(spark, d, "documents").select("doc_id", x.alias("plain"), text.is_mostly_link(x).alias("mostly_link"))
 
 
@@ -183,16 +183,16 @@ def skip_breaker(spark, d):
 
 
 def _runs(spark, d) -> tuple[DataFrame, DataFrame]:
-    """The state after a run over early events, by user and day, and what a run over the later ones of the same fingerprints brings."""
-    e = _gated(spark, d).withColumn("fingerprint", F.concat_ws(":", "event_type", F.pmod("event_id", F.lit(997))))
+    """The state after a run over early events, by type, user and hour of the day, and what a run over the later ones of the same fingerprints brings."""
+    e = _gated(spark, d).withColumn("fingerprint", F.concat_ws(":", "event_type", "user_id", F.hour("ts")))
     pick = lambda e: e.groupBy("fingerprint").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("title"), F.max("ts").alias("start"), F.max_by("status", F.struct("ts", "event_id")).alias("status")).withColumn("sources", F.array("fingerprint"))
     first = pick(e.filter(F.col("ts") < ntz(SPLIT))).withColumns({"first_seen": ntz(SPLIT), "last_seen": ntz(SPLIT)})
-    return first, pick(e.filter((F.col("ts") >= ntz(SPLIT)) & (F.col("event_id") % 2 == 0)))
+    return first, pick(e.filter(F.col("ts") >= ntz(SPLIT)))
 
 
-_RUNS = f"""g AS (SELECT *, event_type || ':' || (event_id % 997) AS fingerprint FROM ({_GATED})),
+_RUNS = f"""g AS (SELECT *, event_type || ':' || user_id || ':' || hour(ts) AS fingerprint FROM ({_GATED})),
 one AS (SELECT fingerprint, arg_max(event_id, (ts, event_id)) AS title, max(ts) AS start, arg_max(status, (ts, event_id)) AS status FROM g WHERE ts < TIMESTAMP '{SPLIT}' GROUP BY 1),
-two AS (SELECT fingerprint, arg_max(event_id, (ts, event_id)) AS title, max(ts) AS start, arg_max(status, (ts, event_id)) AS status FROM g WHERE ts >= TIMESTAMP '{SPLIT}' AND event_id % 2 = 0 GROUP BY 1)"""
+two AS (SELECT fingerprint, arg_max(event_id, (ts, event_id)) AS title, max(ts) AS start, arg_max(status, (ts, event_id)) AS status FROM g WHERE ts >= TIMESTAMP '{SPLIT}' GROUP BY 1)"""
 
 
 @query(f"""WITH {_RUNS} SELECT fingerprint, CASE WHEN two.title IS NULL THEN one.title ELSE two.title END AS title, coalesce(two.start, one.start) AS start, coalesce(two.status, one.status) AS status,
@@ -202,15 +202,16 @@ def upsert_two_runs(spark, d):
     return store.upsert(*_runs(spark, d), ntz(RUN2)).drop("sources")
 
 
-@query(f"""WITH {_RUNS} SELECT count(*) FILTER (one.title IS NULL) AS inserted, count(*) FILTER (one.title IS NOT NULL) AS updated, CAST(0 AS BIGINT) AS merged FROM two LEFT JOIN one USING (fingerprint)""")
+@query(f"""WITH {_RUNS} SELECT count(*) FILTER (one.title IS NULL) AS inserted, count(*) FILTER (one.title IS NOT NULL) AS updated,
+count(*) FILTER (one.status = 'pending' AND two.status = 'published') AS promoted, CAST(0 AS BIGINT) AS merged FROM two LEFT JOIN one USING (fingerprint)""")
 def save_counts(spark, d):
     return store.save_counts(*_runs(spark, d))
 
 
-@query("""WITH old AS (SELECT event_id AS fp, ts AS first_seen, event_id // 3 AS k FROM events WHERE event_id < 6000)
+@query("""WITH old AS (SELECT event_id AS fp, ts AS first_seen, event_id // 3 AS k FROM events)
 SELECT k, arg_min(fp, (first_seen, fp)) AS survivor, count(*) AS matched FROM old GROUP BY k""")
 def row_merge(spark, d):
-    e = table(spark, d, "events").filter("event_id < 6000")
+    e = table(spark, d, "events")
     old = e.select(F.col("event_id").alias("fingerprint"), F.col("ts").alias("first_seen"), F.array("event_id").alias("sources"))
     new = e.groupBy(F.expr("event_id div 3").alias("fingerprint")).agg(F.collect_list("event_id").alias("sources"))
     new = new.withColumns({"k": F.col("fingerprint"), "fingerprint": -F.col("fingerprint") - 1})
@@ -218,12 +219,12 @@ def row_merge(spark, d):
 
 
 @query("""SELECT coalesce(s.name, n.name) AS name, coalesce(nullif(s.city, ''), nullif(n.city, '')) AS city, coalesce(nullif(s.zip, ''), nullif(n.zip, '')) AS zip
-FROM (SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'C' || s_nationkey END AS city, '' AS zip FROM supplier WHERE s_suppkey <= 80) s
-FULL JOIN (SELECT s_name AS name, 'N' || s_nationkey AS city, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE CAST(s_suppkey AS VARCHAR) END AS zip FROM supplier WHERE s_suppkey > 10) n ON s.name = n.name""")
+FROM (SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'C' || s_nationkey END AS city, '' AS zip FROM supplier WHERE s_nationkey < 20) s
+FULL JOIN (SELECT s_name AS name, 'N' || s_nationkey AS city, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE CAST(s_suppkey AS VARCHAR) END AS zip FROM supplier WHERE s_nationkey > 3) n ON s.name = n.name""")
 def venue_enrich(spark, d):
     s, key = table(spark, d, "supplier"), F.col("s_suppkey")
-    old = s.filter(key <= 80).select(F.col("s_name").alias("name"), F.when(key % 2 == 0, "").otherwise(F.concat(F.lit("C"), "s_nationkey")).alias("city"), F.lit("").alias("zip"))
-    new = s.filter(key > 10).select(F.col("s_name").alias("name"), F.concat(F.lit("N"), "s_nationkey").alias("city"), F.when(key % 5 == 0, "").otherwise(key.cast("string")).alias("zip"))
+    old = s.filter("s_nationkey < 20").select(F.col("s_name").alias("name"), F.when(key % 2 == 0, "").otherwise(F.concat(F.lit("C"), "s_nationkey")).alias("city"), F.lit("").alias("zip"))
+    new = s.filter("s_nationkey > 3").select(F.col("s_name").alias("name"), F.concat(F.lit("N"), "s_nationkey").alias("city"), F.when(key % 5 == 0, "").otherwise(key.cast("string")).alias("zip"))
     return store.fill_blanks(old, new, "name", ["city", "zip"])
 
 

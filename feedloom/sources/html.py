@@ -1,16 +1,24 @@
-"""HTML pages: links by regular expression; cards and linked data by the standard library's parser in Arrow batches."""
+"""HTML pages: links by regular expression; cards and linked data by the standard library's parser in Arrow batches.
+
+The parser only takes pages apart; what the parts mean is decided by columns.
+"""
 
 from __future__ import annotations
 
+import html as entities
 import json
 import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import rfc3339
+from ..functions.names import slugify
+from ..functions.urls import clean_url
+
 
 def links(pages: DataFrame, key: str, body: str) -> DataFrame:
     """Each page's distinct link targets as written, with the place of the first."""
@@ -19,100 +27,196 @@ def links(pages: DataFrame, key: str, body: str) -> DataFrame:
     return rows.groupBy(key, "href").agg((F.min("pos") + 1).cast("long").alias("pos"))
 
 
+#: Class names of the cards, and the media type of linked data.
+CARD, LABEL, PLACE = "meeting-card-compact", "meeting-week", "meeting-location"
+LINKED = "application/ld+json"
+#: Tags that have no end.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+CARDS = "source_key string, pos int, week string, has_time boolean, datetime string, place string"
+ADDRESS = ("streetAddress", "addressLocality", "addressRegion", "postalCode")
+LOCATION = pa.struct([("kinds", pa.list_(pa.string())), ("name", pa.string()), ("url", pa.string()), *((a, pa.string()) for a in ADDRESS)])
+EVENT = pa.struct([*((f, pa.string()) for f in ("name", "description", "startDate", "endDate", "eventStatus", "eventAttendanceMode")), ("locations", pa.list_(LOCATION))])
+EVENT_DDL = "struct<name: string, description: string, startDate: string, endDate: string, eventStatus: string, eventAttendanceMode: string, locations: array<struct<kinds: array<string>, name: string, url: string, streetAddress: string, addressLocality: string, addressRegion: string, postalCode: string>>>"
+
+
 class _Page(HTMLParser):
-    """Cards of one class with their week label and time, linked-data scripts, and the canonical link."""
+    """Cards of one class with their label, place and time, linked-data scripts, and the canonical link."""
 
-    def __init__(self, card: str, label: str):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.card, self.label, self.cards, self.scripts, self.canonical = card, label, [], [], None
-        self.depth, self.at, self.in_label, self.in_script = 0, None, None, False
+        self.cards, self.scripts, self.canonical = [], [], None
+        self.depth, self.at, self.inside, self.in_script = 0, None, {}, False
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         classes = (a.get("class") or "").split()
-        if tag == "link" and "canonical" in (a.get("rel") or "").split():
+        if tag == "link" and "canonical" in (a.get("rel") or "").lower().split():
             self.canonical = self.canonical or a.get("href")
-        if tag == "script" and a.get("type") == "application/ld+json":
+        if tag == "script" and a.get("type") == LINKED:
             self.in_script = True
             self.scripts.append("")
-        if tag in ("br", "img", "meta", "link", "input", "hr"):
+        if tag in VOID:
             return
         self.depth += 1
-        if self.at is None and self.card in classes:
+        if self.at is None and CARD in classes:
             self.at = self.depth
-            self.cards.append({"label": None, "time": None, "has_time": False})
+            self.cards.append({LABEL: None, PLACE: None, "time": None, "has_time": False})
         elif self.at is not None:
-            if self.label in classes and self.cards[-1]["label"] is None:
-                self.in_label = self.depth
-                self.cards[-1]["label"] = ""
+            for name in (LABEL, PLACE):
+                if name in classes and self.cards[-1][name] is None:
+                    self.inside[name] = self.depth
+                    self.cards[-1][name] = ""
             if tag == "time" and not self.cards[-1]["has_time"]:
                 self.cards[-1] |= {"has_time": True, "time": a.get("datetime")}
 
     def handle_endtag(self, tag):
         if tag == "script":
             self.in_script = False
-        if tag in ("br", "img", "meta", "link", "input", "hr"):
+        if tag in VOID:
             return
         if self.at == self.depth:
             self.at = None
-        if self.in_label == self.depth:
-            self.in_label = None
+        self.inside = {k: d for k, d in self.inside.items() if d != self.depth}
         self.depth -= 1
 
     def handle_data(self, data):
         if self.in_script:
             self.scripts[-1] += data
-        elif self.in_label is not None:
-            self.cards[-1]["label"] += data
+        for name in self.inside:
+            self.cards[-1][name] += data
 
 
-def _parsed(body: str, card: str = "meeting-card-compact", label: str = "meeting-week") -> _Page:
-    p = _Page(card, label)
+def _parsed(body: str) -> _Page:
+    p = _Page()
     p.feed(body or "")
     p.close()
     return p
 
 
+def _squeezed(text: str | None) -> str | None:
+    return " ".join((text or "").split()) or None
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
 def cards(pages: DataFrame) -> DataFrame:
-    """(source_key, pos, week, datetime) of each semantic card that has a time; week is null if the card has no label."""
+    """(source_key, pos, week, has_time, datetime, place) of each card; a page without any is a row without a pos."""
+    schema = pa.schema([("source_key", pa.string()), ("pos", pa.int32()), ("week", pa.string()), ("has_time", pa.bool_()), ("datetime", pa.string()), ("place", pa.string())])
 
     def run(batches):
         for b in batches:
-            out = [(k, i, " ".join(c["label"].split()) if c["label"] is not None else None, c["time"]) for k, body in zip(*(x.to_pylist() for x in b.columns), strict=True) for i, c in enumerate(_parsed(body).cards) if c["has_time"]]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], ["source_key", "pos", "week", "datetime"])
+            out = []
+            for key, body in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                found = _parsed(body).cards
+                out += [(key, i, _squeezed(c[LABEL]), c["has_time"], c["time"], _squeezed(c[PLACE])) for i, c in enumerate(found)] or [(key, None, None, None, None, None)]
+            yield _batch(out, schema)
+
+    return pages.select("source_key", "body").mapInArrow(run, CARDS)
 
-    return pages.select("source_key", "body").mapInArrow(run, "source_key string, pos int, week string, datetime string")
+
+def decode_cards(pages: DataFrame, title: str, since: Column, to: Column) -> tuple[DataFrame, DataFrame]:
+    """(records, skips) of schedule pages: an event a card, called ``title`` and its label, if it starts between two instants.
+
+    A card without a time is a slot without a date and no fault; one without a
+    label, or with a time that cannot be read, is a skip; an instant counts once;
+    a page without cards has another structure and is a skip of the document.
+    """
+    c = cards(pages).withColumn("start", rfc3339(F.col("datetime")).cast("timestamp_ntz"))
+    no_time = F.coalesce(F.col("datetime"), F.lit("")) == ""
+    why = (
+        F.when(F.col("pos").isNull(), "no cards").when(F.col("week").isNull(), "no label").when(~F.col("has_time"), "")
+        .when(no_time, "time without an instant").when(F.col("start").isNull(), "bad time").when(~F.col("start").between(since.cast("timestamp_ntz"), to.cast("timestamp_ntz")), "")
+    )
+    c = c.withColumn("reason", why)
+    skips = c.filter("reason <> ''").select("source_key", F.coalesce(F.concat(F.lit("card "), F.col("pos").cast("string")), F.lit("document")).alias("ref"), "reason")
+    one = c.filter("reason is null").groupBy("source_key", "start").agg(F.min_by(F.struct("week", "place"), "pos").alias("c"))
+    venues = F.when(F.col("c.place").isNotNull(), F.array(F.struct(F.col("c.place").alias("name"))))
+    uid = F.concat(slugify(F.col("c.week")), F.lit("_"), F.date_format("start", "yyyyMMdd'T'HHmmss'Z'"))
+    return one.select("source_key", uid.alias("upstream_id"), F.concat(F.lit(f"{title}, "), "c.week").alias("title"), "start", venues.alias("venues")), skips
+
+
+def _text(x: object) -> str | None:
+    if x is not None and not isinstance(x, str):
+        raise ValueError("not a text")
+    return x
+
+
+def _many(x: object) -> list:
+    return [] if x is None else x if isinstance(x, list) else [x]
+
+
+def _location(x: dict) -> dict:
+    where = x.get("address")
+    if isinstance(where, dict):
+        where = {a: _text(where.get(a)) for a in ADDRESS}
+    elif isinstance(where, str) and where.strip():
+        where = {"streetAddress": where.strip()}
+    else:
+        where = {}
+    name = _text(x.get("name"))
+    return {"kinds": [k for k in _many(x.get("@type")) if isinstance(k, str)], "name": name and entities.unescape(name).strip(), "url": _text(x.get("url")), **where}
 
 
 def _event(scripts: list[str]) -> dict | None:
+    """The first Event among a page's blocks; what cannot be decoded is passed over."""
     for text in scripts:
         try:
             got = json.loads(text)
         except ValueError:
             continue
         for x in got if isinstance(got, list) else [got]:
-            kinds = x.get("@type") if isinstance(x, dict) else None
-            if "Event" in (kinds if isinstance(kinds, list) else [kinds]):
-                return x
+            if not isinstance(x, dict) or "Event" not in _many(x.get("@type")):
+                continue
+            try:
+                out = {f.name: _text(x.get(f.name)) for f in list(EVENT)[:-1]}
+                out["name"] = entities.unescape(out["name"]).strip() if out["name"] else None
+                return out | {"locations": [_location(p) for p in _many(x.get("location")) if isinstance(p, dict)]}
+            except ValueError:
+                continue
     return None
 
 
 def linked_events(pages: DataFrame) -> DataFrame:
-    """(source_key, upstream_id, event): the first Event of a page's linked data as JSON; the id is host and path of its canonical link."""
+    """(source_key, canonical, event): a page's canonical link as written, and the first Event of its linked data."""
+    schema = pa.schema([("source_key", pa.string()), ("canonical", pa.string()), ("event", EVENT)])
 
     def run(batches):
         for b in batches:
-            out = []
-            for k, body in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                p = _parsed(body)
-                u = urlsplit(p.canonical or "")
-                x = _event(p.scripts)
-                out.append((k, u.netloc + u.path if u.netloc else None, json.dumps(x) if x else None))
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["source_key", "upstream_id", "event"])
-
-    return pages.select("source_key", "body").mapInArrow(run, "source_key string, upstream_id string, event string")
+            found = [(key, _parsed(body)) for key, body in zip(*(x.to_pylist() for x in b.columns), strict=True)]
+            yield _batch([(key, p.canonical, _event(p.scripts)) for key, p in found], schema)
+
+    return pages.select("source_key", "body").mapInArrow(run, f"source_key string, canonical string, event {EVENT_DDL}")
+
+
+def decode_linked(pages: DataFrame, since: Column, to: Column) -> tuple[DataFrame, DataFrame]:
+    """(records, skips) of event pages, one each.
+
+    The id is host and path of the canonical link.  Cancelled events are dropped;
+    a page without an event, link, name or start with an offset is a skip; an end
+    that cannot be read is absent.  Organizers are never read.
+    """
+    e = linked_events(pages).withColumn("url", clean_url(F.col("canonical")))
+    start, end = (rfc3339(F.col(f"event.{x}")).cast("timestamp_ntz") for x in ("startDate", "endDate"))
+    e = e.withColumns({"start": start, "end": end})
+    why = (
+        F.when(F.col("event").isNull(), "no event").when(F.col("url").isNull(), "no canonical link").when(F.col("event.eventStatus").endswith("/EventCancelled"), "")
+        .when(F.coalesce("event.name", F.lit("")) == "", "no name").when(F.col("start").isNull(), "bad start").when(~F.col("start").between(since.cast("timestamp_ntz"), to.cast("timestamp_ntz")), "")
+    )
+    e = e.withColumn("reason", why)
+    skips = e.filter("reason <> ''").select("source_key", F.coalesce("url", F.lit("page")).alias("ref"), "reason")
+    where = F.col("event.locations")
+    mode = F.coalesce(F.col("event.eventAttendanceMode"), F.lit(""))
+    online = F.filter(where, lambda x: F.array_contains(x["kinds"], "VirtualLocation"))
+    place = F.filter(where, lambda x: F.array_contains(x["kinds"], "Place") & ~F.array_contains(x["kinds"], "VirtualLocation") & ((F.coalesce(x["name"], F.lit("")) != "") | (F.coalesce(x["streetAddress"], F.lit("")) != "")))
+    venues = F.transform(place, lambda x: F.struct(x["name"].alias("name"), x["streetAddress"].alias("address"), x["addressLocality"].alias("city"), x["addressRegion"].alias("state"), x["postalCode"].alias("zip")))
+    uid = F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1)
+    return e.filter("reason is null").select(
+        "source_key", uid.alias("upstream_id"), F.col("event.name").alias("title"), F.col("event.description").alias("description"), "start", "end", "url",
+        (mode.rlike("/(Online|Mixed)EventAttendanceMode$") | (F.size(online) > 0)).alias("virtual"), F.get(F.filter(F.transform(online, lambda x: clean_url(x["url"])), lambda u: u.isNotNull()), F.lit(0)).alias("virtual_url"), venues.alias("venues"),
+    ), skips
 
 
 def event_links(base: str, hrefs: list[str], path: str = r"^/events/details/[a-z0-9-]+/$") -> list[str]:

@@ -47,6 +47,12 @@ def properties(docs: DataFrame) -> DataFrame:
     return lines.select("source_key", "event", "pos", "name", quoted("TZID").alias("tzid"), (F.upper(F.coalesce(quoted("VALUE"), F.lit(""))) == "DATE").alias("is_date"), "value")
 
 
+def calendar_names(docs: DataFrame) -> DataFrame:
+    """(source_key, name): what each document calls itself, for reports only."""
+    line = F.get(F.filter(unfold(F.col("body")), lambda x: x.rlike(r"(?i)^X-WR-CALNAME[;:]")), F.lit(0))
+    return docs.select("source_key", F.nullif(F.btrim(unescape(F.regexp_extract(line, r'^(?:[^":]|"[^"]*")*:(.*)$', 1))), F.lit("")).alias("name"))
+
+
 def instants(value: Column, tzid: Column, is_date: Column, known: Column) -> Column:
     """A property's instant in UTC, null if malformed or in an unknown zone; a date is local midnight."""
     day = F.try_to_timestamp(F.when(is_date | F.length(value).eqNullSafe(8), value), F.lit("yyyyMMdd")).cast("timestamp_ntz")
