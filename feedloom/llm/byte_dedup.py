@@ -28,7 +28,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import blocks as B
 from .shared import table
@@ -123,6 +125,11 @@ class Parsed:
         return i, np.searchsorted(self.row, f), sure, end - self.cut
 
 
+def ordered(t: pa.Table) -> pa.Table:
+    """A block's documents in an order that each reading of the exchange has: rows are told apart by their place."""
+    return t.take(pc.sort_indices(t, sort_keys=[("doc_id", "ascending"), ("h", "ascending")]))
+
+
 def _parsed(t: pa.Table):
     for lo, hi in pieces(np.diff(buffers(t["text"])[1])) if t.num_rows else ():
         yield lo, hi, Parsed(t["text"].slice(lo, hi - lo))
@@ -343,16 +350,20 @@ def remove_repeated_bytes(docs: DataFrame, text: bool = True) -> DataFrame:
     """
     docs = B.replayable(docs)
     n = B.n_blocks(docs)
-    dealt = B.dealt(docs, n)
+    dealt = B.dealt(docs, n).withColumn("h", F.xxhash64("text"))
 
     def rows(t: pa.Table) -> pa.Table:
-        return send_rows(t, n)
+        return send_rows(ordered(t), n)
+
+    def asked(t: pa.Table, m: pa.Table) -> pa.Table:
+        return opened(ordered(t), m)
 
     def windows(t: pa.Table, m: pa.Table) -> pa.Table:
-        return Windows(_found(t, m)[0]).sent(t["block"][0].as_py(), n) if t.num_rows else SENT.empty_table()
+        return Windows(_found(ordered(t), m)[0]).sent(t["block"][0].as_py(), n) if t.num_rows else SENT.empty_table()
 
     def finish(t: pa.Table, m: pa.Table) -> pa.Table:
         out: list[tuple] = []
+        t = ordered(t)
         found = _found(t, m)[0] if t.num_rows else []
         if found:
             w = Windows(found)
@@ -386,7 +397,7 @@ def remove_repeated_bytes(docs: DataFrame, text: bool = True) -> DataFrame:
     for depth in range(2, ROUNDS + 1):
         now = post(to(static).cogroup(to(now)).applyInArrow(refined(depth), MAIL))
     mail = post(to(static).cogroup(to(now)).applyInArrow(answer, MAIL))
-    asks = post(by(dealt).cogroup(to(mail)).applyInArrow(opened, MAIL))
+    asks = post(by(dealt).cogroup(to(mail)).applyInArrow(asked, MAIL))
     mail = mail.unionByName(post(to(static).cogroup(to(asks)).applyInArrow(wanted, MAIL)))
     keys = by(dealt).cogroup(to(mail)).applyInArrow(windows, MAIL)
     mail = mail.unionByName(post(to(post(keys)).applyInArrow(repeated, MAIL)))

@@ -44,3 +44,15 @@ def test_twin_words_are_not_one(spark):
     assert got[3] == 3 and got[4] == 4
     known = {r.doc_id: r.n_known for r in suffix_lm.scored(docs.filter("doc_id > 2"), (7, 6)).collect()}  # 3 is held out
     assert known == {3: 4, 4: 5}
+
+
+def test_a_blocks_documents_have_one_order():
+    """Each step of op9 reads the exchange anew, and names a block's rows by their place."""
+    import pyarrow as pa
+
+    from feedloom.llm.byte_dedup import ordered
+
+    t = pa.table({"doc_id": pa.array([3, None, 1, 3, None], pa.int64()), "h": [5, 9, 7, 4, 8], "text": list("abcde")})
+    want = ordered(t)["text"].to_pylist()
+    assert want == ["c", "d", "a", "e", "b"]
+    assert all(ordered(t.take(o))["text"].to_pylist() == want for o in ([4, 3, 2, 1, 0], [2, 0, 4, 1, 3]))
