@@ -1,7 +1,7 @@
 """Dedup over bytes by merged transforms of phrase strings (operator 9).
 
 Texts are parsed into phrases that end where the content says so: at the least
-hash of 16 bytes within any 96 (winnowing), so equal strings of 400 bytes share
+hash of 8 bytes within any 96 (winnowing), so equal strings of 400 bytes share
 the cuts, and the phrases between them, away from their edges.  A block (shard) orders its phrases and
 keeps for each the place of the phrase before it: the last column of its
 transform, as the step from a row to the row of the suffix one phrase longer.
@@ -17,13 +17,15 @@ row shares its interval is its longest common prefix, in phrases, with any other
 
 A 400-byte window within a common prefix is repeated.  What the phrases leave
 open, windows that begin before a prefix or end after it, is settled by counting
-the windows themselves, by 124 bits of two independent hashes: those, and those
-that start from the same first symbol, wherever they are.
+the windows themselves, by two independent hashes, of 78 bits and more with the
+size of the input: those, and those that start from the same first symbol,
+wherever they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from typing import NamedTuple
 
 import numpy as np
@@ -33,11 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .shared import table
-from .textops import Prefix, U, buffers, byte_values, pieces, spread
+from .shared import input_bytes, table
+from .textops import Prefix, U, buffers, byte_values, mix, pieces, spread
 
 WINDOW = 400
-GRAM, WITHIN = 16, 96
+GRAM, WITHIN = 8, 96
+#: Bytes that are parsed at a time.
+STRETCH = 1 << 15
 #: Phrases to which the interleave is refined; windows that need more are settled by their hashes.
 ROUNDS = 10
 #: Repeats of fewer bytes are not reported as a document's longest.
@@ -79,23 +83,66 @@ def _slide(x: np.ndarray, size: int, op) -> np.ndarray:
     return op(x[: len(x) - (size - step)], x[size - step :]) if size > step else x
 
 
+def _grams(data: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The 8 bytes from each place a to b - 1 as numbers; b + 7 bytes must be there."""
+    return np.ndarray((b - a,), "<u8", data, a, (1,)).astype(U)
+
+
+def _cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Places whose gram has the least hash of some ``WITHIN`` in a row in their document."""
+    n, out = len(data) - GRAM + 1, []
+    for s in range(0, n, STRETCH):  # what a core's cache holds, with the neighbours that windows reach
+        a, b = max(0, s - WITHIN + 1), min(n, s + STRETCH + WITHIN - 1)
+        with np.errstate(over="ignore"):
+            h = ((_grams(data, a, b) * U(0x9E3779B97F4A7C15)) >> U(33)).astype(np.uint32) + np.uint32(1)
+        if len(h) < WITHIN:
+            break
+        least = _slide(h, WITHIN, np.minimum)
+        for e in off[np.searchsorted(off, a, side="right") : np.searchsorted(off, b + GRAM + WITHIN)]:
+            least[max(0, e - GRAM - WITHIN + 2 - a) : max(0, e - a)] = 0  # such windows leave their document
+        pad = np.zeros(WITHIN - 1, np.uint32)
+        hit = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), WITHIN, np.maximum) == h) + a
+        out.append(hit[(hit >= s) & (hit < s + STRETCH)])
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _symbols(data: np.ndarray, cut: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the phrases [cut, end) and the 7 bytes after: sums of their grams, each mixed with its place."""
+    out = np.zeros(len(cut), U)
+    if not len(cut):
+        return out
+    parts = np.flatnonzero(np.diff(cut // STRETCH, prepend=-1))
+    for lo, hi in zip(parts, [*parts[1:], len(cut)], strict=True):
+        c, n = cut[lo:hi], end[lo:hi] - cut[lo:hi]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        a = int(c[0])
+        with np.errstate(over="ignore"):
+            x = _grams(data, a, int(end[hi - 1]))[np.repeat(c - a, n) + place] + place.astype(U) * U(0xD6E8FEB86659FD93)
+            out[lo:hi] = np.add.reduceat(mix(x), first)
+    return mix(out)
+
+
 class Parsed:
     """Phrases of some documents: ``cut``, where they begin; ``row``, the cuts with a phrase to go in their document; ``sym`` of each row."""
 
     def __init__(self, col):
         self.data, self.off = buffers(col)
-        n, self.cut = len(self.data), np.zeros(0, np.int64)
-        hashes = Prefix(self.data, 6, byte_values(6))
-        if n >= GRAM + WITHIN:
-            h = hashes.slide(GRAM)
-            i = np.arange(n - GRAM - WITHIN + 2)
-            inside = i + (GRAM + WITHIN - 1) <= np.repeat(self.off[1:], np.diff(self.off))[: len(i)]
-            least = np.where(inside, _slide(h, WITHIN, np.minimum), U(0))
-            pad = np.zeros(WITHIN - 1, U)
-            self.cut = np.flatnonzero((_slide(np.concatenate([pad, least, pad]), WITHIN, np.maximum) == h) & (h > 0))
+        self.cut = _cuts(self.data, self.off) if len(self.data) >= GRAM + WITHIN else np.zeros(0, np.int64)
         self.doc = np.searchsorted(self.off, self.cut, side="right") - 1
         self.row = np.flatnonzero(self.doc[:-1] == self.doc[1:])
-        self.sym = hashes.of(self.cut[self.row], self.cut[self.row + 1])
+        self.sym = _symbols(self.data, self.cut[self.row], self.cut[self.row + 1])
+
+    def keys(self, i: np.ndarray) -> list[np.ndarray]:
+        """Two hashes of the windows from these places; only their documents are read."""
+        doc = np.searchsorted(self.off, i, side="right") - 1
+        docs = np.flatnonzero(np.bincount(doc, minlength=len(self.off) - 1))
+        size = np.diff(self.off)[docs]
+        data = np.concatenate([self.data[self.off[d] : self.off[d + 1]] for d in docs.tolist()])
+        moved = np.zeros(len(self.off), np.int64)
+        moved[docs] = self.off[docs] - (np.cumsum(size) - size)
+        i = i - moved[doc]
+        return [Prefix(data, seed, byte_values(seed)).of(i, i + WINDOW) for seed in (6, 7)]
 
     def before(self) -> np.ndarray:
         """Of each row, the number of the row one phrase earlier in its document, or -1."""
@@ -257,17 +304,24 @@ def wanted(t: pa.Table, m: pa.Table) -> pa.Table:
 class Windows:
     """A block's windows that are counted: the distinct keys, in order, which the block holds more than once, and each window's among them."""
 
-    def __init__(self, found: list):
-        keys = [[Prefix(p.data, seed, byte_values(seed)).of(i, i + WINDOW) for seed in (6, 7)] for p, i in ((x.p, x.i[x.asked]) for x in found) if len(i)]
+    def __init__(self, found: list[Found], width: int):
+        self.width = width
+        keys = [p.keys(i) for p, i in ((x.p, x.i[x.asked]) for x in found) if len(i)]
         a, b = (np.concatenate([np.zeros(0, U), *(k[x] for k in keys)]) for x in (0, 1))
-        self.keys, self.back, self.many = distinct(a, b)
+        self.a, self.b, self.back, self.many = distinct(a, b >> U(64 - 8 * width))
 
     def sent(self, block: int, n: int) -> pa.Table:
-        cuts = np.searchsorted(B.bucket_of(self.keys[:, 0], n), np.arange(n + 1)).tolist()
-        return _sent([(i, KEYS, block, self.keys[a:b], np.packbits(self.many[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a])
+        cuts = np.searchsorted(B.bucket_of(self.a, n), np.arange(n + 1)).tolist()
+        more = self.b.view(np.uint8).reshape(-1, 8)[:, : self.width]
+        return _sent([(i, KEYS, block, self.a[a:b], more[a:b], np.packbits(self.many[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a])
+
 
+def key_width(size: int) -> int:
+    """Bytes of the second hash that are sent: so many that a false pair among all windows of ``size`` compressed bytes has a chance of about 1 in 1,000."""
+    return min(8, max(2, math.ceil((2 * math.log2(max(2, 2 * size)) - 1 + 10 - 62) / 8)))
 
-def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct pairs in order, each pair's place among them, and which are there more than once."""
     o = np.lexsort((b, a))
     a, b = a[o], b[o]
@@ -275,17 +329,18 @@ def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     back = np.empty(len(o), np.int64)
     back[o] = np.cumsum(new) - 1
-    keys = np.stack([a[new], b[new]], 1)
-    return keys, back, np.bincount(back, minlength=len(keys)) > 1
+    return a[new], b[new], back, np.bincount(back, minlength=int(new.sum())) > 1
 
 
 def repeated(t: pa.Table) -> pa.Table:
     """A bucket's answers about windows: a bit for each that a block sent."""
     got, bucket = _got(t, KEYS), t["to"][0].as_py()
-    keys = _joined([r[1] for r in got], U).reshape(-1, 2)
-    sizes = [len(r[1]) // 16 for r in got]
-    many = np.concatenate([np.unpackbits(np.frombuffer(r[2], np.uint8), count=m) for r, m in zip(got, sizes, strict=True)]).astype(bool)
-    _, back, hit = distinct(keys[:, 0], keys[:, 1])
+    a, more = _joined([r[1] for r in got], U), _joined([r[2] for r in got], np.uint8)
+    sizes = [len(r[1]) // 8 for r in got]
+    many = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=m) for r, m in zip(got, sizes, strict=True)]).astype(bool)
+    b = np.zeros((len(a), 8), np.uint8)
+    b[:, : len(more) // len(a)] = more.reshape(len(a), -1)
+    _, _, back, hit = distinct(a, b.view(U).ravel())
     hit[back[many]] = True
     hit, ends = hit[back], np.cumsum(sizes).tolist()
     return _sent([(r[0], BITS, bucket, np.packbits(hit[e - m : e])) for r, m, e in zip(got, sizes, ends, strict=True)])
@@ -349,7 +404,7 @@ def remove_repeated_bytes(docs: DataFrame, text: bool = True) -> DataFrame:
     table gives no rows; other columns are not read.
     """
     docs = B.replayable(docs)
-    n = B.n_blocks(docs)
+    n, width = B.n_blocks(docs), key_width(input_bytes(docs))
     dealt = B.dealt(docs, n).withColumn("h", F.xxhash64("text"))
 
     def rows(t: pa.Table) -> pa.Table:
@@ -359,17 +414,17 @@ def remove_repeated_bytes(docs: DataFrame, text: bool = True) -> DataFrame:
         return opened(ordered(t), m)
 
     def windows(t: pa.Table, m: pa.Table) -> pa.Table:
-        return Windows(_found(ordered(t), m)[0]).sent(t["block"][0].as_py(), n) if t.num_rows else SENT.empty_table()
+        return Windows(_found(ordered(t), m)[0], width).sent(t["block"][0].as_py(), n) if t.num_rows else SENT.empty_table()
 
     def finish(t: pa.Table, m: pa.Table) -> pa.Table:
         out: list[tuple] = []
         t = ordered(t)
         found = _found(t, m)[0] if t.num_rows else []
         if found:
-            w = Windows(found)
-            sizes = np.diff(np.searchsorted(B.bucket_of(w.keys[:, 0], n), np.arange(n + 1)))
+            w = Windows(found, width)
+            sizes = np.diff(np.searchsorted(B.bucket_of(w.a, n), np.arange(n + 1)))
             bits = [np.unpackbits(np.frombuffer(r[1], np.uint8), count=int(sizes[r[0]])) for r in _got(m, BITS)]
-            hit, at = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)[w.back] if len(w.keys) else np.zeros(0, bool), 0
+            hit, at = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)[w.back] if len(w.a) else np.zeros(0, bool), 0
         for lo, hi, p, i, _, sure, prefix, asked in found:
             data, off, i_asked = p.data, p.off, i[asked]
             gone = spread(np.concatenate([i[sure], i_asked[hit[at : at + len(i_asked)]]]), WINDOW, len(data))
