@@ -14,6 +14,17 @@ LIMIT = 220
 BLOCKS = "p|div|br|li|ul|ol|h[1-6]|blockquote|tr|table"
 
 
+@F.pandas_udf(StringType())
+def html_unescape(x: pd.Series) -> pd.Series:
+    """Entities, named and numeric, as characters: the standard library's table, in Arrow batches."""
+    return x.map(html.unescape, na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def unescape_all(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: [t and html.unescape(t) for t in v], na_action="ignore")
+
+
 def squeeze(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, r"[ \t\r\n\f\x0B]+", " "))
 
@@ -44,13 +55,17 @@ def truncate_words(c: Column, limit: int = LIMIT) -> Column:
 
 
 def html_paragraphs(c: Column) -> Column:
-    """Texts between block tags and blank lines, without tags and entities of the five kinds that markup needs."""
-    c = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1>", "\n\n")
-    c = F.regexp_replace(c, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n\n")
-    c = F.regexp_replace(c, r"<[^>]*>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return F.filter(F.transform(F.split(c, r"\n[ \t]*\n|\n(?=#)"), squeeze), lambda p: p != "")
+    """Texts between block tags, blank lines and lines that begin with a hash, without tags, with entities as characters.
+
+    What a script or style holds is a paragraph of its own, as its tags part it
+    from the rest.  Only texts with an ampersand go through Python.
+    """
+    c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
+    c = F.regexp_replace(c, rf"(?i)</?(?:{BLOCKS}|script|style)\b[^>]*>", "\n\n")
+    c = F.regexp_replace(c, r"<[A-Za-z/!?][^>]*>", "")
+    c = F.coalesce(html_unescape(F.when(c.contains("&"), c)), c)
+    parts = F.split(F.replace(c, F.lit("\n#"), F.lit("\n\n#")), r"\n[ \t]*\n")
+    return F.filter(F.transform(parts, squeeze), lambda p: p != "")
 
 
 def excerpt(c: Column) -> Column:
@@ -65,17 +80,6 @@ def display_cut(c: Column, n: int) -> Column:
     return F.when(F.char_length(c) > n, F.concat(F.left(c, F.lit(n - 1)), F.lit("\u2026"))).otherwise(c)
 
 
-@F.pandas_udf(StringType())
-def html_unescape(x: pd.Series) -> pd.Series:
-    """Entities, named and numeric, as characters: the standard library's table, in Arrow batches."""
-    return x.map(html.unescape, na_action="ignore")
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def unescape_all(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: [t and html.unescape(t) for t in v], na_action="ignore")
-
-
 def map_query(name: Column, address: Column, city: Column, state: Column, zip_: Column) -> Column:
     """What a map is asked for: the parts of a place that there are; null without an address."""
     return F.when(F.coalesce(address, F.lit("")) != "", F.concat_ws(", ", *(F.nullif(c, F.lit("")) for c in (name, address, city, state, zip_))))

@@ -81,12 +81,13 @@ def without_rejects(events: DataFrame, rejects: DataFrame, key: str = "fingerpri
     return events.join(bad, key, "left_anti"), events.join(bad, key, "left_semi")
 
 
-def normalize(raw: DataFrame, sources: DataFrame, groups: DataFrame, rejects: DataFrame, venues: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def normalize(raw: DataFrame, sources: DataFrame, groups: DataFrame, rejects: DataFrame, venues: DataFrame | None = None, settle=lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(events, rejected, problems) of one run; see the steps above.
 
     With ``venues``, the curated ones, records have an array ``venues`` instead
     of a venue: it is resolved, a curated venue of any record beats one that is
-    not, its room comes with it, and a group's usual venue fills in.
+    not, its room comes with it, and a group's usual venue fills in.  ``settle``
+    may write the resolved records, so that later steps don't compute them again.
     """
     records, problems = with_sources(raw, sources)
     names = F.concat(F.array("slug", "name"), F.coalesce("aliases", F.array().cast("array<string>")))
@@ -103,7 +104,7 @@ def normalize(raw: DataFrame, sources: DataFrame, groups: DataFrame, rejects: Da
         from .venues import curated_keys, default_venues, resolve_venues
 
         curated = curated_keys(venues)
-        records = resolve_venues(records, curated, ["source_key", "upstream_id"]).withColumn("uncurated", ~F.col("place.curated"))
+        records = settle(resolve_venues(records, curated, ["source_key", "upstream_id"])).withColumn("uncurated", ~F.col("place.curated"))
         events = merge_records(records, cluster, order, winner, filled, ["virtual"], best={"place": ["uncurated", *order]})
         events = default_venues(events, groups, curated)
         events = events.withColumns({"venue": F.col("place.venue"), "room": F.col("place.room")}).drop("place")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,11 @@ PLACES = ("name", "address", "city", "state", "zip", "url")
 MARK = " "
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the checkpoint folder if the session has one: decoders are read several times, and their expressions are long."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist(StorageLevel.DISK_ONLY)
+
+
 def shaped(records: DataFrame) -> DataFrame:
     """Records of any decoder with the same columns; ``source_key`` without the document, which is ``unit``."""
     have = dict(records.dtypes)
@@ -47,14 +53,14 @@ def decode(bodies: DataFrame, since: Column, to: Column, title: str) -> tuple[Da
     """
     docs = bodies.filter(F.coalesce("body", F.lit("")) != "").select(F.concat_ws(MARK, "source_key", "uri").alias("source_key"), "kind", "body")
     of = lambda kind: docs.filter(F.col("kind") == kind).select("source_key", "body")
-    calendars, bad = ics.decode(of("ics"))
-    calendars, refused = recurrence.expand(calendars, since, to)
+    calendars, bad = map(settled, ics.decode(of("ics")))
+    calendars, refused = map(settled, recurrence.expand(calendars, since, to))
     paged, bad_paged = json_calendar.decode(of("tribe"))
     carded, bad_cards = html.decode_cards(of("html"), title, since, to)
     linked, bad_links = html.decode_linked(of("bevy"), since, to)
     records = reduce(DataFrame.unionByName, map(shaped, (calendars, paged, carded, linked)))
     skips = reduce(DataFrame.unionByName, (bad, refused, bad_paged, bad_cards, bad_links))
-    return records, skips.select(F.col("source_key").alias("unit"), "ref", "reason")
+    return settled(records), settled(skips.select(F.col("source_key").alias("unit"), "ref", "reason"))
 
 
 def source_of(unit: Column) -> Column:
@@ -104,8 +110,8 @@ def conclude(bodies: DataFrame, registry: dict[str, DataFrame], rejects: DataFra
     records, skips = decode(bodies, since, to, title)
     status = source_status(bodies, records, skips)
     records = normalize.of_successful(records.withColumn("source_key", source_of(F.col("unit"))).drop("unit"), status)
-    records = records.withColumn("excerpt", excerpt(F.col("description"))).drop("description")
-    events, gone, problems = normalize.normalize(records, normalize.enabled(registry["sources"]), registry["groups"], rejects, registry["venues"])
+    records = settled(records.withColumn("excerpt", excerpt(F.col("description"))).drop("description"))
+    events, gone, problems = normalize.normalize(records, normalize.enabled(registry["sources"]), registry["groups"], rejects, registry["venues"], settled)
     verified = registry["groups"].select(F.col("slug").alias("group_slug"), (F.coalesce(F.btrim("verified_by"), F.lit("")) != "").alias("verified"))
     events = events.join(verified, "group_slug", "left").withColumn("status", store.gate(F.col("verified"))).drop("verified")
     return Run(records, events, gone, problems, skips, status)

@@ -41,39 +41,39 @@ def resolve_venues(records: DataFrame, curated: DataFrame, keys: list[str]) -> D
     ``keys`` tell records apart; ``venues`` is their array of structs, room first
     and building last; ``curated`` has the columns of :func:`curated_keys`.
     """
+    # Everything that is made of texts is a column before the join, so that what follows it is short.
     n, first, last = F.size("venues"), F.get("venues", F.lit(0)), F.try_element_at("venues", F.lit(-1))
-    inner, outer = F.btrim(F.coalesce(first["name"], F.lit(""))), F.btrim(F.coalesce(last["name"], F.lit("")))
+    names = {"_in": F.btrim(F.coalesce(first["name"], F.lit(""))), "_out": F.btrim(F.coalesce(last["name"], F.lit(""))), "_many": F.coalesce(n > 1, F.lit(False))}
+    rows = records.withColumns(names)
+    inner, outer, many = F.col("_in"), F.col("_out"), F.col("_many")
     before, after = split_on_dash(inner)
     comma = F.instr(inner, ",")
-    head, tail = F.btrim(F.substring(inner, F.lit(1), comma - 1)), F.substring(inner, comma + 1, F.length(inner))
-    many = n > 1
-    room = F.when(many & (fold_name(outer) != ""), strip_venue_prefix(inner, outer))
-    rows = records.withColumns({
-        "_whole": fold_name(inner), "_outer": F.when(room.isNotNull(), fold_name(outer)),
-        "_dash": F.when(~many, fold_name(before)), "_head": F.when(~many & (comma > 0), fold_name(head)),
+    rows = rows.withColumns({
+        "_before": F.when(~many, before), "_after": F.when(~many, after), "_comma": ~many & (comma > 0), "_headed": F.btrim(F.substring(inner, F.lit(1), comma - 1)),
+        "_tail": F.substring(inner, comma + 1, F.length(inner)), "_room": F.when(many & (fold_name(outer) != ""), strip_venue_prefix(inner, outer)),
+    })
+    rows = rows.withColumns({
+        "_whole": fold_name(inner), "_outer": F.when(F.col("_room").isNotNull(), fold_name(outer)), "_dash": fold_name(F.col("_before")), "_head": F.when(F.col("_comma"), fold_name(F.col("_headed"))),
+        "_segment": room_segment(F.col("_tail")), "_flat": split_flat_address(F.col("_tail")), "_found_in": discovered(inner, first), "_found_out": discovered(outer, last), "_found_dash": discovered(F.col("_before"), first),
     })
     asked = ["_whole", "_outer", "_dash", "_head"]
     found = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("as"), F.col(k).alias("key")) for k in asked))).alias("_k")).select(*keys, "_k.*").filter("key <> ''")
     found = found.join(curated, "key").groupBy(*keys).agg(*(F.any_value(F.when(F.col("as") == k, F.col("venue")), True).alias(f"_v{k}") for k in asked))
     rows = rows.join(found, keys, "left")
-    hit = {k: F.col(f"_v{k}") for k in asked}
-    is_ = lambda v, room_, known: F.struct(v.alias("venue"), text(room_).alias("room"), F.lit(known).alias("curated"))
-    none, flat = F.lit(None).cast("string"), split_flat_address(tail)
-    addressed = F.struct(head.alias("name"), *(flat[f].alias(f) for f in ("address", "city", "state", "zip")), text(first["url"]).alias("url")).cast(VENUE)
+    is_ = lambda v, room, known: F.struct(F.col(v).alias("venue"), text(room).alias("room"), F.lit(known).alias("curated"))
+    none, room, dashed, has = F.lit(None).cast("string"), F.col("_room"), F.col("_before").isNotNull(), lambda k: F.col(f"_v{k}").isNotNull()
+    addressed = F.struct(F.col("_headed").alias("name"), *(F.col(f"_flat.{f}").alias(f) for f in FIELDS[:4]), text(first["url"]).alias("url")).cast(VENUE)
+    rows = rows.withColumn("_addressed", F.when(F.col("_headed") != "", addressed))
     place = (
-        F.when(n.isNull() | (n <= 0), None)
-        .when(room.isNotNull() & hit["_outer"].isNotNull(), is_(hit["_outer"], room, True))
-        .when(room.isNotNull(), is_(discovered(outer, last), room, False))
-        .when(hit["_whole"].isNotNull(), is_(hit["_whole"], none, True))
-        .when(many, is_(discovered(inner, first), none, False))
-        .when(before.isNotNull() & hit["_dash"].isNotNull(), is_(hit["_dash"], after, True))
-        .when(before.isNotNull(), is_(discovered(before, first), after, False))
-        .when((comma > 0) & hit["_head"].isNotNull(), is_(hit["_head"], room_segment(tail), True))
-        .when((comma > 0) & (head != ""), is_(addressed, none, False))
-        .when(comma <= 0, is_(discovered(inner, first), none, False))
-    )
-    rows = rows.withColumn("place", place).drop(*asked, *(f"_v{k}" for k in asked))
-    return rows.withColumn("place", F.when(F.col("place.venue.name").isNotNull(), F.col("place")))
+        F.when(room.isNotNull() & has("_outer"), is_("_v_outer", room, True)).when(room.isNotNull(), is_("_found_out", room, False))
+        .when(has("_whole"), is_("_v_whole", none, True)).when(many, is_("_found_in", none, False))
+        .when(dashed & has("_dash"), is_("_v_dash", F.col("_after"), True)).when(dashed, is_("_found_dash", F.col("_after"), False))
+        .when(F.col("_comma") & has("_head"), is_("_v_head", F.col("_segment"), True)).when(F.col("_comma"), is_("_addressed", none, False))
+        .otherwise(is_("_found_in", none, False))
+    )
+    nowhere = F.when(room.isNotNull(), ~has("_outer") & F.col("_found_out").isNull()).when(has("_whole"), False).when(many, F.col("_found_in").isNull()).when(dashed, ~has("_dash") & F.col("_found_dash").isNull())
+    nowhere = nowhere.when(F.col("_comma"), ~has("_head") & F.col("_addressed").isNull()).otherwise(F.col("_found_in").isNull())
+    return rows.withColumn("place", F.when((n > 0) & ~nowhere, place)).select(*records.columns, "place")
 
 
 def default_venues(events: DataFrame, groups: DataFrame, curated: DataFrame) -> DataFrame:

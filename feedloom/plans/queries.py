@@ -119,7 +119,13 @@ def truncated_words(spark, d):
     return table(spark, d, "documents").select("doc_id", text.truncate_words(F.regexp_replace("text", "[^ -~]", "")).alias("excerpt"))
 
 
-@query()
+@query("""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(translate(html, '​‌‍﻿­', ''), '(?s)<!--.*?-->', '', 'g'),
+ '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|blockquote|tr|table|script|style)\\b[^>]*>', chr(10) || chr(10), 'g'), '<[A-Za-z/!?][^>]*>', '', 'g') AS x FROM pages),
+b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS x FROM a),
+p AS (SELECT page_id, list_filter(list_transform(string_split_regex(replace(x, chr(10) || '#', chr(10) || chr(10) || '#'), '\\n[ \\t]*\\n'), lambda q: trim(regexp_replace(q, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))),
+ lambda q: q <> '' AND NOT (regexp_extract(q, 'http[^ ]*') <> '' AND strlen(q) - strlen(regexp_extract(q, 'http[^ ]*')) < strlen(regexp_extract(q, 'http[^ ]*'))))[1] AS x FROM b),
+h AS (SELECT page_id, x, regexp_replace(left(x, list_filter(range(0, 221), lambda k: strlen(left(x, k)) <= 220)[-1]), '^(.+) [^ ]*$', '\\1', 's') AS h FROM p)
+SELECT page_id, CASE WHEN strlen(x) <= 220 THEN x ELSE rtrim(h, ' ,;:.-') || '…' END AS excerpt FROM h""")
 def excerpts_html(spark, d):
     return table(spark, d, "pages").select("page_id", text.excerpt(F.col("html")).alias("excerpt"))
 
@@ -321,7 +327,8 @@ def json_props(spark, d):
     return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.size(venues).alias("venues"), F.get(venues, 0)["venue"].alias("venue"))
 
 
-@query()
+@query("""SELECT CAST(doc_id AS VARCHAR) AS source_key, CAST(doc_id AS VARCHAR) AS upstream_id, TIMESTAMP '2024-03-10 08:30:00' AS start,
+trim(regexp_replace(regexp_replace(text, '[;,]', ' ', 'g'), '[\\r\\n]+', ' ', 'g')) AS description FROM documents""")
 def ics_unfold(spark, d):
     """Documents rendered as folded calendars and decoded again."""
     docs = table(spark, d, "documents")

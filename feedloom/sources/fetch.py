@@ -1,4 +1,4 @@
-"""Feeds over HTTP as a Spark data source: one partition a source, a failure is a row and never an error.
+"""Feeds over HTTP as a Spark data source: four sources at once at most, a failure is a row and never an error.
 
 ``spark.dataSource.register(FeedSource)``, then
 ``spark.read.format("feed").option("sources", json).option("now", iso).load()``
@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .html import event_links
 
 #: Limits of one source.
-TIMEOUT, BODY, PAGES, PER_PAGE, PAUSE = 10, 10 << 20, 20, 100, 2.0
+TIMEOUT, BODY, PAGES, PER_PAGE, PAUSE, IN_FLIGHT = 10, 10 << 20, 20, 100, 2.0, 4
 BACK, AHEAD = 2, 60
 AGENT = "feedloom/1 (calendar reader)"
 SCHEMA = "source_key string, uri string, kind string, body string, error string, fetched_at timestamp, window_end timestamp"
@@ -113,8 +113,8 @@ def fetch_one(source: dict, now: datetime, transport: Transport, pause: Callable
 
 
 class _Part(InputPartition):
-    def __init__(self, source: dict):
-        self.source = source
+    def __init__(self, sources: list[dict]):
+        self.sources = sources
 
 
 class FeedReader(DataSourceReader):
@@ -124,11 +124,12 @@ class FeedReader(DataSourceReader):
         self.transport = options.get("transport", f"{__name__}:over_http")
 
     def partitions(self):
-        return [_Part(s) for s in self.sources]
+        return [_Part(self.sources[i::IN_FLIGHT]) for i in range(min(IN_FLIGHT, len(self.sources)))]
 
     def read(self, partition):
         module, _, name = self.transport.partition(":")
-        yield from fetch_one(partition.source, self.now, getattr(importlib.import_module(module), name))
+        for source in partition.sources:
+            yield from fetch_one(source, self.now, getattr(importlib.import_module(module), name))
 
 
 class FeedSource(DataSource):

@@ -32,8 +32,9 @@ def test_links(spark):
 
 def test_excerpts(spark):
     long = "word " * 80
-    got = values(spark, text.excerpt, ["<p></p><p>First &amp; best.</p><p>Second</p>", "https://example.org/very/long\n\nThen this", "## Head **bold** [label](http://x.org)", "​", long])
-    assert got[:4] == ["First & best.", "Then this", "Head bold label", None]
+    assert values(spark, text.html_unescape, ["A &#38; &eacute;&hellip;", None]) == ["A & é…", None]
+    got = values(spark, text.excerpt, ["<p></p><p>First &amp; best&#33;</p><p>Second</p>", "https://example.org/very/long\n\nThen this", "## Head **bold** [label](http://x.org)", "​", long])
+    assert got[:4] == ["First & best!", "Then this", "Head bold label", None]
     assert len(got[4].encode()) <= 223 and got[4].endswith("word…")
 
 
@@ -100,7 +101,7 @@ def test_upsert_keeps_identity_and_merges_rows(spark):
     empty = spark.createDataFrame([], EV + ", first_seen timestamp_ntz, last_seen timestamp_ntz")
     one = store.upsert(empty, spark.createDataFrame([("a", "A", S1, "pending", ["a"]), ("b", "B", S1, "cancelled", ["b"]), ("z", "Z", S1, "pending", ["z"])], EV), t1)
     new = spark.createDataFrame([("b", "AB", S2, "published", ["b", "a"]), ("c", "C", S1, "pending", ["c"])], EV)
-    assert tuple(store.save_counts(one, new).first()) == (1, 1, 1)
+    assert tuple(store.save_counts(one, new).first()) == (1, 1, 1, 1)
     two = store.upsert(one, new, t2)
     got = {r.fingerprint: r for r in two.collect()}
     assert set(got) == {"a", "c", "z"} and got["a"].title == "AB" and got["a"].status == "published"
@@ -176,7 +177,7 @@ def test_broken_calendars(spark):
 def test_json_calendar(spark):
     page = {"total": 3, "events": [{"global_id": "1", "utc_start_date": "2026-01-01 10:00:00", "venue": {"venue": "V"}}, {"global_id": "2", "utc_start_date": "2026-01-01 10:00:00", "venue": [{"venue": "A"}, {"venue": "B"}]}, {"utc_start_date": "x"}]}
     good, skips = json_calendar.decode(spark.createDataFrame([("k", json.dumps(page))], "source_key string, body string"))
-    assert {r.upstream_id: [v.venue for v in r.venues] for r in good.collect()} == {"1": ["V"], "2": ["A", "B"]} and skips.count() == 1
+    assert {r.upstream_id: [v.name for v in r.venues] for r in good.collect()} == {"1": ["V"], "2": ["A", "B"]} and skips.count() == 1
 
 
 PAGE = """<link rel="canonical" href="https://example.org/events/x/"><div class="meeting-card-compact big"><b class="meeting-week">Week
@@ -186,9 +187,16 @@ PAGE = """<link rel="canonical" href="https://example.org/events/x/"><div class=
 
 def test_html(spark):
     df = spark.createDataFrame([("k", PAGE), ("n", None)], "source_key string, body string")
-    assert [tuple(r) for r in html.cards(df).collect()] == [("k", 0, "Week 1", "2026-01-01T18:00:00-05:00")]
+    cards = sorted((tuple(r) for r in html.cards(df).collect()), key=str)
+    assert cards == [("k", 0, "Week 1", True, "2026-01-01T18:00:00-05:00", None), ("k", 1, None, False, None, None), ("n", None, None, None, None, None)]
     got = {r.source_key: r for r in html.linked_events(df).collect()}
-    assert got["k"].upstream_id == "example.org/events/x/" and json.loads(got["k"].event)["name"] == "N" and got["n"].event is None
+    assert got["k"].canonical == "https://example.org/events/x/" and got["k"].event.name == "N" and got["n"].event is None
+    since, to = (F.lit(x).cast("timestamp_ntz") for x in ("2025-12-30", "2026-03-01"))
+    good, skips = html.decode_cards(df, "Club", since, to)
+    assert [(r.upstream_id, r.title, r.start) for r in good.collect()] == [("week-1_20260101T230000Z", "Club, Week 1", T(2026, 1, 1, 23))]
+    assert sorted((r.ref, r.reason) for r in skips.collect()) == [("card 1", "no label"), ("document", "no cards")]
+    good, skips = html.decode_linked(df, since, to)
+    assert good.count() == 0 and sorted(r.reason for r in skips.collect()) == ["bad start", "no event"]
     assert html.event_links("https://e.org/c/", ["/events/details/a/?q=1", "https://e.org/events/details/a/#x", "http://e.org/events/details/b/", "/other/"]) == ["https://e.org/events/details/a/"]
 
 
@@ -221,8 +229,8 @@ def test_registry(spark, tmp_path):
 
 def test_serving(spark):
     df = spark.createDataFrame([("b", S2, None), ("a", S1, "u")], "id string, start timestamp_ntz, url string")
-    body = json.loads(serve.feed_json(df, F.lit("now")).first().body)
-    assert [e["id"] for e in body["events"]] == ["a", "b"] and "url" not in body["events"][1] and "preview" not in body
+    body = json.loads(serve.feed_json(df, F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")).first().body)
+    assert [e["id"] for e in body["events"]] == ["a", "b"] and "url" not in body["events"][1] and "preview" not in body and body["generated_at"] == "2026-01-01T00:00:00Z"
 
 
 def test_streaming(spark, tmp_path):
