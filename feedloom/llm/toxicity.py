@@ -17,10 +17,10 @@ from .shared import crc_mod, table
 from .textops import LOWER, Prefix, U, buffers, byte_values, pieces, runs
 
 BITS = 20
-#: Labelled documents to learn from at most: those with the smallest hashes of doc_id.
-SAMPLE = 8_000
-#: Features kept: present in so many documents at least, the most telling so many of them.
-LEAST_DOCS, FEATURES = 5, 3_000
+#: Labelled rows to learn from at most, those with the smallest hashes; bytes of their texts in all, and of one.
+SAMPLE, SAMPLE_BYTES, ROW_BYTES = 8_000, 64 << 20, 4 << 20
+#: Features kept: present in so many documents at least, and in so many standard deviations more or fewer toxic ones than by chance.
+LEAST_DOCS, TELLING = 5, 2.5
 STEMS = (4, 5, 6)
 LETTER = np.zeros(256, bool)
 LETTER[0x61:0x7B] = LETTER[0x80:] = True
@@ -70,8 +70,9 @@ def train(texts, y: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
     rate = y.mean()
     expect = (pos + neg) * rate
     z = (pos - expect) / np.sqrt(np.maximum(expect * (1 - rate), 0.25))
-    ok = np.flatnonzero(pos + neg >= LEAST_DOCS)
-    kept = ok[np.argsort(-np.abs(z[ok]), kind="stable")[:FEATURES]]
+    kept = np.flatnonzero((pos + neg >= LEAST_DOCS) & (np.abs(z) >= TELLING))
+    if not len(kept):
+        return np.zeros(1 << BITS, np.float32), float(np.log(rate / (1 - rate)))
     new = np.full(1 << BITS, -1, np.int64)
     new[kept] = np.arange(len(kept))
     held, doc_of, sents = [], [], 0
@@ -116,12 +117,24 @@ def judge(data: np.ndarray, off: np.ndarray, w: np.ndarray, bias: float):
     return -np.expm1(-a), doc[bad], sa[bad] - off[doc[bad]], sb[bad] - off[doc[bad]], 1 / (1 + np.exp(-x[bad]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Learn from labelled documents whose crc32(doc_id) mod 5 is not 0, ``sample`` of them at most.  A doc_id with several labels is toxic if one is."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
+    """Learn from labelled documents whose crc32(doc_id) mod 5 is not 0.
+
+    ``sample`` rows and ``size`` bytes of whole texts at most reach the driver,
+    whatever ids repeat or texts weigh; texts of more than ``ROW_BYTES`` are not
+    learned from.  A doc_id with several labels is toxic if one is; rows without
+    a label, id or text are not learned from; without rows every text scores low.
+    """
     y = labels.filter("toxic is not null and doc_id is not null").filter(crc_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # ``sample`` rows of two numbers: bounded, so that the texts need no shuffle.
-    got = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(y), "doc_id").toArrow()
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= ROW_BYTES).join(F.broadcast(y), "doc_id")
+    rows = rows.select("text", "y", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = rows.select("h", F.octet_length("text").alias("n")).orderBy("h").limit(sample).toArrow()
+    upto = sizes["h"].to_numpy()[np.cumsum(sizes["n"].to_numpy()) <= size]
+    if not len(upto):
+        return train([], [])
+    got = rows.filter(F.col("h") <= int(upto[-1])).limit(sample).toArrow().sort_by("h")
     return train(got["text"], got["y"].to_numpy())
 
 
