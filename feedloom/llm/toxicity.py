@@ -111,7 +111,7 @@ def judge(data: np.ndarray, off: np.ndarray, w: np.ndarray, bias: float):
     pair = np.unique(s * np.int64(1 << BITS) + f)
     s, f = pair >> BITS, pair & ((1 << BITS) - 1)
     x = bias + np.bincount(s, w[f], len(doc))
-    a = np.bincount(doc, np.logaddexp(0, x), len(off) - 1)
+    a = np.bincount(doc, np.logaddexp(0, x), len(off) - 1).astype(float)  # of nothing, counts are whole numbers
     a[np.diff(np.searchsorted(doc, np.arange(len(off)))) == 0] = np.logaddexp(0, bias)
     bad = np.flatnonzero(x >= 0)
     return -np.expm1(-a), doc[bad], sa[bad] - off[doc[bad]], sb[bad] - off[doc[bad]], 1 / (1 + np.exp(-x[bad]))

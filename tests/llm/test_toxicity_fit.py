@@ -33,7 +33,7 @@ def test_scores_are_the_noisy_or_of_sentences():
         clean = 1.0
         for k in range(len(doc)):
             clean *= 1 / (1 + np.exp(bias + sum(w[x] for x in set(f[s == k].tolist()))))
-        assert p[0] == pytest.approx(1 - clean if len(doc) else 1 / (1 + np.exp(-bias)), rel=1e-5)
+        assert p[0] == pytest.approx(1 - clean if len(doc) else 1 / (1 + np.exp(-bias)), rel=1e-3)
     assert len(lo) == 2 and (np.diff(np.stack([lo, hi])) > 0).all()
 
 
