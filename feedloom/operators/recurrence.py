@@ -18,6 +18,14 @@ def _ntz(day: Column, clock: Column) -> Column:
     return (day.cast("timestamp_ntz") + (clock - F.date_trunc("DAY", clock).cast("timestamp_ntz"))).cast("timestamp_ntz")
 
 
+def _clock(at: Column) -> Column:
+    return at - F.date_trunc("DAY", at).cast("timestamp_ntz")
+
+
+def _at(day: Column, clock: Column) -> Column:
+    return (day.cast("timestamp_ntz") + clock).cast("timestamp_ntz")
+
+
 def daily(start: Column, every: int, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: start + F.make_dt_interval(i * every))
 
@@ -25,16 +33,14 @@ def daily(start: Column, every: int, n: int) -> Column:
 def weekly(start: Column, every: int, weekdays: list[str], n: int) -> Column:
     """The given weekdays of every ``every``-th of n weeks from the start's week (Sunday first), ascending, from the start on."""
     sunday = F.date_sub(start.cast("date"), F.dayofweek(start) - 1)
-    days = F.array(*(F.lit(d) for d in sorted(WEEKDAYS.index(w) for w in weekdays)))
-    at = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.transform(days, lambda d: _ntz(F.date_add(sunday, (i * 7 * every + d).cast("int")), start))))
-    return F.filter(at, lambda t: t >= start)
+    steps = F.array(*(F.lit(7 * every * i + d) for i in range(n) for d in sorted(WEEKDAYS.index(w) for w in weekdays)))
+    return _let({"day": sunday, "clock": _clock(start), "from": start}, lambda a: F.filter(F.transform(steps, lambda d: _at(F.date_add(a["day"], d), a["clock"])), lambda t: t >= a["from"]))
 
 
 def _months(start: Column, every: int, n: int, day_of) -> Column:
-    first = F.trunc(start.cast("date"), "MM")
-    days = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: day_of(F.add_months(first, i * every)))
-    at = F.transform(F.filter(days, lambda d: d.isNotNull()), lambda d: _ntz(d, start))
-    return F.filter(at, lambda t: t >= start)
+    first, steps = F.trunc(start.cast("date"), "MM"), F.array(*(F.lit(i * every) for i in range(n)))
+    # A day that a month lacks is null, and so is its instant, which is not from the start on either.
+    return _let({"month": first, "clock": _clock(start), "from": start}, lambda a: F.filter(F.transform(steps, lambda i: _at(day_of(F.add_months(a["month"], i)), a["clock"])), lambda t: t >= a["from"]))
 
 
 def monthly_nth(start: Column, every: int, weekday: str, nth: int, n: int) -> Column:

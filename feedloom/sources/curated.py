@@ -33,7 +33,20 @@ def _load(folder: Path, scope: str, known: set[str]) -> tuple[list[tuple[str, di
         except yaml.YAMLError as e:
             bad.append((scope, p.stem, f"not YAML: {e}".split("\n")[0]))
             continue
-        bad += [(scope, p.stem, f"unknown key {k}") for k in sorted(set(x) - known)]
+        if not isinstance(x, dict):
+            bad.append((scope, p.stem, "not a mapping"))
+            continue
+        bad += [(scope, p.stem, f"unknown key {k}") for k in sorted(map(str, set(x) - known))]
+        for k in ("aliases", "sources"):
+            want = str if k == "aliases" else dict
+            if x.get(k) is not None and not (isinstance(x[k], list) and all(isinstance(v, want) for v in x[k])):
+                bad.append((scope, p.stem, f"{k} must be a list of {'texts' if want is str else 'mappings'}"))
+                x[k] = None
+        for f in x.get("sources") or []:
+            for k, kind in (("priority", int), ("enabled", bool)):
+                if k in f and type(f[k]) is not kind:
+                    bad.append((scope, p.stem, f"{k} of a source must be {'a number' if kind is int else 'true or false'}"))
+                    del f[k]
         found.append((p.stem, x))
     return found, bad
 
