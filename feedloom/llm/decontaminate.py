@@ -73,8 +73,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """Each document's words in windows of benchmark items, and the items.
 
     Returns doc_id, n_words, n_hit, n_items, items (strings, sorted), items_sha256
-    and contaminated.  Null and empty texts have no words; each row, repeated or
-    not, gives one; an empty benchmark hits nothing; other columns are not read.
+    and contaminated.  Null and empty texts have no words; texts count whole,
+    however long; each row, repeated or not, gives one; of shingles that are
+    equally rare any may join, as words decide; an empty benchmark hits nothing,
+    an empty table gives no rows; other columns are not read.
     """
     wins = windows(benchmark, window, shingle)
     small = input_bytes(benchmark) <= BROADCAST_BYTES

@@ -60,8 +60,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: bool = True) ->
     """Remove each word that lies in a window of ``window`` words whose sequence starts anywhere else as well.
 
     Returns doc_id, n_words, n_removed, kept_sha256, n_spans (removed runs) and
-    kept (the text of the kept words, null without ``text``).  Null and empty texts have no words; rows
-    with equal or null ids each keep a row; other columns are not read.
+    kept (the text of the kept words, null without ``text``).  Null and empty texts
+    have no words; texts count whole, however long; rows with equal or null ids
+    each keep a row, and repeated rows repeat their windows; there are no ties;
+    an empty table gives no rows; other columns are not read.
     """
     if window < PERIOD:
         raise ValueError(f"window must be {PERIOD} words at least")

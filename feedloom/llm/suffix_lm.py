@@ -230,7 +230,8 @@ def scored(docs: DataFrame, held: tuple[int, int] = HELD_OUT) -> DataFrame:
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (root
     alone), score, and n_context (tokens scored by a longer state).  Null and
-    empty texts are one end; repeated rows count and are scored each; other
+    empty texts are one end; texts count whole, however long; repeated rows count
+    and are scored each; there are no ties; an empty table gives no rows; other
     columns are not read.
     """
     if docs.isEmpty():

@@ -257,8 +257,10 @@ def read_tokens(spark: SparkSession, path: str, files: list[tuple[str, int, int]
 def encoded(docs: DataFrame, tokenizer: str | None = None, ids: bool = True, path: str | None = None) -> DataFrame:
     """Write ``docs`` as token files in the shared folder and read them back.
 
-    Null and empty texts have the end id alone; repeated rows are all written;
-    an empty table gives files without documents; other columns are not read.
+    Null and empty texts have the end id alone; a text of any length is one
+    frame; repeated rows are all written, and rows that tie in doc_id come in the
+    order of their texts' hashes; an empty table gives files without documents;
+    other columns are not read.
     """
     if tokenizer is None:
         import public_tokenizers
