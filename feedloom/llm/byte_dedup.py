@@ -18,8 +18,8 @@ row shares its interval is its longest common prefix, in phrases, with any other
 A 400-byte window within a common prefix is repeated.  What the phrases leave
 open, windows that begin before a prefix or end after it, is settled by counting
 the windows themselves, by two independent hashes, of 78 bits and more with the
-size of the input: those, and those that start from the same first symbol,
-wherever they are.
+size of the input.  So that each finds its equals, every interval's first row adds
+the windows within its common prefix.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ KINDS = [*[pa.int64()] * 4, pa.string(), pa.int64(), pa.binary()]
 #: What blocks and buckets send each other: ``to`` whom, what kind, from whom, and up to four arrays.
 MAIL = "to int, kind int, source int, a binary, b binary, c binary, d binary"
 SENT = pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("source", pa.int32()), *((x, pa.binary()) for x in "abcd")])
-ROWS, STATIC, STEP, STATE, DEPTH, OPEN, WANT, KEYS, BITS = range(9)
+ROWS, STATIC, STEP, STATE, DEPTH, KEYS, BITS = range(7)
 
 
 def _sent(rows: list[tuple]) -> pa.Table:
@@ -124,14 +124,57 @@ def _symbols(data: np.ndarray, cut: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class Parsed:
-    """Phrases of some documents: ``cut``, where they begin; ``row``, the cuts with a phrase to go in their document; ``sym`` of each row."""
+    """Phrases of some documents: ``cut``, where they begin and the last one ends; ``row``, the cuts with a phrase to go in their document; ``sym`` of each row.
+
+    Besides the ``regular`` cuts, which content decides, documents that hold a
+    window are cut at their edges, so that whole copies share all their phrases.
+    """
 
     def __init__(self, col):
         self.data, self.off = buffers(col)
-        self.cut = _cuts(self.data, self.off) if len(self.data) >= GRAM + WITHIN else np.zeros(0, np.int64)
-        self.doc = np.searchsorted(self.off, self.cut, side="right") - 1
+        cut = _cuts(self.data, self.off) if len(self.data) >= GRAM + WITHIN else np.zeros(0, np.int64)
+        large = np.flatnonzero(np.diff(self.off) >= WINDOW)
+        start = large[~np.isin(self.off[large], cut)]
+        cuts = np.concatenate([cut, self.off[start], self.off[large + 1]])
+        doc = np.concatenate([np.searchsorted(self.off, cut, side="right") - 1, start, large])
+        o = np.lexsort((cuts, doc))
+        self.cut, self.doc, self.regular = cuts[o], doc[o], (o < len(cut))
         self.row = np.flatnonzero(self.doc[:-1] == self.doc[1:])
-        self.sym = _symbols(self.data, self.cut[self.row], self.cut[self.row + 1])
+        begin, end = self.cut[self.row], self.cut[self.row + 1]
+        last = ~self.regular[self.row + 1]  # up to a document's edge: no bytes of the next one
+        self.sym = _symbols(self.data, np.where(last, np.minimum(begin, end - GRAM), begin), np.where(last, end - GRAM + 1, end))
+        self.sym[last] = mix(self.sym[last] ^ (end - begin)[last].astype(U) ^ U(0x51ED270B00000000))
+
+    def windows(self, depth: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the windows whose inner phrases are repeated; which lie within a common prefix; which are counted; each cut's common prefix in bytes.
+
+        Of the windows within a common prefix those of the row that leads the
+        interval of so many phrases are counted, for others to be compared with.
+        """
+        have, leads = np.zeros(len(self.cut), np.int64), np.zeros(len(self.cut), np.int64)
+        have[self.row], leads[self.row] = depth, lead
+        end = self.cut[np.arange(len(have)) + have] if len(have) else have
+        f = np.flatnonzero((have > 0) & self.regular)  # windows of which f is the first inner cut
+        if not len(f):
+            return f, f.astype(bool), f.astype(bool), end - self.cut
+        opens, closes = self.off[self.doc[f]], self.off[self.doc[f] + 1]
+        low = np.where((f > 0) & (self.doc[f - 1] == self.doc[f]) & self.regular[f - 1], self.cut[f - 1] - WITHIN + 2, opens)
+        low, high = np.maximum(low, opens), np.minimum(self.cut[f] - WITHIN + 1, closes - WINDOW)
+        n = np.maximum(high - low + 1, 0)
+        f = np.repeat(f, n)
+        i = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        last = np.searchsorted(self.cut, i + (WINDOW - GRAM - WITHIN + 1), side="right") - 1
+        i = i[have[f] >= np.minimum(last - f, ROUNDS)]
+        k = np.searchsorted(self.cut, i, side="right") - 1
+        need = np.searchsorted(self.cut, i + WINDOW) - k
+        sure = have[k] >= need
+        return i, sure, ~sure | ((leads[k] >> (np.minimum(need, 60) - 1)) & 1).astype(bool), end - self.cut
+
+    def before(self) -> np.ndarray:
+        """Of each row, the number of the row one phrase earlier in its document, or -1."""
+        follows = np.zeros(len(self.row), bool)
+        follows[1:] = np.diff(self.row) == 1
+        return np.where(follows, np.arange(len(self.row)) - 1, -1)
 
     def keys(self, i: np.ndarray) -> list[np.ndarray]:
         """Two hashes of the windows from these places; only their documents are read."""
@@ -144,33 +187,6 @@ class Parsed:
         i = i - moved[doc]
         return [Prefix(data, seed, byte_values(seed)).of(i, i + WINDOW) for seed in (6, 7)]
 
-    def before(self) -> np.ndarray:
-        """Of each row, the number of the row one phrase earlier in its document, or -1."""
-        follows = np.zeros(len(self.row), bool)
-        follows[1:] = np.diff(self.row) == 1
-        return np.where(follows, np.arange(len(self.row)) - 1, -1)
-
-    def windows(self, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the windows whose inner phrases are repeated; the row of the first of these; which lie within a common prefix; each cut's common prefix in bytes."""
-        have = np.zeros(len(self.cut), np.int64)
-        have[self.row] = depth
-        end = self.cut[np.arange(len(have)) + have] if len(have) else have
-        f = np.flatnonzero(have)  # windows of which f is the first inner cut
-        if not len(f):
-            return f, f, f.astype(bool), end - self.cut
-        opens, closes = self.off[self.doc[f]], self.off[self.doc[f] + 1]
-        low = np.where((f > 0) & (self.doc[f - 1] == self.doc[f]), self.cut[f - 1] - WITHIN + 2, opens)
-        low, high = np.maximum(low, opens), np.minimum(self.cut[f] - WITHIN + 1, closes - WINDOW)
-        n = np.maximum(high - low + 1, 0)
-        f = np.repeat(f, n)
-        i = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        last = np.searchsorted(self.cut, i + (WINDOW - GRAM - WITHIN + 1), side="right") - 1
-        ok = have[f] >= np.minimum(last - f, ROUNDS)
-        i, f = i[ok], f[ok]
-        k = np.searchsorted(self.cut, i, side="right") - 1
-        sure = (k >= 0) & (self.doc[k] == np.searchsorted(self.off, i, side="right") - 1) & (end[k] >= i + WINDOW)
-        return i, np.searchsorted(self.row, f), sure, end - self.cut
-
 
 def ordered(t: pa.Table) -> pa.Table:
     """A block's documents in an order that each reading of the exchange has: rows are told apart by their place."""
@@ -237,8 +253,9 @@ def first_interleave(t: pa.Table) -> pa.Table:
     live = np.flatnonzero(count[rank] > 1)
     rank, block, row, before, to = rank[live].astype(np.uint32), block[live], row[live], before[live], to[live]
     order = np.argsort(rank, kind="stable")
-    names = block.astype(U) << U(32) | row
-    return _sent([(bucket, STATIC, bucket, names, rank, before, to), *_steps(bucket, order, rank[order], block, before, to)])
+    names, lead = block.astype(U) << U(32) | row, np.zeros(len(rank), np.uint16)
+    lead[order[np.diff(rank[order], prepend=NONE) != 0]] = 1
+    return _sent([(bucket, STATIC, bucket, names, rank, before, to), (bucket, STATE, bucket, np.ones(len(rank), np.uint8), lead), *_steps(bucket, order, rank[order], block, before, to)])
 
 
 def _static(t: pa.Table) -> list[np.ndarray]:
@@ -246,9 +263,10 @@ def _static(t: pa.Table) -> list[np.ndarray]:
     return [_joined([r[1 + k] for r in got], kind) for k, kind in enumerate((U, np.uint32, np.uint32, np.uint32))]
 
 
-def _depth(m: pa.Table, size: int) -> np.ndarray:
+def _state(m: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row its common prefix so far, and at which depths (bits) it comes first in its interval."""
     got = _got(m, STATE)
-    return np.frombuffer(got[0][1], np.uint8).copy() if got else np.ones(size, np.uint8)
+    return _joined([r[1] for r in got], np.uint8).copy(), _joined([r[2] for r in got], np.uint16).copy()
 
 
 def refine(t: pa.Table, m: pa.Table, depth: int) -> pa.Table:
@@ -256,7 +274,7 @@ def refine(t: pa.Table, m: pa.Table, depth: int) -> pa.Table:
     if not t.num_rows:
         return SENT.empty_table()
     names, rank, before, to = _static(t)
-    bucket, have, got = t["to"][0].as_py(), _depth(m, len(names)), _got(m, STEP)
+    bucket, (have, lead), got = t["to"][0].as_py(), _state(m), _got(m, STEP)
     block, row = _joined([r[1] for r in got], np.uint32), _joined([r[2] for r in got], np.uint32)
     new = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(r[1]) // 4) for r in got)])
     out = []
@@ -271,10 +289,11 @@ def refine(t: pa.Table, m: pa.Table, depth: int) -> pa.Table:
         new = np.ones(len(at) + 1, bool)
         new[1:-1] = (s[1:] != s[:-1]) | (interval[1:] != interval[:-1])
         live = ~(new[:-1] & new[1:])
-        at, interval = at[live], np.cumsum(new[:-1])[live]
+        at, interval, new = at[live], np.cumsum(new[:-1])[live], new[:-1][live]
         have[at] = depth
+        lead[at[new]] |= np.uint16(1 << (depth - 1))
         out = _steps(bucket, at, interval, (names >> U(32)).astype(np.uint32), before, to) if depth < ROUNDS else []
-    return _sent([(bucket, STATE, bucket, have), *out])
+    return _sent([(bucket, STATE, bucket, have, lead), *out])
 
 
 def answer(t: pa.Table, m: pa.Table) -> pa.Table:
@@ -282,23 +301,10 @@ def answer(t: pa.Table, m: pa.Table) -> pa.Table:
     if not t.num_rows:
         return SENT.empty_table()
     names, bucket = _static(t)[0], t["to"][0].as_py()
-    have, block = _depth(m, len(names)), (names >> U(32)).astype(np.int64)
+    (have, lead), block = _state(m), (names >> U(32)).astype(np.int64)
     row = (names & U(0xFFFFFFFF)).astype(np.uint32)
     cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(names) else [0]
-    return _sent([(int(block[a]), DEPTH, bucket, row[a:b], have[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-
-
-def wanted(t: pa.Table, m: pa.Table) -> pa.Table:
-    """To each block, which of its rows begin with the symbol of one that has open windows."""
-    if not t.num_rows or not m.num_rows:
-        return SENT.empty_table()
-    names, rank = _static(t)[:2]
-    block, bucket = (names >> U(32)).astype(np.int64), t["to"][0].as_py()
-    got = _got(m, OPEN)
-    sizes = [int(x) for x in np.bincount(block)[[r[0] for r in got]]]
-    open_ = np.concatenate([np.unpackbits(np.frombuffer(r[1], np.uint8), count=k) for r, k in zip(got, sizes, strict=True)])
-    want, ends = (np.bincount(rank, open_) > 0)[rank], np.cumsum(sizes).tolist()
-    return _sent([(r[0], WANT, bucket, np.packbits(want[e - k : e])) for r, k, e in zip(got, sizes, ends, strict=True)])
+    return _sent([(int(block[a]), DEPTH, bucket, row[a:b], have[a:b], lead[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
 class Windows:
@@ -347,48 +353,30 @@ def repeated(t: pa.Table) -> pa.Table:
 
 
 class Found(NamedTuple):
-    """A piece's windows (see :meth:`Parsed.windows`) and which of them are counted."""
+    """A piece's windows, see :meth:`Parsed.windows`."""
 
     lo: int
     hi: int
     p: Parsed
     i: np.ndarray
-    row: np.ndarray
     sure: np.ndarray
-    prefix: np.ndarray
     asked: np.ndarray
+    prefix: np.ndarray
 
 
-def _found(t: pa.Table, m: pa.Table) -> tuple[list[Found], np.ndarray]:
-    """A block's pieces, and the place of each row in its transform."""
+def _found(t: pa.Table, m: pa.Table) -> list[Found]:
     parsed = list(_parsed(t))
     _, _, place = _transform([p for _, _, p in parsed])
-    depth, want = np.zeros(len(place), np.uint8), np.zeros(len(place), bool)
-    got = _got(m, DEPTH)
-    rows = {r[0]: np.frombuffer(r[1], np.uint32) for r in got}
-    for bucket, _, have, *_ in got:
-        depth[rows[bucket]] = np.frombuffer(have, np.uint8)
-    for bucket, bits, *_ in _got(m, WANT):
-        want[rows[bucket]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(rows[bucket]))
-    depth, want, at, out = depth[place], want[place], 0, []
+    depth, lead = np.zeros(len(place), np.uint8), np.zeros(len(place), np.uint16)
+    for _, row, have, leads, *_ in _got(m, DEPTH):
+        at = np.frombuffer(row, np.uint32)
+        depth[at], lead[at] = np.frombuffer(have, np.uint8), np.frombuffer(leads, np.uint16)
+    depth, lead, at, out = depth[place], lead[place], 0, []
     for lo, hi, p in parsed:
         n = len(p.row)
-        i, row, sure, prefix = p.windows(depth[at : at + n])
-        out.append(Found(lo, hi, p, i, row, sure, prefix, ~sure | want[at : at + n][row]))
+        out.append(Found(lo, hi, p, *p.windows(depth[at : at + n], lead[at : at + n])))
         at += n
-    return out, place
-
-
-def opened(t: pa.Table, m: pa.Table) -> pa.Table:
-    """To each bucket, which of a block's rows have open windows."""
-    if not t.num_rows or not m.num_rows:
-        return SENT.empty_table()
-    found, place = _found(t, m)
-    open_, at, block = np.zeros(len(place), bool), 0, t["block"][0].as_py()
-    for x in found:
-        open_[place[at + x.row[~x.sure]]] = True
-        at += len(x.p.row)
-    return _sent([(r[0], OPEN, block, np.packbits(open_[np.frombuffer(r[1], np.uint32)])) for r in _got(m, DEPTH)])
+    return out
 
 
 def remove_repeated_bytes(docs: DataFrame, text: bool = True) -> DataFrame:
@@ -410,22 +398,19 @@ def remove_repeated_bytes(docs: DataFrame, text: bool = True) -> DataFrame:
     def rows(t: pa.Table) -> pa.Table:
         return send_rows(ordered(t), n)
 
-    def asked(t: pa.Table, m: pa.Table) -> pa.Table:
-        return opened(ordered(t), m)
-
     def windows(t: pa.Table, m: pa.Table) -> pa.Table:
-        return Windows(_found(ordered(t), m)[0], width).sent(t["block"][0].as_py(), n) if t.num_rows else SENT.empty_table()
+        return Windows(_found(ordered(t), m), width).sent(t["block"][0].as_py(), n) if t.num_rows else SENT.empty_table()
 
     def finish(t: pa.Table, m: pa.Table) -> pa.Table:
         out: list[tuple] = []
         t = ordered(t)
-        found = _found(t, m)[0] if t.num_rows else []
+        found = _found(t, m) if t.num_rows else []
         if found:
             w = Windows(found, width)
             sizes = np.diff(np.searchsorted(B.bucket_of(w.a, n), np.arange(n + 1)))
             bits = [np.unpackbits(np.frombuffer(r[1], np.uint8), count=int(sizes[r[0]])) for r in _got(m, BITS)]
             hit, at = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)[w.back] if len(w.a) else np.zeros(0, bool), 0
-        for lo, hi, p, i, _, sure, prefix, asked in found:
+        for lo, hi, p, i, sure, asked, prefix in found:
             data, off, i_asked = p.data, p.off, i[asked]
             gone = spread(np.concatenate([i[sure], i_asked[hit[at : at + len(i_asked)]]]), WINDOW, len(data))
             at += len(i_asked)
@@ -448,12 +433,10 @@ def remove_repeated_bytes(docs: DataFrame, text: bool = True) -> DataFrame:
     post = lambda d: d.repartition(n, "to")
     to = lambda d: d.groupBy("to")
     first = post(to(post(by(dealt).applyInArrow(rows, MAIL))).applyInArrow(first_interleave, MAIL))
-    static, now = first.filter(f"kind = {STATIC}"), first.filter(f"kind = {STEP}")
+    static, now = first.filter(f"kind = {STATIC}"), first.filter(f"kind <> {STATIC}")
     for depth in range(2, ROUNDS + 1):
         now = post(to(static).cogroup(to(now)).applyInArrow(refined(depth), MAIL))
     mail = post(to(static).cogroup(to(now)).applyInArrow(answer, MAIL))
-    asks = post(by(dealt).cogroup(to(mail)).applyInArrow(asked, MAIL))
-    mail = mail.unionByName(post(to(static).cogroup(to(asks)).applyInArrow(wanted, MAIL)))
     keys = by(dealt).cogroup(to(mail)).applyInArrow(windows, MAIL)
     mail = mail.unionByName(post(to(post(keys)).applyInArrow(repeated, MAIL)))
     return by(dealt).cogroup(to(mail)).applyInArrow(finish, RESULT)
