@@ -12,6 +12,7 @@ from ..functions import dates, text
 from ..operators import normalize, serve, store, sync, venues
 from ..sources import html as html_source
 from ..sources import ics, json_calendar
+from ..streaming import ingest
 from .queries import SPLIT, ntz, query, skip_breaker, table
 
 
@@ -332,3 +333,38 @@ def run_report(spark, d):
     f = skip_breaker(spark, d).join(table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("window_end")), "user_id")
     status = f.select(F.when(F.col("failed"), "too many skips").alias("error"), F.when(F.col("failed"), 0).otherwise(F.col("total") - F.col("skipped")).alias("events"), "skipped", "window_end")
     return sync.report(status)
+
+
+@query("""SELECT event_id, CASE WHEN value > 90 THEN 'All day' WHEN value > 50 THEN strftime(ts, '%-I:%M %p') || ' – ' || strftime(ts + INTERVAL 90 MINUTE, '%-I:%M %p') ELSE strftime(ts, '%-I:%M %p') END AS label FROM events""")
+def time_labels(spark, d):
+    end = F.when(F.col("value") > 50, F.col("ts") + F.expr("interval 90 minutes"))
+    return table(spark, d, "events").select("event_id", dates.time_label(F.col("ts"), end, F.col("value") > 90).alias("label"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS written, date_trunc('second', ts) - to_hours(CAST(event_id % 3 AS INTEGER)) AS zoned, CAST(NULL AS TIMESTAMP) AS local FROM events""")
+def instants(spark, d):
+    """Instants are written in UTC and read with any offset; without one they are absent."""
+    wall = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    zoned = F.concat(wall, F.lit("+0"), (F.col("event_id") % 3).cast("string"), F.lit(":00"))
+    return table(spark, d, "events").select("event_id", dates.to_rfc3339(F.col("ts")).alias("written"), dates.rfc3339(zoned).cast("timestamp_ntz").alias("zoned"), dates.rfc3339(wall).cast("timestamp_ntz").alias("local"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events FROM events GROUP BY ALL")
+def hourly_counts(spark, d):
+    return ingest.hourly_counts(table(spark, d, "events")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query("SELECT c_custkey AS slug, CASE WHEN c_custkey % 3 > 0 THEN 'new' ELSE 'old' END AS name FROM customer WHERE c_custkey % 3 > 0 OR c_custkey % 2 = 0")
+def registry_mirror(spark, d):
+    """The registry's rows as they are now, and old ones that it no longer has."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    old, new = c.filter(k % 2 == 0).select(k.alias("slug"), F.lit("old").alias("name")), c.filter(k % 3 > 0).select(k.alias("slug"), F.lit("new").alias("name"))
+    return store.mirror(old, new, "slug")
+
+
+@query("""SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-23' AND event_id % 2 = 0 THEN 'cancelled' ELSE 'published' END AS status FROM events""")
+def cancel_missing(spark, d):
+    """Switched on: what a clean run no longer brings, well inside its window, is cancelled."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("fingerprint"), F.col("ts").alias("start"), F.lit("published").alias("status"))
+    got = store.cancel_missing(e, e.filter("fingerprint % 2 = 1"), ntz("2024-01-10"), ntz("2024-01-25"), clean=True, enabled=True)
+    return got.select(F.col("fingerprint").alias("event_id"), "status")
