@@ -17,7 +17,7 @@ row shares its interval is its longest common prefix, in phrases, with any other
 
 A 400-byte window within a common prefix is repeated.  What the phrases leave
 open, windows that begin before a prefix or end after it, is settled by counting
-the windows themselves, by two independent hashes, of 78 bits and more with the
+the windows themselves, by two independent hashes, of 70 bits and more with the
 size of the input.  So that each finds its equals, every interval's first row adds
 the windows within its common prefix.
 """
@@ -43,7 +43,7 @@ GRAM, WITHIN = 8, 96
 #: Bytes that are parsed at a time.
 STRETCH = 1 << 15
 #: Phrases to which the interleave is refined; windows that need more are settled by their hashes.
-ROUNDS = 10
+ROUNDS = 14
 #: Repeats of fewer bytes are not reported as a document's longest.
 LEAST = 160
 NONE = np.uint32(0xFFFFFFFF)
@@ -56,10 +56,20 @@ SENT = pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("source", pa.int32(
 ROWS, STATIC, STEP, STATE, DEPTH, KEYS, BITS = range(7)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes of some values, then all second ones, and so on: what is sorted or small then compresses."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+
+
+def _array(x, kind) -> np.ndarray:
+    raw = np.frombuffer(x, np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _sent(rows: list[tuple]) -> pa.Table:
     """Rows (to, kind, source, arrays ...) as a table."""
     cols = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
-    cols += [[None if len(r) <= 3 + k else r[3 + k].tobytes() for r in rows] for k in range(4)]
+    cols += [[None if len(r) <= 3 + k else _planes(r[3 + k]) for r in rows] for k in range(4)]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SENT, strict=True)], schema=SENT)
 
 
@@ -71,7 +81,7 @@ def _got(t: pa.Table, kind: int) -> list[tuple]:
 
 
 def _joined(parts: list, kind) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in parts)])
+    return np.concatenate([np.zeros(0, kind), *(_array(x, kind) for x in parts)])
 
 
 def _slide(x: np.ndarray, size: int, op) -> np.ndarray:
@@ -215,13 +225,27 @@ def _transform(parsed: list[Parsed]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def send_rows(t: pa.Table, n: int) -> pa.Table:
-    """A block's transform in buckets: symbols, rows before, and these rows' buckets."""
+    """A block's transform in buckets: symbols, rows before, and where each bucket's rows begin in the block."""
     sym, before, _ = _transform([p for _, _, p in _parsed(t)])
-    bucket = B.bucket_of(sym, n)
-    to = bucket[np.where(before == NONE, 0, before)].astype(np.uint32) if len(sym) else before
-    cuts = np.searchsorted(bucket, np.arange(n + 1)).tolist()
-    block = t["block"][0].as_py()
-    return _sent([(i, ROWS, block, sym[a:b], before[a:b], to[a:b], np.array([a], np.int64)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a])
+    cuts, block = np.searchsorted(B.bucket_of(sym, n), np.arange(n + 1)).astype(np.uint32), t["block"][0].as_py()
+    return _sent([(i, ROWS, block, sym[a:b], before[a:b], cuts) for i, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)) if b > a])
+
+
+def _packed(block: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Names of rows in 5 bytes each, or 8 where blocks or rows are too many."""
+    name = block.astype(U) << U(24) | row
+    if not len(name) or (int(block.max()) < 1 << 16 and int(row.max()) < 1 << 24):
+        return name.view(np.uint8).reshape(-1, 8)[:, :5]
+    return (block.astype(U) << U(32) | row).view(np.uint8).reshape(-1, 8)
+
+
+def _unpacked(x, n: int) -> np.ndarray:
+    """Block and row of n packed names, in 64 bits."""
+    width = len(x) // max(n, 1)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(x, np.uint8).reshape(width, n).T
+    out = out.view(U).ravel()
+    return out if width == 8 else (out >> U(24)) << U(32) | out & U(0xFFFFFF)
 
 
 def _steps(bucket: int, order: np.ndarray, interval: np.ndarray, block: np.ndarray, before: np.ndarray, to: np.ndarray) -> list[tuple]:
@@ -239,16 +263,18 @@ def _steps(bucket: int, order: np.ndarray, interval: np.ndarray, block: np.ndarr
     keep = ~(new[:-1] & new[1:])
     order, there, new = order[keep], there[keep], new[:-1][keep]
     cuts = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1], [True]])) if len(there) else [0]
-    return [(int(there[a]), STEP, bucket, block[order[a:b]], before[order[a:b]], np.packbits(new[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [(int(there[a]), STEP, bucket, _packed(block[order[a:b]], before[order[a:b]]), np.packbits(new[a:b]), np.array([b - a], np.int64)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def first_interleave(t: pa.Table) -> pa.Table:
     """A bucket's rows interleaved by their first symbol; it keeps those that share it."""
     got, bucket = _got(t, ROWS), t["to"][0].as_py()
-    sym, before, to = _joined([r[1] for r in got], U), _joined([r[2] for r in got], np.uint32), _joined([r[3] for r in got], np.uint32)
+    sym, before = _joined([r[1] for r in got], U), _joined([r[2] for r in got], np.uint32)
     sizes = [len(r[1]) // 8 for r in got]
     block = np.repeat(np.array([r[0] for r in got], np.uint32), sizes)
-    row = np.concatenate([np.arange(m, dtype=np.uint32) + np.uint32(np.frombuffer(r[4], np.int64)[0]) for r, m in zip(got, sizes, strict=True)])
+    starts = [_array(r[3], np.uint32) for r in got]
+    row = np.concatenate([np.arange(m, dtype=np.uint32) + c[bucket] for c, m in zip(starts, sizes, strict=True)])
+    to = np.concatenate([np.searchsorted(c, _array(r[2], np.uint32), side="right") - 1 for c, r in zip(starts, got, strict=True)]).astype(np.uint32)
     _, rank, count = np.unique(sym, return_inverse=True, return_counts=True)
     live = np.flatnonzero(count[rank] > 1)
     rank, block, row, before, to = rank[live].astype(np.uint32), block[live], row[live], before[live], to[live]
@@ -275,11 +301,11 @@ def refine(t: pa.Table, m: pa.Table, depth: int) -> pa.Table:
         return SENT.empty_table()
     names, rank, before, to = _static(t)
     bucket, (have, lead), got = t["to"][0].as_py(), _state(m), _got(m, STEP)
-    block, row = _joined([r[1] for r in got], np.uint32), _joined([r[2] for r in got], np.uint32)
-    new = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(r[1]) // 4) for r in got)])
+    sizes = [int(_array(r[3], np.int64)[0]) for r in got]
+    name = np.concatenate([np.zeros(0, U), *(_unpacked(r[1], k) for r, k in zip(got, sizes, strict=True))])
+    new = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(_array(r[2], np.uint8), count=k) for r, k in zip(got, sizes, strict=True))])
     out = []
-    if len(names) and len(row):
-        name = block.astype(U) << U(32) | row
+    if len(names) and len(name):
         at = np.minimum(np.searchsorted(names, name), len(names) - 1)
         here = names[at] == name
         at, interval = at[here], np.cumsum(new)[here]
@@ -324,7 +350,7 @@ class Windows:
 
 def key_width(size: int) -> int:
     """Bytes of the second hash that are sent: so many that a false pair among all windows of ``size`` compressed bytes has a chance of about 1 in 1,000."""
-    return min(8, max(2, math.ceil((2 * math.log2(max(2, 2 * size)) - 1 + 10 - 62) / 8)))
+    return min(8, max(1, math.ceil((2 * math.log2(max(2, 2 * size)) - 1 + 10 - 62) / 8)))
 
 
 def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -341,11 +367,12 @@ def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 def repeated(t: pa.Table) -> pa.Table:
     """A bucket's answers about windows: a bit for each that a block sent."""
     got, bucket = _got(t, KEYS), t["to"][0].as_py()
-    a, more = _joined([r[1] for r in got], U), _joined([r[2] for r in got], np.uint8)
+    a = _joined([r[1] for r in got], U)
     sizes = [len(r[1]) // 8 for r in got]
-    many = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=m) for r, m in zip(got, sizes, strict=True)]).astype(bool)
+    many = np.concatenate([np.unpackbits(_array(r[3], np.uint8), count=m) for r, m in zip(got, sizes, strict=True)]).astype(bool)
     b = np.zeros((len(a), 8), np.uint8)
-    b[:, : len(more) // len(a)] = more.reshape(len(a), -1)
+    more = [np.frombuffer(r[2], np.uint8).reshape(-1, m).T for r, m in zip(got, sizes, strict=True)]
+    b[:, : more[0].shape[1]] = np.concatenate(more)
     _, _, back, hit = distinct(a, b.view(U).ravel())
     hit[back[many]] = True
     hit, ends = hit[back], np.cumsum(sizes).tolist()
@@ -369,8 +396,8 @@ def _found(t: pa.Table, m: pa.Table) -> list[Found]:
     _, _, place = _transform([p for _, _, p in parsed])
     depth, lead = np.zeros(len(place), np.uint8), np.zeros(len(place), np.uint16)
     for _, row, have, leads, *_ in _got(m, DEPTH):
-        at = np.frombuffer(row, np.uint32)
-        depth[at], lead[at] = np.frombuffer(have, np.uint8), np.frombuffer(leads, np.uint16)
+        at = _array(row, np.uint32)
+        depth[at], lead[at] = _array(have, np.uint8), _array(leads, np.uint16)
     depth, lead, at, out = depth[place], lead[place], 0, []
     for lo, hi, p in parsed:
         n = len(p.row)
@@ -408,7 +435,7 @@ def remove_repeated_bytes(docs: DataFrame, text: bool = True) -> DataFrame:
         if found:
             w = Windows(found, width)
             sizes = np.diff(np.searchsorted(B.bucket_of(w.a, n), np.arange(n + 1)))
-            bits = [np.unpackbits(np.frombuffer(r[1], np.uint8), count=int(sizes[r[0]])) for r in _got(m, BITS)]
+            bits = [np.unpackbits(_array(r[1], np.uint8), count=int(sizes[r[0]])) for r in _got(m, BITS)]
             hit, at = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)[w.back] if len(w.a) else np.zeros(0, bool), 0
         for lo, hi, p, i, sure, asked, prefix in found:
             data, off, i_asked = p.data, p.off, i[asked]
