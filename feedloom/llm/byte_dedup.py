@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .shared import input_bytes, table
-from .textops import Prefix, U, buffers, byte_values, mix, pieces, spread
+from .textops import Prefix, U, buffers, byte_values, mix, pieces, planes, spread, unplaned
 
 WINDOW = 400
 GRAM, WITHIN = 8, 96
@@ -56,20 +56,10 @@ SENT = pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("source", pa.int32(
 ROWS, STATIC, STEP, STATE, DEPTH, KEYS, BITS = range(7)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """All first bytes of some values, then all second ones, and so on: what is sorted or small then compresses."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
-
-
-def _array(x, kind) -> np.ndarray:
-    raw = np.frombuffer(x, np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def _sent(rows: list[tuple]) -> pa.Table:
     """Rows (to, kind, source, arrays ...) as a table."""
     cols = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
-    cols += [[None if len(r) <= 3 + k else _planes(r[3 + k]) for r in rows] for k in range(4)]
+    cols += [[None if len(r) <= 3 + k else planes(r[3 + k]) for r in rows] for k in range(4)]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SENT, strict=True)], schema=SENT)
 
 
@@ -81,7 +71,7 @@ def _got(t: pa.Table, kind: int) -> list[tuple]:
 
 
 def _joined(parts: list, kind) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(_array(x, kind) for x in parts)])
+    return np.concatenate([np.zeros(0, kind), *(unplaned(x, kind) for x in parts)])
 
 
 def _slide(x: np.ndarray, size: int, op) -> np.ndarray:
@@ -272,9 +262,9 @@ def first_interleave(t: pa.Table) -> pa.Table:
     sym, before = _joined([r[1] for r in got], U), _joined([r[2] for r in got], np.uint32)
     sizes = [len(r[1]) // 8 for r in got]
     block = np.repeat(np.array([r[0] for r in got], np.uint32), sizes)
-    starts = [_array(r[3], np.uint32) for r in got]
+    starts = [unplaned(r[3], np.uint32) for r in got]
     row = np.concatenate([np.arange(m, dtype=np.uint32) + c[bucket] for c, m in zip(starts, sizes, strict=True)])
-    to = np.concatenate([np.searchsorted(c, _array(r[2], np.uint32), side="right") - 1 for c, r in zip(starts, got, strict=True)]).astype(np.uint32)
+    to = np.concatenate([np.searchsorted(c, unplaned(r[2], np.uint32), side="right") - 1 for c, r in zip(starts, got, strict=True)]).astype(np.uint32)
     _, rank, count = np.unique(sym, return_inverse=True, return_counts=True)
     live = np.flatnonzero(count[rank] > 1)
     rank, block, row, before, to = rank[live].astype(np.uint32), block[live], row[live], before[live], to[live]
@@ -301,9 +291,9 @@ def refine(t: pa.Table, m: pa.Table, depth: int) -> pa.Table:
         return SENT.empty_table()
     names, rank, before, to = _static(t)
     bucket, (have, lead), got = t["to"][0].as_py(), _state(m), _got(m, STEP)
-    sizes = [int(_array(r[3], np.int64)[0]) for r in got]
+    sizes = [int(unplaned(r[3], np.int64)[0]) for r in got]
     name = np.concatenate([np.zeros(0, U), *(_unpacked(r[1], k) for r, k in zip(got, sizes, strict=True))])
-    new = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(_array(r[2], np.uint8), count=k) for r, k in zip(got, sizes, strict=True))])
+    new = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(unplaned(r[2], np.uint8), count=k) for r, k in zip(got, sizes, strict=True))])
     out = []
     if len(names) and len(name):
         at = np.minimum(np.searchsorted(names, name), len(names) - 1)
@@ -369,7 +359,7 @@ def repeated(t: pa.Table) -> pa.Table:
     got, bucket = _got(t, KEYS), t["to"][0].as_py()
     a = _joined([r[1] for r in got], U)
     sizes = [len(r[1]) // 8 for r in got]
-    many = np.concatenate([np.unpackbits(_array(r[3], np.uint8), count=m) for r, m in zip(got, sizes, strict=True)]).astype(bool)
+    many = np.concatenate([np.unpackbits(unplaned(r[3], np.uint8), count=m) for r, m in zip(got, sizes, strict=True)]).astype(bool)
     b = np.zeros((len(a), 8), np.uint8)
     more = [np.frombuffer(r[2], np.uint8).reshape(-1, m).T for r, m in zip(got, sizes, strict=True)]
     b[:, : more[0].shape[1]] = np.concatenate(more)
@@ -396,8 +386,8 @@ def _found(t: pa.Table, m: pa.Table) -> list[Found]:
     _, _, place = _transform([p for _, _, p in parsed])
     depth, lead = np.zeros(len(place), np.uint8), np.zeros(len(place), np.uint16)
     for _, row, have, leads, *_ in _got(m, DEPTH):
-        at = _array(row, np.uint32)
-        depth[at], lead[at] = _array(have, np.uint8), _array(leads, np.uint16)
+        at = unplaned(row, np.uint32)
+        depth[at], lead[at] = unplaned(have, np.uint8), unplaned(leads, np.uint16)
     depth, lead, at, out = depth[place], lead[place], 0, []
     for lo, hi, p in parsed:
         n = len(p.row)
@@ -435,7 +425,7 @@ def remove_repeated_bytes(docs: DataFrame, text: bool = True) -> DataFrame:
         if found:
             w = Windows(found, width)
             sizes = np.diff(np.searchsorted(B.bucket_of(w.a, n), np.arange(n + 1)))
-            bits = [np.unpackbits(_array(r[1], np.uint8), count=int(sizes[r[0]])) for r in _got(m, BITS)]
+            bits = [np.unpackbits(unplaned(r[1], np.uint8), count=int(sizes[r[0]])) for r in _got(m, BITS)]
             hit, at = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)[w.back] if len(w.a) else np.zeros(0, bool), 0
         for lo, hi, p, i, sure, asked, prefix in found:
             data, off, i_asked = p.data, p.off, i[asked]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .shared import crc_mod, table
-from .textops import LOWER, U, Words, buffers, mix, pieces
+from .textops import LOWER, U, Words, buffers, mix, pieces, planes, unplaned
 
 GAIN = 6.0
 #: Training occurrences that a context needs, and a token after it to gain anything.
@@ -101,15 +101,23 @@ def _cuts(keys: np.ndarray, wide: bool, n: int):
 
 
 def _pack(keys: np.ndarray, wide: bool) -> bytes:
-    return keys.tobytes() if wide else keys.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unpack(x: bytes, wide: bool) -> np.ndarray:
-    if wide:
-        return np.frombuffer(x, U)
-    out = np.zeros((len(x) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
-    return out.view(U).ravel()
+    """Ascending keys: the first, and the steps to the others, in 4 bytes each where they fit."""
+    if not len(keys):
+        return b""
+    keys = keys if wide else keys & U(LOW)
+    steps = np.diff(keys)
+    small = not wide and (not len(steps) or int(steps.max()) < 1 << 32)
+    return keys[:1].tobytes() + (b"\4" + planes(steps.astype(np.uint32)) if small else b"\x08" + planes(steps))
+
+
+def _unpack(x, wide: bool) -> np.ndarray:
+    if not len(x):
+        return np.zeros(0, U)
+    steps = unplaned(x[9:], np.uint32 if bytes(x[8:9]) == b"\4" else U)
+    out = np.empty(len(steps) + 1, U)
+    out[0] = np.frombuffer(x, U, 1)[0]
+    out[1:] = steps
+    return np.cumsum(out, dtype=U)
 
 
 def _code(counts: np.ndarray) -> bytes:

@@ -195,3 +195,13 @@ def spread(starts: np.ndarray, length: int, n: int) -> np.ndarray:
         return np.zeros(n, bool)
     d = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + length, n), minlength=n + 1)
     return np.cumsum(d[:n]) > 0
+
+
+def planes(x: np.ndarray) -> bytes:
+    """All first bytes of some values, then all second ones, and so on: what is sorted or small then compresses."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+
+
+def unplaned(x, kind) -> np.ndarray:
+    raw = np.frombuffer(x, np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()

@@ -60,3 +60,14 @@ def test_scores_are_the_whole_trees(spark):
         assert sum(sum(once) for i, _, once in want if (i in train) == part) > 0
     got = {r.doc_id: r.score for r in suffix_lm.scored(docs.repartition(3)).collect()}
     assert got == {i: pytest.approx(s, rel=1e-9) for i, s, _ in want}
+
+
+def test_packed_keys():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 5000):
+        for wide in (True, False):
+            keys = np.unique(r.integers(0, 1 << (63 if wide else 40), n).astype(np.uint64))
+            assert (suffix_lm._unpack(memoryview(suffix_lm._pack(keys, wide)), wide) == keys).all()
+            assert not n or len(suffix_lm._pack(keys, wide)) <= 9 + n * 8
