@@ -1,6 +1,8 @@
 """Excerpts of descriptions, and entities."""
 
 import html
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +22,13 @@ def html_unescape(x: pd.Series) -> pd.Series:
     return x.map(html.unescape, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def html_unescape_closed(x: pd.Series) -> pd.Series:
+    """Entities as characters, but only those that end with their semicolon: ``&amp`` alone stays."""
+    one = lambda m: html.unescape(m[0]) if m[1][0] == "#" else html5.get(m[1], m[0])
+    return x.map(lambda v: re.sub(r"&(#\d+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)", one, v), na_action="ignore")
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def unescape_all(x: pd.Series) -> pd.Series:
     return x.map(lambda v: [t and html.unescape(t) for t in v], na_action="ignore")
@@ -48,30 +57,31 @@ def is_mostly_link(c: Column) -> Column:
 
 
 def truncate_words(c: Column, limit: int = LIMIT) -> Column:
-    """At most ``limit`` bytes, cut at a blank, with an ellipsis."""
-    head = F.decode(F.substring(F.encode(c, "UTF-8"), 1, limit), "UTF-8")
+    """At most ``limit`` bytes, cut at a blank, with an ellipsis; without a blank, before the character that has no room."""
+    data = F.encode(c, "UTF-8")
+    head = F.coalesce(*(F.try_validate_utf8(F.substring(data, 1, n).cast("string")) for n in range(limit, limit - 4, -1)))
     head = F.regexp_replace(head, r"(?s)^(.+) [^ ]*$", "$1")
     return F.when(F.octet_length(c) <= limit, c).otherwise(F.concat(F.rtrim(head, F.lit(" ,;:.-")), F.lit("\u2026")))
 
 
-def html_paragraphs(c: Column) -> Column:
+def html_paragraphs(c: Column, unescape=html_unescape) -> Column:
     """Texts between block tags, blank lines and lines that begin with a hash, without tags, with entities as characters.
 
     What a script or style holds is a paragraph of its own, as its tags part it
-    from the rest.  Only texts with an ampersand go through Python.
+    from the rest.  Only texts with an ampersand go through Python, to ``unescape``.
     """
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
     c = F.regexp_replace(c, rf"(?i)</?(?:{BLOCKS}|script|style)\b[^>]*>", "\n\n")
     c = F.regexp_replace(c, r"<[A-Za-z/!?][^>]*>", "")
-    c = F.coalesce(html_unescape(F.when(c.contains("&"), c)), c)
+    c = F.coalesce(unescape(F.when(c.contains("&"), c)), c)
     parts = F.split(F.replace(c, F.lit("\n#"), F.lit("\n\n#")), r"\n[ \t]*\n")
     return F.filter(F.transform(parts, squeeze), lambda p: p != "")
 
 
-def excerpt(c: Column) -> Column:
+def excerpt(c: Column, unescape=html_unescape) -> Column:
     """The first paragraph that is not mostly a link, shortened; null if there is none."""
     c = strip_invisible(c)
-    paras = html_paragraphs(c)
+    paras = html_paragraphs(c, unescape)
     paras = F.when(c.rlike(r"<[A-Za-z/][^>]*>"), paras).otherwise(F.transform(paras, strip_markdown))
     return truncate_words(F.get(F.filter(paras, lambda p: (p != "") & ~is_mostly_link(p)), 0))
 
