@@ -117,13 +117,23 @@ def judge(data: np.ndarray, off: np.ndarray, w: np.ndarray, bias: float):
     return -np.expm1(-a), doc[bad], sa[bad] - off[doc[bad]], sb[bad] - off[doc[bad]], 1 / (1 + np.exp(-x[bad]))
 
 
+def trained(batches):
+    """The model of one task's rows (text, y, h): the weights that are not 0, by feature, and the bias as feature -1."""
+    held = list(batches)
+    got = pa.Table.from_batches(held).sort_by("h") if held else None
+    w, bias = train(got["text"], got["y"].to_numpy()) if held else train([], [])
+    kept = np.flatnonzero(w)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(w[kept].astype(float), bias))], ["f", "w"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
     """Learn from labelled documents whose crc32(doc_id) mod 5 is not 0.
 
-    ``sample`` rows and ``size`` bytes of whole texts at most reach the driver,
-    whatever ids repeat or texts weigh; texts of more than ``ROW_BYTES`` are not
-    learned from.  A doc_id with several labels is toxic if one is; rows without
-    a label, id or text are not learned from; without rows every text scores low.
+    ``sample`` rows and ``size`` bytes of whole texts at most reach one task,
+    whatever ids repeat or texts weigh, and the driver gets the weights that it
+    learns; texts of more than ``ROW_BYTES`` are not learned from.  A doc_id with
+    several labels is toxic if one is; rows without a label, id or text are not
+    learned from; without rows every text scores low.
     """
     y = labels.filter("toxic is not null and doc_id is not null").filter(crc_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -134,8 +144,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SA
     upto = sizes["h"].to_numpy()[np.cumsum(sizes["n"].to_numpy()) <= size]
     if not len(upto):
         return train([], [])
-    got = rows.filter(F.col("h") <= int(upto[-1])).limit(sample).toArrow().sort_by("h")
-    return train(got["text"], got["y"].to_numpy())
+    got = rows.filter(F.col("h") <= int(upto[-1])).limit(sample).coalesce(1).mapInArrow(trained, "f long, w double").toArrow()
+    f, w = got["f"].to_numpy(), got["w"].to_numpy()
+    out = np.zeros(1 << BITS, np.float32)
+    out[f[f >= 0]] = w[f >= 0]
+    return out, float(w[f < 0][0])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], names: tuple[str, str] = ("score", "offending")) -> DataFrame:

@@ -52,3 +52,14 @@ def test_bounded_learning(spark):
     low = toxicity.fit(docs, labels, 8000, 1)
     assert (low[0] == 0).all() and low[1] < 0
     assert (toxicity.fit(docs.limit(0), labels.limit(0))[0] == 0).all()
+
+
+def test_learning_takes_a_task_and_not_the_driver(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, text(r, i % 5 == 0), int(i % 5 == 0)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learned = docs.filter(crc_mod("doc_id", 5) != 0).selectExpr("text", "toxic", "xxhash64(doc_id, text) AS h").orderBy("h").toArrow()
+    w, bias = toxicity.train(learned["text"], learned["toxic"].to_numpy())
+    monkeypatch.setattr(toxicity, "train", None)
+    got = toxicity.fit(docs.select("doc_id", "text").repartition(3), docs.select("doc_id", "toxic"))
+    assert (w != 0).any() and (got[0] == w).all() and got[0].dtype == w.dtype and got[1] == bias
