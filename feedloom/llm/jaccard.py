@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .components import components
 from .shared import row_key, stored, table
-from .textops import LOWER, Prefix, U, Words, buffers, mix, pieces
+from .textops import LOWER, SLICE, Prefix, U, Words, buffers, mix, pieces
 
 WORDS, PERCENT = 4, 85
 #: Shingles of a part: the root of LEAST times the group's, within these bounds.
@@ -65,7 +65,7 @@ class Sets:
 
 
 def _parts(col):
-    return pieces(np.diff(buffers(col)[1]))
+    return pieces(np.diff(buffers(col)[1]), SLICE)
 
 
 def _code(count: np.ndarray) -> np.ndarray:

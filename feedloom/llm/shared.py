@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[str, Any] = {}
+
+
+def kept(owner: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task, of one owner at a time: workers outlive stages, and what one stage left is freed by the next."""
+    got = _KEPT.get(owner)
+    if got is None:
+        got = make()
+        _KEPT.clear()
+        _KEPT[owner] = got
+    return got
+
+
 def row_key(*cols: str) -> list[Column]:
     """Two hashes of some columns that tell rows apart: 128 bits together."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit("again"), *reversed(cols))]

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import kept
+
 U = np.uint64
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -43,9 +45,6 @@ def _reduced(x: np.ndarray) -> np.ndarray:
     return np.where(x >= P, x - P, x)
 
 
-_POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-
 def _series(base: int, size: int) -> np.ndarray:
     out, have = np.ones(size, U), 1
     while have < size:
@@ -57,11 +56,12 @@ def _series(base: int, size: int) -> np.ndarray:
 
 def powers(seed: int, lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a lane's base and of its inverse, at least n of each."""
-    have = _POWERS.get((seed, lane))
+    tables = kept("powers", dict)
+    have = tables.get((seed, lane))
     if have is None or len(have[0]) < n:
         base = int(np.random.default_rng([seed, lane]).integers(1 << 20, int(P) - 1))
         size = 1 << max(16, int(n - 1).bit_length())
-        _POWERS[seed, lane] = have = _series(base, size), _series(pow(base, -1, int(P)), size)
+        tables[seed, lane] = have = _series(base, size), _series(pow(base, -1, int(P)), size)
     return have
 
 
@@ -180,13 +180,18 @@ class Words:
         self.pos = np.arange(len(a)) - self.at[:-1][self.doc] if len(a) else np.zeros(0, np.int64)
 
 
+#: Bytes of a slice where a worker must stay small: tables of powers then have 2**18 entries.
+SLICE = (1 << 18) - 1
+
+
 def pieces(n_bytes: np.ndarray, most: int = 1 << 20):
-    """Slices of consecutive documents of about ``most`` bytes each."""
-    if not len(n_bytes):
-        return
-    part = (np.cumsum(n_bytes) - 1).clip(0) // most
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(n_bytes)], strict=True)
+    """Slices of consecutive documents: ``most`` bytes each at most, or one document that has more."""
+    ends = np.cumsum(n_bytes)
+    lo = done = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield lo, hi
+        lo, done = hi, int(ends[hi - 1])
 
 
 def spread(starts: np.ndarray, length: int, n: int) -> np.ndarray:

@@ -8,7 +8,6 @@ in the tables at the end and decompresses its frame alone.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import struct
@@ -22,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import input_bytes, new_path, table
+from .shared import input_bytes, kept, new_path, table
 
 END_ID = 0
 #: Fixed values of the zstandard seekable format, and a skippable frame's magic number for our directory.
@@ -110,10 +109,9 @@ def apart(texts: list[str]) -> list[bool]:
     return [bool(x) and bool(APART.search(t)) for x, t in zip(hit[np.minimum(off[1:] - 1, most)] - hit[np.minimum(off[:-1], most)], texts, strict=True)]
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
-    """A worker's encoder: it keeps what it knows from task to task."""
-    return Encoder(path)
+    """A worker's encoder: it keeps what it knows from task to task, until the worker has other work."""
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 class Writer:

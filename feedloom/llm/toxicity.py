@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import crc_mod, table
-from .textops import LOWER, Prefix, U, buffers, byte_values, pieces, runs
+from .textops import LOWER, SLICE, Prefix, U, buffers, byte_values, pieces, runs
 
 BITS = 20
 #: Labelled rows to learn from at most, those with the smallest hashes; bytes of their texts in all, and of one.
@@ -58,15 +58,15 @@ def train(texts, y: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
     sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy()
 
     def parts():
-        for lo, hi in pieces(sizes):
+        for lo, hi in pieces(sizes, SLICE):
             s, f, doc, _, _ = features(*buffers(col.slice(lo, hi - lo)))
             yield lo, s, f, doc
 
     for lo, s, f, doc in parts():
         d = np.unique(doc[s] * np.int64(1 << BITS) + f) if len(s) else np.zeros(0, np.int64)
         df, dd = d & ((1 << BITS) - 1), (d >> BITS) + lo
-        pos += np.bincount(df, y[dd], 1 << BITS)
-        neg += np.bincount(df, 1 - y[dd], 1 << BITS)
+        np.add.at(pos, df, y[dd])
+        np.add.at(neg, df, 1 - y[dd])
     rate = y.mean()
     expect = (pos + neg) * rate
     z = (pos - expect) / np.sqrt(np.maximum(expect * (1 - rate), 0.25))
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], names: tuple[str, st
         for batch in batches:
             col = batch.column(keep.index("text"))
             p, found = [], []
-            for a, b in pieces(np.diff(buffers(col)[1])):
+            for a, b in pieces(np.diff(buffers(col)[1]), SLICE):
                 prob, doc, lo, hi, q = judge(*buffers(col.slice(a, b - a)), w, bias)
                 p.append(prob)
                 per: list[list] = [[] for _ in range(b - a)]
