@@ -34,8 +34,8 @@ def n_blocks(docs: DataFrame) -> int:
     return max(FEWEST, math.ceil(size / min(64 << 20, max(4 << 20, math.isqrt(size << 14)))))
 
 
-def replayable(docs: DataFrame) -> DataFrame:
-    """``docs`` if it is a plain scan of files, whose exchanges Spark recognizes and reuses; else doc_id and text, written once.
+def replayable(docs: DataFrame, *cols: str) -> DataFrame:
+    """``docs`` if it is a plain scan of files, whose exchanges Spark recognizes and reuses; else ``cols`` (doc_id and text), written once.
 
     Several steps read the documents; without reuse each would compute all that comes before it again.
     """
@@ -44,7 +44,7 @@ def replayable(docs: DataFrame) -> DataFrame:
         plan = plan.children().head()
     if plan.getClass().getSimpleName() in ("LogicalRelation", "DataSourceV2ScanRelation"):
         return docs
-    return stored(docs.select("doc_id", "text"), "documents")
+    return stored(docs.select(*cols or ("doc_id", "text")), "documents")
 
 
 def dealt(docs: DataFrame, n: int) -> DataFrame:
