@@ -25,6 +25,8 @@ SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 APART, ENDS = np.zeros(256, bool), np.zeros(256, bool)
 APART[list(SPACES + BREAKS)] = True
 ENDS[list(BREAKS)] = True
+#: Lengths up to this have a pass over the texts each; longer ones share one.
+ALONE = 3
 #: Bits for each frequent phrase, and of a table at least and at most (32 MB); bits of a part of it that one task makes.
 BITS, FEWEST, MOST, PART = 64, 1 << 17, 1 << 28, 1 << 17
 #: Bytes of text that are counted together before their rows leave a task.
@@ -55,8 +57,9 @@ class Grams:
         """A mask of the words that begin a run of m within a piece."""
         ok = np.ones(len(self.next), bool)
         for k in range(m - 1):
-            ok[: len(ok) - k] &= self.next[k:]
-            ok[len(ok) - k :] = False
+            left = max(0, len(ok) - k)
+            ok[:left] &= self.next[k:]
+            ok[left:] = False
         return ok
 
     def keys(self, at: np.ndarray, m: int) -> np.ndarray:
@@ -76,11 +79,16 @@ def salts(langs: pa.Array) -> np.ndarray:
     return mix(Prefix(data, 6, byte_values(6)).of(off[:-1], off[1:]))
 
 
-def _counted(langs: list[pa.Array], phrases: list[pa.Array]) -> pa.RecordBatch:
-    # Threads of a pool do not outlive the fork that makes a worker.
-    t = pa.table({"lang": pa.chunked_array(langs), "phrase": pa.chunked_array(phrases)}).group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
-    t = t.select(["lang", "phrase", "count_all"]).cast(pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())]).set(2, pa.field("count_all", pa.int64())))
-    return t.rename_columns(["lang", "phrase", "f"]).combine_chunks().to_batches()[0]
+def _counted(langs: pa.ChunkedArray, phrases: pa.ChunkedArray) -> pa.RecordBatch:
+    """Distinct phrases of each language with their number, a language at a time."""
+    codes = langs.combine_chunks().dictionary_encode()
+    own, of = codes.dictionary, codes.indices.to_numpy()
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(len(own) + 1))
+    phrases = phrases.combine_chunks()
+    got = [phrases.take(pa.array(order[i:j])).value_counts() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    name = own.take(pa.array(np.repeat(np.arange(len(own)), [len(g) for g in got])))
+    return pa.RecordBatch.from_arrays([name.cast(pa.string()), pa.concat_arrays([g.field(0) for g in got]).cast(pa.string()), pa.concat_arrays([g.field(1) for g in got])], ["lang", "phrase", "f"])
 
 
 def _grams(batch: pa.RecordBatch):
@@ -92,30 +100,34 @@ def _grams(batch: pa.RecordBatch):
         yield part.column(0), Grams(data, at, salts(part.column(0))), len(data)
 
 
-def counts(docs: DataFrame, m: int, table_of=None) -> DataFrame:
-    """(lang, phrase, f): occurrences of each run of m words in ``docs`` (lang, text).
+def counts(docs: DataFrame, lengths: tuple[int, ...], table_of=None, part: int = 0) -> DataFrame:
+    """(lang, phrase, f): occurrences of each run of words of some ``lengths`` in ``docs`` (lang, text).
 
-    ``table_of``, a broadcast bit table, leaves out what has a part of m - 1 words that is not in it.
+    ``table_of``, a broadcast bit table, leaves out what holds a run of ``part`` words that is not in it.
     """
 
     def run(batches):
         langs, phrases, held = [], [], 0
         for batch in batches:
             for lang, g, size in _grams(batch):
-                at = np.flatnonzero(g.starts(m))
                 if table_of is not None:
-                    bits = table_of.value
-                    at = at[has(bits, g.keys(at, m - 1))]
-                    at = at[has(bits, g.keys(at + 1, m - 1))]
-                if len(at):
-                    langs.append(lang.take(pa.array(g.w.doc[at])))
-                    phrases.append(g.phrases(at, m))
+                    hit = g.starts(part)
+                    at = np.flatnonzero(hit)
+                    hit[at] = has(table_of.value, g.keys(at, part))
+                for m in lengths:
+                    ok = g.starts(m)
+                    for k in range(m - part + 1 if table_of is not None else 0):
+                        ok[: max(0, len(ok) - k)] &= hit[k:]
+                    at = np.flatnonzero(ok)
+                    if len(at):
+                        langs.append(lang.take(pa.array(g.w.doc[at])))
+                        phrases.append(g.phrases(at, m))
                 held += size
                 if held >= CHUNK and phrases:
-                    yield _counted(langs, phrases)
+                    yield _counted(pa.chunked_array(langs), pa.chunked_array(phrases))
                     langs, phrases, held = [], [], 0
         if phrases:
-            yield _counted(langs, phrases)
+            yield _counted(pa.chunked_array(langs), pa.chunked_array(phrases))
 
     return docs.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
@@ -153,19 +165,20 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     Without ``prune`` every n-gram becomes a row; the result is the same.
     """
     spark, found, bits, words = docs.sparkSession, [], None, None
-    for m in range(1, longest + 1):
-        rows = counts(docs, m, bits)
-        if m == 1:
+    passes = [(m,) for m in range(1, min(longest, ALONE) + 1)] + [tuple(range(ALONE + 1, longest + 1))] * (longest > ALONE)
+    for lengths in passes:
+        rows = counts(docs, lengths, bits, lengths[0] - 1)
+        if lengths[0] == 1:
             # Unfiltered: the words of a language are the sum of their counts.
             rows = stored(rows, "phrase-words")
             words = rows.groupBy("lang").agg(F.sum("f").alias("n"))
-        rows = stored(rows.filter(F.col("f") >= least), f"phrases-{m}")
-        n = rows.count()
-        found.append(rows.withColumn("m", F.lit(m)))
-        if prune and m < longest:
+        rows = stored(rows.filter(F.col("f") >= least), f"phrases-{lengths[0]}")
+        found.append(rows.withColumn("m", F.size(F.split("phrase", " "))))
+        if prune and lengths != passes[-1]:
+            n = rows.count()
             if not n:
                 break
-            bits = spark.sparkContext.broadcast(bit_table(rows, m, n))
+            bits = spark.sparkContext.broadcast(bit_table(rows, lengths[0], n))
     out = found[0]
     for rows in found[1:]:
         out = out.unionByName(rows)

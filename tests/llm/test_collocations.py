@@ -86,3 +86,9 @@ def test_products_beyond_64_bits(spark):
 def test_one_language_and_one_phrase_hold_nearly_all(spark):
     rows = [("en", "again and again")] * 3000 + texts(4, 20)
     assert sorted(map(tuple, collocations.collocations(frame(spark, rows), 5, 3).collect())) == brute(rows, 5, 3, 2000)
+
+
+@pytest.mark.parametrize("words", range(7))
+def test_fewer_words_than_a_phrase(spark, words):
+    rows = [("en", " ".join("abcdefg"[:words]))]
+    assert sorted(map(tuple, collocations.collocations(frame(spark, rows), 5, 1).collect())) == brute(rows, 5, 1, 2000)
