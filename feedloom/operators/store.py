@@ -8,40 +8,27 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ledger import claims
+from .lineage import settled
+
 
 def gate(verified: Column) -> Column:
     """Fail closed: published only if the group is verified, decided anew each run."""
     return F.when(F.coalesce(verified, F.lit(False)), F.lit("published")).otherwise(F.lit("pending"))
 
 
-def claims(state: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(new_fp, survivor, losers) of incoming events that own rows of the state.
-
-    A row is claimed by any fingerprint of its provenance, or by its own; of
-    several the one first seen survives, ties to the smaller fingerprint.
-    """
-    owned = state.select("fingerprint", "first_seen", F.explode(F.array_union("sources", F.array("fingerprint"))).alias("_fp"))
-    asks = incoming.select(F.col("fingerprint").alias("new_fp"), F.explode("sources").alias("_fp"))
-    met = asks.join(owned, "_fp").select("new_fp", "fingerprint", "first_seen").distinct()
-    return met.groupBy("new_fp").agg(
-        F.min_by("fingerprint", F.struct("first_seen", "fingerprint")).alias("survivor"),
-        F.count("*").alias("matched"), F.collect_set("fingerprint").alias("matches"),
-    )
-
-
-def upsert(state: DataFrame, incoming: DataFrame, seen: Column) -> DataFrame:
+def upsert(state: DataFrame, incoming: DataFrame, seen: Column, got: DataFrame | None = None) -> DataFrame:
     """The next state.  Both have fingerprint, start, title, status, sources; state also first_seen and last_seen.
 
     Updated rows keep fingerprint and first_seen; merged rows leave one; rows not
-    seen stay as they are.  If two incoming events claim one row, the later one
-    in (start, fingerprint) decides.
+    seen stay as they are; a row that events of the run share no longer is written
+    by one of them, and the others are new.  ``got`` has the :func:`claims` of
+    these two, if they are known.
     """
     payload = [c for c in incoming.columns if c != "fingerprint"]
-    got = claims(state, incoming)
-    new = incoming.withColumnRenamed("fingerprint", "new_fp").join(got, "new_fp", "left")
-    new = new.withColumn("fingerprint", F.coalesce("survivor", "new_fp"))
-    last = new.groupBy("fingerprint").agg(*(F.max_by(c, F.struct("start", "new_fp")).alias(c) for c in payload))
-    gone = got.select(F.explode(F.array_remove("matches", F.col("survivor"))).alias("fingerprint")).distinct()
+    got = settled(claims(state, incoming)) if got is None else got
+    last = incoming.withColumnRenamed("fingerprint", "new_fp").join(got.filter("final").select("new_fp", F.col("row").alias("fingerprint")), "new_fp").drop("new_fp")
+    gone = got.select(F.explode("gone").alias("fingerprint")).distinct()
     old = state.join(gone, "fingerprint", "left_anti")
     both = old.alias("o").join(last.alias("n"), "fingerprint", "full_outer")
     here = F.col("n.sources").isNotNull()
@@ -62,13 +49,11 @@ def mirror(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
 
 
-def save_counts(state: DataFrame, incoming: DataFrame) -> DataFrame:
+def save_counts(state: DataFrame, incoming: DataFrame, got: DataFrame | None = None) -> DataFrame:
     """inserted, updated, promoted (pending before, published now) and merged of a run."""
-    was = state.select(F.col("fingerprint").alias("survivor"), F.col("status").alias("was"))
-    got = incoming.select(F.col("fingerprint").alias("new_fp"), "status").join(claims(state, incoming), "new_fp", "left").join(was, "survivor", "left")
+    got = claims(state, incoming) if got is None else got
     return got.agg(
-        F.count_if(F.col("survivor").isNull()).alias("inserted"), F.count_if(F.col("survivor").isNotNull()).alias("updated"),
-        F.count_if((F.col("was") == "pending") & (F.col("status") == "published")).alias("promoted"), F.coalesce(F.sum(F.col("matched") - 1), F.lit(0)).cast("long").alias("merged"),
+        F.count_if("inserted").alias("inserted"), F.count_if(~F.col("inserted")).alias("updated"), F.count_if("promoted").alias("promoted"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).cast("long").alias("merged"),
     )
 
 

@@ -9,13 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import excerpt
 from ..sources import html, ics, json_calendar
 from . import normalize, recurrence, serve, store
+from .lineage import settled
 from .venues import VENUE
 
 #: What decoders give, and its type where a decoder lacks it.
@@ -28,11 +28,6 @@ PLACES = ("name", "address", "city", "state", "zip", "url")
 MARK = " "
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the checkpoint folder if the session has one: decoders are read several times, and their expressions are long."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist(StorageLevel.DISK_ONLY)
-
-
 def shaped(records: DataFrame) -> DataFrame:
     """Records of any decoder with the same columns; ``source_key`` without the document, which is ``unit``."""
     have = dict(records.dtypes)

@@ -221,7 +221,28 @@ def row_merge(spark, d):
     old = e.select(F.col("event_id").alias("fingerprint"), F.col("ts").alias("first_seen"), F.array("event_id").alias("sources"))
     new = e.groupBy(F.expr("event_id div 3").alias("fingerprint")).agg(F.collect_list("event_id").alias("sources"))
     new = new.withColumns({"k": F.col("fingerprint"), "fingerprint": -F.col("fingerprint") - 1})
-    return store.claims(old, new).select((-F.col("new_fp") - 1).alias("k"), "survivor", "matched")
+    return store.claims(old, new).select((-F.col("new_fp") - 1).alias("k"), F.col("row").alias("survivor"), "matched")
+
+
+_TRIPLES = "g AS (SELECT k, list(event_id ORDER BY event_id) AS ids, min(ts) AS seen, arg_min(event_id, (ts, event_id)) AS first FROM (SELECT *, event_id // 3 AS k FROM events) GROUP BY k)"
+
+
+@query(f"""WITH {_TRIPLES}
+SELECT first AS fingerprint, ids[len(ids) - 1 - CAST(len(ids) > 1 AS INTEGER) + 1] AS title, seen AS first_seen, CAST(least(len(ids), 2) AS INTEGER) AS records FROM g WHERE k % 2 = 0
+UNION ALL SELECT i, i, CASE WHEN i = ids[1] THEN seen ELSE TIMESTAMP '{RUN2}' END, 1 FROM (SELECT seen, ids, unnest(ids) AS i FROM g WHERE k % 2 = 1)""")
+def upsert_overlaps(spark, d):
+    """All events in threes.  Of every other three each is a row, and two events of the run share the middle one; the others are one row that the run splits."""
+    e = table(spark, d, "events").withColumn("k", F.expr("event_id div 3"))
+    chain, ids = F.col("k") % 2 == 0, F.array_sort(F.collect_list("event_id"))
+    g = e.groupBy("k").agg(ids.alias("ids"), F.min("ts").alias("first_seen"))
+    rows = e.filter(chain).select(F.col("event_id").alias("fingerprint"), F.col("ts").alias("first_seen"), F.array("event_id").alias("sources"))
+    rows = rows.unionByName(g.filter(~chain).select(F.get("ids", F.lit(0)).alias("fingerprint"), "first_seen", F.col("ids").alias("sources")))
+    state = rows.withColumns({"title": F.lit(-1).cast("long"), "start": ntz(SPLIT), "status": F.lit("pending"), "last_seen": F.col("first_seen")})
+    pairs = F.when(F.size("ids") > 1, F.transform(F.sequence(F.lit(1), F.size("ids") - 1), lambda i: F.slice("ids", i, F.lit(2)))).otherwise(F.array("ids"))
+    parts = F.when(chain, pairs).otherwise(F.transform("ids", lambda i: F.array(i)))
+    new = g.select(F.explode(parts).alias("sources")).withColumn("fingerprint", F.get("sources", F.lit(0)))
+    new = new.withColumns({"title": F.col("fingerprint"), "start": ntz(RUN2), "status": F.lit("published")})
+    return store.upsert(state, new, ntz(RUN2)).select("fingerprint", "title", "first_seen", F.size("sources").alias("records"))
 
 
 @query("""SELECT coalesce(s.name, n.name) AS name, coalesce(nullif(s.city, ''), nullif(n.city, '')) AS city, coalesce(nullif(s.zip, ''), nullif(n.zip, '')) AS zip
