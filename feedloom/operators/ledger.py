@@ -11,6 +11,9 @@ of these does the order matter.
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +21,10 @@ from pyspark.sql import functions as F
 from .lineage import settled
 
 
+#: Events of shared components that one task takes, about.
+MEMBERS = 20_000
+
+
 def labels(links: DataFrame) -> DataFrame:
     """(event, label) of ``links`` (event, hub): the least event that hubs connect it to, by least labels and pointer jumps."""
     now = links.select("event", F.col("event").alias("label")).distinct()
@@ -32,40 +39,43 @@ def labels(links: DataFrame) -> DataFrame:
             return now
 
 
-def in_order(part: pd.DataFrame) -> pd.DataFrame:
-    """The claims of one component: ``part`` has its rows (``old``) and events, with what each owns or asks for."""
-    owner, own, rows, out = {}, {}, {}, []
-    for r in part[part["old"]].itertuples():
-        rows[r.id] = {"seen": (0, r.at), "status": r.status, "owns": set(r.fps), "by": None}
-        owner.update({f: r.id for f in r.fps if f != r.id or f not in owner})
-        own[r.id] = r.id
-    events = part[~part["old"]].sort_values(["at", "id"])
-    waiting: dict = {}
-    for e in events.itertuples():
-        for f in e.fps:
+def in_order(members: list[tuple]) -> list[list]:
+    """The claims of one component: members are (old, at, id, status, records), its rows and its events."""
+    owner, rows, out, waiting = {}, {}, [], {}
+    for _, at, fp, status, fps in (m for m in members if m[0]):
+        rows[fp] = {"seen": (0, at), "status": status, "owns": set(fps), "by": None}
+        owner.update({f: fp for f in fps if f != fp or f not in owner})
+    events = sorted((m for m in members if not m[0]), key=lambda m: (m[1] is not None, m[1], m[2]))
+    for e in events:
+        for f in e[4]:
             waiting[f] = waiting.get(f, 0) + 1
-    for e in events.itertuples():
-        asks = set(e.fps)
+    for _, _, fp, status, fps in events:
+        asks = set(fps)
         for f in asks:
             waiting[f] -= 1
         met = {owner[f] for f in asks if f in owner} | {f for f in asks if f in rows}
         # A row whose own record another event still brings is that event's.
         met = sorted((r for r in met if r in asks or not waiting.get(r)), key=lambda r: (rows[r]["seen"], r))
-        inserted = not met
-        row = e.id if inserted else met[0]
-        was = None if inserted else rows[row]["status"]
+        row = met[0] if met else fp
+        was = rows[row]["status"] if met else None
         for r in met:
             for f in [f for f in rows[r]["owns"] if owner.get(f) == r]:
                 del owner[f]
+            if rows[r]["by"] is not None:
+                out[rows[r]["by"]][-1] = False
         for r in met[1:]:
-            if (by := rows.pop(r)["by"]) is not None:
-                out[by][-1] = False
-        if not inserted and rows[row]["by"] is not None:
-            out[rows[row]["by"]][-1] = False
-        for f in asks:
-            owner[f] = row
-        rows[row] = {"seen": (1, 0) if inserted else rows[row]["seen"], "status": e.status, "owns": asks, "by": len(out)}
-        out.append([e.id, row, inserted, len(met), met[1:], was == "pending" and e.status == "published", True])
+            del rows[r]
+        owner.update(dict.fromkeys(asks, row))
+        rows[row] = {"seen": rows[row]["seen"] if met else (1, 0), "status": status, "owns": asks, "by": len(out)}
+        out.append([fp, row, not met, len(met), met[1:], was == "pending" and status == "published", True])
+    return out
+
+
+def _components(part: pd.DataFrame) -> pd.DataFrame:
+    """The claims of all components of a bucket."""
+    out, members = [], list(part.sort_values("label")[["label", "old", "at", "id", "status", "fps"]].itertuples(index=False, name=None))
+    for _, own in groupby(members, key=itemgetter(0)):
+        out += in_order([m[1:] for m in own])
     return pd.DataFrame(out, columns=["new_fp", "row", "inserted", "matched", "gone", "promoted", "final"])
 
 
@@ -102,4 +112,5 @@ def claims(state: DataFrame, incoming: DataFrame) -> DataFrame:
     theirs = met.join(tied, "event").select("label", F.col("row").alias("id")).distinct().join(rows, "id").withColumn("old", F.lit(True))
     group = events.join(tied.withColumnRenamed("event", "id"), "id").withColumn("old", F.lit(False)).unionByName(theirs)
     kinds = f"new_fp {kind}, row {kind}, inserted boolean, matched long, gone array<{kind}>, promoted boolean, final boolean"
-    return free.unionByName(group.groupBy("label").applyInPandas(lambda part: in_order(part.drop(columns="label")), kinds))
+    bucket = F.pmod(F.xxhash64("label"), F.lit(max(8, tied.count() // MEMBERS)))
+    return free.unionByName(group.groupBy(bucket.alias("bucket")).applyInPandas(lambda part: _components(part), kinds))
