@@ -9,11 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .markup import plain
+
 #: Characters that take no room.
 INVISIBLE = "\u200b\u200c\u200d\ufeff\u00ad"
 LIMIT = 220
-#: Tags that begin a paragraph (fixed values).
-BLOCKS = "p|div|br|li|ul|ol|h[1-6]|blockquote|tr|table"
+#: Elements that part paragraphs (fixed values).
+BREAKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 blockquote tr table script style".split())
 
 
 @F.pandas_udf(StringType())
@@ -22,11 +24,21 @@ def html_unescape(x: pd.Series) -> pd.Series:
     return x.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def html_unescape_closed(x: pd.Series) -> pd.Series:
-    """Entities as characters, but only those that end with their semicolon: ``&amp`` alone stays."""
+def _closed(text: str) -> str:
     one = lambda m: html.unescape(m[0]) if m[1][0] == "#" else html5.get(m[1], m[0])
-    return x.map(lambda v: re.sub(r"&(#\d+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)", one, v), na_action="ignore")
+    return re.sub(r"&(#\d+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)", one, text)
+
+
+@F.pandas_udf(StringType())
+def html_text(x: pd.Series) -> pd.Series:
+    """A page's text, with an empty line where paragraphs part."""
+    return x.map(lambda v: plain(v, BREAKS), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def html_text_closed(x: pd.Series) -> pd.Series:
+    """The same, but only entities that end with their semicolon are characters: ``&amp`` alone stays."""
+    return x.map(lambda v: plain(v, BREAKS, _closed), na_action="ignore")
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -64,24 +76,21 @@ def truncate_words(c: Column, limit: int = LIMIT) -> Column:
     return F.when(F.octet_length(c) <= limit, c).otherwise(F.concat(F.rtrim(head, F.lit(" ,;:.-")), F.lit("\u2026")))
 
 
-def html_paragraphs(c: Column, unescape=html_unescape) -> Column:
+def html_paragraphs(c: Column, text=html_text) -> Column:
     """Texts between block tags, blank lines and lines that begin with a hash, without tags, with entities as characters.
 
     What a script or style holds is a paragraph of its own, as its tags part it
-    from the rest.  Only texts with an ampersand go through Python, to ``unescape``.
+    from the rest.  Only texts with a tag or an ampersand go through Python, to ``text``.
     """
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    c = F.regexp_replace(c, rf"(?i)</?(?:{BLOCKS}|script|style)\b[^>]*>", "\n\n")
-    c = F.regexp_replace(c, r"<[A-Za-z/!?][^>]*>", "")
-    c = F.coalesce(unescape(F.when(c.contains("&"), c)), c)
+    c = F.coalesce(text(F.when(c.contains("<") | c.contains("&"), c)), c)
     parts = F.split(F.replace(c, F.lit("\n#"), F.lit("\n\n#")), r"\n[ \t]*\n")
     return F.filter(F.transform(parts, squeeze), lambda p: p != "")
 
 
-def excerpt(c: Column, unescape=html_unescape) -> Column:
+def excerpt(c: Column, text=html_text) -> Column:
     """The first paragraph that is not mostly a link, shortened; null if there is none."""
     c = strip_invisible(c)
-    paras = html_paragraphs(c, unescape)
+    paras = html_paragraphs(c, text)
     paras = F.when(c.rlike(r"<[A-Za-z/][^>]*>"), paras).otherwise(F.transform(paras, strip_markdown))
     return truncate_words(F.get(F.filter(paras, lambda p: (p != "") & ~is_mostly_link(p)), 0))
 

@@ -127,13 +127,15 @@ p AS (SELECT page_id, list_filter(list_transform(string_split_regex(replace(x, c
 h AS (SELECT page_id, x, regexp_replace(left(x, list_filter(range(0, 221), lambda k: strlen(left(x, k)) <= 220)[-1]), '^(.+) [^ ]*$', '\\1', 's') AS h FROM p)
 SELECT page_id, CASE WHEN strlen(x) <= 220 THEN x ELSE rtrim(h, ' ,;:.-') || '…' END AS excerpt FROM h""")
 def excerpts_html(spark, d):
-    return table(spark, d, "pages").select("page_id", text.excerpt(F.col("html"), text.html_unescape_closed).alias("excerpt"))
+    return table(spark, d, "pages").select("page_id", text.excerpt(F.col("html"), text.html_text_closed).alias("excerpt"))
 
 
-@query("""WITH l AS (SELECT page_id, unnest(range(1, len(m) + 1)) AS pos, unnest(m) AS href FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref="([^"]*)"', 1) AS m FROM pages))
+@query("""WITH l AS (SELECT page_id, unnest(range(1, len(m) + 1)) AS pos, unnest(m) AS href FROM (SELECT page_id, list_concat([url || '#1', url || '#2'], regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref="([^"]*)"', 1)) AS m FROM pages))
 SELECT page_id, href, CAST(min(pos) AS BIGINT) AS pos FROM l GROUP BY page_id, href""")
 def page_links(spark, d):
-    return html_source.links(table(spark, d, "pages"), "page_id", "html")
+    """Links of all pages, with one in single quotes and one in none before each."""
+    more = F.concat(F.lit("<a title='a>b' href='"), "url", F.lit("#1'>x</a><p><a id=y href="), "url", F.lit("#2>y</a>"), "html")
+    return html_source.links(table(spark, d, "pages").withColumn("html", more), "page_id", "html")
 
 
 @query("""WITH alias AS (SELECT lower(trim(n_name)) AS key, n_nationkey AS slug, n_nationkey AS occ FROM nation UNION ALL SELECT lower(trim(r_name)), 100 + r_regionkey, 100 + r_regionkey FROM region),

@@ -119,11 +119,11 @@ w AS (SELECT * FROM o WHERE t BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1997
 f AS (SELECT o_custkey, t, min(o_orderkey) AS o_orderkey FROM w GROUP BY ALL)
 SELECT CAST(o_custkey AS VARCHAR) AS source_key, 'week-' || o_orderkey || '_' || strftime(t, '%Y%m%dT%H%M%SZ') AS upstream_id, 'Club, Week ' || o_orderkey AS title, t AS start, CASE WHEN o_orderkey % 2 = 0 THEN 'Hall & Co' END AS venue FROM f""")
 def decoded_cards(spark, d):
-    """A schedule page for each customer; a sixth of the cards has no label, a sixth no time."""
+    """A schedule page for each customer; a sixth of the cards has no label, a sixth no time; attributes in all forms, and tags that never end or never began."""
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
     at = F.date_format(F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (k % 20).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     card = F.concat(
-        F.lit('<div class="x meeting-card-compact"><br>'), F.when(k % 6 == 0, "").otherwise(F.concat(F.lit('<h3 class="meeting-week"> Week <b>'), k.cast("string"), F.lit("</b></h3>"))),
+        F.lit("<div class='x meeting-card-compact'><br><p>one<ul><li>two<li>three</b></ul></span>"), F.when(k % 6 == 0, "").otherwise(F.concat(F.lit("<h3 title='a>b' class=meeting-week> Week <b>"), k.cast("string"), F.lit("</b></h3>"))),
         F.when(k % 2 == 0, F.lit('<p class="meeting-location">Hall &amp; Co</p>')).otherwise(""), F.when(k % 6 == 1, "").otherwise(F.concat(F.lit('<time datetime="'), at, F.lit('">then</time>'))), F.lit("</div>"),
     )
     pages = o.groupBy(F.col("o_custkey").cast("string").alias("source_key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", card.alias("c")))), lambda x: x["c"]), "\n").alias("body"))

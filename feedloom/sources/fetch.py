@@ -9,9 +9,9 @@ error, fetched_at, window_end.  ``window`` and ``pages`` are plain functions, an
 
 from __future__ import annotations
 
+import html
 import importlib
 import json
-import re
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -20,6 +20,7 @@ from urllib.parse import urlencode, urljoin, urlsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.markup import targets
 from .html import event_links
 
 #: Limits of one source.
@@ -80,7 +81,7 @@ def pages(url: str, now: datetime, transport: Transport) -> Iterator[tuple[str,
 def crawl(url: str, transport: Transport, pause: Callable[[float], None] = time.sleep) -> Iterator[tuple[str, str | None, str | None]]:
     """A chapter's event pages, one after another, 20 at most; a page that fails, and what is left out, is a row with its error."""
     home = body_of(url, transport)
-    found = event_links(url, re.findall(r'(?i)<a\b[^>]*?\bhref="([^"]*)"', home))
+    found = event_links(url, [html.unescape(h) for h in targets(home)])
     if not found:
         raise ValueError("no event links")
     for i, link in enumerate(found[:PAGES]):

@@ -1,6 +1,6 @@
-"""HTML pages: links by regular expression; cards and linked data by the standard library's parser in Arrow batches.
+"""HTML pages in Arrow batches: links, cards and linked data.
 
-The parser only takes pages apart; what the parts mean is decided by columns.
+Pages are only taken apart here; what the parts mean is decided by columns.
 """
 
 from __future__ import annotations
@@ -8,7 +8,6 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
@@ -16,22 +15,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import rfc3339
+from ..functions.markup import Outline, targets
 from ..functions.names import slugify
 from ..functions.urls import clean_url
 
 
 def links(pages: DataFrame, key: str, body: str) -> DataFrame:
-    """Each page's distinct link targets as written, with the place of the first."""
-    found = F.regexp_extract_all(body, F.lit(r'(?i)<a\b[^>]*?\bhref="([^"]*)"'), F.lit(1))
-    rows = pages.select(key, F.posexplode(found).alias("pos", "href"))
-    return rows.groupBy(key, "href").agg((F.min("pos") + 1).cast("long").alias("pos"))
+    """Each page's distinct link targets as written, in either quotes or none, with the place of the first."""
+    kind = pages.select(key).schema[0].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            found = [[(h, i + 1) for i, h in reversed(list(enumerate(targets(p or ""))))] for p in b.column(1).to_pylist()]
+            rows = [(k, h, i) for k, page in enumerate(found) for h, i in dict(page).items()]
+            at, hrefs, places = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(hrefs, pa.string()), pa.array(places, pa.int64())], [key, "href", "pos"])
+
+    return pages.select(key, body).mapInArrow(run, f"{key} {kind}, href string, pos long").groupBy(key, "href").agg(F.min("pos").alias("pos"))
 
 
 #: Class names of the cards, and the media type of linked data.
 CARD, LABEL, PLACE = "meeting-card-compact", "meeting-week", "meeting-location"
 LINKED = "application/ld+json"
-#: Tags that have no end.
-VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 CARDS = "source_key string, pos int, week string, has_time boolean, datetime string, place string"
 ADDRESS = ("streetAddress", "addressLocality", "addressRegion", "postalCode")
 LOCATION = pa.struct([("kinds", pa.list_(pa.string())), ("name", pa.string()), ("url", pa.string()), *((a, pa.string()) for a in ADDRESS)])
@@ -39,57 +44,55 @@ EVENT = pa.struct([*((f, pa.string()) for f in ("name", "description", "startDat
 EVENT_DDL = "struct<name: string, description: string, startDate: string, endDate: string, eventStatus: string, eventAttendanceMode: string, locations: array<struct<kinds: array<string>, name: string, url: string, streetAddress: string, addressLocality: string, addressRegion: string, postalCode: string>>>"
 
 
-class _Page(HTMLParser):
-    """Cards of one class with their label, place and time, linked-data scripts, and the canonical link."""
+class _Page(Outline):
+    """Cards of one class with their label, place and time, linked-data scripts, and the canonical link.
+
+    What a card holds is its own, also if cards stand in one another; only the
+    first label, place and time of a card count.
+    """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.cards, self.scripts, self.canonical = [], [], None
-        self.depth, self.at, self.inside, self.in_script = 0, None, {}, False
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        classes = (a.get("class") or "").split()
-        if tag == "link" and "canonical" in (a.get("rel") or "").lower().split():
-            self.canonical = self.canonical or a.get("href")
-        if tag == "script" and a.get("type") == LINKED:
-            self.in_script = True
+        self.open, self.inside, self.in_script = [], [], 0
+
+    def opened(self, tag, attrs, depth):
+        classes = attrs.get("class", "").split()
+        if tag == "link" and "canonical" in attrs.get("rel", "").lower().split():
+            self.canonical = self.canonical or attrs.get("href")
+        if tag == "script" and attrs.get("type", "").strip().lower() == LINKED:
+            self.in_script = depth
             self.scripts.append("")
-        if tag in VOID:
-            return
-        self.depth += 1
-        if self.at is None and CARD in classes:
-            self.at = self.depth
+        if CARD in classes and depth:
             self.cards.append({LABEL: None, PLACE: None, "time": None, "has_time": False})
-        elif self.at is not None:
-            for name in (LABEL, PLACE):
-                if name in classes and self.cards[-1][name] is None:
-                    self.inside[name] = self.depth
-                    self.cards[-1][name] = ""
-            if tag == "time" and not self.cards[-1]["has_time"]:
-                self.cards[-1] |= {"has_time": True, "time": a.get("datetime")}
-
-    def handle_endtag(self, tag):
-        if tag == "script":
-            self.in_script = False
-        if tag in VOID:
+            self.open.append((depth, self.cards[-1]))
+        if not self.open:
             return
-        if self.at == self.depth:
-            self.at = None
-        self.inside = {k: d for k, d in self.inside.items() if d != self.depth}
-        self.depth -= 1
-
-    def handle_data(self, data):
+        card = self.open[-1][1]
+        for name in (LABEL, PLACE):
+            if name in classes and card[name] is None and depth:
+                self.inside.append((depth, card, name))
+                card[name] = ""
+        if tag == "time" and not card["has_time"]:
+            card.update(has_time=True, time=attrs.get("datetime"))
+
+    def closed(self, depth):
+        if self.in_script == depth:
+            self.in_script = 0
+        while self.open and self.open[-1][0] >= depth:
+            self.open.pop()
+        self.inside = [x for x in self.inside if x[0] < depth]
+
+    def text(self, data):
         if self.in_script:
             self.scripts[-1] += data
-        for name in self.inside:
-            self.cards[-1][name] += data
+        for _, card, name in self.inside:
+            card[name] += data
 
 
 def _parsed(body: str) -> _Page:
     p = _Page()
-    p.feed(body or "")
-    p.close()
+    p.walk(body or "")
     return p
 
 
