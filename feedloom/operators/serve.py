@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,21 @@ def indented(body: str) -> str:
     return json.dumps(json.loads(body), indent=2, ensure_ascii=False) + "\n"
 
 
+def feed_lines(wire: DataFrame) -> DataFrame:
+    """``line``: each event of the feed as JSON, absent values left out, in the order of start and id."""
+    return wire.orderBy("start", "id").select(F.to_json(F.struct(*wire.columns)).alias("line"))
+
+
+def feed_text(lines: Iterable[str], generated_at: str, preview: bool = False) -> Iterator[str]:
+    """The feed file in pieces: its head, an event at a time, its foot; the same text as :func:`indented` gives of :func:`feed_json`."""
+    yield indented(json.dumps({"generated_at": generated_at} | ({"preview": True} if preview else {}))).removesuffix("\n}\n") + ',\n  "events": ['
+    some = False
+    for line in lines:
+        yield ("," if some else "") + "\n    " + json.dumps(json.loads(line), indent=2, ensure_ascii=False).replace("\n", "\n    ")
+        some = True
+    yield ("\n  " if some else "") + "]\n}\n"
+
+
 def read_feed(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The first of some feed files that is there, as one row; a file that is no feed is an error."""
     for path in paths:
@@ -94,12 +110,33 @@ def day_events(events: DataFrame, start: str = "start", order: tuple[str, ...] =
     return out.withColumn("heading", dates.day_label(F.col("day")))
 
 
+def day_rows(events: DataFrame, start: str = "start", order: tuple[str, ...] = ("fingerprint",)) -> DataFrame:
+    """Events in order of start, by ranges, with their local day; ``heading`` begins a day's section and is null on its other events.
+
+    A day's first event is a minimum, so no day is gathered, however many events it has.
+    """
+    rows = events.withColumn("day", dates.local(F.col(start)).cast("date"))
+    first = rows.groupBy("day").agg(F.min(F.struct(start, *order)).alias("_first"))
+    heading = F.when(F.struct(start, *order) == F.col("_first"), dates.day_label(F.col("day")))
+    return rows.join(first, "day").withColumn("heading", heading).drop("_first").orderBy("day", start, *order)
+
+
 def first_day_from(days: DataFrame, targets: DataFrame, key: str = "day") -> DataFrame:
-    """Of each target the first day on it or after; null if none is left.  Days are sorted ranges: a day serves the targets since the one before."""
-    w = Window.orderBy("day")  # a calendar's days: some hundreds, whatever the events
-    ranges = days.select("day").distinct().withColumn("since", F.lag("day").over(w))
-    met = targets.alias("t").join(ranges.alias("r"), (F.col(f"t.{key}") <= F.col("r.day")) & (F.col("r.since").isNull() | (F.col(f"t.{key}") > F.col("r.since"))), "left")
-    return met.select("t.*", F.col("r.day").alias("lands"))
+    """Of each target the first day on it or after; null if none is left.
+
+    A month has its days as a sorted array, and the first day after it: targets
+    meet their month by equality and search there.
+    """
+    month = lambda c: F.trunc(c, "MM")
+    span = days.select(month(F.col("day")).alias("m")).unionByName(targets.select(month(F.col(key)).alias("m"))).agg(F.min("m").alias("a"), F.max("m").alias("b")).filter("a is not null")
+    months = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m"))
+    held = days.filter("day is not null").groupBy(month(F.col("day")).alias("m")).agg(F.array_sort(F.collect_set("day")).alias("_days"))
+    # A calendar's months: some hundreds, whatever the events.
+    after = F.min(F.get("_days", F.lit(0))).over(Window.orderBy("m").rowsBetween(1, Window.unboundedFollowing))
+    index = months.join(held, "m", "left").withColumn("_after", after).withColumnRenamed("m", "_m")
+    met = targets.join(index, month(F.col(key)) == F.col("_m"), "left")
+    here = F.get(F.filter("_days", lambda d: d >= F.col(key)), F.lit(0))
+    return met.withColumn("lands", F.coalesce(here, F.col("_after"))).select(*targets.columns, "lands")
 
 
 def shown_counts(events: DataFrame, hidden: DataFrame, group: str = "group_slug") -> DataFrame:

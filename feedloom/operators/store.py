@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,8 +115,18 @@ def cancel_missing(state: DataFrame, seen: DataFrame, now: Column, window_end: C
     return out.withColumn("status", F.when(inside & F.col("_seen").isNull(), F.lit("cancelled")).otherwise(F.col("status"))).drop("_seen")
 
 
+#: The tables of a state; the events' folder keeps its short name.
+EVENTS, GROUPS, VENUES, SOURCES = "v", "groups", "venues", "sources"
+
+
 class Snapshots:
-    """States in versioned folders; a reader follows a pointer that is replaced as a whole."""
+    """States of several tables in versioned folders.
+
+    A version is all its tables and one mark, which is written last and names
+    them: they come into force together or not at all, and a run that dies
+    before leaves the old ones in force.  The mark also keeps the last batch of
+    each stream, so a batch that is replayed is known.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -122,52 +134,94 @@ class Snapshots:
     def _fs(self):
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, path.getFileSystem(conf)
+        return jvm.org.apache.hadoop.fs.Path, path.getFileSystem(conf)
+
+    def _names(self) -> list[str]:
+        path, fs = self._fs()
+        return [s.getPath().getName() for s in fs.listStatus(path(self.root))] if fs.exists(path(self.root)) else []
 
     def version(self) -> int | None:
-        jvm, fs = self._fs()
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(self.root)):
-            return None
-        names = [s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.root))]
-        done = [int(n[4:]) for n in names if n.startswith("now=")]
-        return max(done) if done else None
-
-    def read(self) -> DataFrame | None:
+        return max((int(n[4:]) for n in self._names() if n.startswith("now=")), default=None)
+
+    def mark(self, version: int | None = None) -> dict:
+        """What a version's mark says: its ``tables``, and ``streams`` with the last batch of each."""
+        version = self.version() if version is None else version
+        text = "" if version is None else "".join(r[0] for r in self.spark.read.text(f"{self.root}/now={version}").collect())
+        return {"tables": [EVENTS], "streams": {}} | (json.loads(text) if text else {})
+
+    def read(self, table: str = EVENTS) -> DataFrame | None:
+        """A table of the version in force; None before the first, or if it has no such table."""
         v = self.version()
-        return None if v is None else self.spark.read.parquet(f"{self.root}/v={v:06d}")
+        return self.read_at(v, table) if v is not None and table in self.mark(v)["tables"] else None
 
-    def write(self, df: DataFrame, part: str = "v") -> int:
-        """Write the next version, then its mark: a run that fails before leaves the old state in force.
+    def read_at(self, version: int, table: str = EVENTS) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{table}={version:06d}")
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written beside the version to come, without a mark, and read back."""
+        v = (self.version() or 0) + 1
+        self._put(df, name, v)
+        return self.read_at(v, name)
+
+    def _put(self, df: DataFrame, table: str, version: int) -> None:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{table}={version:06d}")
+
+    def done(self, stream: str, batch: int) -> bool:
+        """Whether a version in force has this batch, or a later one, of a stream."""
+        return self.mark()["streams"].get(stream, -1) >= batch
+
+    def commit(self, tables: dict[str, DataFrame], batch: tuple[str, int] | None = None) -> int:
+        """Write the next version of all ``tables``, then its mark.
 
         One writer at a time: a version is claimed by a file that only one can
-        create, so a second writer fails before it writes.  ``part`` other than
-        ``v`` is kept beside the version to come, without a mark.
+        create, so a second writer fails before it writes.
         """
         v = (self.version() or 0) + 1
-        if part != "v":
-            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{part}={v:06d}")
-            return v
-        jvm, fs = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path
+        path, fs = self._fs()
         claim = path(f"{self.root}/claim={v}")
         fs.mkdirs(path(self.root))
         if not fs.createNewFile(claim):
             raise RuntimeError(f"another run writes version {v}; remove {claim.toString()} if it has died")
         try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/v={v:06d}")
-            fs.create(path(f"{self.root}/now={v}"), False).close()
+            for table, df in tables.items():
+                self._put(df, table, v)
+            streams = self.mark()["streams"] | (dict([batch]) if batch else {})
+            # Written aside and renamed, so that a mark is whole or not there.
+            own = path(f"{self.root}/.mark={v}")
+            out = fs.create(own, True)
+            out.write(bytearray(json.dumps({"tables": list(tables), "streams": streams}).encode()))
+            out.close()
+            if not fs.rename(own, path(f"{self.root}/now={v}")):
+                raise RuntimeError(f"version {v} is there already")
         finally:
             fs.delete(claim, False)
         return v
 
-    def read_at(self, version: int, part: str = "v") -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{part}={version:06d}")
-
-
-def write_atomically(path: str, body: str) -> None:
-    """A local file, whole or not at all, readable by all."""
-    own = f"{path}.{uuid.uuid4().hex}"
-    with open(own, "w", encoding="utf-8") as f:
-        f.write(body)
-    os.chmod(own, 0o644)
-    os.replace(own, path)
+    def write(self, df: DataFrame) -> int:
+        """The next version of the events alone."""
+        return self.commit({EVENTS: df})
+
+    def prune(self, keep: int = 10) -> None:
+        """Delete all but the last ``keep`` versions, and what runs left beside them; nobody may still read those."""
+        path, fs = self._fs()
+        now = self.version()
+        for name in self._names():
+            part, _, number = name.partition("=")
+            if now is not None and number.isdigit() and part != "claim" and (int(number) <= now - keep or part == "run" and int(number) <= now):
+                fs.delete(path(f"{self.root}/{name}"), True)
+
+
+def write_atomically(path: str, pieces: Iterable[str]) -> int:
+    """A local file of some pieces of text, whole or not at all, readable by all; returns how many pieces there were."""
+    own, n = f"{path}.{uuid.uuid4().hex}", 0
+    try:
+        with open(own, "w", encoding="utf-8") as f:
+            for piece in pieces:
+                n += 1
+                f.write(piece)
+        os.chmod(own, 0o644)
+        os.replace(own, path)
+    finally:
+        if os.path.exists(own):
+            os.remove(own)
+    return n

@@ -12,11 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..functions.text import excerpt
 from ..sources import html, ics, json_calendar
 from . import normalize, recurrence, serve, store
 from .lineage import settled
-from .venues import VENUE
+from .venues import FIELDS, VENUE, venue_rows
 
 #: What decoders give, and its type where a decoder lacks it.
 RECORD = {
@@ -112,26 +113,58 @@ def conclude(bodies: DataFrame, registry: dict[str, DataFrame], rejects: DataFra
     return Run(records, events, gone, problems, skips, status)
 
 
-def save(run: Run, snapshots: store.Snapshots, seen: Column) -> dict[str, int]:
+def tables_after(run_events: DataFrame, registry: dict[str, DataFrame], snapshots: store.Snapshots) -> dict[str, DataFrame]:
+    """The registry's tables after a run: nothing is ever deleted, and venues that the events name are filled in or added."""
+    was = lambda table, empty: old if (old := snapshots.read(table)) is not None else empty.limit(0)
+    groups = store.groups_by_slug(registry["groups"].drop("pos"))
+    sources = registry["sources"]
+    curated = registry["venues"].select("slug", "name", *FIELDS)
+    venues = store.mirror(was(store.VENUES, curated), curated, "slug")
+    return {
+        store.GROUPS: store.mirror(was(store.GROUPS, groups), groups, "slug"), store.SOURCES: store.mirror(was(store.SOURCES, sources), sources, "url"),
+        store.VENUES: venue_rows(venues, run_events.filter("venue is not null").select("venue.*")),
+    }
+
+
+def save(run: Run, snapshots: store.Snapshots, seen: Column, registry: dict[str, DataFrame] | None = None, batch: tuple[str, int] | None = None) -> dict[str, int]:
     """Write the next state and say what changed; nothing is written if an event breaks the store's rules.
 
-    A run without a source that worked is a failure, and writes nothing.
+    With the ``registry`` its groups, sources and venues are part of the state,
+    and all tables come into force together.  A run without a source that worked
+    is a failure, and writes nothing.
     """
     if not run.status.filter("error is null").limit(1).count():
         raise RuntimeError("every source failed")
     old = snapshots.read()
     if old is None:
         old = run.events.limit(0).withColumns({"first_seen": F.lit(None).cast("timestamp_ntz"), "last_seen": F.lit(None).cast("timestamp_ntz")})
-    version = snapshots.write(run.events, "run")  # read back: merging is not computed again for each count
-    events = snapshots.read_at(version, "run")
-    store.check(events, seen)
-    counts = store.save_counts(old, events).first().asDict()
+    events = snapshots.stage(run.events, "run")  # read back: merging is not computed again for each count
+    store.check(events, seen, None if registry is None else registry["sources"].select("kind").distinct())
+    got = settled(store.claims(old, events))
+    counts = store.save_counts(old, events, got).first().asDict()
     n = events.count()
     counts["merged_records"] = normalize.merged_away(run.records.count(), n, run.rejected.count())
-    snapshots.write(store.upsert(old, events, seen))
+    tables = {store.EVENTS: store.upsert(old, events, seen, got)}
+    snapshots.commit(tables | (tables_after(events, registry, snapshots) if registry is not None else {}), batch)
     return counts
 
 
+def source_lines(status: DataFrame) -> DataFrame:
+    """A row for each source: its kind, how many events and skips it had, and why it failed, if it did; failures first."""
+    return status.select("source_key", "kind", "events", "skipped", "error").orderBy(F.col("error").isNull(), "source_key")
+
+
+def store_counts(snapshots: store.Snapshots) -> DataFrame:
+    """A row with the state's totals: events and how many of them are published, pending and cancelled; groups, verified ones, venues and sources."""
+    of = lambda s: F.count_if(F.col("status") == s).alias(s)
+    rows = snapshots.read().agg(F.count("*").alias("events"), *map(of, ("published", "pending", "cancelled")))
+    for table in (store.GROUPS, store.VENUES, store.SOURCES):
+        if (df := snapshots.read(table)) is not None:
+            more = [F.count_if(F.coalesce(F.btrim("verified_by"), F.lit("")) != "").alias("verified")] if table == store.GROUPS else []
+            rows = rows.unionByName(df.agg(F.count("*").alias(table), *more), allowMissingColumns=True)
+    return rows.agg(*(F.max(c).alias(c) for c in rows.columns))  # a row for each table
+
+
 def report(status: DataFrame) -> DataFrame:
     """A row: sources, how many worked, events, skips, and whether the run failed, which it did if none worked."""
     ok = F.col("error").isNull()
@@ -144,10 +177,14 @@ def unreviewed(events: DataFrame) -> DataFrame:
 
 
 def export(state: DataFrame, groups: DataFrame, path: str, now: Column, preview: bool = False) -> int:
-    """Write the upcoming events as the feed's JSON file, whole or not at all; how many there are."""
+    """Write the upcoming events as the feed's JSON file, whole or not at all; how many there are.
+
+    Events are put in order by ranges and reach the file a range at a time, so
+    neither a task nor the driver holds all of them.
+    """
     shown = serve.upcoming(state, now, ("published", "pending") if preview else ("published",))
     at = state.agg(F.max("last_seen").alias("t")).first()["t"]
-    wire = serve.wire(shown, groups)
-    body = serve.feed_json(wire, F.lit(at) if at is not None else now, preview).first()["body"]
-    store.write_atomically(path, serve.indented(body))
-    return shown.count()
+    stamp = state.sparkSession.range(1).select(dates.to_rfc3339((F.lit(at) if at is not None else now).cast("timestamp_ntz"))).first()[0]
+    lines = serve.feed_lines(serve.wire(shown, groups))
+    pieces = serve.feed_text((r["line"] for r in lines.toLocalIterator()), stamp, preview)
+    return store.write_atomically(path, pieces) - 2  # the frame's head and foot

@@ -112,11 +112,10 @@ def excerpts_plain(spark, d):
     return table(spark, d, "documents").select("doc_id", x.alias("plain"), text.is_mostly_link(x).alias("mostly_link"))
 
 
-@query("""WITH a AS (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS x FROM documents),
-b AS (SELECT doc_id, x, regexp_replace(substr(x, 1, 220), '^(.+) [^ ]*$', '\\1', 's') AS h FROM a)
-SELECT doc_id, CASE WHEN strlen(x) <= 220 THEN x ELSE rtrim(h, ' ,;:.-') || '\u2026' END AS excerpt FROM b""")
+@query("""WITH a AS (SELECT doc_id, text AS x, regexp_replace(left(text, list_filter(range(0, 221), lambda k: strlen(left(text, k)) <= 220)[-1]), '^(.+) [^ ]*$', '\\1', 's') AS h FROM documents)
+SELECT doc_id, CASE WHEN strlen(x) <= 220 THEN x ELSE rtrim(h, ' ,;:.-') || '\u2026' END AS excerpt FROM a""")
 def truncated_words(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.truncate_words(F.regexp_replace("text", "[^ -~]", "")).alias("excerpt"))
+    return table(spark, d, "documents").select("doc_id", text.truncate_words(F.col("text")).alias("excerpt"))
 
 
 @query("""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(translate(html, '​‌‍﻿­', ''), '(?s)<!--.*?-->', '', 'g'),

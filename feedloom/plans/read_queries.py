@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import normalize, serve, store, sync, venues
+from ..operators import normalize, serve, store, surface, sync, venues
 from ..sources import html as html_source
 from ..sources import ics, json_calendar
 from ..streaming import ingest
@@ -245,15 +245,30 @@ def day_events(spark, d):
     return got.select("day", "heading", F.array_join(F.transform("events", lambda x: x["event_id"].cast("string")), ",").alias("events"))
 
 
-@query("""WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events WHERE event_id % 3 = 0 AND day(ts) % 4 <> 1), t AS (SELECT CAST(o_orderdate AS DATE) AS day FROM orders UNION SELECT CAST(ts AS DATE) FROM events)
+@query("""WITH days AS (SELECT DISTINCT CAST(date_trunc('week', ts) AS DATE) AS d FROM events), t AS (SELECT CAST(o_orderdate AS DATE) AS day FROM orders UNION SELECT CAST(ts AS DATE) FROM events)
 SELECT day, (SELECT min(d) FROM days WHERE d >= day) AS lands FROM t""")
 def first_day_from(spark, d):
     e = table(spark, d, "events")
-    days = e.filter("event_id % 3 = 0 and day(ts) % 4 <> 1").select(F.to_date("ts").alias("day")).distinct()
+    days = e.select(F.date_trunc("WEEK", "ts").cast("date").alias("day")).distinct()
     targets = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).union(e.select(F.to_date("ts"))).distinct()
     return serve.first_day_from(days, targets)
 
 
+@query("""WITH e AS (SELECT CAST(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Chicago' AS DATE) AS day, ts, event_id FROM events)
+SELECT day, ts, event_id, CASE WHEN row_number() OVER (PARTITION BY day ORDER BY ts, event_id) = 1 THEN strftime(day, '%A, %B %-d') END AS heading FROM e""")
+def day_rows(spark, d):
+    return serve.day_rows(table(spark, d, "events").select("ts", "event_id"), "ts", ("event_id",))
+
+
+@query("""WITH m AS (SELECT page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref="([^"]*)"', 1) AS m FROM pages)
+SELECT page_id, CAST(unnest(range(1, len(m) + 1)) AS INTEGER) AS pos, unnest(m) AS href FROM m""")
+def page_links_sql(spark, d):
+    """Links of all pages by SQL, through the table function."""
+    surface.register_functions(spark)
+    table(spark, d, "pages").createOrReplaceTempView("feed_pages")
+    return spark.sql("SELECT page_id, pos, href FROM feed_pages, LATERAL page_links(html)")
+
+
 _OWNED = "s AS (SELECT event_id AS event, ts AS last_seen, unnest([event_id, event_id + 1]) AS s FROM events)"
 
 
@@ -354,17 +369,17 @@ def hourly_counts(spark, d):
     return ingest.hourly_counts(table(spark, d, "events")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-@query("SELECT c_custkey AS slug, CASE WHEN c_custkey % 3 > 0 THEN 'new' ELSE 'old' END AS name FROM customer WHERE c_custkey % 3 > 0 OR c_custkey % 2 = 0")
+@query("SELECT c_custkey AS slug, CASE WHEN c_acctbal > 0 THEN 'new' ELSE 'old' END AS name FROM customer WHERE c_acctbal > 0 OR c_mktsegment <> 'BUILDING'")
 def registry_mirror(spark, d):
     """The registry's rows as they are now, and old ones that it no longer has."""
-    c, k = table(spark, d, "customer"), F.col("c_custkey")
-    old, new = c.filter(k % 2 == 0).select(k.alias("slug"), F.lit("old").alias("name")), c.filter(k % 3 > 0).select(k.alias("slug"), F.lit("new").alias("name"))
+    c, k = table(spark, d, "customer"), F.col("c_custkey").alias("slug")
+    old, new = c.filter("c_mktsegment <> 'BUILDING'").select(k, F.lit("old").alias("name")), c.filter("c_acctbal > 0").select(k, F.lit("new").alias("name"))
     return store.mirror(old, new, "slug")
 
 
-@query("""SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-23' AND event_id % 2 = 0 THEN 'cancelled' ELSE 'published' END AS status FROM events""")
+@query("""SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-23' AND NOT coalesce(value > 50, false) THEN 'cancelled' ELSE 'published' END AS status FROM events""")
 def cancel_missing(spark, d):
     """Switched on: what a clean run no longer brings, well inside its window, is cancelled."""
-    e = table(spark, d, "events").select(F.col("event_id").alias("fingerprint"), F.col("ts").alias("start"), F.lit("published").alias("status"))
-    got = store.cancel_missing(e, e.filter("fingerprint % 2 = 1"), ntz("2024-01-10"), ntz("2024-01-25"), clean=True, enabled=True)
+    e = table(spark, d, "events").select(F.col("event_id").alias("fingerprint"), F.col("ts").alias("start"), F.lit("published").alias("status"), "value")
+    got = store.cancel_missing(e, e.filter("value > 50"), ntz("2024-01-10"), ntz("2024-01-25"), clean=True, enabled=True)
     return got.select(F.col("fingerprint").alias("event_id"), "status")

@@ -105,6 +105,11 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
+def card_rows(body: str) -> list[tuple]:
+    """(pos, week, has_time, datetime, place) of each card of a page."""
+    return [(i, _squeezed(c[LABEL]), c["has_time"], c["time"], _squeezed(c[PLACE])) for i, c in enumerate(_parsed(body).cards)]
+
+
 def cards(pages: DataFrame) -> DataFrame:
     """(source_key, pos, week, has_time, datetime, place) of each card; a page without any is a row without a pos."""
     schema = pa.schema([("source_key", pa.string()), ("pos", pa.int32()), ("week", pa.string()), ("has_time", pa.bool_()), ("datetime", pa.string()), ("place", pa.string())])
@@ -113,8 +118,7 @@ def cards(pages: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for key, body in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                found = _parsed(body).cards
-                out += [(key, i, _squeezed(c[LABEL]), c["has_time"], c["time"], _squeezed(c[PLACE])) for i, c in enumerate(found)] or [(key, None, None, None, None, None)]
+                out += [(key, *row) for row in card_rows(body)] or [(key, None, None, None, None, None)]
             yield _batch(out, schema)
 
     return pages.select("source_key", "body").mapInArrow(run, CARDS)
