@@ -24,6 +24,8 @@ from .textops import U, mix
 from .token_files import NAME, encoder
 
 CAPACITY = 2048
+#: Words that a worker's encoder remembers, some 100 bytes each.
+WORDS = 2_500_000
 #: Rows of a range, and ranks that are joined under one key.
 RANGE, RANKS = 1 << 18, 4096
 PIECE = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "key": pa.int64()}
@@ -43,7 +45,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids:
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, seen = encoder(tokenizer), U(TaskContext.get().partitionId()) << U(40), 0
+        encode, part, seen = encoder(tokenizer, WORDS), U(TaskContext.get().partitionId()) << U(40), 0
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 rows, out = batch.slice(i, 512), []

@@ -46,7 +46,8 @@ class Encoder:
     a blank begins a part.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
+        self.memory = memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -83,7 +84,7 @@ class Encoder:
         """Each text's ids and the end's, as bytes."""
         whole = [x or any(a in t for a in self.added) for x, t in zip(apart(texts), texts, strict=True)]
         parts = [None if x else t.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f") for x, t in zip(whole, texts, strict=True)]
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.memory:
             self.known.clear()
         new: set[str] = set()
         for p in parts:
@@ -109,9 +110,9 @@ def apart(texts: list[str]) -> list[bool]:
     return [bool(x) and bool(APART.search(t)) for x, t in zip(hit[np.minimum(off[1:] - 1, most)] - hit[np.minimum(off[:-1], most)], texts, strict=True)]
 
 
-def encoder(path: str) -> Encoder:
-    """A worker's encoder: it keeps what it knows from task to task, until the worker has other work."""
-    return kept(f"encoder {path}", lambda: Encoder(path))
+def encoder(path: str, memory: int = MEMORY) -> Encoder:
+    """A worker's encoder: it keeps what it knows, ``memory`` words at most, from task to task, until the worker has other work."""
+    return kept(f"encoder {path} {memory}", lambda: Encoder(path, memory))
 
 
 class Writer:
