@@ -22,7 +22,7 @@ from .lineage import settled
 
 
 #: Events of shared components that one task takes, about.
-MEMBERS = 20_000
+MEMBERS = 4_000
 
 
 def labels(links: DataFrame) -> DataFrame:
