@@ -201,8 +201,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> list[tuple[str,
     runs again, or twice at once, leaves one whole file.
     """
     n = n_files(input_bytes(docs))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
-    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("copy"))
+    # Where a row was read parts equal rows, so one that a third of the table repeats fills many files.
+    rows = rows.repartitionByRange(n, "doc_id", "h", "copy").sortWithinPartitions("doc_id", "h", "copy")
 
     def run(batches):
         from pyspark import TaskContext

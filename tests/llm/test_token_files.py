@@ -68,3 +68,18 @@ def test_one_document_reads_one_frame_and_damage_is_found():
     for cut in (raw[:-1], raw[:-9] + b"\0" * 9, raw[:-30] + raw[-29:]):
         with pytest.raises(ValueError):
             token_files.Reader(io.BytesIO(cut))
+
+
+def test_a_row_that_most_of_the_table_repeats_fills_many_files(spark, tmp_path):
+    import statistics
+
+    import public_tokenizers
+
+    rows = [(7, "one and the same")] * 3000 + [(k, f"other {k}") for k in range(600)] + [(None, None)] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    files = token_files.write_tokens(docs, public_tokenizers.path(token_files.NAME), str(tmp_path / "t"))
+    sizes = [n for _, n, _ in files]
+    assert sum(sizes) == len(rows) and max(sizes) <= 2 * statistics.median(sizes)
+    got = token_files.read_tokens(spark, str(tmp_path / "t"), files, False).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == [0, *__import__("itertools").accumulate(r.n_tokens for r in got)][:-1]
