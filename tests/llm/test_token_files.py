@@ -76,7 +76,8 @@ def test_a_row_that_most_of_the_table_repeats_fills_many_files(spark, tmp_path):
     import public_tokenizers
 
     rows = [(7, "one and the same")] * 3000 + [(k, f"other {k}") for k in range(600)] + [(None, None)] * 1000
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
     files = token_files.write_tokens(docs, public_tokenizers.path(token_files.NAME), str(tmp_path / "t"))
     sizes = [n for _, n, _ in files]
     assert sum(sizes) == len(rows) and max(sizes) <= 2 * statistics.median(sizes)
