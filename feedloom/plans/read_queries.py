@@ -6,13 +6,15 @@ records that name a place, line items the children of events.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import normalize, serve, store, surface, sync, venues
 from ..sources import html as html_source
 from ..sources import ics, json_calendar
-from ..streaming import ingest
+from ..streaming import absence, ingest
 from .queries import SPLIT, ntz, query, skip_breaker, table
 
 
@@ -383,3 +385,19 @@ def cancel_missing(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("fingerprint"), F.col("ts").alias("start"), F.lit("published").alias("status"), "value")
     got = store.cancel_missing(e, e.filter("value > 50"), ntz("2024-01-10"), ntz("2024-01-25"), clean=True, enabled=True)
     return got.select(F.col("fingerprint").alias("event_id"), "status")
+
+
+@query("""
+WITH e AS (SELECT concat_ws(':', user_id, event_type) AS fingerprint, date_trunc('day', ts) AS seen, date_trunc('day', ts) + to_hours(CAST(floor(value) AS INTEGER)) AS start FROM events),
+last AS (SELECT fingerprint, max(seen) AS last_at FROM e GROUP BY ALL),
+kept AS (SELECT fingerprint, last_at, max(start) AS start FROM e JOIN last USING (fingerprint) WHERE seen = last_at GROUP BY ALL),
+run AS (SELECT max(seen) AS now FROM e)
+SELECT fingerprint, CASE WHEN last_at < now AND start >= now AND start < now + INTERVAL 18 DAY THEN 'cancelled' ELSE 'published' END AS status FROM kept, run
+""")
+def absent_timers(spark, d):
+    """A stream of all events, each day a run: what the last run has not brought back is cancelled by its own timer."""
+    # A pattern, as a stream's path must be a folder or one.
+    e = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")
+    day = F.date_trunc("day", "ts")
+    runs = e.select(F.concat_ws(":", "user_id", "event_type").alias("fingerprint"), (day + F.make_dt_interval(hours=F.floor("value").cast("int"))).cast("timestamp_ntz").alias("start"), F.lit("published").alias("status"), day.cast("timestamp_ntz").alias("seen"), F.lit(True).alias("clean"))
+    return absence.changes_of(runs, timedelta(days=20)).groupBy("fingerprint").agg(F.min_by("status", F.struct(-F.col("seen_ms"), "status")).alias("status"))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import store
+from ..operators.lineage import new_path
 from .ingest import stream_id
 
 RUNS = "fingerprint string, start timestamp_ntz, status string, seen timestamp_ntz, clean boolean"
@@ -120,6 +121,20 @@ def rocks(spark: SparkSession):
         spark.conf.set(PROVIDER, was)
 
 
+def changes_of(runs: DataFrame, ahead: timedelta, margin: timedelta = timedelta(days=2)) -> DataFrame:
+    """All changes that a stream has for now, as a table in the shared folder; a replayed batch writes its part anew."""
+    root = new_path(runs.sparkSession, "absence")
+    runs.sparkSession.createDataFrame([], OUT).write.parquet(f"{root}/changes/batch=-1")
+
+    def once(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
+
+    with rocks(runs.sparkSession):
+        q = watched(runs, ahead, margin).writeStream.outputMode("update").foreachBatch(once).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return runs.sparkSession.read.parquet(f"{root}/changes").drop("batch")
+
+
 def apply_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
     """The state with the cancellations of some changes; a row seen again since its timer was set keeps its status."""
     gone = changes.filter("status = 'cancelled'").groupBy("fingerprint").agg(F.max("seen_ms").alias("_seen_ms"))
