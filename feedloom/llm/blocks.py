@@ -14,7 +14,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import input_bytes, stored
@@ -42,15 +43,33 @@ def replayable(docs: DataFrame, *cols: str) -> DataFrame:
     plan = docs._jdf.queryExecution().optimizedPlan()
     while plan.getClass().getSimpleName() in ("Project", "Filter"):
         plan = plan.children().head()
-    if plan.getClass().getSimpleName() in ("LogicalRelation", "DataSourceV2ScanRelation"):
+    if plan.getClass().getSimpleName() == "LogicalRelation" and _placed(docs):
         return docs
     return stored(docs.select(*cols or ("doc_id", "text")), "documents")
 
 
+def _place(docs: DataFrame) -> list[Column]:
+    at = docs.metadataColumn("_metadata")
+    return [at["file_path"], at["row_index"]]
+
+
+def _placed(docs: DataFrame) -> bool:
+    """Whether a row's file and its number there can be read."""
+    try:
+        docs.select(*_place(docs)).schema  # noqa: B018
+    except AnalysisException:
+        return False
+    return True
+
+
+def block(docs: DataFrame, n: int) -> Column:
+    """A row's block, by its file and its number there: equal rows spread, however many, and every scan says the same, however it is split."""
+    return F.pmod(F.xxhash64(*_place(docs)), F.lit(n)).cast("int").alias("block")
+
+
 def dealt(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id and text with their block; rows with a null or repeated id spread by their text."""
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    return docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(n, "block")
+    """doc_id and text with their block, of :func:`replayable` documents."""
+    return docs.select(block(docs, n), F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(n, "block")
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:

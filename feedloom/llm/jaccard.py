@@ -180,7 +180,7 @@ def key_of() -> Column:
 def classes(docs: DataFrame, words: int, n: int, keyed: bool = False) -> DataFrame:
     """(doc_id, n, sig, block) of every row, and its key; no text is shuffled for it."""
     keys = ["key"] if keyed else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", B.block(docs, n))
     if keyed:
         rows = rows.withColumn("key", key_of())
 

@@ -247,8 +247,7 @@ def scored(docs: DataFrame, held: tuple[int, int] = HELD_OUT) -> DataFrame:
     docs = B.replayable(docs)
     n = B.n_blocks(docs)
     train = crc_mod("doc_id", held[0]) != held[1]
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    dealt = docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train")).repartition(n, "block")
+    dealt = docs.select(B.block(docs, n), F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train")).repartition(n, "block")
 
     def words(t: pa.Table) -> pa.Table:
         x = Tokens(t)
