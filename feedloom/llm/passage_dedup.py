@@ -4,7 +4,8 @@ A difference cover D modulo v has, for any two positions i and j, a shift d < v
 with both i+d and j+d in D (mod v).  So hashes of ``window - v + 1`` words, taken
 only where a document's word position is in D, meet in any two equal windows at
 the same shift.  Anchors that occur twice anywhere are extended to the windows
-around them, and the windows that occur twice by their hashes decide.
+around them.  Windows that occur twice by a hash of 62 bits are told apart once
+more by another of 62: only those that occur twice by both are repeated.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import blocks as B
 from .shared import table
@@ -52,19 +55,28 @@ def _candidates(w: Words, known: np.ndarray, window: int) -> tuple[np.ndarray, n
     return i, Prefix(w.hash, 3).of(i, i + window)
 
 
+def _hits(w: Words, keys: np.ndarray, window: int, keep: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows whose first hash is among the keys, and their second hashes."""
+    i = np.flatnonzero(w.pos + window <= w.n[w.doc]) if len(keys) and len(w.pos) else np.zeros(0, np.int64)
+    i = i[B.held(Prefix(w.hash, 3).of(i, i + window) & keep, keys)]
+    return i, Prefix(w.hash, 5).of(i, i + window)
+
+
 def _sizes(t: pa.Table) -> np.ndarray:
     return np.diff(buffers(t["text"])[1])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, text: bool = True, bits: int = 64) -> DataFrame:
     """Remove each word that lies in a window of ``window`` words whose sequence starts anywhere else as well.
 
     Returns doc_id, n_words, n_removed, kept_sha256, n_spans (removed runs) and
     kept (the text of the kept words, null without ``text``).  Null and empty texts
     have no words; texts count whole, however long; rows with equal or null ids
     each keep a row, and repeated rows repeat their windows; there are no ties;
-    an empty table gives no rows; other columns are not read.
+    an empty table gives no rows; other columns are not read.  ``bits`` of a
+    window's first hash are used: with few, more windows reach the second.
     """
+    keep = U(((1 << bits) - 1) << (64 - bits))
     if window < PERIOD:
         raise ValueError(f"window must be {PERIOD} words at least")
     docs = B.replayable(docs)
@@ -79,15 +91,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: bool = True) ->
         if not t.num_rows:
             return B.packs(0, np.zeros(0, U), n)
         keys = B.keys_of(known)
-        h = [_candidates(_words(t["text"], a, b)[2], keys, window)[1] for a, b in pieces(_sizes(t))]
+        h = [_candidates(_words(t["text"], a, b)[2], keys, window)[1] & keep for a, b in pieces(_sizes(t))]
         return B.packs(B.block_of(t), np.concatenate(h), n)
 
+    def send_again(t: pa.Table, hits: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return B.packs(0, np.zeros(0, U), n)
+        keys = B.keys_of(hits)
+        h = [_hits(_words(t["text"], a, b)[2], keys, window, keep)[1] for a, b in (pieces(_sizes(t)) if len(keys) else ())]
+        return B.packs(B.block_of(t), np.concatenate([np.zeros(0, U), *h]), n)
+
     def finish(t: pa.Table, hits: pa.Table) -> pa.Table:
-        keys, out = B.keys_of(hits), []
+        first, second = (B.keys_of(hits.filter(pc.equal(hits["level"], k))) for k in (1, 2))
+        out: list[tuple] = []
         for a, b in pieces(_sizes(t)) if t.num_rows else ():
             data, off, w = _words(t["text"], a, b)
-            ok = np.flatnonzero(w.pos + window <= w.n[w.doc]) if len(keys) and len(w.pos) else np.zeros(0, np.int64)
-            gone = spread(ok[B.held(Prefix(w.hash, 3).of(ok, ok + window), keys)], window, len(w.pos))
+            i, h = _hits(w, first, window, keep)
+            gone = spread(i[B.held(h, second)], window, len(w.pos))
             edge = gone.copy()
             edge[1:] &= ~gone[:-1] | (w.pos[1:] == 0)
             raw = data.tobytes()
@@ -102,7 +122,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: bool = True) ->
 
     known = B.answers(dealt.groupBy("block").applyInArrow(send_anchors, B.PACK))
     packed = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send_windows, B.PACK)
-    hits = B.answers(packed)
+    level = lambda df, k: df.withColumn("level", F.lit(k)).repartition(n, "block")
+    hits = level(B.answers(packed), 1)
+    again = dealt.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(send_again, B.PACK)
+    hits = hits.unionByName(level(B.answers(again), 2))
     return dealt.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(finish, RESULT)
 
 

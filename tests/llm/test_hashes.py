@@ -1,8 +1,9 @@
 """Strings that polynomials modulo a power of two cannot tell apart."""
 
 import numpy as np
+import pytest
 
-from feedloom.llm import jaccard, passage_dedup, suffix_lm
+from feedloom.llm import byte_dedup, jaccard, passage_dedup, suffix_lm
 from feedloom.llm.textops import Prefix, U, Words, byte_values
 
 
@@ -56,3 +57,47 @@ def test_a_blocks_documents_have_one_order():
     want = ordered(t)["text"].to_pylist()
     assert want == ["c", "d", "a", "e", "b"]
     assert all(ordered(t.take(o))["text"].to_pylist() == want for o in ([4, 3, 2, 1, 0], [2, 0, 4, 1, 3]))
+
+
+@pytest.mark.parametrize("bits", [64, 6, 2])
+def test_windows_that_meet_by_the_first_hash_alone_stay(spark, bits):
+    """Forty documents of other words and one repeated passage: however narrow the first hash, nothing else goes."""
+    own = [" ".join(f"d{i}w{j}" for j in range(60)) for i in range(40)]
+    same = " ".join(f"s{j}" for j in range(40))
+    # Two words apart from a passage that is in two others: its anchors repeat, its windows don't.
+    almost = " ".join(f"s{j}" if j not in (0, 34) else f"x{j}" for j in range(40))
+    docs = spark.createDataFrame([*enumerate(own), (50, f"{own[0][:20]} {same}"), (51, f"y {same} z"), (52, almost)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in passage_dedup.remove_repeats(docs, bits=bits).collect() if r.n_removed}
+    assert got == {50: 40, 51: 40}
+
+
+def test_a_row_that_a_third_of_the_table_repeats_has_no_block_of_its_own(spark, tmp_path):
+    """Blocks of op1, op4, op8 and op9; every scan deals alike, however it is split."""
+    from feedloom.llm import blocks
+
+    rows = [(1, "same words here")] * 4000 + [(i, f"text {i}") for i in range(8000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    assert blocks.replayable(docs) is docs and blocks.replayable(docs.distinct()) is not docs
+    sizes = sorted(r["count"] for r in blocks.dealt(docs, 16).groupBy("block").count().collect())
+    assert len(sizes) == 16 and sizes[-1] < 2 * sizes[8] and sum(sizes) == 12000
+    assert blocks.dealt(docs.filter("doc_id = 1"), 16).select("block").distinct().count() == 16
+    one = blocks.dealt(docs, 16).select("block", "doc_id", "text")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        assert one.exceptAll(docs.select(blocks.block(docs, 16), "doc_id", "text")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_repeated_rows_in_bulk(spark):
+    """One row repeated for a third of all: each copy loses its repeated words and is linked to the others."""
+    text = " ".join(f"s{j}" for j in range(80))
+    docs = spark.createDataFrame([(1, text)] * 300 + [(i, f"t{i} " * 5) for i in range(10, 610)], "doc_id long, text string")
+    got = passage_dedup.remove_repeats(docs).groupBy("n_removed").count().collect()
+    assert {(r.n_removed, r["count"]) for r in got} == {(80, 300), (0, 600)}
+    assert jaccard.near_groups(docs).filter("doc_id = 1 and component_id = 1").count() == 300
+    assert byte_dedup.remove_repeated_bytes(spark.createDataFrame([(1, text * 2)] * 30 + [(2, "a")], "doc_id long, text string")).filter("doc_id = 1 and n_removed = n_bytes").count() == 30
+    scores = suffix_lm.scored(docs).filter("doc_id = 1").groupBy("n_tokens", "train_tokens").count().collect()
+    assert [r["count"] for r in scores] == [300]
