@@ -5,6 +5,9 @@ query visits leaves best bin first: a priority queue holds the branches not yet
 taken, by their centroids' inner product with it, or by their distance.  Leaf
 visits widen until, for queries set apart for it, recall against brute force
 reaches the goal; of the two orders the one that gets there sooner is used.
+
+Rows that are equal in id and vector are one row with its copies: a query leaves
+out one copy of itself, and each of its copies gets the same list.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ GOAL = 0.95
 TOP, EVERY = 20, 20
 #: Vectors, and queries, that meet in one task.
 CHUNK = 4096
+#: A row and its copies; the key tells rows of one id apart.
+CLASS = ("vec_id", "key", "copies", "embedding")
 
 
 class Tree:
@@ -102,55 +107,66 @@ def matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1) if len(col) else np.zeros((0, 1))
 
 
-def best(q_ids, q, v_ids, v, top: int, allowed=None) -> pa.Table:
-    """Each query's ``top`` among v, ties to the smaller id, never its own id; scores do not depend on the block's shape.
+def rows_of(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, keys, copies and vectors."""
+    return (*(np.asarray(t.column(c).to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t.column(c).to_numpy()) for c in ("vec_id", "key", "copies")), matrix(t.column("embedding")))
+
+
+def best(queries, vectors, top: int, allowed=None) -> pa.Table:
+    """Each query's ``top`` among some vectors, ties to the smaller id, never its own row; scores do not depend on the block's shape.
 
-    ``allowed`` masks (query, vector) pairs.
+    Both are as from :func:`rows_of`; ``allowed`` masks (query, vector) pairs.
     """
-    ids, scores, counts = [], [], []
+    (q_ids, q_keys, _, q), (v_ids, v_keys, v_copies, v) = queries, vectors
+    ids, keys, scores, copies, counts = [], [], [], [], []
     for i in range(0, len(q_ids), 64):
         x = q[i : i + 64]
         rough = x @ v.T
-        rough[(q_ids[i : i + 64, None] == v_ids[None, :]) | (False if allowed is None else ~allowed[i : i + 64])] = -np.inf
+        own = (q_ids[i : i + 64, None] == v_ids[None, :]) & (q_keys[i : i + 64, None] == v_keys[None, :])
+        rough[own & (v_copies == 1)[None, :] | (False if allowed is None else ~allowed[i : i + 64])] = -np.inf
         k = min(top, len(v_ids))
         floor = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
         floor = np.where(np.isfinite(floor), floor - 1e-9 * (1 + np.abs(floor)), -np.finfo(float).max)
         row, col = np.nonzero(rough >= floor[:, None])
         s = (v[col] * x[row]).sum(1)
         o = np.lexsort((v_ids[col], -s, row))
-        row = row[o]
+        orow, row = row, row[o]
         first = np.searchsorted(row, np.arange(len(x)))
         keep = np.arange(len(o)) - first[row] < top
         ids.append(v_ids[col[o]][keep])
+        keys.append(v_keys[col[o]][keep])
         scores.append(-s[o][keep])
+        copies.append(np.minimum(v_copies[col] - own[orow, col], top)[o][keep])
         counts.append(np.bincount(row[keep], minlength=len(x)))
     off = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1)
-    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(np.concatenate(ids) if ids else [], pa.int64())], ["s", "id"])
-    return pa.Table.from_arrays([pa.array(q_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pairs)], schema=KIND)
+    join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+    pairs = pa.StructArray.from_arrays([join(scores, pa.float64()), join(ids, pa.int64()), join(keys, pa.int64()), join(copies, pa.int64())], ["s", "id", "key", "copies"])
+    return pa.Table.from_arrays([pa.array(q_ids, pa.int64()), pa.array(q_keys, pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pairs)], schema=KIND)
 
 
-FOUND = "query_id long, found array<struct<s: double, id: long>>"
-KIND = pa.schema([("query_id", pa.int64()), ("found", pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())])))])
+FOUND = "query_id long, key long, found array<struct<s: double, id: long, key: long, copies: long>>"
+KIND = pa.schema([("query_id", pa.int64()), ("key", pa.int64()), ("found", pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64()), ("key", pa.int64()), ("copies", pa.int64())])))])
 
 
 def _merged(found: DataFrame, top: int) -> DataFrame:
-    return found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, top).alias("found"))
+    """Each query's ``top`` of what its bins have found, a row with several copies as often as it has."""
+    near = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, top)
+    each = F.flatten(F.transform(near, lambda x: F.array_repeat(F.struct(x["s"].alias("s"), x["id"].alias("id"), x["key"].alias("key")), x["copies"].cast("int"))))
+    return found.groupBy("query_id", "key").agg(F.slice(each, 1, top).alias("found"))
 
 
 def brute(queries: DataFrame, vectors: DataFrame, top: int) -> DataFrame:
     """Exact neighbours of a bounded number of queries: each block of vectors is compared with all of them."""
-    got = queries.select("vec_id", "embedding").toArrow()
-    held = shared_value(queries, (got["vec_id"].to_numpy(), matrix(got["embedding"])))
+    held = shared_value(queries, rows_of(queries.select(*CLASS).toArrow()))
 
     def run(batches):
-        ids, q = held.value
         for b in batches:
             for i in range(0, b.num_rows, CHUNK):
                 c = b.slice(i, CHUNK)
-                if len(ids) and c.num_rows:
-                    yield from best(ids, q, c.column(0).to_numpy(), matrix(c.column(1)), top).to_batches()
+                if len(held.value[0]) and c.num_rows:
+                    yield from best(held.value, rows_of(c), top).to_batches()
 
-    return _merged(vectors.select("vec_id", "embedding").mapInArrow(run, FOUND), top)
+    return _merged(vectors.select(*CLASS).mapInArrow(run, FOUND), top)
 
 
 def shared_value(df: DataFrame, value):
@@ -162,39 +178,46 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, goal: float =
 
     Both inputs need vec_id and embedding, arrays of floats or doubles; other
     columns are not read.  Vectors that are null, zero, of another length than
-    most, or hold null or non-finite components take no part; a vector never
-    finds its own vec_id; ties go to the smaller id, whatever the block; of rows
-    that repeat a vec_id each is searched, and a query's list has an id once for
-    each score.  Empty inputs give no rows.  The tree's leaves grow in number with the vectors, as far
+    most, or hold null or non-finite components take no part; a query never
+    finds its own row; ties go to the smaller id, whatever the block; of rows that
+    repeat a vec_id each has a list of its own, without itself and with the others.
+    Empty inputs give no rows.  The tree's leaves grow in number with the vectors, as far
     as the fitted ones allow.  ``info`` receives the leaves, the visits chosen
     and the recall measured.
     """
     spark, info = vectors.sparkSession, {} if info is None else info
     element = vectors.schema["embedding"].dataType.elementType.simpleString()
     kind = f"array<{element if element in ('float', 'double') else 'double'}>"
-    pick = lambda df: df.filter(F.col("vec_id").isNotNull() & usable()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
+    one = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")]
+    pick = lambda df: df.filter(F.col("vec_id").isNotNull() & usable()).select(*one)
+    grouped = lambda df: df.groupBy("vec_id", "embedding").agg(F.count("*").alias("copies")).withColumn("key", F.xxhash64("embedding")).select(*CLASS)
     vectors, queries = pick(vectors), pick(queries)
-    sizes = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    sizes = vectors.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), F.desc("d")).first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     vectors, queries = (df.filter(F.size("embedding") == sizes["d"]) for df in (vectors, queries))
-    first = lambda df, n: df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n)
+    queries = stored(grouped(queries), "ann-queries")
+    first = lambda df, n: df.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id", "embedding").limit(n)
     sample = matrix(first(vectors, FIT).select("embedding").toArrow()["embedding"])
     tree = Tree(sample, leaf=max(LEAST_LEAF, min(LEAF, LEAF * len(sample) // sizes["count"])))
     held = shared_value(vectors, tree)
 
     def put(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(held.value.assign(matrix(b.column(1))), pa.int32())], ["vec_id", "embedding", "leaf"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(held.value.assign(matrix(b.column("embedding"))), pa.int32())], [*CLASS, "leaf"])
 
-    placed = stored(vectors.mapInArrow(put, f"vec_id long, embedding {kind}, leaf int"), "ann-leaves")
+    fields = f"vec_id long, key long, copies long, embedding {kind}"
+    placed = stored(grouped(vectors).mapInArrow(put, f"{fields}, leaf int"), "ann-leaves")
     probes = first(queries, PROBES)
-    truth = brute(probes, placed, top).select("query_id", F.explode("found.id").alias("vec_id")).join(placed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").toPandas()
+    truth = brute(probes, placed, top).select("query_id", F.col("key").alias("query_key"), F.explode("found").alias("x")).select("query_id", "query_key", F.col("x.id").alias("vec_id"), F.col("x.key").alias("key"))
+    truth = truth.join(placed.select("vec_id", "key", "leaf"), ["vec_id", "key"]).select("query_id", "query_key", "leaf").toPandas()
     got = probes.toArrow()
     visits, near, recall = tree.leaves + 1, False, 1.0
     for by_distance in (False, True):
-        order = {i: {leaf: r for r, leaf in enumerate(tree.visits(x, tree.leaves, by_distance))} for i, x in zip(got["vec_id"].to_pylist(), matrix(got["embedding"]), strict=True)}
-        ranks = np.array([order[i][leaf] for i, leaf in zip(truth["query_id"], truth["leaf"], strict=True)])
+        order = {
+            (i, k): {leaf: r for r, leaf in enumerate(tree.visits(x, tree.leaves, by_distance))} for i, k, x in zip(got["vec_id"].to_pylist(), got["key"].to_pylist(), matrix(got["embedding"]), strict=True)
+        }
+        ranks = np.array([order[i, k][leaf] for i, k, leaf in zip(truth["query_id"], truth["query_key"], truth["leaf"], strict=True)])
         n = min(4, tree.leaves)
         while n < tree.leaves and len(ranks) and (ranks < n).mean() < goal:
             n = min(tree.leaves, n + max(1, n // 8))
@@ -218,7 +241,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, goal: float =
         """A row for each bin that a query goes to, with the leaves that it visits there."""
         for b in batches:
             rows, at, leaves = [], [], []
-            for i, x in enumerate(matrix(b.column(1))):
+            for i, x in enumerate(matrix(b.column("embedding"))):
                 there: dict[int, list[int]] = {}
                 for leaf in held.value.visits(x, visits, near):
                     for bin_ in bins.get(leaf, ()):
@@ -227,16 +250,16 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, goal: float =
                 at += there.keys()
                 leaves += there.values()
             of = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column(0).take(of), b.column(1).take(of), pa.array(leaves, pa.list_(pa.int32()))], ["bin", "vec_id", "embedding", "leaf"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(c.take(of) for c in b.columns), pa.array(leaves, pa.list_(pa.int32()))], ["bin", *CLASS, "leaf"])
 
-    visits_to = stored(queries.mapInArrow(go, f"bin int, vec_id long, embedding {kind}, leaf array<int>"), "ann-visits")
+    visits_to = stored(queries.mapInArrow(go, f"bin int, {fields}, leaf array<int>"), "ann-visits")
     plan = F.broadcast(spark.createDataFrame(plan, "leaf int, bin int, many int"))
     # A bin's queries come in parts as well, and its vectors to each part.
     parts = F.broadcast(visits_to.groupBy("bin").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("qn")))
-    part = F.pmod(F.xxhash64("vec_id"), F.col("qn")).cast("int")
-    left = placed.join(plan, "leaf").withColumn("bin", F.col("bin") + F.pmod(F.xxhash64("vec_id"), F.col("many")).cast("int")).join(parts, "bin")
-    left = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qn") - 1))).select("bin", "q", "vec_id", "embedding", "leaf")
-    right = visits_to.join(parts, "bin").select("bin", part.alias("q"), "vec_id", "embedding", "leaf")
+    part = F.pmod(F.xxhash64("vec_id", "key"), F.col("qn")).cast("int")
+    left = placed.join(plan, "leaf").withColumn("bin", F.col("bin") + F.pmod(F.xxhash64("vec_id", "key"), F.col("many")).cast("int")).join(parts, "bin")
+    left = left.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qn") - 1))).select("bin", "q", *CLASS, "leaf")
+    right = visits_to.join(parts, "bin").select("bin", part.alias("q"), *CLASS, "leaf")
 
     def meet(v: pa.Table, q: pa.Table) -> pa.Table:
         if not v.num_rows or not q.num_rows:
@@ -245,10 +268,13 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, goal: float =
         went = np.zeros((q.num_rows, held.value.leaves), bool)
         went[np.repeat(np.arange(q.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
         here, leaf = np.unique(leaf, return_inverse=True)
-        return best(q["vec_id"].to_numpy(), matrix(q["embedding"]), v["vec_id"].to_numpy(), matrix(v["embedding"]), top, went[:, here][:, leaf])
+        return best(rows_of(q), rows_of(v), top, went[:, here][:, leaf])
 
     key = ["bin", "q"]
     found = _merged(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, FOUND), top)
+    # Copies of a query have the same list.
+    found = found.join(queries.select(F.col("vec_id").alias("query_id"), "key", F.col("copies").cast("int").alias("copies")), ["query_id", "key"])
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     out = found.select("query_id", F.posexplode("found").alias("rank", "x"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 

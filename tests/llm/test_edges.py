@@ -259,7 +259,29 @@ def test_double_ragged_and_repeated_vectors(spark):
     assert [g.score for g in got] == pytest.approx([w[3] for w in want], rel=1e-15)
     twice = df.unionByName(df.filter("vec_id < 3"))
     got = vectors.search(twice, twice.filter("vec_id = 20"), top=130, goal=1.0).collect()
-    assert len({g.vec_id for g in got}) == len(got) == 119
+    assert len({g.vec_id for g in got}) == 119 and len(got) == 122
+
+
+def test_queries_and_rows_of_one_id(spark):
+    """Each row of an id has a list of its own, which leaves out itself and no other; equal rows have equal lists."""
+    import numpy as np
+
+    r = random.Random(18)
+    rows = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(1, 60)] + [(0, [r.gauss(0, 1) for _ in range(6)]) for _ in range(3)]
+    rows += [rows[-1]] * 2 + [(7, rows[6][1])] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    ids, x, want = np.array([i for i, _ in rows]), np.array([e for _, e in rows]), []
+    for q in np.flatnonzero(ids % 7 == 0):
+        s = (x * x[q]).sum(1)
+        o = [j for j in np.lexsort((ids, -s)) if j != q][:9]
+        want.append((int(ids[q]), tuple((int(ids[j]), round(float(s[j]), 9)) for j in o)))
+    got = {}
+    rows_got = vectors.search(df, df.filter("vec_id % 7 = 0"), top=9, goal=1.0).orderBy("query_id", "rank").collect()
+    assert len(rows_got) == 9 * len(want)
+    for g in rows_got:
+        got.setdefault((g.query_id, g["rank"]), []).append((g.vec_id, round(g.score, 9)))
+    for (q, rank), have in got.items():
+        assert sorted(have) == sorted(w[rank - 1] for i, w in want if i == q)
 
 
 def test_calibrated_search_visits_few_leaves_of_clustered_vectors(spark):
