@@ -252,7 +252,9 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, goal: float =
             of = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(c.take(of) for c in b.columns), pa.array(leaves, pa.list_(pa.int32()))], ["bin", *CLASS, "leaf"])
 
-    visits_to = stored(queries.mapInArrow(go, f"bin int, {fields}, leaf array<int>"), "ann-visits")
+    # Written queries may be one small file; a task takes some hundreds.
+    dealt = queries.repartition(max(1, min(20_000, -(-queries.count() // 256))), "vec_id", "key")
+    visits_to = stored(dealt.mapInArrow(go, f"bin int, {fields}, leaf array<int>"), "ann-visits")
     plan = F.broadcast(spark.createDataFrame(plan, "leaf int, bin int, many int"))
     # A bin's queries come in parts as well, and its vectors to each part.
     parts = F.broadcast(visits_to.groupBy("bin").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("qn")))
