@@ -10,6 +10,8 @@ in decimals, and an anti-join drops those that one more word always follows or p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,8 +31,8 @@ ENDS[list(BREAKS)] = True
 ALONE = 3
 #: Bits for each frequent phrase, and of a table at least and at most (32 MB); bits of a part of it that one task makes.
 BITS, FEWEST, MOST, PART = 64, 1 << 17, 1 << 28, 1 << 17
-#: Bytes of text that are counted together before their rows leave a task.
-CHUNK = 8 << 20
+#: Bytes of rows that are counted together before they leave a task, and rows of a batch that leaves it.
+CHUNK, ROWS = 8 << 20, 1 << 15
 #: Parts of a language that are ranked by themselves first.
 PARTS = 32
 COUNTS = "lang string, phrase string, f long"
@@ -79,25 +81,56 @@ def salts(langs: pa.Array) -> np.ndarray:
     return mix(Prefix(data, 6, byte_values(6)).of(off[:-1], off[1:]))
 
 
-def _counted(langs: pa.ChunkedArray, phrases: pa.ChunkedArray) -> pa.RecordBatch:
+def _counted(langs: list[pa.Array], phrases: list[pa.Array]) -> Iterator[pa.RecordBatch]:
     """Distinct phrases of each language with their number, a language at a time."""
-    codes = langs.combine_chunks().dictionary_encode()
-    own, of = codes.dictionary, codes.indices.to_numpy()
+    codes = pa.chunked_array(langs).combine_chunks().dictionary_encode()
+    own, of, all_phrases = codes.dictionary, codes.indices.to_numpy(), pa.chunked_array(phrases).combine_chunks()
+    # The rows are whole in one place only.
+    langs.clear()
+    phrases.clear()
     order = np.argsort(of, kind="stable")
     ends = np.searchsorted(of[order], np.arange(len(own) + 1))
-    phrases = phrases.combine_chunks()
-    got = [phrases.take(pa.array(order[i:j])).value_counts() for i, j in zip(ends[:-1], ends[1:], strict=True)]
-    name = own.take(pa.array(np.repeat(np.arange(len(own)), [len(g) for g in got])))
-    return pa.RecordBatch.from_arrays([name.cast(pa.string()), pa.concat_arrays([g.field(0) for g in got]).cast(pa.string()), pa.concat_arrays([g.field(1) for g in got])], ["lang", "phrase", "f"])
+    for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        got = all_phrases.take(pa.array(order[i:j])).value_counts()
+        for x in range(0, len(got), ROWS):
+            part = got.slice(x, ROWS)
+            name = pa.repeat(own[k].as_py(), len(part))
+            yield pa.RecordBatch.from_arrays([name.cast(pa.string()), part.field(0).cast(pa.string()), part.field(1)], ["lang", "phrase", "f"])
 
 
 def _grams(batch: pa.RecordBatch):
-    """(lang column, Grams, bytes) of slices of a batch (lang, text)."""
+    """(lang column, Grams) of slices of a batch (lang, text)."""
     _, off = buffers(batch.column(1))
     for a, b in pieces(np.diff(off)):
         part = batch.slice(a, b - a)
         data, at = buffers(part.column(1))
-        yield part.column(0), Grams(data, at, salts(part.column(0))), len(data)
+        yield part.column(0), Grams(data, at, salts(part.column(0)))
+
+
+def gram_rows(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], bits: np.ndarray | None = None, part: int = 0) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, f) of the texts of some batches (lang, text), counted as far as a bounded number of rows goes; see ``counts``."""
+    langs, phrases, held = [], [], 0
+    for batch in batches:
+        for lang, g in _grams(batch):
+            if bits is not None:
+                hit = g.starts(part)
+                at = np.flatnonzero(hit)
+                hit[at] = has(bits, g.keys(at, part))
+            for m in lengths:
+                ok = g.starts(m)
+                for k in range(m - part + 1 if bits is not None else 0):
+                    ok[: max(0, len(ok) - k)] &= hit[k:]
+                at = np.flatnonzero(ok)
+                # A long document alone has more rows than are held at once.
+                for i in range(0, len(at), ROWS):
+                    langs.append(lang.take(pa.array(g.w.doc[at[i : i + ROWS]])))
+                    phrases.append(g.phrases(at[i : i + ROWS], m))
+                    held += langs[-1].nbytes + phrases[-1].nbytes
+                    if held >= CHUNK:
+                        yield from _counted(langs, phrases)
+                        langs, phrases, held = [], [], 0
+    if phrases:
+        yield from _counted(langs, phrases)
 
 
 def counts(docs: DataFrame, lengths: tuple[int, ...], table_of=None, part: int = 0) -> DataFrame:
@@ -107,27 +140,7 @@ def counts(docs: DataFrame, lengths: tuple[int, ...], table_of=None, part: int =
     """
 
     def run(batches):
-        langs, phrases, held = [], [], 0
-        for batch in batches:
-            for lang, g, size in _grams(batch):
-                if table_of is not None:
-                    hit = g.starts(part)
-                    at = np.flatnonzero(hit)
-                    hit[at] = has(table_of.value, g.keys(at, part))
-                for m in lengths:
-                    ok = g.starts(m)
-                    for k in range(m - part + 1 if table_of is not None else 0):
-                        ok[: max(0, len(ok) - k)] &= hit[k:]
-                    at = np.flatnonzero(ok)
-                    if len(at):
-                        langs.append(lang.take(pa.array(g.w.doc[at])))
-                        phrases.append(g.phrases(at, m))
-                held += size
-                if held >= CHUNK and phrases:
-                    yield _counted(pa.chunked_array(langs), pa.chunked_array(phrases))
-                    langs, phrases, held = [], [], 0
-        if phrases:
-            yield _counted(pa.chunked_array(langs), pa.chunked_array(phrases))
+        return gram_rows(batches, lengths, table_of and table_of.value, part)
 
     return docs.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
@@ -143,7 +156,7 @@ def bit_table(frequent: DataFrame, m: int, n: int) -> np.ndarray:
 
     def places(batches):
         for b in batches:
-            for _, g, _ in _grams(b):
+            for _, g in _grams(b):
                 at = (g.keys(g.w.at[:-1], m) & U(size - 1)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(at // PART, pa.int32()), pa.array(at % PART, pa.int32())], ["part", "place"])
 

@@ -92,3 +92,32 @@ def test_one_language_and_one_phrase_hold_nearly_all(spark):
 def test_fewer_words_than_a_phrase(spark, words):
     rows = [("en", " ".join("abcdefg"[:words]))]
     assert sorted(map(tuple, collocations.collocations(frame(spark, rows), 5, 1).collect())) == brute(rows, 5, 1, 2000)
+
+
+def test_what_a_task_holds_is_bounded_however_long_a_text_is(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(150_000)), "b c d e f", ""]
+    batch = pa.RecordBatch.from_pydict({"lang": ["x", "y", "x"], "text": texts})
+    held, counted = [], collocations._counted
+
+    def seen(langs, phrases):
+        held.append(sum(a.nbytes for a in [*langs, *phrases]))
+        return counted(langs, phrases)
+
+    monkeypatch.setattr(collocations, "CHUNK", 1 << 20)
+    monkeypatch.setattr(collocations, "_counted", seen)
+    got = list(collocations.gram_rows(iter([batch]), (4, 5)))
+    # One text of 150,000 words has 299,993 rows, 10 MB: they leave by parts, in batches that are small in the JVM too.
+    assert len(held) > 4 and max(held) <= 4 << 20
+    assert max(b.num_rows for b in got) <= collocations.ROWS
+    want = Counter()
+    for lang, text in zip("xyx", texts, strict=True):
+        w = text.split()
+        want.update((lang, " ".join(w[i : i + m])) for m in (4, 5) for i in range(len(w) - m + 1))
+    have = Counter()
+    for b in got:
+        for lang, phrase, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            have[lang, phrase] += f
+    assert have == want
