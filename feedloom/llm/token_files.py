@@ -12,6 +12,7 @@ import os
 import re
 import struct
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -60,45 +61,62 @@ class Encoder:
         blank = next(iter(self.tok.encode(" ", add_special_tokens=False).tokens))
         self.begins = np.array([(self.tok.id_to_token(i) or "").startswith(blank) for i in range(size)])
         self.end = np.array([END_ID], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}  # of parts as UTF-8
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _keep(self, parts: list[str], ids: Iterable[bytes]) -> None:
+        self.known.update(zip((p.encode("utf-8", "surrogatepass") for p in parts), ids, strict=True))
+
     def _learn(self, new: list[str]) -> None:
         words, others = [], []
         for p in new:
             (words if p[:1] == " " and p[1:].split() == [p[1:]] else others).append(p)
-        self.known.update(zip(others, self._ids(others), strict=True))
+        self._keep(others, self._ids(others))
         if words:
             ids = np.array(self.tok.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, self.kind)
             at = np.flatnonzero(self.begins[ids])
             if len(at) != len(words):
-                self.known.update(zip(words, self._ids(words), strict=True))
-                return
+                return self._keep(words, self._ids(words))
             raw, w = ids.tobytes(), self.kind.itemsize
             at = (at * w).tolist()
-            self.known.update(zip(words, (raw[x:y] for x, y in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
+            self._keep(words, (raw[x:y] for x, y in zip(at, [*at[1:], len(raw)], strict=True)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids and the end's, as bytes."""
-        whole = [x or any(a in t for a in self.added) for x, t in zip(apart(texts), texts, strict=True)]
-        parts = [None if x else t.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f") for x, t in zip(whole, texts, strict=True)]
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        whole = [x or any(a in t for a in self.added) for x, t in zip(apart(texts, raw), texts, strict=True)]
         if len(self.known) > self.memory:
             self.known.clear()
-        new: set[str] = set()
-        for p in parts:
-            if p is not None:
-                new.update(p)
-        new -= self.known.keys()
-        self._learn(list(new))
-        get = self.known.__getitem__
-        return [(b"".join(map(get, p)) if p is not None else self._ids([t])[0]) + self.end for p, t in zip(parts, texts, strict=True)]
-
-
-def apart(texts: list[str]) -> list[bool]:
-    """Which texts hold blanks in a row, or a character that marks parts; bytes that can't begin either are passed over quickly."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        got = iter(self._by_parts([r for r, x in zip(raw, whole, strict=True) if not x]))
+        return [self._ids([t])[0] + self.end if x else next(got) for x, t in zip(whole, texts, strict=True)]
+
+    def _by_parts(self, raw: list[bytes]) -> list[bytes]:
+        """The same of texts as UTF-8 that can be parted: distinct parts are looked up once, and ids are gathered by their numbers."""
+        size = np.array([len(r) for r in raw], np.int64)
+        ends = np.cumsum(size)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        begins = np.zeros(len(data) + 1, bool)
+        begins[ends - size] = True
+        begins[:-1] |= PLAIN_WHITE[data]
+        begins[1:] |= data == 0x0A
+        begins[-1] = False
+        at = np.flatnonzero(begins)
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        words = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([w.decode("utf-8", "surrogatepass") for w in words if w not in self.known])
+        ids = pa.array([*map(self.known.__getitem__, words), self.end], pa.large_binary())
+        # Each text's parts by their numbers, and the end's after them.
+        upto = np.searchsorted(at, ends)
+        got = ids.take(pa.array(np.insert(parts.indices.to_numpy(), upto, len(words))))
+        stop = np.frombuffer(got.buffers()[1], np.int64)[upto + np.arange(1, len(raw) + 1)].tolist()
+        out = memoryview(got.buffers()[2])
+        return [bytes(out[x:y]) for x, y in zip([0, *stop], stop)]
+
+
+def apart(texts: list[str], raw: list[bytes]) -> list[bool]:
+    """Which texts, also given as UTF-8, hold blanks in a row, or a character that marks parts; bytes that can't begin either are passed over quickly."""
     data = np.frombuffer(b"\0".join(raw), np.uint8)
     white = PLAIN_WHITE[data]
     odd = np.zeros(len(data) + 1, bool)

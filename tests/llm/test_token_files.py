@@ -84,3 +84,20 @@ def test_a_row_that_most_of_the_table_repeats_fills_many_files(spark, tmp_path):
     got = token_files.read_tokens(spark, str(tmp_path / "t"), files, False).orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
     assert [r.start for r in got] == [0, *__import__("itertools").accumulate(r.n_tokens for r in got)][:-1]
+
+
+def test_a_part_is_looked_up_once_a_batch_however_often_it_occurs(tokens):
+    import public_tokenizers
+
+    class Looked(dict):
+        times = 0
+
+        def __getitem__(self, key):
+            self.times += 1
+            return super().__getitem__(key)
+
+    e = token_files.Encoder(public_tokenizers.path(token_files.NAME))
+    e.known = Looked()
+    texts = ["the cat, the dog\nthe é日 cat" * 200, "", "\n", " the", "a  b\tc", "the\n\ncat", "cat\x1f the", "🙂 12's"] * 5
+    assert e(texts) == [np.array(tokens(t), e.kind).tobytes() for t in texts]
+    assert 0 < e.known.times < 40
