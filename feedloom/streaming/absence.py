@@ -17,8 +17,7 @@ from contextlib import contextmanager
 from datetime import timedelta
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -33,52 +32,55 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 class Absence(StatefulProcessor):
-    """A fingerprint's start and the instant it was last seen, in milliseconds, and a timer for the next clean run."""
+    """A fingerprint's start, the instant it was last seen and its timer for the next clean run, in milliseconds."""
 
     def __init__(self, ahead: timedelta, margin: timedelta):
         self.inside = int((ahead - margin) / timedelta(milliseconds=1))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.row = handle.getValueState("row", "start_ms long, seen_ms long")
-
-    def _wait(self, seen: int, start: int | None) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if start is None:
+        self.row = handle.getValueState("row", "start_ms long, seen_ms long, timer_ms long")
+
+    def _wait(self, seen: int, start: int | None, timer: int | None) -> None:
+        """Wait from ``seen`` on; ``timer`` is the one that is set.  Each call on the state is a message to the JVM, so none is made in vain."""
+        if timer is not None and (start is None or timer != seen + 1):
+            self.handle.deleteTimer(timer)
+        if start is not None:
+            self.row.update((start, seen, seen + 1))
+            if timer != seen + 1:
+                self.handle.registerTimer(seen + 1)
+        elif timer is not None:
             self.row.clear()
+
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        old = self.row.get()
+        self._wait(initialState.seen_ms, initialState.start_ms, None if old is None else old[2])
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        if key[0] is None:
             return
-        self.row.update((start, seen))
-        self.handle.registerTimer(seen + 1)
-
-    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        r = initialState.iloc[0]
-        self._wait(int(r["seen_ms"]), int(r["start_ms"]))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last = None
-        for part in rows:
-            if key[0] is not None:
-                # Of one instant's rows the greatest start and status count, whatever the order they come in.
-                top = max(zip(part["seen_ms"].tolist(), part["start_ms"].fillna(-1).astype("int64").tolist(), part["status"].fillna("").tolist(), part["has_start"].tolist(), strict=True), default=None)
-                last = top if last is None or top > last else last
-        if last is not None:
-            old = self.row.get()
-            if old is None or last[0] >= old[1]:
-                self._wait(int(last[0]), int(last[1]) if last[3] else None)
-                yield pd.DataFrame({"fingerprint": [key[0]], "status": [last[2]], "seen_ms": [int(last[0])]})
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        # Of one instant's rows the greatest start and status count, whatever the order they come in.
+        last = max(((r.seen_ms, -1 if r.start_ms is None else r.start_ms, r.status or "", r.has_start) for r in rows), default=None)
+        if last is None:
+            return
+        seen, start, status, has_start = last
+        old = self.row.get()
+        if old is None or seen >= old[1]:
+            self._wait(seen, start if has_start else None, None if old is None else old[2])
+            yield Row(fingerprint=key[0], status=status, seen_ms=seen)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         row, now = self.row.get(), timerValues.getCurrentWatermarkInMs()
         if row is None:
             return
-        start, seen = row
+        start, seen, _ = row
         if start >= now + self.inside:
+            self.row.update((start, seen, now + 1))
             self.handle.registerTimer(now + 1)
             return
         self.row.clear()
         if start >= now:
-            yield pd.DataFrame({"fingerprint": [key[0]], "status": ["cancelled"], "seen_ms": [seen]})
+            yield Row(fingerprint=key[0], status="cancelled", seen_ms=seen)
 
     def close(self) -> None:
         pass
@@ -107,7 +109,7 @@ def watched(runs: DataFrame, ahead: timedelta, margin: timedelta = timedelta(day
     known = None
     if state is not None:
         known = state.filter("fingerprint is not null and start is not null").select("fingerprint", _millis("start").alias("start_ms"), _millis("last_seen").alias("seen_ms")).groupBy("fingerprint")
-    return rows.withWatermark("at", "0 seconds").groupBy("fingerprint").transformWithStateInPandas(Absence(ahead, margin), OUT, "Update", "EventTime", known)
+    return rows.withWatermark("at", "0 seconds").groupBy("fingerprint").transformWithState(Absence(ahead, margin), OUT, "Update", "EventTime", known)
 
 
 @contextmanager

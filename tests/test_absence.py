@@ -115,3 +115,46 @@ def test_counts_of_hours_leave_late_rows_out(spark, tmp_path):
     run(0, "2024-01-01T00:10:00Z", "2024-01-05T00:10:00Z")
     run(1, "2024-01-01T00:20:00Z", "2024-01-04T00:20:00Z", "2024-01-05T00:30:00Z")
     assert out == {"2024-01-01T00:00:00": 1, "2024-01-04T00:00:00": 1, "2024-01-05T00:00:00": 2}
+
+
+def test_a_key_asks_its_state_no_more_than_it_must():
+    from pyspark.sql import Row
+
+    class Handle:
+        def __init__(self):
+            self.calls, self.value, self.timers = [], None, set()
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.calls.append("clear")
+            self.value = None
+
+        def listTimers(self):
+            self.calls.append("list")
+            return iter(sorted(self.timers))
+
+        def registerTimer(self, t):
+            self.calls.append("register")
+            self.timers.add(t)
+
+        def deleteTimer(self, t):
+            self.calls.append("delete")
+            self.timers.remove(t)
+
+    row = lambda seen, start: Row(fingerprint="a", start_ms=start, has_start=start is not None, status="published", seen_ms=seen, at=None)
+    p, h = absence.Absence(AHEAD, timedelta(days=2)), Handle()
+    p.init(h)
+    for seen, start, calls, timers in [(10, 99, ["get", "update", "register"], {11}), (10, 99, ["get", "update"], {11}), (20, 99, ["get", "delete", "update", "register"], {21}), (15, 99, ["get"], {21}), (30, None, ["get", "delete", "clear"], set())]:
+        h.calls.clear()
+        list(p.handleInputRows(("a",), iter([row(5, 1), row(seen, start)]), None))
+        assert (h.calls, h.timers) == (calls, timers)
