@@ -2,9 +2,11 @@
 
 import html
 import re
+from collections.abc import Callable, Iterator
 from html.entities import html5
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -18,10 +20,21 @@ LIMIT = 220
 BREAKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 blockquote tr table script style".split())
 
 
-@F.pandas_udf(StringType())
-def html_unescape(x: pd.Series) -> pd.Series:
+#: Rows of an Arrow batch that are texts of Python at once.
+ROWS = 128
+
+
+def by_slices(one: Callable[[str], str], batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """``one`` of each text: of a batch's texts only a slice is in Python, and its results leave before the next."""
+    for batch in batches:
+        for i in range(0, len(batch), ROWS):
+            yield pa.array([None if v is None else one(v) for v in batch.slice(i, ROWS).to_pylist()], pa.string())
+
+
+@F.arrow_udf(StringType())
+def html_unescape(x: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Entities, named and numeric, as characters: the standard library's table, in Arrow batches."""
-    return x.map(html.unescape, na_action="ignore")
+    return by_slices(html.unescape, x)
 
 
 def _closed(text: str) -> str:
@@ -29,16 +42,16 @@ def _closed(text: str) -> str:
     return re.sub(r"&(#\d+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)", one, text)
 
 
-@F.pandas_udf(StringType())
-def html_text(x: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def html_text(x: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """A page's text, with an empty line where paragraphs part."""
-    return x.map(lambda v: plain(v, BREAKS), na_action="ignore")
+    return by_slices(lambda v: plain(v, BREAKS), x)
 
 
-@F.pandas_udf(StringType())
-def html_text_closed(x: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def html_text_closed(x: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The same, but only entities that end with their semicolon are characters: ``&amp`` alone stays."""
-    return x.map(lambda v: plain(v, BREAKS, _closed), na_action="ignore")
+    return by_slices(lambda v: plain(v, BREAKS, _closed), x)
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -18,3 +18,15 @@ def test_excerpts_of_pages_are_those_of_the_sql(spark, tmp_path):
     want = duckdb.connect().execute(f"WITH pages AS (SELECT * FROM '{tmp_path}/pages.parquet/*.parquet') SELECT * FROM ({queries.ORACLE['excerpts_html']})").fetchall()
     assert sorted(tuple(r) for r in queries.QUERIES["excerpts_html"](spark, str(tmp_path)).collect()) == sorted(want)
     assert dict(want)[0] == "and&&&amp the&amp"
+
+
+def test_texts_leave_python_by_slices_of_a_batch():
+    import pyarrow as pa
+
+    from feedloom.functions import text
+
+    seen, batch = [], pa.array(["a&amp;b", None, ""] * 400)
+    got = text.by_slices(lambda v: seen.append(v) or v.upper(), iter([batch, batch.slice(0, 0)]))
+    first = next(got)
+    assert len(first) == text.ROWS and len(seen) <= text.ROWS
+    assert pa.chunked_array([first, *got]).to_pylist() == [v and v.upper() for v in batch.to_pylist()]
